@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints
+from . import bpe, exact_dedup, fingerprints, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,21 @@ def op1_fingerprints(spark, sf_dir):
     return fingerprints.compare(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The vocabulary file's place on the driver; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe(spark, sf_dir):
+    return bpe.transcode(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_pii(spark, sf_dir):
+    return pii.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -27,7 +42,12 @@ FROM d"""
 
 
 def queries():
-    return {"op1_fingerprints": op1_fingerprints, "op5_exact_dedup": op5_exact_dedup}
+    return {
+        "op1_fingerprints": op1_fingerprints,
+        "op2_bpe": op2_bpe,
+        "op5_exact_dedup": op5_exact_dedup,
+        "op6_pii": op6_pii,
+    }
 
 
 def oracle_sql():
