@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, pii
+from . import bpe, exact_dedup, fingerprints, pii, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op6_pii(spark, sf_dir):
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,10 @@ def queries():
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_bpe": op2_bpe,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_pii": op6_pii,
+        "op7_substring_dedup": op7_substring_dedup,
     }
 
 
