@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, pii, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, fingerprints, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,14 @@ def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark, sf_dir):
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,21 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
 FROM d"""
 
+OP9_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, row_number() OVER () AS k,
+             translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, f, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT k, max_by(h || f, length(h || f)) AS rule, max_by(v, length(h || f)) AS v
+      FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY k)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IS NOT NULL THEN m.v
+            WHEN regexp_matches(url, '/en/[0-9]+\.html$') OR regexp_matches(url, '^https://www\.') THEN 'allow'
+            WHEN regexp_matches(url, '[?&]utm_source=[a-z]+') OR regexp_matches(url, '^https?://blog\.[^/]*\.example\.com/')
+                 OR regexp_matches(url, '[?&]page=[0-9]+&ref=') THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN m USING (k)"""
+
 
 def queries():
     return {
@@ -57,8 +80,10 @@ def queries():
         "op5_exact_dedup": op5_exact_dedup,
         "op6_pii": op6_pii,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_url_filter": op9_url_filter,
+        "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
