@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprints, jaccard_join, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark, sf_dir):
     return url_filter.judge(_table(spark, sf_dir, "pages"))
 
@@ -80,6 +84,7 @@ def queries():
         "op5_exact_dedup": op5_exact_dedup,
         "op6_pii": op6_pii,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
     }
