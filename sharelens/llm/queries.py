@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_pii(spark, sf_dir):
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.assign(_table(spark, sf_dir, "documents"), mixing.Mix())
+
+
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries():
     return {
         "op1_fingerprints": op1_fingerprints,
         "op2_bpe": op2_bpe,
+        "op3_mixing": op3_mixing,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_pii": op6_pii,
@@ -91,4 +96,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_mixing": mixing.sql(mixing.Mix()), "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
