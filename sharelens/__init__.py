@@ -1,0 +1 @@
+"""Presence and share analytics over multi-affiliation corpora, on Spark."""
