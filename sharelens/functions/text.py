@@ -108,7 +108,7 @@ def absolute(base: Column, link: Column) -> Column:
     """A link relative to its page."""
     root = F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]+)", 1)
     here = F.regexp_extract(base, "^([a-zA-Z]+://[^?#]*/)", 1)
-    return F.when(link.rlike("^[a-zA-Z]+://"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(F.when(F.length(here) > F.length(root) + 3, here).otherwise(F.concat(root, F.lit("/"))), link))
+    return F.when(link.rlike("^[a-zA-Z]+://"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(F.when(F.length(here) > F.length(root), here).otherwise(F.concat(root, F.lit("/"))), link))
 
 
 def short_id(url: Column) -> Column:

@@ -27,7 +27,7 @@ def read_ranking(spark: SparkSession, path: str, rank: str | None = None) -> Dat
 
 def sniff(head: bytes) -> dict[str, str]:
     """Options of a CSV from its first bytes: the first encoding, separator and header mode with 3 columns or more."""
-    for encoding in ("utf-8", "cp1252", "iso-8859-1", "utf-16"):
+    for encoding in ("utf-16", "utf-8", "iso-8859-1") if head[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-8", "iso-8859-1"):
         try:
             text = codecs.getincrementaldecoder(encoding)().decode(head)
         except UnicodeDecodeError:
@@ -84,7 +84,7 @@ def read_dump(spark: SparkSession, path: str, charset: str = "ISO-8859-1", tags:
 def parse_records(raw: DataFrame, tags: tuple[str, ...] = ("inproceedings", "article")) -> DataFrame:
     names = "|".join(tags)
     rows = raw.select(F.regexp_extract("value", rf"(?s)<({names})[ >].*", 1).alias("tag"), F.regexp_extract("value", rf"(?s)(<(?:{names})[ >].*</(?:{names})>)", 1).alias("xml"))
-    rows = rows.where("xml <> ''").withColumn("xml", T.xml_safe(F.regexp_replace("xml", r"</?(i|b|sub|sup|tt|ref)[^>]*>", "")))
+    rows = rows.where("xml <> ''").withColumn("xml", T.xml_safe(F.regexp_replace("xml", r"</?(?:i|b|sub|sup|tt|ref)(?:\s[^>]*)?>", "")))
     r = F.from_xml("xml", F.lit(RECORD), {"rowTag": "r", "attributePrefix": "_"})
     rows = rows.withColumn("r", r)
     f = lambda n: F.col(f"r.{n}")

@@ -14,7 +14,7 @@ def deduplicated(events: DataFrame, key: str = "event_id", at: str = "ts", late:
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def counts(events: DataFrame, at: str = "ts", late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Rows and sum of values per window and type."""
-    w = events.withWatermark(at, late).groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("rows"), F.sum("value").alias("value"))
+def counts(events: DataFrame, at: str = "ts", late: str | None = None, width: str = "1 day") -> DataFrame:
+    """Rows and sum of values per window and type; `late` only where events have no watermark yet."""
+    w = (events.withWatermark(at, late) if late else events).groupBy(F.window(at, width), "event_type").agg(F.count("*").alias("rows"), F.sum("value").alias("value"))
     return w.select(F.col("window.start").alias("start"), "event_type", "rows", "value")
