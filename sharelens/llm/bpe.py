@@ -23,7 +23,9 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 
+import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +46,13 @@ _P = rf"[^\s\p{{L}}\p{{N}}{NEW_LETTERS}{NEW_NUMBERS}]|[{NEW_LETTERS}{NEW_NUMBERS
 FAST = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 EXACT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?(?:{_P})+|\s+(?!\S)|\s+", regex.V1)
 NEW = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
+HIGH = re.compile("[\u0558-\U0010FFFF]")
 CLASSES = [regex.compile(x, regex.V1) for x in (rf"{_L}+", rf"{_N}+", rf"(?:{_P})+", r"\s+")]
 
 #: Characters of a pre-token from which on it is streamed; entries of the table of pre-tokens; bytes between emissions.
-LONG, TABLE, STEP = 1 << 16, 400_000, 256
+LONG, TABLE, STEP = 1 << 16, 600_000, 256
+#: Kept answers about pairs of tokens; marks for the beginning of a pre-token and for a prefix without an encoding.
+PAIRS, START, NONE = 1_500_000, 1 << 19, -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -71,80 +76,109 @@ class Vocabulary:
         self.lookahead = max(len(a) + len(b) for a, b in self.ranks) - 1
         self.tails = {t[i:] for t in self.ids for i in range(len(t))}
         self.heads = {t[:i] for t in self.ids for i in range(1, len(t))}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.sizes = {i: len(t) for i, t in self.bytes.items()}
+        self.pairs: dict[int, bool] = {}
+        self.automaton = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+        self.automaton.make_automaton()
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.texts = {str(i): t for i, t in self.bytes.items()}
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges, lowest rank first, leftmost first; for a token or a pair of tokens only."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min(((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))))
-            if rank == 1 << 60:
-                break
+        get, none = self.ranks.get, 1 << 60
+        ranks = [get(pair, none) for pair in zip(parts, parts[1:])]
+        while ranks and (rank := min(ranks)) != none:
+            at = ranks.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = get((parts[at], parts[at + 1]), none)
         return parts
 
-    def goes(self, before: bytes, token: bytes) -> bool:
-        key = (before, token)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[key] = self.merged(before + token) == ([before, token] if before else [token])
+    def goes(self, before: int, token: int) -> bool:
+        """Whether the merges leave the two tokens as they are; before is START at the beginning of a pre-token."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        b = self.bytes[token]
+        got = self.merged(b) == [b] if before == START else self.merged(self.bytes[before] + b) == [self.bytes[before], b]
+        self.pairs[before << 20 | token] = got
         return got
 
+    def extend(self, data: bytes, last: list[int], ends: range) -> None:
+        """Appends to `last` the id of the last token of each prefix's encoding, NONE where there is none. Longest tokens are
+        tried first: only one goes with what is before it."""
+        tails, ids, pairs = self.tails, self.ids.get, self.pairs.get
+        for end in ends:
+            start = end - 1
+            while start and data[start - 1 : end] in tails:
+                start -= 1
+            for s in range(start, end):
+                token = ids(data[s:end])
+                if token is not None and (before := last[s]) != NONE:
+                    ok = pairs(before << 20 | token)
+                    if ok or ok is None and self.goes(before, token):
+                        last.append(token)
+                        break
+            else:
+                last.append(NONE)
+
+    def encode(self, data: bytes) -> list[int]:
+        """A short pre-token at once."""
+        token = self.ids.get(data)
+        if token is not None and (self.pairs.get(START << 20 | token) or self.goes(START, token)):
+            return [token]
+        last = [START] + [NONE] * len(data)
+        pairs = self.pairs.get
+        for end, (token, size) in self.automaton.iter(data.decode("latin-1")):  # all tokens in it, by end, longest first
+            end += 1
+            if last[end] == NONE and (before := last[end - size]) != NONE:
+                ok = pairs(before << 20 | token)
+                if ok or ok is None and self.goes(before, token):
+                    last[end] = token
+        return self.path(last, len(data))
+
+    def path(self, last: list[int], at: int) -> list[int]:
+        """The ids up to `at`, from the tree of last tokens."""
+        out = []
+        while at > 0:
+            out.append(last[at])
+            at -= self.sizes[last[at]]
+        return out[::-1]
+
 
 class Piece:
     """The transducer for one pre-token."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.data, self.last, self.start = vocabulary, b"", [b""], 0
+        self.v, self.data, self.last = vocabulary, b"", [START]
 
     def feed(self, data: bytes):
         """Yields the ids that have become certain."""
-        v = self.v
         for at in range(0, len(data), STEP):
             self.data += data[at : at + STEP]
-            done = len(self.last)
-            for end in range(done, len(self.data) + 1):
-                for start in range(end - 1, -1, -1):
-                    token = self.data[start:end]
-                    if token not in v.tails:
-                        start = -1
-                        break
-                    if token in v.ids and self.last[start] is not None and v.goes(self.last[start], token):
-                        break
-                else:
-                    start = -1
-                self.last.append(token if start >= 0 else None)
+            self.v.extend(self.data, self.last, range(len(self.last), len(self.data) + 1))
             if len(data) > at + STEP or len(self.data) > 2 * STEP:
                 yield from self._certain()
 
     def _certain(self):
         n = len(self.data)
         low = max(0, n - self.v.lookahead)
-        ends = {n} | {i for i in range(low, n) if self.last[i] is not None and self.data[i:] in self.v.heads}
+        ends = {n} | {i for i in range(low, n) if self.last[i] != NONE and self.data[i:] in self.v.heads}
         while len(ends) > 1:  # to the common ancestor
             far = max(ends)
             ends.remove(far)
-            ends.add(far - len(self.last[far]))
+            ends.add(far - self.v.sizes[self.last[far]])
         (at,) = ends
-        yield from self._path(at)
-        if at:
-            kept = self.last[at]
-            self.data, self.last = self.data[at:], [kept, *self.last[at + 1 :]]
-
-    def _path(self, at: int) -> list[int]:
-        out = []
-        while at > 0:
-            token = self.last[at]
-            out.append(self.v.ids[token])
-            at -= len(token)
-        return out[::-1]
+        yield from self.v.path(self.last, at)
+        self.data, self.last = self.data[at:], self.last[at:]
 
     def end(self) -> list[int]:
-        return self._path(len(self.data))
+        return self.v.path(self.last, len(self.data))
 
 
 class _Table(dict):
@@ -155,8 +189,12 @@ class _Table(dict):
         self.v = vocabulary
 
     def __missing__(self, piece: str) -> str:
-        p = Piece(self.v)
-        ids = [*p.feed(piece.encode()), *p.end()]
+        raw = piece.encode()
+        if len(raw) <= STEP:
+            ids = self.v.encode(raw)
+        else:
+            p = Piece(self.v)
+            ids = [*p.feed(raw), *p.end()]
         if len(self) >= TABLE:
             self.clear()
         self[piece] = got = ",".join(map(str, ids))
@@ -195,7 +233,7 @@ class Encoder:
             text = self._continue(text, last, out)
             if self.open or not text:
                 return text
-        pattern = FAST if text.isascii() or not NEW.search(text) else EXACT
+        pattern = FAST if text.isascii() or not HIGH.search(text) or not NEW.search(text) else EXACT
         pieces = pattern.findall(text)
         if not last:  # a pre-token may change while three characters or less follow its end
             tail = 0

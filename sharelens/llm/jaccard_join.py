@@ -4,13 +4,13 @@ A document is the set of its five-word shingles. The n-grams have one global ord
 after them. The order is cut into fragments, and every document's prefix (the first n - ceil(t n) + 1 n-grams, of
 which linked documents share at least one) is dealt over the fragments it falls into. Each fragment counts the
 partial overlaps of its pairs on its own; sums per pair over all fragments then bound the overlap, and pairs that
-can't reach the threshold go. What is left is verified on whole sets, again fragment by fragment, and linked documents
-are joined to components.
+can't reach the threshold go. Candidates form clusters; each candidate's whole set goes to its cluster once, where
+overlaps are again counted by slices of the n-grams and summed per pair, and linked documents are joined to components.
 
 Equal sets are one class from the start, so copies never meet in pairs. An n-gram held by more than DENSE classes
-makes no pairs: its classes are dealt in blocks, each pair of blocks is compared in one task by matrix products
-over slices of the n-grams, and only the edges of a spanning forest come out. No pair is dropped: caps only choose
-between the two ways.
+makes no pairs but a star of candidates. Clusters are dealt in blocks of similar set size, each pair of blocks that can hold
+links is compared in one task by matrix products over slices of the n-grams, and only the edges of a spanning forest
+come out. No pair is dropped: caps only choose between the two ways.
 
 Frequent n-grams are found over all rows: each task counts its documents per cell of a fixed table (2**CELL_BITS
 cells) and reports the full ones; the order decides how much work there is, never the result.
@@ -190,19 +190,6 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["c", "tokens"])
 
 
-def _verify(batches):
-    """Pairs with both sets -> the linked ones."""
-    import pyarrow as pa
-
-    for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(7 * both >= 3 * (len(x) + len(y)))
-        yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(ok, pa.bool_())) for n in ("a", "b")], ["a", "b"])
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each left set shares with each right one: products over slices of the n-grams that both sides have."""
     common = np.intersect1d(np.concatenate(left), np.concatenate(right))
@@ -221,32 +208,75 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _compare_blocks(table):
-    """One pair of blocks of a dense n-gram -> the edges of a spanning forest of its links."""
-    import pyarrow as pa
+def _forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between two lists of places in sets (one list with itself: all its pairs)."""
+    size = np.array([len(x) for x in sets])
+    if len(left) * len(right) <= 16:
+        both = np.array([[len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in right] for i in left])
+    else:
+        both = overlaps([sets[i] for i in left], [sets[j] for j in right])
+    linked = 7 * both >= 3 * (size[left][:, None] + size[right][None, :])
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    block = table.column("block").to_numpy()
-    c = table.column("c").to_numpy()
-    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("tokens")]
-    l, r = np.flatnonzero(block == i), np.flatnonzero(block == j)
     edges = []
-    if len(l) and len(r):
-        size = np.array([len(s) for s in sets])
-        linked = 7 * overlaps([sets[k] for k in l], [sets[k] for k in r]) >= 3 * (size[l][:, None] + size[r][None, :])
-        root = {int(k): int(k) for k in (*l, *r)}
+    for x, y in zip(*np.nonzero(linked)):
+        i, j = int(left[x]), int(right[y])
+        a, b = find(i), find(j)
+        if a != b:
+            root[a] = b
+            edges.append((i, j))
+    return edges
 
-        def find(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
 
-        for x, y in zip(*np.nonzero(linked)):
-            a, b = find(int(l[x])), find(int(r[y]))
-            if a != b:
-                root[a] = b
-                edges.append((c[l[x]], c[r[y]]))
-    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+def _compare(batches):
+    """Rows sorted by task (a pair of blocks of one cluster) -> edges of a spanning forest of the task's links."""
+    import pyarrow as pa
+
+    def flush(held):
+        sets, mine = [h[1] for h in held], np.array([h[2] for h in held])
+        left, right = np.flatnonzero(mine != 1), np.flatnonzero(mine != 0)
+        return [(held[i][0], held[j][0]) for i, j in _forest(sets, left, right)] if len(left) and len(right) else []
+
+    held, task, out = [], None, []
+    for batch in batches:
+        for t, c, side, tokens in zip(batch.column("task").to_pylist(), batch.column("c").to_pylist(), batch.column("side").to_pylist(), batch.column("tokens")):
+            if t != task and held:
+                out += flush(held)
+                held = []
+            task = t
+            held.append((c, np.frombuffer(tokens.as_buffer().to_pybytes(), np.uint64), side))
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+            out = []
+    out += flush(held) if held else []
+    yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+
+
+def tasks(members: DataFrame) -> DataFrame:
+    """members: cluster, c, n. Deals each cluster into blocks of similar set size (bands of a factor 4/3: linked sets are in one
+    band or in adjacent ones) and each class to the pairs of blocks it takes part in. side: 0 and 1 for the two blocks of
+    a pair, 2 where a block is compared with itself."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
+    members = members.withColumn("band", band)
+    blocks = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    near = blocks.select("cluster", F.explode(F.array(*[F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d"), F.col("blocks").alias("k")) for d in (-1, 0, 1)])).alias("x")).select("cluster", "x.*")
+    near = near.groupBy("cluster", "band").agg(*[F.coalesce(F.max(F.when(F.col("d") == -d, F.col("k"))), F.lit(0)).alias(n) for d, n in ((-1, "below"), (0, "own"), (1, "above"))])
+    m = members.join(near, ["cluster", "band"]).withColumn("h", F.pmod(F.xxhash64("c"), F.col("own")).cast("int"))
+    upto = lambda k: F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda b1, h1, b2, h2, side: F.struct(F.struct(b1.alias("b1"), h1.alias("h1"), b2.alias("b2"), h2.alias("h2")).alias("t"), side.alias("side"))
+    b, h = F.col("band"), F.col("h")
+    side = lambda o: F.when(o == h, 2).when(h < o, 0).otherwise(1)
+    places = F.concat(
+        F.transform(upto("own"), lambda o: pair(b, F.least(h, o), b, F.greatest(h, o), side(o))),
+        F.transform(upto("above"), lambda o: pair(b, h, b + 1, o, F.lit(0))),
+        F.transform(upto("below"), lambda o: pair(b - 1, o, b, h, F.lit(1))),
+    )
+    return m.select("cluster", "c", F.explode(places).alias("p")).select("c", F.xxhash64("cluster", "p.t").alias("task"), F.col("p.side").alias("side"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,20 +319,17 @@ def links(docs: DataFrame):
     rest = F.greatest(F.expr("(3 * na + 3) div 4"), F.expr("(3 * nb + 3) div 4")) - 1
     pairs = materialize(pairs.where(7 * (F.col("shared") + rest) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
     dense = counted.where("dense").select(F.col("a").alias("gram"), F.col("b").alias("c"))
-    groups = dense.groupBy("gram").agg(F.count("*").alias("m"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("who"))
-    groups = groups.groupBy("m", "who").agg(F.min("gram").alias("gram"))  # n-grams of the same classes once
-    dense = materialize(dense.join(groups.select("gram", "m"), "gram"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(dense.select("c")).distinct()
+    stars = dense.join(dense.groupBy("gram").agg(F.min("c").alias("a")), "gram").select("a", F.col("c").alias("b"))
+    # candidates form clusters; each set goes to its cluster once, not to each of its pairs
+    found = components(pairs.union(stars))
+    found = found.select(F.col("root").alias("cluster"), F.col("node").alias("c"))
+    found = materialize(found.union(found.select("cluster", F.col("cluster").alias("c"))).distinct())
     # one document stands for its class
-    heads = rows.where("n > 0").groupBy("c").agg(F.min("_rk").alias("_rk")).join(wanted, "c")
-    sets = materialize(texts.join(heads, "_rk").select("c", "text").mapInArrow(_sets, "c long, tokens binary"))
-    checked = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("y")), "b")
-    edges = checked.mapInArrow(_verify, "a long, b long")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = dense.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("gram", "c", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j")).join(sets, "c")
-    edges = edges.union(dealt.groupBy("gram", "i", "j").applyInArrow(_compare_blocks, "a long, b long"))
+    heads = rows.where("n > 0").groupBy("c").agg(F.min("_rk").alias("_rk"), F.first("n").alias("n")).join(found, "c")
+    heads = materialize(heads)
+    sets = texts.join(heads.select("c", "_rk"), "_rk").select("c", "text").mapInArrow(_sets, "c long, tokens binary")
+    dealt = tasks(heads.select("cluster", "c", "n")).join(sets, "c")
+    edges = dealt.repartition("task").sortWithinPartitions("task").select("task", "c", "side", "tokens").mapInArrow(_compare, "a long, b long")
     return docs, rows, edges
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force on a small table."""
 
+import random
 import re
 import zlib
 
@@ -8,15 +9,16 @@ from sharelens.llm import exact_dedup, jaccard_join, mixing
 
 
 def test_stages(spark, tmp_path):
-    say = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    vocabulary = [f"word{i}" for i in range(300)]
+    say = lambda k, n: " ".join(random.Random(k).choices(vocabulary, k=60)[:n])
     rows = []
-    for i in range(120):
+    for i in range(1200):
         text = say(i, 30)
         if i % 4 == 0:
             text = "vilest " + text
         rows.append((i, text, "en" if i % 3 else "de", f"src{i % 5}", len(text)))
-    rows += [(200, say(1, 30), "en", "src1", 1), (201, say(1, 30).replace(" ", "\n"), "en", "src1", 1), (202, say(2, 29), "en", "src2", 1), (203, None, None, None, None), (204, "", "en", "src0", 0)]
-    labels = [(i, 1, int(i % 4 == 0)) for i in range(120)]
+    rows += [(2000, say(1, 30), "en", "src1", 1), (2001, say(1, 30).replace(" ", "\n"), "en", "src1", 1), (2002, say(2, 29), "en", "src2", 1), (2003, None, None, None, None), (2004, "", "en", "src0", 0)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(1200)]
     d = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
@@ -28,16 +30,16 @@ def test_stages(spark, tmp_path):
             out.write.parquet(f"{d}/{name}")
             docs = spark.read.parquet(f"{d}/{name}")
             kept.append({r.doc_id: r.text for r in docs.collect()})
-    held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 4 == 2}
+    held = {i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 == 2}
     clean = {r[0] for r in rows if not (r[1] or "").startswith("vile")}
-    assert len(clean - set(kept[0])) <= 3 and len({i for i in set(kept[0]) - clean if i not in held}) <= 2
+    assert len(clean - set(kept[0])) <= 9 and len({i for i in set(kept[0]) - clean}) <= 9 and held
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
     first = {}
     for i, t in sorted(kept[0].items()):
         first.setdefault(norm(t), i)
     assert set(kept[1]) == set(first.values())
-    assert {200, 201} & set(kept[1]) == set() and 1 in kept[1]
-    assert 202 not in kept[2] and 2 in kept[2] and set(kept[1]) - set(kept[2]) == {202}
+    assert {2000, 2001} & set(kept[1]) == set() and 1 in kept[1]
+    assert 2002 not in kept[2] and 2 in kept[2] and set(kept[1]) - set(kept[2]) == {2002}
     assert set(kept[3]) <= set(kept[2]) and len(kept[3]) > 0.6 * len(kept[2])
     final = pipe.run(spark, d)
     assert {r.doc_id for r in final.collect()} == set(kept[3])
