@@ -8,9 +8,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..params import Params
 
+_SCHEMAS: dict[str, StructType] = {}
+
 
 @dataclass
 class Corpus:
@@ -19,7 +22,11 @@ class Corpus:
     params: Params = Params()
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """Schemas are read from the files once per path and process."""
+        path = f"{self.path}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def papers(self) -> DataFrame:
