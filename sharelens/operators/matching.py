@@ -26,8 +26,9 @@ def exact_match(papers: DataFrame, works: DataFrame, block: list[str]) -> DataFr
     return papers.where("title <> ''").join(w, [*block, "title"]).select("paper_id", "work_id")
 
 
-def fuzzy_match(papers: DataFrame, works: DataFrame, block: list[str], theta: float) -> DataFrame:
+def fuzzy_match(papers: DataFrame, works: DataFrame, block: list[str], theta: float, other: bool = False) -> DataFrame:
     """paper_id, work_id, score: the work of the highest |A & B| / max(|A|, |B|) >= theta in the block, ties by lowest id.
+    With `other` only works of another title count (what exact matching leaves).
 
     Prefix filter: with tokens in one order, rarest first, two sets that reach theta share one of each other's first
     n - ceil(theta n) + 1 tokens, so only these are joined. Equal titles are joined once, and no candidate is dropped."""
@@ -48,6 +49,8 @@ def fuzzy_match(papers: DataFrame, works: DataFrame, block: list[str], theta: fl
     left = prefix(sides["p"])
     right = prefix(sides["w"]).withColumnsRenamed({"title": "w_title", "toks": "w_toks"})
     size = F.least(F.size("toks"), F.size("w_toks")) >= theta * F.greatest(F.size("toks"), F.size("w_toks"))
+    if other:
+        size = size & (F.col("title") != F.col("w_title"))
     pairs = left.join(right, [*block, "t"]).where(size).select(*block, "title", "w_title", "toks", "w_toks").distinct()
     scored = pairs.withColumn("score", set_similarity(F.col("toks"), F.col("w_toks"))).where(F.col("score") >= theta)
     scored = scored.join(sides["w"].select(*block, F.col("title").alias("w_title"), F.col("first").alias("work_id")), [*block, "w_title"])
@@ -74,3 +77,43 @@ def best_source(candidates: DataFrame, least: float = 0.35) -> DataFrame:
 def prefix_filter(records: DataFrame, key: str, accepted: DataFrame) -> DataFrame:
     """Records whose key's first two segments are accepted."""
     return records.withColumn("prefix", F.substring_index(key, "/", 2)).join(accepted.select("prefix").distinct(), "prefix", "left_semi")
+
+
+def near_years(papers: DataFrame, tolerance: int = 1) -> DataFrame:
+    """Papers once for each year within the tolerance, as `match_year`: a block key for works of neighbouring years."""
+    return papers.withColumn("match_year", F.explode(F.sequence(F.col("year") - tolerance, F.col("year") + tolerance)))
+
+
+def first_source(*frames: DataFrame, key: str) -> DataFrame:
+    """Rows of the first frame that has the key, in order of the frames."""
+    out = None
+    for i, f in enumerate(frames):
+        f = f.withColumn("priority", F.lit(i))
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    least = F.min("priority").over(Window.partitionBy(key))
+    return out.withColumn("_least", least).where("priority = _least").drop("_least")
+
+
+def main_track(records: DataFrame, accepted: DataFrame, partial: DataFrame, rejected: tuple[str, ...]) -> DataFrame:
+    """Records whose booktitle is accepted for their venue without regard to case, or holds one of the venue's configured
+    parts, and holds no rejected word. accepted and partial: venue, pattern; dimensions joined by venue."""
+    from ..functions.text import has_any
+
+    low = F.lower(F.trim("booktitle"))
+    a = accepted.select(F.col("venue"), F.lower(F.trim("pattern")).alias("_b")).distinct().withColumn("_ok", F.lit(True))
+    parts = partial.groupBy("venue").agg(F.collect_set(F.lower("pattern")).alias("_parts"))  # a venue's configuration
+    rows = records.where(~has_any(F.col("booktitle"), rejected)).withColumn("_b", low)
+    rows = rows.join(a, ["venue", "_b"], "left").join(parts, "venue", "left")
+    inside = F.coalesce(F.exists("_parts", lambda p: F.contains(F.col("_b"), p)), F.lit(False))
+    return rows.where(F.coalesce("_ok", F.lit(False)) | inside).drop("_b", "_ok", "_parts")
+
+
+def zipped(df: DataFrame, left: str, right: str) -> DataFrame:
+    """One row per position of two arrays, with the position from 1; the shorter one is filled with nulls."""
+    rows = df.select("*", F.posexplode(F.arrays_zip(F.col(left).alias("l"), F.col(right).alias("r"))).alias("pos", "_z"))
+    return rows.withColumns({"pos": F.col("pos") + 1, "left": F.col("_z.l"), "right": F.col("_z.r")}).drop("_z", left, right)
+
+
+def with_columns_or_empty(df: DataFrame, *names: str) -> DataFrame:
+    """Adds each absent column as the empty string."""
+    return df.withColumns({n: F.lit("") for n in names if n not in df.columns}) if set(names) - set(df.columns) else df

@@ -452,18 +452,18 @@ def dedupe_best_confidence(c):
 
 
 def title_sides(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    t = c.titles
-    return t.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "paper_id"), t.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "work_id")
+    """All documents as papers and as works."""
+    return c.titles.withColumnRenamed("doc_id", "paper_id"), c.titles.withColumnRenamed("doc_id", "work_id")
 
 
 @query
 def title_exact_match(c):
-    return matching.exact_match(*title_sides(c), ["lang"])
+    return matching.exact_match(*title_sides(c), ["lang"]).where("paper_id <> work_id")
 
 
 @query
 def title_fuzzy_match(c):
-    return matching.fuzzy_match(*title_sides(c), ["lang"], 0.86)
+    return matching.fuzzy_match(*title_sides(c), ["lang"], 0.86, other=True)
 
 
 @query
@@ -584,3 +584,79 @@ def subarea_names(c):
 def stable_intersection(c):
     h = resolved_history(c)
     return h.where("core_year = 1996").select("venue").intersect(h.where("core_year = 2000").select("venue"))
+
+
+@query
+def conclusion_checks(c):
+    """Statements recomputed from the tables, one row each: name, value, and whether it holds."""
+    m = facts.basic_metrics(fact(c), "win")
+    cells = facts.basic_metrics(fact(c), "win", "area")
+    drops = indicators.monotonicity_drops(m, "focal", c.params.windows)
+    rows = [
+        m.agg(F.lit("bloc_within_resolved").alias("name"), F.count_if(F.col("bloc") > F.col("resolved")).alias("value")),
+        m.agg(F.lit("resolved_within_total"), F.count_if(F.col("resolved") > F.col("total"))),
+        cells.agg(F.lit("small_denominators"), F.count_if(F.col("bloc") < 30)),
+        drops.agg(F.lit("focal_drops"), F.count("*")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out.withColumn("holds", F.col("value") == 0)
+
+
+@query
+def main_track_filter(c):
+    """Parts as records: brand as venue, type as booktitle."""
+    records = c.table("part").select("p_partkey", F.col("p_brand").alias("venue"), F.col("p_type").alias("booktitle"))
+    types = records.select("venue", F.col("booktitle").alias("pattern")).distinct()
+    accepted = types.where(F.length("pattern") % 2 == 0)
+    partial = types.where("venue LIKE '%1'").select("venue", F.substring("pattern", 1, 3).alias("pattern"))
+    return matching.main_track(records, accepted, partial, ("tin", "workshop"))
+
+
+@query
+def near_year_title_match(c):
+    """Titles again, with a year from the number of characters: works of one year more or less count."""
+    years = c.table("documents").select("doc_id", (2000 + F.coalesce("n_chars", F.lit(0)) % 3).cast("int").alias("year"))
+    t = c.titles.join(years, "doc_id")
+    papers = matching.near_years(t.withColumnRenamed("doc_id", "paper_id"))
+    works = t.select(F.col("doc_id").alias("work_id"), "lang", "title", F.col("year").alias("match_year"))
+    return matching.exact_match(papers, works, ["lang", "match_year"]).where("paper_id <> work_id").groupBy("paper_id").agg(F.min("work_id").alias("work_id"))
+
+
+@query
+def source_fallback(c):
+    """Countries of a paper from its best source alone."""
+    by = lambda s: c.evidence.where(F.col("source") == s).select("paper_id", "country").distinct()
+    return matching.first_source(by("A"), by("N"), by("R"), key="paper_id")
+
+
+@query
+def positional_zip(c):
+    """Line numbers and parts of an order side by side; the arrays are bounded by an order's lines."""
+    s = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    a = c.table("lineitem").groupBy("l_orderkey").agg(s.alias("s"))
+    a = a.select("l_orderkey", F.col("s.l_linenumber").alias("numbers"), F.col("s.l_partkey").alias("parts"))
+    return matching.zipped(a, "numbers", "parts")
+
+
+@query
+def key_prefix_filter(c):
+    """URLs as keys: those whose first two segments are accepted."""
+    keys = c.table("pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]*/", "").alias("key"))
+    accepted = c.table("pages").where("url LIKE 'https:%'").select(F.substring_index(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "/", 2).alias("prefix"))
+    return matching.prefix_filter(keys, "key", accepted).select("page_id", "key", "prefix")
+
+
+@query
+def country_flags(c):
+    """Codes normalised and flagged against named sets."""
+    raw = c.nations.select("country", "is_bloc", "is_focal", F.concat(F.lit(" "), F.lower(F.substring("country", 8, 1)), F.lit("s ")).alias("raw"))
+    code = text.country_code(F.translate("raw", "0123456789", "aeudnkgbfi"))
+    return raw.select("country", code.alias("code"), code.isin("ES", "DS").alias("in_set"), "is_bloc", "is_focal")
+
+
+@query
+def preflight_summary(c):
+    """Rows, distinct keys and coverage before any analysis."""
+    return audit.metrics(fact(c), rows=F.count("*"), papers=F.count_distinct("paper_id"), without_window=F.count_if(F.col("win").isNull()), without_venue=F.count_if(F.col("venue").isNull()), unresolved=F.count_if(~F.col("resolved")))

@@ -100,7 +100,7 @@ CONS = f"""{EVID}, cons AS (SELECT paper_id, country, string_agg(source, '|' ORD
   JOIN (SELECT paper_id, country, string_agg(method, '|' ORDER BY k, method) AS methods FROM (SELECT paper_id, country, method, min(priority || source) AS k FROM ev GROUP BY ALL) GROUP BY ALL) USING (paper_id, country) GROUP BY ALL)"""
 TITLE = """ti0 AS (SELECT doc_id, lang, list_filter(string_split(trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS w FROM documents),
 titles AS (SELECT doc_id, lang, array_to_string(w[1:12], ' ') AS title FROM ti0),
-p AS (SELECT doc_id AS paper_id, lang, title FROM titles WHERE doc_id % 2 = 1), w AS (SELECT doc_id AS work_id, lang, title FROM titles WHERE doc_id % 2 = 0)"""
+p AS (SELECT doc_id AS paper_id, lang, title FROM titles), w AS (SELECT doc_id AS work_id, lang, title FROM titles)"""
 COUNTRYCASE = "CASE s_nationkey % 5 WHEN 0 THEN 'Spain' WHEN 1 THEN 'Germany' WHEN 2 THEN 'India' WHEN 3 THEN 'France' ELSE 'Italy' END"
 AFF = f"""aff AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Dept, Univ, ' || {COUNTRYCASE} WHEN 1 THEN 'es' WHEN 2 THEN 'Indiana University' WHEN 3 THEN {COUNTRYCASE} WHEN 4 THEN 'Lab of ' || {COUNTRYCASE} || ' North' ELSE 'Unknown' END AS text FROM supplier)"""
 DOIS = """dois AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'https://doi.org/10.1000/ABC' || p_partkey WHEN 1 THEN 'http://dx.doi.org/10.1000/Abc' || p_partkey || '.' WHEN 2 THEN 'doi: 10.1000/x' || p_partkey WHEN 3 THEN ' 10.1000/Y' || p_partkey || ' ' WHEN 4 THEN '' ELSE NULL END AS raw FROM part)"""
@@ -222,15 +222,14 @@ SQL |= {
         "SELECT 0::BIGINT AS stage, count(*) AS papers FROM pm UNION ALL SELECT 1, count(*) FROM pm WHERE paper_id NOT IN (SELECT paper_id FROM li WHERE l_returnflag = 'A') UNION ALL SELECT 2, count(*) FROM pm WHERE paper_id NOT IN (SELECT paper_id FROM li WHERE l_returnflag IN ('A', 'N')) UNION ALL SELECT 3, count(*) FROM pm WHERE paper_id NOT IN (SELECT paper_id FROM li)"
     ),
     "dedupe_best_confidence": q("SELECT paper_id, country, source, method, confidence, CAST(seq AS BIGINT) AS seq FROM (SELECT paper_id, country, l_returnflag AS source, l_linestatus AS method, l_discount AS confidence, l_linenumber AS seq, row_number() OVER (PARTITION BY paper_id, country ORDER BY l_discount DESC, l_linenumber, l_returnflag, l_linestatus) AS k FROM li) WHERE k = 1"),
-    "title_exact_match": f"WITH {TITLE} SELECT paper_id, min(work_id) AS work_id FROM p JOIN w USING (lang, title) WHERE title <> '' GROUP BY paper_id",
+    "title_exact_match": f"WITH {TITLE} SELECT paper_id, work_id FROM p JOIN (SELECT lang, title, min(work_id) AS work_id FROM w GROUP BY ALL) USING (lang, title) WHERE title <> '' AND paper_id <> work_id",
     "title_fuzzy_match": f"""WITH {TITLE}, ps AS (SELECT DISTINCT lang, title, list_distinct(string_split(title, ' ')) AS t FROM p WHERE title <> ''), ws AS (SELECT lang, title AS wt, min(work_id) AS work_id, list_distinct(string_split(title, ' ')) AS u FROM w WHERE title <> '' GROUP BY lang, title),
-s AS (SELECT ps.lang, title, work_id, CAST(len(list_intersect(t, u)) AS DOUBLE) / greatest(len(t), len(u)) AS score FROM ps JOIN ws ON ps.lang = ws.lang AND least(len(t), len(u)) >= 0.86 * greatest(len(t), len(u)))
+s AS (SELECT ps.lang, title, work_id, CAST(len(list_intersect(t, u)) AS DOUBLE) / greatest(len(t), len(u)) AS score FROM ps JOIN ws ON ps.lang = ws.lang AND title <> wt AND least(len(t), len(u)) >= 0.86 * greatest(len(t), len(u)))
 SELECT paper_id, work_id, score FROM p JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, title ORDER BY score DESC, work_id) AS k FROM s WHERE score >= 0.86) WHERE k = 1) USING (lang, title)""",
     "country_inference_text": f"""WITH {AFF}, c AS (SELECT s_suppkey, lower(trim(text)) AS t, text FROM aff)
 SELECT s_suppkey, text, coalesce({names('t')}, list_filter(list_transform(list_reverse(string_split(t, ',')), lambda x: {names('trim(x)')}), lambda x: x IS NOT NULL)[1], CASE WHEN regexp_full_match(t, '[a-z][a-z]') THEN upper(t) END,
  CASE WHEN contains(t, 'spain') THEN 'ES' WHEN contains(t, 'germany') THEN 'DE' WHEN contains(t, 'india') THEN 'IN' WHEN contains(t, 'france') THEN 'FR' WHEN contains(t, 'italy') THEN 'IT' WHEN contains(t, 'united kingdom') THEN 'GB' END) AS country FROM c""",
-    "secondary_text_flags": """WITH t AS (SELECT item_id, doc_id, contains(lower(d.text), lower(b.text)) AS hit FROM documents d CROSS JOIN (SELECT item_id, text FROM benchmark WHERE item_id < 3) b)
-SELECT doc_id, array_to_string(list_filter(['the', 'license', 'www'], lambda x: contains(lower(coalesce(text, '')), x)), ';') AS tokens, regexp_matches(lower(coalesce(text, '')), 'license|copyright') AS secondary, length(coalesce(text, '')) > 3 AS has_text FROM documents""",
+    "secondary_text_flags": """SELECT doc_id, array_to_string(list_filter(['the', 'license', 'www'], lambda x: contains(lower(coalesce(text, '')), x)), ';') AS tokens, regexp_matches(lower(coalesce(text, '')), 'license|copyright') AS secondary, length(coalesce(text, '')) > 3 AS has_text FROM documents""",
     "profile_interval_lookup": q(
         """SELECT paper_id, author, country, CAST(kind AS BIGINT) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, author ORDER BY kind, start DESC, country) AS k
 FROM (SELECT pa.paper_id, CAST(pa.author AS BIGINT) AS author, h.country, h.start, CASE WHEN year BETWEEN h.start AND coalesce(h."end", 9999) THEN 0 WHEN h.start <= year THEN 1 ELSE 2 END AS kind FROM (SELECT paper_id, year, nk AS author FROM pm) pa JOIN ph h USING (author) WHERE h.country IS NOT NULL)) WHERE k = 1""",
@@ -255,3 +254,24 @@ UNION ALL SELECT 'region_mismatch', count(*) FROM nation WHERE n_regionkey <> n_
     "subarea_names": q("SELECT area, count(*) AS venues, string_agg(venue, ', ' ORDER BY venue) AS names FROM ven GROUP BY area"),
     "stable_intersection": q("SELECT DISTINCT venue FROM hist WHERE core_year = 1996 INTERSECT SELECT DISTINCT venue FROM hist WHERE core_year = 2000"),
 }
+
+SQL |= {
+    "conclusion_checks": q(
+        f"""SELECT name, value, value = 0 AS holds FROM (SELECT 'bloc_within_resolved' AS name, count(*) FILTER (bloc > resolved) AS value FROM m UNION ALL SELECT 'resolved_within_total', count(*) FILTER (resolved > total) FROM m
+UNION ALL SELECT 'small_denominators', count(*) FROM (SELECT win, area, count(*) FILTER (has_bloc) AS b FROM fact GROUP BY ALL) WHERE b < 30 UNION ALL SELECT 'focal_drops', count(*) FROM (SELECT focal, lag(focal) OVER (ORDER BY win) AS l FROM m) WHERE focal < l)""",
+        f"m AS (SELECT win, {SUMS} FROM fact GROUP BY win)",
+    ),
+    "main_track_filter": """SELECT p_partkey, p_brand AS venue, p_type AS booktitle FROM part WHERE NOT contains(lower(p_type), 'tin') AND NOT contains(lower(p_type), 'workshop')
+AND (length(p_type) % 2 = 0 OR (p_brand LIKE '%1' AND EXISTS (SELECT 1 FROM part q WHERE q.p_brand = part.p_brand AND contains(lower(trim(part.p_type)), lower(substr(q.p_type, 1, 3))))))""",
+    "near_year_title_match": f"""WITH {TITLE}, y AS (SELECT doc_id, 2000 + coalesce(n_chars, 0) % 3 AS y FROM documents)
+SELECT paper_id, min(work_id) AS work_id FROM p JOIN y a ON a.doc_id = paper_id JOIN (SELECT lang, title, y, min(work_id) AS work_id FROM w JOIN y ON doc_id = work_id GROUP BY ALL) b USING (lang, title)
+WHERE title <> '' AND abs(a.y - b.y) <= 1 AND paper_id <> work_id GROUP BY paper_id""",
+    "source_fallback": q("SELECT paper_id, country, CAST(priority AS BIGINT) AS priority FROM (SELECT DISTINCT paper_id, country, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS priority FROM li) QUALIFY priority = min(priority) OVER (PARTITION BY paper_id)"),
+    "positional_zip": 'SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, CAST(l_linenumber AS BIGINT) AS "left", l_partkey AS "right" FROM lineitem',
+    "key_prefix_filter": """WITH k AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]*/', '') AS key FROM pages), x AS (SELECT *, array_to_string(string_split(key, '/')[1:2], '/') AS prefix FROM k)
+SELECT page_id, key, prefix FROM x WHERE prefix IN (SELECT prefix FROM x JOIN pages USING (page_id) WHERE url LIKE 'https:%')""",
+    "country_flags": """WITH r AS (SELECT n_name AS country, n_regionkey = 3 AS is_bloc, n_name = 'NATION_3' AS is_focal, upper(trim(translate(' ' || lower(substr(n_name, 8, 1)) || 's ', '0123456789', 'aeudnkgbfi'))) AS c FROM nation),
+f AS (SELECT *, CASE WHEN c = 'UK' THEN 'GB' WHEN c = 'EL' THEN 'GR' ELSE c END AS d FROM r)
+SELECT country, CASE WHEN regexp_full_match(d, '[A-Z][A-Z]') THEN d END AS code, CASE WHEN regexp_full_match(d, '[A-Z][A-Z]') THEN d IN ('ES', 'DS') END AS in_set, is_bloc, is_focal FROM f""",
+    "preflight_summary": q("SELECT * FROM (VALUES ('rows', (SELECT count(*) FROM fact)), ('papers', (SELECT count(DISTINCT paper_id) FROM fact)), ('without_window', (SELECT count(*) FROM fact WHERE win IS NULL)), ('without_venue', (SELECT count(*) FROM fact WHERE venue IS NULL)), ('unresolved', (SELECT count(*) FROM fact WHERE NOT resolved))) t(metric, value)"),
+}
