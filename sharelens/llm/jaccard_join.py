@@ -13,7 +13,9 @@ links is compared in one task by matrix products over slices of the n-grams, and
 come out. No pair is dropped: caps only choose between the two ways.
 
 Frequent n-grams are found over all rows: each task counts its documents per cell of a fixed table (2**CELL_BITS
-cells) and reports the full ones; the order decides how much work there is, never the result.
+cells) and reports cells with FREQUENT or more; cells whose reports sum to SHARE per task hold a frequent n-gram (chance
+alone makes about a quarter of one), and the logarithm of the sum is its level in the order. The order decides how much
+work there is, never the result.
 
 Defined cases: null text and text without words have the empty set (n_shingles 0) and link with nothing, so
 component_id is their own doc_id; texts under five words are one shingle; a null doc_id takes part and is only
@@ -30,15 +32,17 @@ from pyspark.sql import functions as F
 from .common import SYMBOLS, configure, keyed, materialize, mix, range_hashes, slices, text_buffer, word_bounds
 
 N, TOKEN_BITS, CELL_BITS = 5, 52, 22
-#: Documents of one task that make a cell frequent; classes up to which a shared n-gram makes pairs; classes a block.
-FREQUENT, DENSE, BLOCK = 8, 48, 256
+#: Documents of a cell that a task reports, the reports a task that make a cell frequent, and the least sum of reports.
+FREQUENT, SHARE, LEAST, RANGE = 3, 1.25, 16, 1 << 16
+#: Classes up to which a shared n-gram makes pairs; classes a block.
+DENSE, BLOCK = 48, 256
 #: n-grams per fragment that the number of fragments aims at, and n-grams per slice of a matrix product.
 FRAGMENT, PRODUCT = 1_000_000, 4096
 SLICE = 1 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of all texts (1,024 at most) end to end, each ascending, and each set's first element (len + 1)."""
+    """The sets of all texts (512 at most) end to end, each ascending, and each set's first element (len + 1)."""
     data = data.copy()
     data[(data >= 65) & (data <= 90)] += 32
     starts, ends, first = word_bounds(data, offsets)
@@ -71,27 +75,59 @@ def _batches(batches, *columns):
         data, offsets = text_buffer(batch.column("text"))
         others = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
         for i, j in slices(offsets, SLICE):
-            for a in range(i, j, 1024):
-                b = min(j, a + 1024)
+            for a in range(i, j, 512):
+                b = min(j, a + 512)
                 yield (*shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), *[o[a:b] for o in others])
 
 
 def _describe(batches):
-    """Per document its class; per task the cells that FREQUENT documents or more fall into."""
+    """Per document its class; per task and range of cells the places and counts of the reported ones."""
     import pyarrow as pa
 
-    names = ["_rk", "n", "c", "c2", "cell", "docs"]
-    cells = np.zeros(1 << CELL_BITS, np.int32)
+    names = ["_rk", "n", "c", "part", "cells"]
+    cells = np.zeros(1 << CELL_BITS, np.uint32)
     for tokens, bounds, rk in _batches(batches, "_rk"):
         np.add.at(cells, (tokens >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64), 1)
-        c, c2 = set_ids(tokens, bounds)
-        none = pa.nulls(len(rk), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(np.diff(bounds)), pa.array(c), pa.array(c2), none, none], names)
-    full = np.flatnonzero(cells >= FREQUENT).astype(np.int32)
-    for i in range(0, len(full), 100_000):
-        part = full[i : i + 100_000]
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(part), pa.array(cells[part])], names)
+        c, _ = set_ids(tokens, bounds)
+        yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(np.diff(bounds)), pa.array(c), pa.nulls(len(rk), pa.int32()), pa.nulls(len(rk), pa.binary())], names)
+    parts, blobs = [], []
+    for part in range(len(cells) // RANGE):
+        own = cells[part * RANGE : (part + 1) * RANGE]
+        at = np.flatnonzero(own >= FREQUENT)
+        if len(at):
+            parts.append(part)
+            blobs.append(np.stack([at, own[at]]).astype(np.uint32).tobytes())
+    none = pa.nulls(len(parts), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names)
+
+
+def _leveller(tasks: int):
+    """Reports sorted by range of cells -> the levels of each range, RANGE bytes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def levels(total):
+            share = total / max(SHARE * tasks, LEAST)
+            return np.where(share >= 1, np.minimum(1 + np.floor(np.log2(np.maximum(share, 1))), 7), 0).astype(np.uint8).tobytes()
+
+        total, part = np.zeros(RANGE, np.int64), None
+        parts, out = [], []
+        for batch in batches:
+            for p, blob in zip(batch.column("part").to_pylist(), batch.column("cells")):
+                if p != part and part is not None:
+                    parts.append(part)
+                    out.append(levels(total))
+                    total[:] = 0
+                part = p
+                at, n = np.frombuffer(blob.as_buffer(), np.uint32).reshape(2, -1)
+                total[at] += n
+        if part is not None:
+            parts.append(part)
+            out.append(levels(total))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "levels"])
+
+    return run
 
 
 def _prefixer(levels, fragments: int):
@@ -106,14 +142,14 @@ def _prefixer(levels, fragments: int):
             n = np.diff(bounds)
             doc = np.repeat(np.arange(len(n)), n)
             order = level[(tokens >> np.uint64(TOKEN_BITS - CELL_BITS)).astype(np.int64)].astype(np.uint64)
-            key = np.sort((doc.astype(np.uint64) << np.uint64(54)) | (order << np.uint64(TOKEN_BITS)) | tokens)
+            key = np.sort((doc.astype(np.uint64) << np.uint64(55)) | (order << np.uint64(TOKEN_BITS)) | tokens)
             once = np.zeros(len(n), bool)  # equal sets of this slice go on as one
             once[np.unique(c, return_index=True)[1]] = True
             length = np.where(once & (n > 0), n - (3 * n + 3) // 4 + 1, 0)
             where = np.arange(len(key)) - np.repeat(bounds[:-1], n)
             key = key[where < np.repeat(length, n)]
-            d = (key >> np.uint64(54)).astype(np.int64)
-            token = key & np.uint64((1 << 54) - 1)
+            d = (key >> np.uint64(55)).astype(np.int64)
+            token = key & np.uint64((1 << 55) - 1)
             rare = token < np.uint64(1 << TOKEN_BITS)
             frag = np.where(rare, (token >> np.uint64(20)) * np.uint64(fragments) >> np.uint64(32), np.uint64(fragments) + mix(token) % np.uint64(fragments)).astype(np.int64)
             rows = np.stack([token.view(np.int64), c[d], n[d].astype(np.int64)], axis=1)
@@ -304,12 +340,14 @@ def links(docs: DataFrame):
     configure(spark)
     docs = keyed(docs)
     texts = docs.select("_rk", "text")
-    described = materialize(texts.mapInArrow(_describe, "_rk long, n long, c long, c2 long, cell int, docs int"))
-    rows = described.where("cell IS NULL").select("_rk", "n", "c")
+    described = materialize(texts.mapInArrow(_describe, "_rk long, n long, c long, part int, cells binary"))
+    rows = described.where("part IS NULL").select("_rk", "n", "c")
     total = rows.agg(F.sum("n")).first()[0] or 0
+    reports = described.where("part IS NOT NULL").select("part", "cells")
+    reporting = reports.groupBy("part").count().agg(F.max("count")).first()[0] or 1
     levels = np.zeros(1 << CELL_BITS, np.uint8)  # fixed size
-    for r in described.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("docs").alias("docs")).toLocalIterator():
-        levels[r["cell"]] = 1 if r["docs"] < 8 * FREQUENT else 2 if r["docs"] < 64 * FREQUENT else 3
+    for r in reports.repartition("part").sortWithinPartitions("part").mapInArrow(_leveller(reporting), "part int, levels binary").collect():
+        levels[r["part"] * RANGE : (r["part"] + 1) * RANGE] = np.frombuffer(r["levels"], np.uint8)
     shared = spark.sparkContext.broadcast(levels.tobytes())
     fragments = max(8, int(total) // (4 * FRAGMENT))
     prefixes = texts.select("text").mapInArrow(_prefixer(shared, fragments), "frag long, rows binary")
@@ -321,14 +359,17 @@ def links(docs: DataFrame):
     dense = counted.where("dense").select(F.col("a").alias("gram"), F.col("b").alias("c"))
     stars = dense.join(dense.groupBy("gram").agg(F.min("c").alias("a")), "gram").select("a", F.col("c").alias("b"))
     # candidates form clusters; each set goes to its cluster once, not to each of its pairs
-    found = components(pairs.union(stars))
-    found = found.select(F.col("root").alias("cluster"), F.col("node").alias("c"))
-    found = materialize(found.union(found.select("cluster", F.col("cluster").alias("c"))).distinct())
+    found = None
+    for kind, links_of in enumerate((pairs, stars)):  # apart, so that a frequent n-gram doesn't tie other clusters together
+        part = components(links_of).select(F.xxhash64(F.lit(kind), "root").alias("cluster"), F.col("node").alias("c"), "root")
+        part = part.select("cluster", "c").union(part.select("cluster", "root")).distinct()
+        found = part if found is None else found.union(part)
+    found = materialize(found)
     # one document stands for its class
-    heads = rows.where("n > 0").groupBy("c").agg(F.min("_rk").alias("_rk"), F.first("n").alias("n")).join(found, "c")
-    heads = materialize(heads)
-    sets = texts.join(heads.select("c", "_rk"), "_rk").select("c", "text").mapInArrow(_sets, "c long, tokens binary")
-    dealt = tasks(heads.select("cluster", "c", "n")).join(sets, "c")
+    heads = rows.where("n > 0").groupBy("c").agg(F.min("_rk").alias("_rk"), F.first("n").alias("n"))
+    members = materialize(heads.join(found, "c"))
+    sets = texts.join(members.select("c", "_rk").distinct(), "_rk").select("c", "text").mapInArrow(_sets, "c long, tokens binary")
+    dealt = tasks(members.select("cluster", "c", "n")).join(sets, "c")
     edges = dealt.repartition("task").sortWithinPartitions("task").select("task", "c", "side", "tokens").mapInArrow(_compare, "a long, b long")
     return docs, rows, edges
 

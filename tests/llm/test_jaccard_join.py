@@ -49,7 +49,7 @@ def corpus(seed, copies):
 def test_against_brute_force(spark, monkeypatch, seed, copies, dense):
     monkeypatch.setattr(jaccard_join, "DENSE", dense)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard_join, "LEAST", 4)
     rows = list(enumerate(corpus(seed, copies)))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS c").repartition(6)
     assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute(rows)
