@@ -219,11 +219,57 @@ def _pairer(batches):
         yield from flush(held)
 
 
-def _sets(batches):
+def _bitmaps(batches):
+    """Cells sorted by range -> the bitmap of each range, RANGE bits."""
     import pyarrow as pa
 
-    for tokens, bounds, c in _batches(batches, "c"):
-        yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["c", "tokens"])
+    bits, part, parts, out = np.zeros(RANGE, bool), None, [], []
+    for batch in batches:
+        p, at = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("part", "at"))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            if part is not None and p[a] != part:
+                parts.append(part)
+                out.append(np.packbits(bits).tobytes())
+                bits[:] = False
+            part = p[a]
+            bits[at[a:b]] = True
+    if part is not None:
+        parts.append(part)
+        out.append(np.packbits(bits).tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "bits"])
+
+
+def _sets(shared):
+    """The sets of the documents whose cell is in the bitmap, all wanted ones and a few more."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1))
+            for tokens, bounds, rk in _batches([batch], "_rk"):
+                yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array([tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["_rk", "tokens"])
+
+    return run
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (with _rk) and tokens, without a shuffle of texts: a bitmap of hashed _rk, 16 bits a row within
+    2**20 and 2**27 bits (16 MB), is broadcast; what it lets through too much falls out in the join on _rk."""
+    bits = 1 << min(27, max(20, (16 * max(1, wanted.count()) - 1).bit_length()))
+    cell = F.pmod(F.xxhash64("_rk"), F.lit(bits)).cast("int")
+    cells = wanted.select(cell.alias("cell")).select(F.shiftright("cell", 16).alias("part"), (F.col("cell") % RANGE).alias("at"))
+    bitmap = bytearray(bits // 8)
+    for r in cells.repartition("part").sortWithinPartitions("part").mapInArrow(_bitmaps, "part int, bits binary").collect():
+        bitmap[r["part"] * RANGE // 8 : (r["part"] + 1) * RANGE // 8] = r["bits"]
+    shared = texts.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    found = texts.withColumn("cell", cell).mapInArrow(_sets(shared), "_rk long, tokens binary")
+    return wanted.join(found, "_rk")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -368,8 +414,8 @@ def links(docs: DataFrame):
     # one document stands for its class
     heads = rows.where("n > 0").groupBy("c").agg(F.min("_rk").alias("_rk"), F.first("n").alias("n"))
     members = materialize(heads.join(found, "c"))
-    sets = texts.join(members.select("c", "_rk").distinct(), "_rk").select("c", "text").mapInArrow(_sets, "c long, tokens binary")
-    dealt = tasks(members.select("cluster", "c", "n")).join(sets, "c")
+    dealt = materialize(tasks(members.select("cluster", "c", "n")).join(members.select("c", "_rk").distinct(), "c"))
+    dealt = sets_of(texts, dealt)
     edges = dealt.repartition("task").sortWithinPartitions("task").select("task", "c", "side", "tokens").mapInArrow(_compare, "a long, b long")
     return docs, rows, edges
 
