@@ -131,7 +131,8 @@ def _leveller(tasks: int):
 
 
 def _prefixer(levels, fragments: int):
-    """Prefix n-grams by fragment: bytes of (n-gram, class, size) triples."""
+    """Prefix n-grams by fragment: bytes of (n-gram, class, size and place) triples, the place in the set's order in the
+    lower half of the third."""
 
     def run(batches):
         import pyarrow as pa
@@ -147,12 +148,13 @@ def _prefixer(levels, fragments: int):
             once[np.unique(c, return_index=True)[1]] = True
             length = np.where(once & (n > 0), n - (3 * n + 3) // 4 + 1, 0)
             where = np.arange(len(key)) - np.repeat(bounds[:-1], n)
-            key = key[where < np.repeat(length, n)]
+            within = where < np.repeat(length, n)
+            key, where = key[within], where[within]
             d = (key >> np.uint64(55)).astype(np.int64)
             token = key & np.uint64((1 << 55) - 1)
             rare = token < np.uint64(1 << TOKEN_BITS)
             frag = np.where(rare, (token >> np.uint64(20)) * np.uint64(fragments) >> np.uint64(32), np.uint64(fragments) + mix(token) % np.uint64(fragments)).astype(np.int64)
-            rows = np.stack([token.view(np.int64), c[d], n[d].astype(np.int64)], axis=1)
+            rows = np.stack([token.view(np.int64), c[d], (n[d].astype(np.int64) << 32) | where], axis=1)
             by = np.argsort(frag, kind="stable")
             frag, rows = frag[by], rows[by]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(frag)) + 1, [len(frag)]])
@@ -174,7 +176,7 @@ def _counts(rows: np.ndarray):
     mine = size[np.cumsum(new) - 1]
     dense = rows[mine > DENSE]
     rows = rows[(mine > 1) & (mine <= DENSE)]
-    token, c, n = rows[:, 0], rows[:, 1], rows[:, 2]
+    token, c, n, place = rows[:, 0], rows[:, 1], rows[:, 2] >> 32, rows[:, 2] & 0xFFFFFFFF
     left, right = [], []
     for step in range(1, min(DENSE, len(rows))):
         at = np.flatnonzero(token[step:] == token[:-step])
@@ -184,14 +186,17 @@ def _counts(rows: np.ndarray):
         left.append(at)
         right.append(at + step)
     if not left:
-        return np.zeros((0, 5), np.int64), dense
+        return np.zeros((0, 7), np.int64), dense
     a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.stack([c[a], c[b], n[a], n[b]], axis=1)
+    pairs = np.stack([c[a], c[b], n[a], n[b], place[a], place[b]], axis=1)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     new = np.ones(len(pairs), bool)
     new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
     at = np.flatnonzero(new)
-    return np.concatenate([pairs[at], np.diff(np.append(at, len(pairs)))[:, None]], axis=1), dense
+    if not len(at):
+        return np.zeros((0, 7), np.int64), dense
+    last = np.maximum.reduceat(pairs[:, 4:], at, axis=0)
+    return np.concatenate([pairs[at, :4], last, np.diff(np.append(at, len(pairs)))[:, None]], axis=1), dense
 
 
 def _pairer(batches):
@@ -203,9 +208,8 @@ def _pairer(batches):
         for is_dense, x in ((False, pairs), (True, dense)):
             for i in range(0, len(x), 50_000):
                 p = x[i : i + 50_000]
-                zero = np.zeros(len(p), np.int64)
-                columns = [p[:, 0], p[:, 1], p[:, 2], zero if is_dense else p[:, 3], zero if is_dense else p[:, 4]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), is_dense)), *[pa.array(np.ascontiguousarray(k)) for k in columns]], ["dense", "a", "b", "na", "nb", "shared"])
+                columns = [p[:, k] if k < 2 or not is_dense else np.zeros(len(p), np.int64) for k in range(7)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), is_dense)), *[pa.array(np.ascontiguousarray(k)) for k in columns]], ["dense", "a", "b", "na", "nb", "ia", "ib", "shared"])
 
     held, frag = [], None
     for batch in batches:
@@ -397,11 +401,12 @@ def links(docs: DataFrame):
     shared = spark.sparkContext.broadcast(levels.tobytes())
     fragments = max(8, int(total) // (4 * FRAGMENT))
     prefixes = texts.select("text").mapInArrow(_prefixer(shared, fragments), "frag long, rows binary")
-    counted = materialize(prefixes.repartition("frag").sortWithinPartitions("frag").mapInArrow(_pairer, "dense boolean, a long, b long, na long, nb long, shared long"))
-    # partial overlaps summed per pair; the rest of a pair's overlap lies beyond a prefix
-    pairs = counted.where("not dense").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    rest = F.greatest(F.expr("(3 * na + 3) div 4"), F.expr("(3 * nb + 3) div 4")) - 1
-    pairs = materialize(pairs.where(7 * (F.col("shared") + rest) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
+    counted = materialize(prefixes.repartition("frag").sortWithinPartitions("frag").mapInArrow(_pairer, "dense boolean, a long, b long, na long, nb long, ia long, ib long, shared long"))
+    # partial overlaps summed per pair: up to the last shared place all other n-grams of a set are misses, so the overlap is at
+    # most the set's size without them (pairs that share a dense n-gram as well meet in its cluster)
+    pairs = counted.where("not dense").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 + F.col("shared")
+    pairs = materialize(pairs.where(7 * most >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
     dense = counted.where("dense").select(F.col("a").alias("gram"), F.col("b").alias("c"))
     stars = dense.join(dense.groupBy("gram").agg(F.min("c").alias("a")), "gram").select("a", F.col("c").alias("b"))
     # candidates form clusters; each set goes to its cluster once, not to each of its pairs
