@@ -406,6 +406,9 @@ def links(docs: DataFrame):
     # most the set's size without them (pairs that share a dense n-gram as well meet in its cluster)
     pairs = counted.where("not dense").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 + F.col("shared")
+    # and what isn't shared within a prefix lies beyond the end of one of the two
+    rest = F.greatest(F.expr("(3 * na + 3) div 4"), F.expr("(3 * nb + 3) div 4")) - 1
+    most = F.least(most, F.col("shared") + rest)
     pairs = materialize(pairs.where(7 * most >= 3 * (F.col("na") + F.col("nb"))).select("a", "b"))
     dense = counted.where("dense").select(F.col("a").alias("gram"), F.col("b").alias("c"))
     stars = dense.join(dense.groupBy("gram").agg(F.min("c").alias("a")), "gram").select("a", F.col("c").alias("b"))
