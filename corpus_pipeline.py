@@ -26,10 +26,8 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects at its language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.fit(docs, labels)
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    scored = toxicity.score(docs, model, rest)
-    return scored.where("NOT rejected").select(*docs.columns)
+    return toxicity.score(docs, labels, rest).where("NOT rejected").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,12 +4,15 @@ Words (runs of letters and digits, lower case) are hashed four times, whole and
 into one embedding table; a word's embedding is the mean of the four. Filters of widths 1, 2 and 3 run over the
 words, the maximum over the whole text of each filter goes through a rectifier to one logistic output.
 Training is plain numpy (only the positions of the maxima get gradients; Adagrad). Labels come from rows whose
-crc32(doc_id) mod 4 is not HELD_OUT alone; a fifth of the sample sets the thresholds: one shift of the logit, so
-that score >= THRESHOLD is the best cut over all, and one threshold per language for `rejected`. Scores depend on
-the text alone.
+crc32(doc_id) mod 4 is not HELD_OUT alone. Scores depend on the text alone.
 
-The sample is bounded: SAMPLE labelled rows of each class at most, texts up to SAMPLE_CHARS; everything else reads
-all rows and whole texts. The model (about 4 MB, fixed size) is broadcast.
+Only the fit uses a sample: SAMPLE toxic and twice as many clean labelled rows at most, texts up to SAMPLE_CHARS, none of
+the fifth of the labels that is set aside. The thresholds come from all labelled rows outside the held-out part: one
+shift of the logit, so that score >= THRESHOLD is the best cut over all, and one threshold per language for
+`rejected`. Their logits (whole texts) are counted on the cluster per language, class and BINS bins; rows the model was
+fitted on are left to the others of their language and class, which get their weight, so that the share of toxic rows
+is the real one at every size (a language's class of which all rows are fitted counts with those). The model (about
+4 MB, fixed size) is broadcast.
 
 Defined cases: null text is the empty text and gets a score like any other; without labels of both classes all
 scores are the share of toxic labels (0 without labels); a null doc_id is not held out and never a label; repeated
@@ -19,15 +22,17 @@ rows each come back, labels repeated with a document count each; an empty table
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SYMBOLS, configure, range_hashes, slices, text_buffer
+from .common import SYMBOLS, configure, materialize, range_hashes, slices, text_buffer
 
 HELD_OUT, THRESHOLD = 2, 0.3
 SAMPLE, SAMPLE_CHARS = 1_500, 12_000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 16, 16, (1, 2, 3), (4, 5, 6)
-#: Tuning rows of either class from which on a language gets a threshold of its own.
+#: One label in ASIDE is never fitted; bins of the logit between -REACH and REACH that thresholds are told by.
+ASIDE, REACH, BINS = 5, 30, 3840
+#: Counted rows of either class (of those not fitted, where there are such) from which on a language gets a threshold of its own.
 LEAST_PER_LANG = 20
 EPOCHS, RATE, BLANKS = 4, 0.1, max(WIDTHS)
 
@@ -97,11 +102,6 @@ class Model:
         pooled = np.concatenate([np.maximum.reduceat(v, begin, axis=0) for v in self.convolved(words, first)], axis=1)
         return np.maximum(pooled, 0) @ self.out + self.base
 
-    def scores(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(first) - 1, self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.logits(words, first).astype(np.float64) + self.shift, -30, 30)))
-
     def train(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
         self.base = np.float32(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
@@ -144,62 +144,61 @@ class Model:
                         np.add.at(squares["table"], flat, (grads**2).mean(axis=1))
                         np.add.at(self.table, flat, -RATE * grads / np.sqrt(squares["table"][flat])[:, None])
 
-    def calibrate(self, texts: list[np.ndarray], labels: np.ndarray, langs: list) -> None:
-        z = np.array([self.logits(t, np.array([0, len(t)]))[0] for t in texts], np.float64)
-        target = np.log(THRESHOLD / (1 - THRESHOLD))
-        self.shift = target - best_cut(z, labels)
-        for lang in {x for x in langs if x is not None}:
-            own = np.array([x == lang for x in langs])
-            if min(labels[own].sum(), (1 - labels[own]).sum()) >= LEAST_PER_LANG:  # else THRESHOLD holds
-                self.thresholds[lang] = float(1 / (1 + np.exp(-(best_cut(z[own], labels[own]) + self.shift))))
-
-
-def best_cut(z: np.ndarray, labels: np.ndarray) -> float:
-    """The cut of the highest F1; of equal ones the middle between the values on both sides, drawn to the denser gap."""
-    order = np.argsort(-z)
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + labels.sum())
+
+def best_cut(bins: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
+    """The logit that cuts at the highest F1: a bin's lower edge, or the middle of the empty bins below it."""
+    hits, rows = np.zeros(BINS), np.zeros(BINS)
+    np.add.at(hits, bins, weights * toxic)
+    np.add.at(rows, bins, weights)
+    at = np.flatnonzero(rows)[::-1]
+    f1 = 2 * np.cumsum(hits[at]) / (np.cumsum(rows[at]) + hits.sum())
     k = int(f1.argmax())
-    below = z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 2
-    return float((z[order[k]] + below) / 2)
+    below = at[k + 1] + 1 if k + 1 < len(at) else at[k] - BINS // (2 * REACH)
+    return float((at[k] + below) / 2 * (2 * REACH / BINS) - REACH)
+
 
+def usable(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of the labels outside the held-out part, each once."""
+    own = F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != HELD_OUT)
+    return labels.where(own).select("doc_id", "toxic").distinct()
 
-def labelled(docs: DataFrame, labels: DataFrame) -> list:
-    """The bounded sample: text, lang, toxic; chosen by a hash of doc_id, as many of each class at most."""
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != HELD_OUT)).select("doc_id", "toxic")
+
+def labelled(docs: DataFrame, labels: DataFrame, aside: bool) -> list:
+    """The bounded sample: doc_id, text, toxic; chosen by a hash of doc_id, without the part set aside or (not aside) with it."""
+    rows = usable(labels)
+    if aside:
+        rows = rows.where(F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(ASIDE)) != 0)
     picked = None
     for value in (0, 1):
         part = rows.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE * (2 if value == 0 else 1))
         picked = part if picked is None else picked.union(part)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
-    joined = texts.join(F.broadcast(picked.distinct()), "doc_id").where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * SAMPLE)
-    return joined.select("text", "lang", "toxic").collect()
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = labelled(docs, labels)
-    y = np.array([r["toxic"] for r in rows], np.float64)
-    langs = [r["lang"] for r in rows]
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    joined = texts.join(F.broadcast(picked), "doc_id").where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * SAMPLE)
+    return joined.select("doc_id", "text", "toxic").collect()
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, list]:
+    """The model without shift and thresholds, and the doc_ids it was fitted on."""
+    for aside in (True, False):  # few labels: all of them
+        rows = labelled(docs, labels, aside)
+        y = np.array([r["toxic"] for r in rows], np.float64)
+        if len(y) and y.min() != y.max():
+            break
     model = Model()
     if not len(y) or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
-        return model
+        return model, []
     texts: list[np.ndarray] = []
     for i in range(0, len(rows), 100):  # a few at a time: the driver's memory is small
         raws = [r["text"].encode() for r in rows[i : i + 100]]
         words, first = features(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raws])]))
         texts += [words[a:b] for a, b in zip(first, first[1:])]
-    tune = np.arange(len(y)) % 5 == 0
-    if len(set(y[tune])) < 2 or len(set(y[~tune])) < 2:
-        tune = np.ones(len(y), bool)
-    train = ~tune if not tune.all() else tune
-    model.train([t for t, k in zip(texts, train) if k], y[train])
-    model.calibrate([t for t, k in zip(texts, tune) if k], y[tune], [x for x, k in zip(langs, tune) if k])
-    return model
+    model.train(texts, y)
+    return model, sorted({r["doc_id"] for r in rows})
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and `keep`, score, predicted (score >= THRESHOLD) and rejected (score >= the language's threshold)."""
+def logits(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and `keep`, _llm_lang and the logit _llm_z of each row."""
     spark = docs.sparkSession
     configure(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -216,18 +215,69 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFram
             data, offsets = text_buffer(batch.column(text))
             parts = [np.zeros(0)]
             for i, j in slices(offsets, 1 << 19):
-                parts.append(m.scores(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
-            s = np.concatenate(parts)
-            cut = np.array([m.thresholds.get(x, THRESHOLD) for x in batch.column("_llm_lang").to_pylist()])
-            columns = [batch.column(c) for c in ("doc_id", *keep)] + [pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(s >= cut)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "score", "predicted", "rejected"])
+                parts.append(m.logits(*features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])).astype(np.float64))
+            columns = [batch.column(c) for c in ("doc_id", *keep, "_llm_lang")] + [pa.array(np.concatenate(parts))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "_llm_lang", "_llm_z"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_llm_text")
+    return source.mapInArrow(run, f"{schema}, _llm_z double")
+
+
+def histogram(scored: DataFrame, labels: DataFrame, fitted: list) -> DataFrame:
+    """Per language, class and bin of the logit: the rows that count, and the weight of all of them together."""
+    spark = scored.sparkSession
+    labels = usable(labels)
+    ids = spark.createDataFrame([(i,) for i in fitted], labels.select("doc_id").schema).withColumn("fitted", F.lit(True))
+    labels = labels.join(F.broadcast(ids), "doc_id", "left")
+    place = F.floor((F.col("_llm_z") + REACH) * (BINS / (2 * REACH)))
+    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), place)).cast("int")
+    rows = scored.select("doc_id", F.col("_llm_lang").alias("lang"), place.alias("bin")).join(labels, "doc_id")
+    counts = rows.groupBy("lang", "toxic", "bin").agg(F.count("*").alias("all"), F.count_if(F.col("fitted").isNull()).alias("free"))
+    stratum = Window.partitionBy("lang", "toxic")  # of some BINS rows at most
+    counts = counts.withColumn("total", F.sum("all").over(stratum)).withColumn("others", F.sum("free").over(stratum))
+    counts = counts.withColumn("rows", F.when(F.col("others") > 0, F.col("free")).otherwise(F.col("all")))
+    weight = F.col("rows") * F.col("total") / F.when(F.col("others") > 0, F.col("others")).otherwise(F.col("total"))
+    return counts.where("rows > 0").select("lang", "toxic", "bin", "rows", weight.alias("weight"))
+
+
+def calibrate(model: Model, scored: DataFrame, labels: DataFrame, fitted: list) -> None:
+    """Sets the model's shift and its languages' thresholds from the logits of all labelled rows."""
+    counts = materialize(histogram(scored, labels, fitted))
+    rows = counts.groupBy("bin", "toxic").agg(F.sum("weight").alias("weight")).collect()
+    column = lambda name: np.array([r[name] for r in rows])
+    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(column("bin"), column("toxic"), column("weight")))
+
+    def own(table):
+        import pyarrow as pa
+
+        bins, toxic, n, weights = (table.column(c).to_numpy() for c in ("bin", "toxic", "rows", "weight"))
+        enough = min(n[toxic == 1].sum(), n[toxic == 0].sum()) >= LEAST_PER_LANG  # else THRESHOLD holds
+        return pa.table({"lang": table.column("lang")[: int(enough)], "cut": pa.array([best_cut(bins, toxic, weights)] * int(enough), pa.float64())})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if not f.name.startswith("_llm_"))
-    return source.mapInArrow(run, f"{schema}, score double, predicted int, rejected boolean")
+    for r in counts.where("lang IS NOT NULL").groupBy("lang").applyInArrow(own, "lang string, cut double").collect():
+        model.thresholds[r["lang"]] = float(1 / (1 + np.exp(-(r["cut"] + model.shift))))
+
+
+def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and `keep`, score, predicted (score >= THRESHOLD) and rejected (score >= the language's threshold)."""
+    model, fitted = fit(docs, labels)
+    if model.constant is not None:
+        out, value, cut = docs.select("doc_id", *keep), F.lit(model.constant), F.lit(THRESHOLD)
+    else:
+        # a narrow result is written, so texts are scored once; with more columns they are scored twice instead of written
+        out = logits(docs, model, keep) if keep else materialize(logits(docs, model))
+        calibrate(model, logits(docs, model) if keep else out, labels, fitted)
+        value = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("_llm_z") + model.shift))))
+        cut = F.lit(THRESHOLD)
+        if model.thresholds:
+            own = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
+            cut = F.coalesce(F.try_element_at(own, F.col("_llm_lang")), cut)
+    out = out.withColumn("score", value)
+    return out.select("doc_id", *keep, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), (F.col("score") >= cut).alias("rejected"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, rejected of each document."""
-    out = score(docs, fit(docs, labels))
+    out = score(docs, labels)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", "rejected")

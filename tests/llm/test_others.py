@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -163,3 +164,45 @@ def test_toxicity_held_out(spark):
     none = toxicity.classify(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert {x.score for x in none.collect()} == {0.0}
     assert toxicity.classify(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_toxicity_thresholds_at_the_real_share(spark, monkeypatch):
+    """2,400 clean and 800 toxic rows, of which the sample takes 60 and 30: the cuts are those of all other rows at their real share."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 30)
+    r = random.Random(18)
+    rows, labels = [], []
+    for i in range(3200):
+        toxic = i % 4 == 0
+        words = [f"w{r.randrange(200)}" for _ in range(r.randrange(3, 30))]
+        if r.random() < (0.8 if toxic else 0.1):
+            words.insert(r.randrange(len(words)), r.choice(["vile", "foul", "nasty"]))
+        rows.append((i, " ".join(words) + (" w1" * 5000 if i % 97 == 0 else ""), ["en", "en", "de", "xx"][r.randrange(4)] if i % 50 else None, "s"))
+        labels.append((i, 1, int(toxic)))
+    docs, labelled = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, fitted = toxicity.fit(docs, labelled)
+    assert len(fitted) <= 90
+    scored = toxicity.logits(docs, model).collect()
+    usable = [x for x in scored if zlib.crc32(str(x.doc_id).encode()) % 4 != toxicity.HELD_OUT]
+    total, free = Counter(), Counter()
+    for x in usable:
+        total[x._llm_lang, x.doc_id % 4 == 0] += 1
+        free[x._llm_lang, x.doc_id % 4 == 0] += x.doc_id not in fitted
+    counts = toxicity.histogram(spark.createDataFrame(scored, "doc_id long, _llm_lang string, _llm_z double"), labelled, fitted).collect()
+    got = {k: sum(c.weight for c in counts if (c.lang, c.toxic == 1) == k) for k in total}
+    assert got == pytest.approx(dict(total)) and {k: sum(c.rows for c in counts if (c.lang, c.toxic == 1) == k) for k in total} == dict(free)
+
+    def f1_cut(xs):
+        weigh = lambda x: total[x._llm_lang, x.doc_id % 4 == 0] / free[x._llm_lang, x.doc_id % 4 == 0]
+        every = sum(weigh(x) for x in xs if x.doc_id % 4 == 0)
+        best, hits, n = 0, 0, 0
+        for x in sorted(xs, key=lambda x: -x._llm_z):
+            n, hits = n + weigh(x), hits + weigh(x) * (x.doc_id % 4 == 0)
+            best = max(best, 2 * hits / (n + every))
+        return best, lambda cut: 2 * sum(weigh(x) for x in xs if x._llm_z >= cut and x.doc_id % 4 == 0) / (sum(weigh(x) for x in xs if x._llm_z >= cut) + every)
+
+    toxicity.calibrate(model, spark.createDataFrame(scored, "doc_id long, _llm_lang string, _llm_z double"), labelled, fitted)
+    logit = lambda p: float(np.log(p / (1 - p)))
+    assert set(model.thresholds) == {"en", "de", "xx"}
+    for lang, threshold in [(None, toxicity.THRESHOLD), *model.thresholds.items()]:
+        best, f1 = f1_cut([x for x in usable if x.doc_id not in fitted and lang in (None, x._llm_lang)])
+        assert f1(logit(threshold) - model.shift) > best - 0.01
