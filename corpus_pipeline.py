@@ -1,13 +1,15 @@
 """The corpus pipeline: five stages over documents, each on all that the one before has kept.
 
 toxicity -> exact dedup -> n-gram Jaccard join -> mixing to target weights -> BPE encoding and decoding.
-Stages take (spark, docs, sf_dir); all but the last return the columns of documents. Rows are told apart by doc_id;
-where ids are null or repeated a stage decides per row of its own result, and a row without an id is kept by the dedups
-only if no other row of its group has one.
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents. The dedups keep one row of each
+group, told apart by a row key where ids are null or repeated: that of the smallest doc_id, a row without an id only if
+no other row of its group has one, and any one of several rows with that id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,12 @@ from sharelens.llm import bpe, common, exact_dedup, jaccard_join, mixing, querie
 MIX = mixing.Mix(percent=80, epochs=1)
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (null counts as an id); of rows with one id, one."""
-    ids = ids.select(F.col("doc_id").alias("_llm_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_llm_id")), "left_semi")
+def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row of docs per group. grouped takes rows with their keys as doc_id, and gives each key's (row) group."""
+    docs = common.numbered(docs)
+    groups = grouped(docs.select(F.col("_rk").alias("doc_id"), "text")).join(docs.select(F.col("_rk").alias("row"), "doc_id"), "row")
+    kept = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    return docs.join(kept.select(F.col("least.row").alias("_rk")), "_rk", "left_semi").drop("_rk")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +35,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of equal texts."""
-    return _keep(docs, exact_dedup.dedup(docs).where("kept").select("doc_id"))
+    """Keeps one row, of the smallest doc_id, of equal texts."""
+    return _one_of_each(docs, lambda rows: exact_dedup.dedup(rows).select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest doc_id, of each group of linked documents."""
-    return _keep(docs, jaccard_join.join(docs).where("doc_id <=> component_id").select("doc_id"))
+    """Keeps one row, of the smallest doc_id, of each group of linked documents."""
+    return _one_of_each(docs, lambda rows: jaccard_join.join(rows).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,15 +57,19 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def keyed(df: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """`columns` of `df`, null text as '', and `_rk`: a long that is unique per row.
+    """`columns` of `df`, null text as '', and `_rk` of `numbered`."""
+    return numbered(df.select(*columns).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` and `_rk`: a long that is unique per row.
 
     It is the doc_id where that is unique and never null (one cheap pass over that column); else
-    rows are written once and numbered, so null and repeated ids and repeated rows stay apart."""
-    df = df.select(*columns).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows are numbered and written once with their numbers, so null and repeated ids and repeated rows stay apart."""
     ids = df.groupBy("doc_id").count().agg(F.max("count"), F.count_if(F.col("doc_id").isNull())).first()
     if (ids[0] or 0) <= 1 and not ids[1]:
         return df.withColumn("_rk", F.col("doc_id").cast("long"))
-    return materialize(df).withColumn("_rk", F.monotonically_increasing_id())
+    return materialize(df.withColumn("_rk", F.monotonically_increasing_id()))
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:

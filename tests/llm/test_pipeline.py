@@ -45,3 +45,26 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in final.collect()} == set(kept[3])
     assert final.columns[:4] == ["doc_id", "lang", "source", "n_tokens"]
     assert exact_dedup and jaccard_join and mixing
+
+
+def test_dedups_keep_one_row_of_each_group(spark):
+    say = lambda k, n=60: " ".join(random.Random(k).choices([f"word{i}" for i in range(300)], k=60)[:n])
+    rows = [
+        *[(1, say(1))] * 3,  # repeated rows
+        (2, say(2)), (3, say(2)), (3, say(3)), (3, say(4)),  # id 3: one row is a copy of 2, the others stand alone
+        (None, say(5)), (None, say(5)), (None, say(6)), (None, say(1)), (None, say(7)), (7, say(7)),
+        (8, say(8)), (None, say(8, 58)), (9, say(8, 59)), (9, say(9)), (None, say(10)), (None, say(10, 59)),
+        (20, None), (20, None), (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    once = pipe.drop_copies(spark, docs, "")
+    assert once.columns == docs.columns
+    exact = [(1, say(1)), (2, say(2)), (3, say(3)), (3, say(4)), (None, say(5)), (None, say(6)), (7, say(7)), (8, say(8)), (None, say(8, 58)), (9, say(8, 59)), (9, say(9)), (None, say(10)), (None, say(10, 59)), (20, "")]
+    assert sorted(((r.doc_id, r.text or "") for r in once.collect()), key=str) == sorted(exact, key=str)
+    got = [(r.doc_id, r.text or "") for r in pipe.drop_near_copies(spark, once, "").collect()]
+    near = [x for x in exact if x[1] not in (say(8, 58), say(8, 59), say(10), say(10, 59))]
+    assert sorted((x for x in got if x[1] not in (say(10), say(10, 59))), key=str) == sorted(near, key=str) and len(got) == len(near) + 1
+    # empty texts link with nothing, so the join alone keeps them
+    alone = [(r.doc_id, r.text or "") for r in pipe.drop_near_copies(spark, docs, "").collect()]
+    assert sorted((x for x in alone if x[1] and x[1] not in (say(10), say(10, 59))), key=str) == sorted((x for x in near if x[1]), key=str) and len(alone) == len(near) + 3
+    assert pipe.drop_copies(spark, docs.limit(0), "").count() == 0
