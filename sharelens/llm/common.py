@@ -10,19 +10,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MADE: list[tuple[SparkSession, str]] = []
+_MADE: dict[str, SparkSession] = {}
 
 #: Rows per Arrow batch: texts average some kB, so a batch stays at a few MB; long texts are cut by `slices`.
 ARROW_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a folder of our own is set."""
+    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a folder of our own is set, and only if
+    the master is local: elsewhere a temporary folder would be another one on each machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         else:
             base = tempfile.mkdtemp(prefix="sharelens-")
             spark.sparkContext.setCheckpointDir(base)
@@ -36,11 +39,9 @@ def configure(spark: SparkSession) -> None:
 def cleanup() -> None:
     """Deletes the work tables of this process; runs at exit."""
     while _MADE:
-        spark, path = _MADE.pop()
+        path, spark = _MADE.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session has ended; the shared folder's owner clears it
             return
 
@@ -51,9 +52,22 @@ def materialize(df: DataFrame) -> DataFrame:
     if not _MADE:
         atexit.register(cleanup)
     path = f"{shared_dir(spark)}/sharelens-{uuid.uuid4().hex}"
-    _MADE.append((spark, path))
+    _MADE[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._work_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes work tables that nothing reads any more."""
+    for t in tables:
+        _delete(_MADE.pop(t._work_path), t._work_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def keyed(df: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
@@ -108,32 +122,105 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
-
+#: Steps of eight bytes that a hash takes one by one; longer ranges are folded by pairs.
+STEPS = 64
+_STEP, _LEFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_PARTIAL = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2**64, kept and grown as needed."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
-        _POWERS[base] = have
-    return have[:n]
 
-
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-SYMBOLS = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each range, the same wherever the range lies."""
+def words_at(data: np.ndarray, big: bool = False) -> np.ndarray:
+    """The eight bytes from each position on as one integer; zeros follow the end."""
+    n = len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    out = np.empty(n + 8, np.uint64)
+    for o in range(8):
+        m = (n + 8 - o + 7) // 8
+        out[o::8] = np.frombuffer(padded, ">u8" if big else "<u8", min(m, (n + 16 - o) // 8), o)[: len(out[o::8])]
+    return out[:n]
+
+
+def _fold(x: np.ndarray) -> np.uint64:
+    """One hash of an array of integers: neighbours are mixed by pairs, level by level."""
+    while len(x) > 1:
+        x = np.append(x, np.uint64(0)) if len(x) % 2 else x
+        x = mix(mix(x[::2] * _LEFT + _STEP) + x[1::2])
+    return x[0]
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[start:end] of each range, mixed anew at every step of eight bytes."""
+    length = np.asarray(ends) - starts
+    with np.errstate(over="ignore"):
+        h = mix(length.astype(np.uint64) + _STEP)
+        if not len(h):
+            return h
+        words, live = words_at(data), np.arange(len(h))
+        for k in range(min(STEPS, -(-int(length.max()) // 8))):
+            live = live[length[live] > 8 * k]
+            h[live] = mix(h[live] ^ (words[starts[live] + 8 * k] & _PARTIAL[np.minimum(length[live] - 8 * k, 8)])) + _LEFT
+        for i in np.flatnonzero(length > 8 * STEPS):
+            rest = words[starts[i] + 8 * STEPS : ends[i] : 8].copy()
+            rest[-1] &= _PARTIAL[(length[i] - 1) % 8 + 1]
+            h[i] = mix(h[i] ^ _fold(rest))
+        return h
+
+
+def sequence_hashes(values: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of the `size` values from each place on, mixed anew at every value; for short sequences."""
     with np.errstate(over="ignore"):
-        n = len(values)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(BASE, n), out=total[1:])
-        return mix((total[ends] - total[starts]) * powers(BASE_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+        h = mix(values[at] + _STEP)
+        one = np.isscalar(size)
+        for k in range(1, int(size if one else size.max() if len(size) else 1)):
+            if one or (size > k).all():
+                h = mix(h ^ values[at + k]) + _LEFT
+            else:
+                ok = size > k
+                h[ok] = mix(h[ok] ^ values[at[ok] + k]) + _LEFT
+        return h
+
+
+#: Places per range of a table that the cluster builds.
+RANGE = 1 << 16
+
+
+def _filled(kind):
+    """Places sorted by range with a value each -> one array of RANGE values of `kind` per range; bool as bits."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, part, parts, out = np.zeros(RANGE, kind), None, [], []
+        pack = (lambda: np.packbits(held).tobytes()) if kind is bool else (lambda: held.tobytes())
+        for batch in batches:
+            p, at, value = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("part", "at", "value"))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if a == b:
+                    continue
+                if part is not None and p[a] != part:
+                    parts.append(part)
+                    out.append(pack())
+                    held[:] = 0
+                part = p[a]
+                held[at[a:b]] = value[a:b].astype(kind)
+        if part is not None:
+            parts.append(part)
+            out.append(pack())
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.binary())], ["part", "bytes"])
+
+    return run
+
+
+def table_of(places: DataFrame, size: int, kind=np.uint8) -> bytes:
+    """places: place (0 to size - 1) and value, distinct places. The table of all values, built by ranges on the cluster: size
+    bytes, or bits where kind is bool. Its size is a parameter, not a count of rows."""
+    width = RANGE // 8 if kind is bool else RANGE
+    out = bytearray(max(1, size // RANGE) * width)
+    ranges = places.select(F.shiftright("place", 16).cast("int").alias("part"), (F.col("place") % RANGE).cast("int").alias("at"), F.col("value").cast("int").alias("value"))
+    for r in ranges.repartition("part").sortWithinPartitions("part").mapInArrow(_filled(kind), "part int, bytes binary").collect():
+        out[r["part"] * width : (r["part"] + 1) * width] = r["bytes"]
+    return bytes(out)
 
 
 SPACE = np.zeros(256, bool)

@@ -2,20 +2,22 @@
 
 A window is `size` consecutive units (bytes or words) of one document. Its key is the least hash of the grams in it,
 a function of its content alone, so equal windows have equal keys wherever they lie. Consecutive windows with one key
-form a run; runs, not windows, are shuffled (about one per `size` / 2 units), as key, hash of the whole run's text,
-place and length. Of runs with equal text in one slice of input only one is shuffled on (with weight 2), so a
-passage that a third of all documents share is pre-aggregated before the shuffle.
+form a run (about one per `size` / 2 units); runs with a key that occurs once can't hold a repeat.
 
 `find`:
-1. scan: texts -> runs and, for runs repeated in the slice, their spans; written to the shared folder.
-2. meet: runs sorted by key and text hash stream through each task. Runs whose text occurs twice are repeated as a
-   whole: spans. Keys with one run are dropped, unless the run may repeat itself. For keys with several different texts, one run of each is asked for.
-3. fetch: the asked runs' texts are cut from their documents.
-4. solve: texts of the same keys meet again and the operator's own method finds the repeated windows in them;
-   pools are bounded in bytes and a key is never cut.
+1. keys: all texts are scanned for the keys of their runs, which are counted: sorted 64-bit keys in parts, one row per part
+   and FLUSH keys of a task. Keys of several runs, and of a run that may repeat itself, set a bit each in a bitmap.
+2. runs: texts are scanned again, and the bytes of the runs whose key has its bit set go on. Of runs with equal
+   bytes in one slice of input one goes on with weight 2, and the others are repeats: a passage that a third of all
+   documents share is one row a slice.
+3. solve: runs of one key meet in one task, in pools bounded in bytes; the operator's own method finds the repeated windows
+   in a pool, by content. Equal runs of a pool enter it twice, for all of them.
 Spans of all steps are merged per document and applied to the input.
 
-Hashes have 64 bits each and runs are equal only if key and text hash are (128 bits); step 4 compares content.
+The bitmap has 16 bits a repeated key within 2**20 and 2**BITMAP bits (16 MB). Beyond some 8 million repeated keys it fills, and
+runs that don't repeat pass as well, in the end all; results are the same, the shuffle is larger. A key is never cut:
+runs at the edge of a shared passage have one key and different bytes in every document, so a hot edge costs one run
+(of `size` to 2 * `size` units, mostly) per document in one task's memory.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, keyed, materialize, range_hashes, slices, text_buffer
+from .common import configure, discard, keyed, materialize, slices, table_of, text_buffer
 
-#: Bytes of text scanned at once, bytes of run texts solved at once, most windows in a run.
-SLICE, POOL, LONGEST = 1 << 20, 4 << 20, 512
+#: Bytes of text scanned at once, bytes of runs solved at once, most windows in a run.
+SLICE, POOL, LONGEST = 1 << 20, 1 << 20, 512
+#: Keys that a task counts at once, bytes of text per part of the counting, and bits of the largest bitmap (as a power).
+FLUSH, COUNTED, BITMAP = 2_000_000, 128_000_000, 27
 
-RUNS = "span boolean, key long, same long, _rk long, at long, windows int, weight int, loop boolean"
-FOUND = "span boolean, key long, _rk long, at long, units long, whole boolean"
+RUNS = "key long, _rk long, at long, weight int, units long, body binary"
 
 
 def least(values: np.ndarray, width: int) -> np.ndarray:
@@ -50,8 +53,8 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 
 def runs_of(grams: np.ndarray, gram: int, size: int, first: np.ndarray):
     """grams: hash of the `gram` units from each unit on (garbage across documents); first: each document's first unit
-    (len + 1). Returns of each run: document, first unit, windows, key, text hash, and whether equal windows may be in
-    the run itself. A window's least gram is by the upper half of its hash, of equal ones the leftmost."""
+    (len + 1). Returns of each run: document, first unit, windows, key, and whether equal windows may be in the run
+    itself. A window's least gram is by the upper half of its hash, of equal ones the leftmost."""
     places = np.arange(len(grams), dtype=np.uint64)
     left = (least((grams & np.uint64(0xFFFFFFFF00000000)) | places, size - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     lengths = np.diff(first)
@@ -60,7 +63,7 @@ def runs_of(grams: np.ndarray, gram: int, size: int, first: np.ndarray):
     at = np.arange(len(doc)) + np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(starts)[:-1]]), starts)
     if not len(at):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(bool)
+        return z, z, z, z.astype(np.uint64), z.astype(bool)
     left = left[at]
     k = grams[left]
     begins = np.ones(len(at), bool)
@@ -72,180 +75,178 @@ def runs_of(grams: np.ndarray, gram: int, size: int, first: np.ndarray):
         inside = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         length = np.minimum(np.repeat(length, parts) - inside * LONGEST, LONGEST)
         begin = np.repeat(begin, parts) + inside * LONGEST
-    same = range_hashes(grams, at[begin], at[begin] + length + size - gram)
     # equal windows of one run have their least gram at the same distance, so at different places
     loop = left[begin] != left[begin + length - 1]
-    return doc[begin], at[begin], length, k[begin], same, loop
+    return doc[begin], at[begin], length, k[begin], loop
 
 
-def _scanner(units: Callable, gram: int, size: int):
-    """units(bytes, offsets) -> gram hashes and the documents' first units."""
+def _scan(batches, units: Callable, gram: int, size: int):
+    """Of each slice of the texts: bytes, units' places (None where units are bytes), first units, keys of rows, and the runs."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column("text"))
+        rk = batch.column("_rk").to_numpy(zero_copy_only=False)
+        for i, j in slices(offsets, SLICE):
+            own, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            grams, first, cuts = units(own, bounds)
+            yield own, cuts, first, rk[i:j], runs_of(grams, gram, size, first)
+
+
+def _keys(units: Callable, gram: int, size: int, part_bits: int):
+    """The keys of runs, sorted, by part; those of several runs (or of one that may repeat itself) twice."""
 
     def run(batches):
         import pyarrow as pa
 
-        def out(span, key, same, rk, at, windows, weight, loop):
-            n = len(rk)
-            columns = [pa.array(np.full(n, span)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(same.astype(np.uint64).view(np.int64)), pa.array(rk), pa.array(at), pa.array(windows.astype(np.int32)), pa.array(weight.astype(np.int32)), pa.array(loop)]
-            return pa.RecordBatch.from_arrays(columns, ["span", "key", "same", "_rk", "at", "windows", "weight", "loop"])
-
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            rk = batch.column("_rk").to_numpy(zero_copy_only=False)
-            for i, j in slices(offsets, SLICE):
-                grams, first = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                doc, at, windows, key, same, loop = runs_of(grams, gram, size, first)
-                if not len(doc):
-                    continue
-                order = np.lexsort((same, key))
-                new = np.ones(len(order), bool)
-                new[1:] = (key[order][1:] != key[order][:-1]) | (same[order][1:] != same[order][:-1])
-                weight = np.diff(np.append(np.flatnonzero(new), len(order)))
-                group = np.cumsum(new) - 1
-                repeated = np.zeros(len(order), bool)
-                repeated[order] = weight[group] > 1
-                place = at - first[doc]
-                one = order[new]
-                yield out(False, key[one], same[one], rk[i + doc[one]], place[one], windows[one], np.minimum(weight, 2), loop[one])
-                if repeated.any():
-                    yield out(True, *_merged(rk[i + doc[repeated]], place[repeated], windows[repeated], i + doc[repeated]))
+        def flush(held):
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.repeat(keys, np.minimum(n, 2))
+            part = (keys & np.uint64((1 << part_bits) - 1)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            part, keys = part[order], keys[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["part", "keys"])
+
+        held, n = [], 0
+        for _, _, _, _, (_, _, _, key, loop) in _scan(batches, units, gram, size):
+            held += [key, key[loop]]
+            n += len(key)
+            if n >= FLUSH:
+                yield flush(held)
+                held, n = [], 0
+        if n:
+            yield flush(held)
 
     return run
 
 
-def _merged(rk, at, windows, doc):
-    """Touching runs of one document as one: key, same, rk, at, windows, weight, loop."""
-    new = np.ones(len(rk), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + windows[:-1])
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(rk)) - 1
-    z = np.zeros(len(begin), np.uint64)
-    return z, z, rk[begin], at[begin], at[end] + windows[end] - at[begin], z, z.astype(bool)
-
-
-def _meeter(size: int):
-    """Rows sorted by key and text hash -> spans of repeated runs and requests for texts."""
-
-    def decide(t: dict[str, np.ndarray]):
-        key, same, weight = t["key"], t["same"], t["weight"]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (same[1:] != same[:-1])
-        begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        total = np.add.reduceat(weight, begin)
-        repeated = total > 1
-        k = key[begin]
-        several = np.zeros(len(k), bool)
-        several[1:] |= k[1:] == k[:-1]
-        several[:-1] |= k[1:] == k[:-1]
-        several |= t["loop"][begin] & ~repeated
-        spans = np.flatnonzero((repeated[group]) & (weight == 1))  # runs of weight 2 have theirs from the scan
-        asked = begin[several]
-        return spans, asked, repeated[several]
+def _repeated(batches):
+    """Keys sorted by part -> those that occur twice."""
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
-
-        names = ["key", "same", "_rk", "at", "windows", "weight", "loop"]
-        held: list[dict[str, np.ndarray]] = []
-
-        def flush(t):
-            spans, asked, whole = decide(t)
-            for is_span, at, w in ((True, spans, np.zeros(len(spans), bool)), (False, asked, whole)):
-                if len(at):
-                    columns = [pa.array(np.full(len(at), is_span)), pa.array(t["key"][at]), pa.array(t["_rk"][at]), pa.array(t["at"][at]), pa.array(t["windows"][at].astype(np.int64) + size - 1), pa.array(w)]
-                    yield pa.RecordBatch.from_arrays(columns, ["span", "key", "_rk", "at", "units", "whole"])
+    def flush(held):
+        keys = np.sort(np.frombuffer(b"".join(held), np.uint64))
+        twice = np.unique(keys[1:][keys[1:] == keys[:-1]]).view(np.int64)
+        for i in range(0, len(twice), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(twice[i : i + 100_000])], ["key"])
 
-        for batch in batches:
-            t = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
-            if not len(t["key"]):
-                continue
-            if held and held[-1]["key"][-1] != t["key"][0]:
-                yield from flush({n: np.concatenate([h[n] for h in held]) for n in names})
+    held, part = [], None
+    for batch in batches:
+        for p, keys in zip(batch.column("part").to_pylist(), batch.column("keys")):
+            if p != part and held:
+                yield from flush(held)
                 held = []
-            cut = len(t["key"]) - int((t["key"] == t["key"][-1]).sum())  # rows are sorted: the last key may go on
-            if cut:
-                done = held + [{n: v[:cut] for n, v in t.items()}]
-                yield from flush({n: np.concatenate([h[n] for h in done]) for n in names})
-                held = []
-            held.append({n: v[cut:] for n, v in t.items()})
-        if held:
-            yield from flush({n: np.concatenate([h[n] for h in held]) for n in names})
-
-    return run
+            part = p
+            held.append(keys.as_buffer().to_pybytes())
+    if held:
+        yield from flush(held)
 
 
-def _cutter(bounds: Callable):
-    """Documents with their requests -> the asked texts. bounds(bytes) gives byte starts and ends of a text's units, or None
-    where units are bytes."""
+def _cutter(shared, units: Callable, gram: int, size: int, body: Callable):
+    """Runs whose key is in the bitmap, with their bytes; weight 0: a span that is known to repeat."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("key", "_rk", "at", "units", "whole", "body")}
-            for rk, text, asked in zip(batch.column("_rk").to_pylist(), batch.column("text"), batch.column("asked").to_pylist()):
-                raw = text.as_buffer().to_pybytes() if hasattr(text, "as_buffer") else text.as_py().encode()
-                cuts = bounds(np.frombuffer(raw, np.uint8))
-                for r in asked:
-                    a, b = r["at"], r["at"] + r["units"]
-                    rows["body"].append(raw[a:b] if cuts is None else raw[cuts[0][a] : cuts[1][b - 1]])
-                    rows["_rk"].append(rk)
-                    for n in ("key", "at", "units", "whole"):
-                        rows[n].append(r[n])
-            yield pa.RecordBatch.from_pydict({"key": pa.array(rows["key"], pa.int64()), "_rk": pa.array(rows["_rk"], pa.int64()), "at": pa.array(rows["at"], pa.int64()), "units": pa.array(rows["units"], pa.int64()), "whole": pa.array(rows["whole"], pa.bool_()), "body": pa.array(rows["body"], pa.binary())})
+        bitmap = np.frombuffer(shared.value, np.uint8)
+        mask = np.uint64(8 * len(bitmap) - 1)
+        for own, cuts, first, rk, (doc, at, windows, key, loop) in _scan(batches, units, gram, size):
+            place = (key >> np.uint64(8) & mask).astype(np.int64)
+            some = np.flatnonzero((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+            if not len(some):
+                continue
+            raw, seen = own.tobytes(), {}
+            keys, row, where, weight, bodies = key[some].view(np.int64).tolist(), rk[doc[some]].tolist(), (at[some] - first[doc[some]]).tolist(), [1] * len(some), []
+            units_of = (windows[some] + size - 1).tolist()
+            for i, (a, n) in enumerate(zip(at[some].tolist(), units_of)):
+                b = body(raw, cuts, a, n)
+                j = seen.setdefault(b, i)
+                if j != i:
+                    weight[j], weight[i], b = 2, 0, b""
+                bodies.append(b)
+            more = [i for i, w in enumerate(weight) if w == 2]  # their own spans repeat as well
+            keys, row, where, units_of, bodies = ([*x, *[x[i] for i in more]] for x in (keys, row, where, units_of, bodies))
+            bodies[len(weight) :] = [b""] * len(more)
+            weight += [0] * len(more)
+            for i in range(0, len(keys), 2_000):
+                columns = [pa.array(x[i : i + 2_000], t) for x, t in ((keys, pa.int64()), (row, pa.int64()), (where, pa.int64()), (weight, pa.int32()), (units_of, pa.int64()), (bodies, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "_rk", "at", "weight", "units", "body"])
 
     return run
 
 
 def _solver(solve: Callable, size: int):
-    """Texts sorted by key -> spans. solve(bodies, windows, whole) gives per body a bool array: windows that also start
-    elsewhere. `whole` bodies occur twice; their spans are known, they only take part."""
+    """Runs sorted by key -> spans. solve(bodies, windows, copies) gives per body a bool array: windows that also start
+    elsewhere in the pool; copies says how often (1 or 2) a body is in it."""
 
     def flush(rows):
         import pyarrow as pa
 
-        found = solve([r[5] for r in rows], [r[3] - size + 1 for r in rows], [r[4] for r in rows])
-        rk, at, units = [], [], []
-        for r, hit in zip(rows, found):
-            if r[4] or not hit.any():
-                continue
+        place: dict[bytes, int] = {}
+        windows, copies = [], []
+        for _, _, _, weight, units, body in rows:
+            i = place.setdefault(body, len(windows))
+            if i == len(windows):
+                windows.append(units - size + 1)
+                copies.append(weight)
+            else:
+                copies[i] = 2
+        found = solve([*place], windows, copies)
+        spans = []
+        for hit in found:
             edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            rk += [r[1]] * len(a)
-            at += (r[2] + a).tolist()
-            units += (b - a + size - 1).tolist()
+            spans.append(list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist())) if hit.any() else [])
+        rk, at, units = [], [], []
+        for _, row, where, weight, _, body in rows:
+            if weight == 1:  # those of weight 2 have theirs from their slice
+                for a, b in spans[place[body]]:
+                    rk.append(row)
+                    at.append(where + a)
+                    units.append(b - a + size - 1)
         return pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(at, pa.int64()), pa.array(units, pa.int64())], ["_rk", "at", "units"])
 
     def run(batches):
-        held, bytes_held = [], 0
+        held, group, pool, own = [], [], 0, 0  # group: the rows of the key at hand
         for batch in batches:
-            for r in zip(*(batch.column(n).to_pylist() for n in ("key", "_rk", "at", "units", "whole", "body"))):
-                if bytes_held >= POOL and r[0] != held[-1][0]:
-                    yield flush(held)
-                    held, bytes_held = [], 0
-                held.append(r)
-                bytes_held += len(r[5])
-        if held:
-            yield flush(held)
+            for r in zip(*(batch.column(n).to_pylist() for n in ("key", "_rk", "at", "weight", "units", "body"))):
+                if group and r[0] != group[-1][0]:
+                    if len(group) > 1 or group[0][3] > 1 or group[0][4] > size:  # a run alone, of one window, can't repeat
+                        held += group
+                        pool += own
+                    group, own = [], 0
+                    if pool >= POOL:
+                        yield flush(held)
+                        held, pool = [], 0
+                group.append(r)
+                own += len(r[5])
+        if held + group:
+            yield flush(held + group)
 
     return run
 
 
-def find(docs: DataFrame, units: Callable, bounds: Callable, solve: Callable, gram: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and for each with repeats its `_rk` and `spans`: array of (at, units), in units."""
-    configure(docs.sparkSession)
+def find(docs: DataFrame, units: Callable, body: Callable, solve: Callable, gram: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The keyed documents, and for each with repeats its `_rk` and `spans`: array of (at, units), in units.
+
+    units(bytes, offsets) gives gram hashes, the documents' first units and where units lie; body(bytes, that, first unit, units)
+    the content of a run."""
+    spark = docs.sparkSession
+    configure(spark)
     docs = keyed(docs)
     texts = docs.select("_rk", "text")
-    runs = materialize(texts.mapInArrow(_scanner(units, gram, size), RUNS))
-    meet = runs.where("not span").select("key", "same", "_rk", "at", "windows", "weight", "loop").repartition("key").sortWithinPartitions("key", "same", "_rk", "at")
-    met = materialize(meet.mapInArrow(_meeter(size), FOUND))
-    asked = met.where("not span").groupBy("_rk").agg(F.collect_list(F.struct("key", "at", "units", "whole")).alias("asked"))
-    bodies = texts.join(asked, "_rk").mapInArrow(_cutter(bounds), "key long, _rk long, at long, units long, whole boolean, body binary")
-    solved = bodies.repartition("key").sortWithinPartitions("key", "_rk", "at").mapInArrow(_solver(solve, size), "_rk long, at long, units long")
-    spans = runs.where("span").select("_rk", "at", (F.col("windows") + size - 1).cast("long").alias("units"))
-    spans = spans.union(met.where("span").select("_rk", "at", "units")).union(solved)
-    return docs, spans.groupBy("_rk").agg(F.collect_list(F.struct("at", "units")).alias("spans"))
+    chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    part_bits = max(6, int(chars // COUNTED).bit_length())
+    keys = texts.mapInArrow(_keys(units, gram, size, part_bits), "part int, keys binary")
+    known = materialize(keys.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "key long"))
+    bits = 1 << min(BITMAP, max(20, (16 * max(1, known.count()) - 1).bit_length()))
+    place = F.shiftright("key", 8).bitwiseAND(F.lit(bits - 1)).cast("int")
+    shared = spark.sparkContext.broadcast(table_of(known.select(place.alias("place"), F.lit(1).alias("value")).distinct(), bits, bool))
+    discard(known)
+    runs = materialize(texts.mapInArrow(_cutter(shared, units, gram, size, body), RUNS))
+    solved = runs.where("weight > 0").repartition("key").sortWithinPartitions("key", "_rk", "at").mapInArrow(_solver(solve, size), "_rk long, at long, units long")
+    spans = runs.where("weight = 0").select("_rk", "at", "units").union(solved)
+    spans = materialize(spans.groupBy("_rk").agg(F.collect_list(F.struct("at", "units")).alias("spans")))
+    discard(runs)
+    return docs, spans
 
 
 def covered(spans, n: int) -> list[tuple[int, int]]:

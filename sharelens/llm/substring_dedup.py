@@ -4,8 +4,9 @@ Candidates come from `repeats`, as in suffix-array dedup but with words as units
 method is fixed-block anchors: every text is cut into blocks of BLOCK words that don't overlap, and the blocks'
 contents are indexed; every rolling window of BLOCK words of every text probes the index. Since 2 * BLOCK - 1 <= SIZE,
 a repeated window of SIZE words always holds a whole block of its own text that its other occurrence hits. Hits
-are extended to both sides: the windows of SIZE words around hits are compared by content, all occurrences of a
-block at once rather than in pairs, and touching repeated windows form the maximal exact repeats.
+are extended to both sides: the windows of SIZE words around hits are compared word by word, all occurrences of a
+block at once rather than in pairs, and touching repeated windows form the maximal exact repeats. Words have numbers within
+a pool and blocks numbers of number pairs, so that nothing is decided by a hash.
 
 Words are [^\\x20\\x09-\\x0D]+, unchanged; white space between them doesn't count.
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import SYMBOLS, range_hashes, word_bounds
+from .common import byte_hashes, sequence_hashes, word_bounds
 
 #: Words of a window, of the grams whose least hash is its key, and of a reference block.
 SIZE, GRAM, BLOCK = 35, 8, 18
@@ -29,77 +30,63 @@ SIZE, GRAM, BLOCK = 35, 8, 18
 
 def _units(data, offsets):
     starts, ends, first = word_bounds(data, offsets)
-    words = range_hashes(SYMBOLS[data], starts, ends)
-    at = np.arange(max(0, len(words) - GRAM + 1))
-    return range_hashes(words, at, at + GRAM), first
+    words = byte_hashes(data, starts, ends)
+    return sequence_hashes(words, np.arange(max(0, len(words) - GRAM + 1)), GRAM), first, (starts, ends)
 
 
-def _bounds(data):
-    starts, ends, _ = word_bounds(data, np.array([0, len(data)]))
-    return starts, ends
+def _body(raw: bytes, cuts, at: int, n: int) -> bytes:
+    """The words, joined by one space."""
+    return b" ".join(raw[cuts[0][at] : cuts[1][at + n - 1]].split())
 
 
-def _equal(ids: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Whether the n words from a and from b on are the same, word by word."""
-    live = np.arange(len(a))
-    for k in range(n):
-        live = live[ids[a[live] + k] == ids[b[live] + k]]
-    out = np.zeros(len(a), bool)
-    out[live] = True
-    return out
+def blocks_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n words from each place on, equal where all of them are: numbers of pairs, then of pairs of these."""
+    width, number = 1, np.unique(ids, return_inverse=True)[1].astype(np.int64)
+    while width < n:
+        step = min(width, n - width)  # the last two may overlap
+        pair = (number[: len(number) - step] << 32) | number[step:]
+        number = np.unique(pair, return_inverse=True)[1]
+        width += step
+    return number
 
 
-def _twice(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Which of the windows of n words at `at` occur more than once among them."""
-    out = np.zeros(len(at), bool)
-    if len(at) > 1:
-        h = range_hashes(ids, at, at + n)
-        order = np.argsort(h, kind="stable")
-        same = np.flatnonzero(h[order][1:] == h[order][:-1])
-        same = same[_equal(ids, at[order[same]], at[order[same + 1]], n)]
-        out[order[same]] = True
-        out[order[same + 1]] = True
-    return out
-
-
-def repeated(bodies: list[bytes], windows: list[int], whole: list[bool]) -> list[np.ndarray]:
-    """Per body, which windows of SIZE words also start elsewhere in the pool."""
+def repeated(bodies: list[bytes], windows: list[int], copies: list[int]) -> list[np.ndarray]:
+    """Per body, which windows of SIZE words also start elsewhere in the pool, in which each body is once or twice."""
+    if not bodies:
+        return []
     number: dict[bytes, int] = {}
-    ids = np.array([number.setdefault(w, len(number) + 1) for w in b" ".join(bodies).split()], np.uint64)
-    counts = np.asarray(windows)
-    begin = np.concatenate([[0], np.cumsum(counts + SIZE - 1)])
-    # index the blocks that don't overlap, probe them with every rolling window
-    per_body = (counts + SIZE - 1) // BLOCK
-    block = np.repeat(begin[:-1] - BLOCK * (np.cumsum(per_body) - per_body), per_body) + BLOCK * np.arange(per_body.sum())
-    rolling = counts + SIZE - BLOCK
-    probe = np.repeat(begin[:-1] - (np.cumsum(rolling) - rolling), rolling) + np.arange(rolling.sum())
-    index = np.sort(range_hashes(ids, block, block + BLOCK))
-    h = range_hashes(ids, probe, probe + BLOCK)
-    found = np.searchsorted(index, h)
-    hit = (found < len(index)) & (index[np.minimum(found, len(index) - 1)] == h)
-    is_block = np.zeros(len(ids), bool)
-    is_block[block] = True
-    probe, h = probe[hit], h[hit]
-    # a block alone hits itself only: keep the contents that occur at two places or more
-    order = np.argsort(h, kind="stable")
-    new = np.ones(len(h), bool)
-    new[1:] = h[order][1:] != h[order][:-1]
-    size = np.diff(np.append(np.flatnonzero(new), len(h)))
-    probe = probe[order[size[np.cumsum(new) - 1] > 1]]
-    # extend: windows of SIZE words that hold a hit
+    texts = [*bodies, *[b for b, n in zip(bodies, copies) if n > 1]]
+    ids = np.array([number.setdefault(w, len(number) + 1) for b in texts for w in b.split()], np.int64)
+    counts = np.asarray([*windows, *[w for w, n in zip(windows, copies) if n > 1]])
+    length = counts + SIZE - 1
+    begin = np.cumsum(length) - length
+    # index the blocks that don't overlap, probe them with every rolling window of BLOCK words
+    content = blocks_of(ids, BLOCK)
+    per_body = length // BLOCK
+    block = np.repeat(begin - BLOCK * (np.cumsum(per_body) - per_body), per_body) + BLOCK * np.arange(per_body.sum())
+    rolling = length - BLOCK + 1
+    probe = np.repeat(begin - (np.cumsum(rolling) - rolling), rolling) + np.arange(rolling.sum())
+    indexed = np.zeros(content.max() + 1, bool)
+    indexed[content[block]] = True
+    # a block alone hits itself only: contents at two places or more are hits
+    times = np.bincount(content[probe], minlength=len(indexed))
+    probe = probe[indexed[content[probe]] & (times[content[probe]] > 1)]
+    # extend to both sides: windows of SIZE words that hold a hit, compared by content
     near = np.zeros(len(ids) + 1, np.int64)
     np.add.at(near, np.maximum(probe - (SIZE - BLOCK), 0), 1)
     np.add.at(near, probe + 1, -1)
-    start = np.repeat(begin[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    start = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
     start = start[np.cumsum(near)[start] > 0]
     out = np.zeros(len(ids), bool)
-    out[start[_twice(ids, start, SIZE)]] = True
-    return [out[b : b + w] for b, w in zip(begin[:-1], windows)]
+    if len(start):
+        window = blocks_of(ids, SIZE)[start]
+        out[start[np.bincount(window)[window] > 1]] = True
+    return [out[b : b + w] for b, w in zip(begin, windows)]
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with texts also `removed` (array of word spans) and `kept`."""
-    keyed, spans = repeats.find(docs, _units, _bounds, repeated, GRAM, SIZE)
+    keyed, spans = repeats.find(docs, _units, _body, repeated, GRAM, SIZE)
 
     def apply(batches):
         import pyarrow as pa

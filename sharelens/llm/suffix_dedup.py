@@ -1,10 +1,9 @@
 """Suffix-array dedup: removes each byte covered by a string of SIZE bytes that also starts anywhere else.
 
-Candidates come from `repeats`: runs of windows that may be equal meet in one task, and runs that are equal as a whole
-are decided by their hashes. Where texts differ, a suffix array of the pool decides, sorted in two stages: only
-suffixes smaller than their successors are sorted directly (by ranks of 32-byte blocks, round by round while ties
+Candidates come from `repeats`: runs of windows that may be equal meet in one task. A suffix array of the pool decides which
+do repeat, sorted in two stages: only suffixes smaller than their successors are sorted directly (by ranks of 32-byte blocks, round by round while ties
 remain), all others are induced by one scan over the first-byte buckets; common prefixes of adjacent suffixes
-then tell which windows start twice. Both stages are vectorised; a pool has a few MB.
+then tell which windows start twice. Both stages are vectorised; a pool has about a MB.
 
 Comparing stops at 32 * ROUNDS bytes: beyond that the order among equal windows doesn't matter.
 
@@ -20,25 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import mix
+from .common import mix, words_at
 
 #: Bytes of a window, and of the grams whose least hash is its key.
 SIZE, GRAM = 200, 48
 ROUNDS = 8
 
 
-def words_at(data: np.ndarray, big: bool = False) -> np.ndarray:
-    """The eight bytes from each position on as one integer; zeros follow the end."""
-    n = len(data)
-    padded = np.zeros(n + 16, np.uint8)
-    padded[:n] = data
-    out = np.empty(n + 8, np.uint64)
-    for o in range(8):
-        m = (n + 8 - o + 7) // 8
-        out[o::8] = np.frombuffer(padded, ">u8" if big else "<u8", min(m, (n + 16 - o) // 8), o)[: len(out[o::8])]
-    return out[:n]
-
-
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     with np.errstate(over="ignore"):
         v = words_at(data)
@@ -51,26 +38,32 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
         return mix(h)
 
 
-def _dense(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Ranks, ties sharing one, of `key` sorted by `order`."""
-    s = key[order]
-    new = np.ones(len(s), np.int64)
-    new[0:1] = 0
-    new[1:] = s[1:] != s[:-1]
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (below 2**bits) in order, and the place of each; place and key are one integer where they fit."""
+    width = int(len(key)).bit_length()
+    if bits + width > 63:
+        order = np.argsort(key, kind="stable")
+        return key[order], order
+    both = np.sort((key << width) | np.arange(len(key)))
+    return both >> width, both & ((1 << width) - 1)
+
+
+def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
+    """The rank of each key from 0, ties sharing one."""
+    s, order = _sorted(key, bits)
     out = np.empty(len(s), np.int64)
-    out[order] = np.cumsum(new)
+    out[order] = np.cumsum(np.append(0, s[1:] != s[:-1])) if len(s) else s
     return out
 
 
 def block_ranks(data: np.ndarray) -> np.ndarray:
-    """The rank of the 32 bytes from each position on, by doubling from eight."""
-    key = words_at(data, True)
-    rank = _dense(key, np.argsort(key))
-    for step in (8, 16):
+    """The rank of the 32 bytes from each position on, by doubling from four."""
+    rank = _ranks((words_at(data, True) >> np.uint64(32)).astype(np.int64), 32)
+    width = int(len(data) + 1).bit_length()
+    for step in (4, 8, 16):
         after = np.zeros(len(rank), np.int64)
         after[: max(0, len(rank) - step)] = rank[step:] + 1
-        key = (rank << 32) | after
-        rank = _dense(key, np.argsort(key))
+        rank = _ranks((rank << width) | after, 2 * width)
     return rank
 
 
@@ -93,7 +86,7 @@ def suffix_array(data: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray
     direct = smaller_than_next(data)
     # stage one: sort the suffixes smaller than their successors; ties go on to the next block
     at = np.flatnonzero(direct)
-    at = at[np.argsort(rank[at], kind="stable")]
+    at = at[_sorted(rank[at], int(n).bit_length())[1]]
     group = _starts(rank[at])
     for k in range(1, ROUNDS):
         tied = np.zeros(len(at), bool)
@@ -166,13 +159,15 @@ def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.nda
     return length
 
 
-def repeated(bodies: list[bytes], windows: list[int], whole: list[bool]) -> list[np.ndarray]:
-    """Per body, which windows of SIZE bytes also start elsewhere in the pool."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
+def repeated(bodies: list[bytes], windows: list[int], copies: list[int]) -> list[np.ndarray]:
+    """Per body, which windows of SIZE bytes also start elsewhere in the pool, in which each body is once or twice."""
+    if not bodies:
+        return []
+    data = np.frombuffer(b"".join([*bodies, *[b for b, n in zip(bodies, copies) if n > 1]]), np.uint8)
     begin = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-    counts = np.asarray(windows)
-    own = np.repeat(np.arange(len(bodies)), counts)
-    at = np.arange(len(own)) + np.repeat(begin[:-1] - (np.cumsum(counts) - counts), counts)
+    counts = np.asarray([*windows, *[w for w, n in zip(windows, copies) if n > 1]])
+    every = np.cumsum(counts + SIZE - 1) - (counts + SIZE - 1)
+    at = np.arange(counts.sum()) + np.repeat(every - (np.cumsum(counts) - counts), counts)
     eligible = np.zeros(len(data), bool)
     eligible[at] = True
     rank = block_ranks(data)
@@ -186,16 +181,16 @@ def repeated(bodies: list[bytes], windows: list[int], whole: list[bool]) -> list
 
 
 def _units(data, offsets):
-    return gram_hashes(data), offsets
+    return gram_hashes(data), offsets, None
 
 
-def _bounds(data):
-    return None
+def _body(raw: bytes, cuts, at: int, n: int) -> bytes:
+    return raw[at : at + n]
 
 
 def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also `removed` (array of byte spans) and `kept` (binary)."""
-    keyed, spans = repeats.find(docs, _units, _bounds, repeated, GRAM, SIZE)
+    keyed, spans = repeats.find(docs, _units, _body, repeated, GRAM, SIZE)
 
     def apply(batches):
         import pyarrow as pa

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SYMBOLS, configure, materialize, range_hashes, slices, text_buffer
+from .common import byte_hashes, configure, materialize, slices, text_buffer
 
 HELD_OUT, THRESHOLD = 2, 0.3
 SAMPLE, SAMPLE_CHARS = 1_500, 12_000
@@ -60,8 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     before[1:], after[:-1] = inside[:-1], inside[1:]
     starts = np.flatnonzero(inside & (~before | cut[:-1]))
     ends = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    symbols = SYMBOLS[data]
-    rows = [range_hashes(symbols, starts, np.minimum(ends, starts + k) if k else ends) + np.uint64(k) for k in (0, *PREFIXES)]
+    rows = [byte_hashes(data, starts, np.minimum(ends, starts + k) if k else ends) + np.uint64(k) for k in (0, *PREFIXES)]
     return (np.stack(rows, axis=1) % np.uint64(BUCKETS)).astype(np.int32), np.searchsorted(starts, offsets)
 
 

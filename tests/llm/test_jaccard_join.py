@@ -45,14 +45,58 @@ def corpus(seed, copies):
     return texts + ["a b", "A  B", "a b c", None, "", " \t", "one", "one two three four five", "one two three four FIVE"]
 
 
-@pytest.mark.parametrize("seed,copies,dense", [(1, 120, 48), (2, 200, 4), (3, 150, 1)])
-def test_against_brute_force(spark, monkeypatch, seed, copies, dense):
-    monkeypatch.setattr(jaccard_join, "DENSE", dense)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
-    monkeypatch.setattr(jaccard_join, "LEAST", 4)
+@pytest.mark.parametrize("seed,copies,dense,block", [(1, 120, 48, 256), (2, 200, 4, 16), (3, 150, 1, 8)])
+def test_against_brute_force(spark, seed, copies, dense, block):
     rows = list(enumerate(corpus(seed, copies)))
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS c").repartition(6)
-    assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, jaccard_join.join(df, dense, block).collect()), key=str) == brute(rows)
+
+
+def test_dense_ngrams_reach_the_workers(spark):
+    """With a limit of one document per n-gram all candidates come from stars, and blocks find what round one leaves apart."""
+    docs, _, edges = jaccard_join.links(spark.createDataFrame(list(enumerate(corpus(3, 150))), "doc_id long, text string"), 1, 8)
+    texts = docs.select("_rk", "text")
+    rows, levels = jaccard_join.frequencies(texts, 1)
+    pairs, stars = jaccard_join.candidates(texts, rows, levels, 1)
+    assert pairs.count() == 0 and stars.count() > 100 and edges.count() > 20
+
+
+def test_work_does_not_depend_on_partitions(spark):
+    rows = list(enumerate(corpus(5, 200)))
+    seen = []
+    for n in (1, 4, 64):
+        texts = spark.createDataFrame(rows, "_rk long, text string").na.fill("").repartition(n)
+        sets, levels = jaccard_join.frequencies(texts, 4)
+        pairs, stars = jaccard_join.candidates(texts, sets, levels, 4)
+        seen.append((sorted(map(tuple, levels.collect())), sorted(map(tuple, sets.collect())), pairs.count(), stars.count()))
+    assert seen[0][:2] == seen[1][:2] == seen[2][:2]
+    assert all(abs(x[k] - seen[0][k]) <= 0.2 * seen[0][k] for x in seen for k in (2, 3))
+
+
+def thue_morse(k):
+    a = "ab"
+    for _ in range(k):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    w = thue_morse(9)
+    other = w.translate(str.maketrans("ab", "ba"))
+    r = random.Random(9)
+    body = [f"x{r.randrange(10**6)}" for _ in range(30)]
+    rows = [(1, " ".join([w] * 5)), (2, " ".join([other] * 5)), (3, w), (4, other), (5, " ".join(x if i % 3 else w for i, x in enumerate(body))), (6, " ".join(x if i % 3 else other for i, x in enumerate(body)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.join(df).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_very_long_texts(spark):
+    r = random.Random(2)
+    words = [f"w{r.randrange(5000)}" for _ in range(200_000)]
+    near = [w if i % 3000 else "edit" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, "\n".join(near)), (3, "y" * 2_000_000), (4, "y" * 2_000_000), (5, "y" * 1_999_999), (6, " ".join(words[:150_000]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(df).collect())) == brute(rows)
 
 
 def test_repeated_and_null_ids(spark):

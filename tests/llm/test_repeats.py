@@ -91,20 +91,34 @@ def test_words_against_brute_force(table):
     assert [got[i] for i in range(len(texts))] == brute_words(texts, substring_dedup.SIZE)
 
 
-def test_small_slices_and_pools(table, monkeypatch):
-    texts, df = table
-    # slices of one text: nothing is decided by the scan, all by the later steps
-    rows = list(enumerate(texts))
-    monkeypatch.setattr(repeats, "SLICE", 1)
-    data = [(i, (t or "")) for i, t in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for _, t in data])])
-    joined = np.frombuffer("".join(t for _, t in data).encode(), np.uint8)
-    total = 0
-    for i, j in repeats.slices(offsets, 1):
-        grams, first = suffix_dedup._units(joined[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        _, _, windows, *_ = repeats.runs_of(grams, suffix_dedup.GRAM, suffix_dedup.SIZE, first)
-        total += int(windows.sum())
-    assert total == sum(max(0, len(t.encode()) - suffix_dedup.SIZE + 1) for _, t in data)
+def test_texts_larger_than_slices_and_pools(spark):
+    r = random.Random(8)
+    long = " ".join(f"w{r.randrange(10**7)}" for _ in range(250_000))
+    passage = " ".join(f"p{r.randrange(10**7)}" for _ in range(60))
+    a, b = 300_007, 2_000_001
+    rows = [(0, long), (1, "\x01" + long[a:b] + "\x02")] + [(i, f"{i * 7919 % 10007:05d}q{passage}{i * 104729 % 10007:05d}") for i in range(2, 6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert len(long) > 2 * repeats.SLICE and 6000 * 350 > 2 * repeats.POOL
+    got = {r.doc_id: r for r in suffix_dedup.dedup(df).collect()}
+    assert (got[0].n_removed, got[0].n_spans, got[1].n_removed, got[1].n_spans) == (b - a, 1, b - a, 1)
+    some = [0, 1, *range(2, 6000)]
+    want = brute_bytes([t for i, t in rows if i > 1], suffix_dedup.SIZE)
+    assert [tuple(got[i])[1:] for i in some[2:]] == want
+    got = {r.doc_id: r for r in substring_dedup.dedup(df).collect()}
+    inside = long[a:b].split()[1:-1]
+    assert got[0].n_removed == got[1].n_removed == len(inside)
+    assert [tuple(got[i])[1:] for i in some[2:]] == brute_words([t for i, t in rows if i > 1], substring_dedup.SIZE)
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    w = "ab"
+    for _ in range(9):
+        w += w.translate(str.maketrans("ab", "ba"))
+    other = w.translate(str.maketrans("ab", "ba"))
+    body = [f"u{i}" for i in range(34)]
+    rows = [(1, " ".join([*body[:17], w, *body[17:]])), (2, " ".join([*body[:17], other, *body[17:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.dedup(df).collect()] == [0, 0]
 
 
 def test_repeated_ids_rows_and_empty_tables(spark):
