@@ -2,10 +2,9 @@
 
 Encoding. A split into tokens is the merge list's own exactly if each adjacent pair of tokens is what the merges
 make of the pair's bytes. So the last token of each prefix's encoding is the one token that ends there and goes with
-the last token before it, and encodings of all prefixes form a tree. After n bytes any continuation passes one of
-the open ends: n itself and starts of possible tokens that reach past n, at most `lookahead` bytes back, which is
-computed from the merges (the longest token less one byte). Tokens up to the open ends' common ancestor can't change
-any more and are emitted; the transducer keeps only what follows.
+the last token before it, and encodings of all prefixes form a tree. `sufficient_lookahead` computes from the merge list how many
+bytes at the end of a prefix its continuation can change at most; tokens that end before are emitted, and the transducer
+keeps only those bytes, one token and one step, whatever the text's length.
 
 `Encoder.feed` takes text in pieces of any size: it holds back what the split into pre-tokens (a fixed pattern) or
 special tokens may still change, at most a few characters, and streams a pre-token of more than LONG characters.
@@ -63,6 +62,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
+    """The most bytes before a prefix's end that what follows can change.
+
+    Merge a prefix with and without a continuation, rule by rule. Both have the same tokens up to a front, at first the
+    prefix's end, and within them the same merges. A rule (x, y) moves the front only if the last common token is x and in one of
+    the two a y follows, by the length of x; at a front moved there by a rule (x', .), y begins with x', and that rule came
+    before. So the longest chain of rules with such left parts, in bytes, bounds the front's way. It takes merges in which
+    tokens are made before they are used (else a ValueError)."""
+    way: dict[bytes, int] = {}
+    made: set[bytes] = set()
+    most = 0
+    for x, y in merges:
+        if any(len(t) > 1 and t not in made for t in (x, y)):
+            raise ValueError("a merge uses a token that no earlier one makes")
+        made.add(x + y)
+        here = len(x) + max(way.get(y[:i], 0) for i in range(1, len(y) + 1))
+        way[x] = max(way.get(x, 0), here)
+        most = max(most, here)
+    return most
+
+
 class Vocabulary:
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
@@ -73,9 +93,8 @@ class Vocabulary:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(to_bytes(a), to_bytes(b)): i for i, (a, b) in enumerate(merges)}
         self.bytes = {i: t for t, i in self.ids.items()} | {i: c.encode() for c, i in self.special.items()}
-        self.lookahead = max(len(a) + len(b) for a, b in self.ranks) - 1
+        self.lookahead = sufficient_lookahead([*self.ranks])
         self.tails = {t[i:] for t in self.ids for i in range(len(t))}
-        self.heads = {t[:i] for t in self.ids for i in range(1, len(t))}
         self.sizes = {i: len(t) for i, t in self.bytes.items()}
         self.pairs: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
@@ -162,20 +181,12 @@ class Piece:
         for at in range(0, len(data), STEP):
             self.data += data[at : at + STEP]
             self.v.extend(self.data, self.last, range(len(self.last), len(self.data) + 1))
-            if len(data) > at + STEP or len(self.data) > 2 * STEP:
-                yield from self._certain()
-
-    def _certain(self):
-        n = len(self.data)
-        low = max(0, n - self.v.lookahead)
-        ends = {n} | {i for i in range(low, n) if self.last[i] != NONE and self.data[i:] in self.v.heads}
-        while len(ends) > 1:  # to the common ancestor
-            far = max(ends)
-            ends.remove(far)
-            ends.add(far - self.v.sizes[self.last[far]])
-        (at,) = ends
-        yield from self.v.path(self.last, at)
-        self.data, self.last = self.data[at:], self.last[at:]
+            if len(self.data) > self.v.lookahead + STEP:
+                at = len(self.data)
+                while at > len(self.data) - self.v.lookahead:
+                    at -= self.v.sizes[self.last[at]]
+                yield from self.v.path(self.last, at)
+                self.data, self.last = self.data[at:], self.last[at:]
 
     def end(self) -> list[int]:
         return self.v.path(self.last, len(self.data))

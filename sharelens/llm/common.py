@@ -65,6 +65,17 @@ def discard(*tables: DataFrame) -> None:
         _delete(_MADE.pop(t._work_path), t._work_path)
 
 
+def tables() -> set[str]:
+    """The work tables there are."""
+    return set(_MADE)
+
+
+def discard_since(before: set[str], *keep: DataFrame) -> None:
+    """Deletes the work tables made since, but for `keep`."""
+    for path in set(_MADE) - before - {t._work_path for t in keep}:
+        _delete(_MADE.pop(path), path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,16 +1,19 @@
-"""Exact dedup through a minimal perfect hash over the distinct digests seen so far.
+"""Exact dedup through a minimal perfect hash over historical distinct digests.
 
 Digests are SHA-256 of the text after each run of [\\x20\\x09-\\x0D] became one space, computed in the JVM.
-`build_index` groups the history's digests (partial sums, so a digest that a third of all rows hold is one row
-per task before the shuffle), deals the distinct ones over shards and turns each shard into a minimal perfect
-hash: n slots for n digests, each slot with the full digest and the locator of its winner. `lookup` sends
-digests to their shard, computes the one slot and compares all 32 bytes; members are repeats of the slot's
-winner, nonmembers are grouped among themselves. Shards that hold hot digests are looked up in several salted
-parts, each with a copy of the shard's bounded table.
-
-Defined cases: null text is the empty text; empty texts equal each other; a null doc_id loses to any other and
-is null in keep_id only when all ids of its group are; repeated rows each come back, all with the same keep_id
-(`kept` holds for every row that carries the smallest id); an empty table gives no rows; other columns are ignored.
+`build_index` deals the history's distinct digests over shards and turns each shard into a minimal perfect hash: n slots for
+n digests, each slot with the full digest and the locator of its winner. `lookup` sends digests to their shard,
+computes the one slot and compares all 32 bytes: members are repeats of the slot's winner, nonmembers are grouped among
+themselves. A shard holds about SHARD_DIGESTS digests, some 3 MB of a task's memory; shards that hold hot digests are looked
+up in several salted parts by row number, each with a copy of the shard's table.
+
+The history is a table of earlier documents; without one it is the earlier half of the rows by doc_id (up to the
+median), whose distinct digests are all in the index, so that the later half and the history's own repeats are told by it.
+
+Defined cases: null text is the empty text; empty texts equal each other; very long texts count as a whole; a null doc_id is
+never history, loses to any other and is null in keep_id only when all ids of its group are; repeated rows each come back, all
+with the same keep_id (`kept` holds for every row that carries the smallest id); an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ SHARD_DIGESTS, PART_ROWS = 20_000, 100_000
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id and the 32-byte digest of the normalised text."""
     text = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
-    return docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
 class PerfectHash:
@@ -125,38 +128,40 @@ def _probe(docs, index):
         found = (slots[at] == keys).all(axis=1)
     take = pa.array(at, mask=~found)
     return pa.table({
-        "doc_id": docs.column("doc_id"), "digest": docs.column("digest"), "member": pa.array(found),
+        "doc_id": docs.column("doc_id"), "digest": docs.column("digest"), "late": docs.column("late"), "member": pa.array(found),
         "winner": pa.array(held["winner"], pa.int64()).take(take), "size": pa.array(held["size"], pa.int64()).take(take),
     })
 
 
 def lookup(docs: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """docs: doc_id, digest. Adds member, winner and size of the slot whose digest is the same, byte by byte."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("shard", _shard(shards))
+    """docs: doc_id, digest, late and row, its number. Adds member, winner and size of the slot whose digest is the same, byte by
+    byte."""
+    docs = docs.withColumn("shard", _shard(shards))
     parts = docs.groupBy("shard").count().select("shard", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))
     # one row a shard and part: tables are copied only for shards with many rows
     copies = index.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    docs = docs.join(F.broadcast(parts) if shards <= 10_000 else parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    out = "doc_id long, digest binary, member boolean, winner long, size long"
-    return docs.select("doc_id", "digest", "shard", "part").groupBy("shard", "part").cogroup(copies.select("shard", "part", "table").groupBy("shard", "part")).applyInArrow(_probe, out)
+    docs = docs.join(F.broadcast(parts) if shards <= 10_000 else parts, "shard").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    out = "doc_id long, digest binary, late boolean, member boolean, winner long, size long"
+    return docs.select("doc_id", "digest", "late", "shard", "part").groupBy("shard", "part").cogroup(copies.select("shard", "part", "table").groupBy("shard", "part")).applyInArrow(_probe, out)
 
 
 def dedup(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    `history` (doc_id, text) holds earlier documents: texts in it are repeats of its winner. Without it the
-    history is made of the digests that docs itself repeats; digests outside the index group separately."""
+    `history` (doc_id, text) holds earlier documents: texts in it are repeats of its winner, and the group counts both."""
     configure(docs.sparkSession)
-    new = materialize(digests(docs))
-    past = digests(history) if history is not None else new
-    known = past.groupBy("digest").agg(F.min("doc_id").cast("long").alias("winner"), F.count("*").alias("size"))
-    known = materialize(known if history is not None else known.where("size > 1"))
+    new = materialize(digests(docs).withColumn("row", F.monotonically_increasing_id()))
+    middle = None if history is not None else new.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    late = F.lit(True) if middle is None else F.coalesce(F.col("doc_id") > middle, F.lit(True))
+    new = new.withColumn("late", late)
+    past = digests(history) if history is not None else new.where("not late")
+    known = materialize(past.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count("*").alias("size")))
     shards = max(1, -(-known.count() // SHARD_DIGESTS))
     seen = materialize(lookup(new, build_index(known, shards), shards))
     members = seen.where("member")
-    if history is not None:  # members follow the earlier winner; the group counts both sides
-        more = members.groupBy("digest").agg(F.count("*").alias("more"))
-        members = members.join(more, "digest").withColumn("size", F.col("size") + F.col("more")).drop("more")
+    # later members follow the earlier winner and count in its group
+    more = members.where("late").groupBy("digest").agg(F.count("*").alias("more"))
+    members = members.join(more, "digest", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
     rest = seen.where("not member")
     groups = rest.groupBy("digest").agg(F.min("doc_id").alias("winner"), F.count("*").alias("size"))
     rest = rest.drop("winner", "size").join(groups, "digest")

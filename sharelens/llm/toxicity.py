@@ -9,7 +9,7 @@ crc32(doc_id) mod 4 is not HELD_OUT alone. Scores depend on the text alone.
 Only the fit uses a sample: SAMPLE toxic and twice as many clean labelled rows at most, texts up to SAMPLE_CHARS, none of
 the fifth of the labels that is set aside. The thresholds come from all labelled rows outside the held-out part: one
 shift of the logit, so that score >= THRESHOLD is the best cut over all, and one threshold per language for
-`rejected`. Their logits (whole texts) are counted on the cluster per language, class and BINS bins; rows the model was
+`rejected`: the language's best cut and the common one, weighted by its rows of the rarer class and SHRINK. Their logits (whole texts) are counted on the cluster per language, class and BINS bins; rows the model was
 fitted on are left to the others of their language and class, which get their weight, so that the share of toxic rows
 is the real one at every size (a language's class of which all rows are fitted counts with those). The model (about
 4 MB, fixed size) is broadcast.
@@ -32,8 +32,8 @@ SAMPLE, SAMPLE_CHARS = 1_500, 12_000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 16, 16, (1, 2, 3), (4, 5, 6)
 #: One label in ASIDE is never fitted; bins of the logit between -REACH and REACH that thresholds are told by.
 ASIDE, REACH, BINS = 5, 30, 3840
-#: Counted rows of either class (of those not fitted, where there are such) from which on a language gets a threshold of its own.
-LEAST_PER_LANG = 20
+#: Weight of the common cut against a language's own, in rows of the language's rarer class.
+SHRINK = 20
 EPOCHS, RATE, BLANKS = 4, 0.1, max(WIDTHS)
 
 LETTER = np.zeros(256, bool)
@@ -244,22 +244,27 @@ def calibrate(model: Model, scored: DataFrame, labels: DataFrame, fitted: list)
     counts = materialize(histogram(scored, labels, fitted))
     rows = counts.groupBy("bin", "toxic").agg(F.sum("weight").alias("weight")).collect()
     column = lambda name: np.array([r[name] for r in rows])
-    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(column("bin"), column("toxic"), column("weight")))
+    common = best_cut(column("bin"), column("toxic"), column("weight"))
+    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - common)
 
     def own(table):
         import pyarrow as pa
 
         bins, toxic, n, weights = (table.column(c).to_numpy() for c in ("bin", "toxic", "rows", "weight"))
-        enough = min(n[toxic == 1].sum(), n[toxic == 0].sum()) >= LEAST_PER_LANG  # else THRESHOLD holds
-        return pa.table({"lang": table.column("lang")[: int(enough)], "cut": pa.array([best_cut(bins, toxic, weights)] * int(enough), pa.float64())})
+        rarer = float(min(n[toxic == 1].sum(), n[toxic == 0].sum()))
+        cut = (rarer * best_cut(bins, toxic, weights) + SHRINK * common) / (rarer + SHRINK)
+        return pa.table({"lang": table.column("lang")[:1], "cut": pa.array([cut], pa.float64())})
 
     for r in counts.where("lang IS NOT NULL").groupBy("lang").applyInArrow(own, "lang string, cut double").collect():
         model.thresholds[r["lang"]] = float(1 / (1 + np.exp(-(r["cut"] + model.shift))))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and `keep`, score, predicted (score >= THRESHOLD) and rejected (score >= the language's threshold)."""
+def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and `keep`, _llm_score and _llm_rejected (score >= the language's threshold)."""
     model, fitted = fit(docs, labels)
+    # functions on Arrow batches need plain column names
+    plain = {c: f"_llm_{i}" for i, c in enumerate(keep) if c not in ("text", "lang")}
+    docs, back, keep = docs.withColumnsRenamed(plain), keep, tuple(plain.get(c, c) for c in keep)
     if model.constant is not None:
         out, value, cut = docs.select("doc_id", *keep), F.lit(model.constant), F.lit(THRESHOLD)
     else:
@@ -271,8 +276,14 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
         if model.thresholds:
             own = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
             cut = F.coalesce(F.try_element_at(own, F.col("_llm_lang")), cut)
-    out = out.withColumn("score", value)
-    return out.select("doc_id", *keep, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), (F.col("score") >= cut).alias("rejected"))
+    out = out.withColumn("_llm_score", value)
+    return out.select("doc_id", *[F.col(c).alias(name) for c, name in zip(keep, back)], "_llm_score", (F.col("_llm_score") >= cut).alias("_llm_rejected"))
+
+
+def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score, predicted (score >= THRESHOLD) and rejected (score >= the language's threshold)."""
+    s = F.col("_llm_score")
+    return scored(docs, labels).select("doc_id", s.alias("score"), (s >= THRESHOLD).cast("int").alias("predicted"), F.col("_llm_rejected").alias("rejected"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Rules (under 1 kB each) up to which the index is broadcast; more are joined by token.
 BROADCAST_RULES = 20_000
 
@@ -71,14 +73,15 @@ def judge(pages: DataFrame, host_rules: Sequence[tuple] = HOST_RULES, pattern_ru
     rules = spark.range(1, numPartitions=1).select(F.inline(F.array(*[F.struct(*[literal(v).alias(n) for n, v in zip(names, (i, *r))]) for i, r in enumerate(rows)])))
     few = len(rows) <= BROADCAST_RULES
     held = F.broadcast if few else (lambda df: df)
-    pages = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
+    # numbered and written once: a page has one number in every branch, whichever executors read it again
+    pages = materialize(pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).withColumn("row", F.monotonically_increasing_id()))
 
     wanted = rules.select("id", F.explode("tokens").alias("token"))
     seen = pages.select(F.explode(tokens_of(F.col("url"))).alias("token")).join(held(wanted.select("token").distinct()), "token").groupBy("token").count()
     rarest = wanted.join(seen, "token", "left").groupBy("id").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), F.col("token"))).alias("token"))
     index = rules.drop("tokens").join(rarest, "id")
 
-    pages = pages.withColumn("row", F.monotonically_increasing_id()).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    pages = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     fetched = pages.withColumn("token", F.explode(tokens_of(F.col("url")))).join(held(index), "token")
     # one row per page and rule that fits; the best one per page by (host rule, rank)
     fits = fetched.where(F.expr(r"rlike(CASE WHEN is_host THEN concat(host, '\n', path) ELSE url END, pattern)"))

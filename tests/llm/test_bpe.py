@@ -87,3 +87,41 @@ def test_query(spark):
         want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert bpe.transcode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_memory_is_bounded_by_the_lookahead(vocabulary, library):
+    """One pre-token of any kind in small steps: what is kept never exceeds the computed lookahead, a token and a step."""
+    r = random.Random(3)
+    most = vocabulary.lookahead + max(vocabulary.sizes.values()) + 2 * bpe.STEP
+    assert vocabulary.lookahead < 1000
+    merged = [a + b for a, b in vocabulary.ranks if (a + b).isalpha()]
+    for kind in ("letters", "tokens", "one", "two"):
+        text = {"letters": lambda: "".join(r.choice("etaoinshr") for _ in range(20_000)), "tokens": lambda: b"".join(r.choice(merged) for _ in range(5_000)).decode(), "one": lambda: "a" * 20_000, "two": lambda: "ab" * 10_000}[kind]()
+        p, out, kept = bpe.Piece(vocabulary), [], 0
+        for i in range(0, len(text), 100):
+            out += p.feed(text[i : i + 100].encode())
+            kept = max(kept, len(p.data))
+        assert out + p.end() == library.encode(text, add_special_tokens=False).ids
+        assert kept <= most
+
+
+def test_tokens_before_the_lookahead_never_change(vocabulary, library):
+    """For random texts and continuations: tokens that end before the lookahead are in every continuation's encoding."""
+    r = random.Random(4)
+    merged = [t.decode() for t in (a + b for a, b in vocabulary.ranks) if t.isalpha() and t.isascii()]
+    for _ in range(200):
+        head = "".join(r.choice(merged) for _ in range(120))
+        ids = library.encode(head, add_special_tokens=False).ids
+        more = library.encode(head + "".join(r.choice(merged) for _ in range(5)), add_special_tokens=False).ids
+        at = 0
+        for a, b in zip(ids, more):
+            at += vocabulary.sizes[a]
+            if at > len(head) - vocabulary.lookahead:
+                break
+            assert a == b
+
+
+def test_merges_out_of_order_are_refused():
+    assert bpe.sufficient_lookahead([(b"a", b"b"), (b"c", b"ab"), (b"d", b"cab")]) == 3
+    with pytest.raises(ValueError):
+        bpe.sufficient_lookahead([(b"ab", b"c"), (b"a", b"b")])

@@ -57,6 +57,48 @@ def test_exact_dedup_against_history(spark):
     assert got == {10: (1, 2, False), 11: (11, 2, True), 12: (11, 2, False)}
 
 
+def test_exact_dedup_history_edges(spark):
+    long = "word " * 400_000
+    old = frame(spark, [(5, "a", "", ""), (2, "a", "", ""), (None, "n", "", ""), (4, None, "", ""), (6, long, "", "")])
+    new = frame(spark, [(2, "a", "", ""), (None, "a", "", ""), (9, "n", "", ""), (9, "n", "", ""), (None, "", "", ""), (7, long + " ", "", ""), (7, "alone", "", "")])
+    got = sorted([tuple(r)[:4] for r in exact_dedup.dedup(new, old).collect()], key=str)
+    want = [(2, 2, 4, False), (None, 2, 4, False), (9, None, 3, False), (9, None, 3, False), (None, 4, 2, False), (7, 6, 2, False), (7, 7, 1, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_index_holds_all_distinct_digests_of_the_earlier_half(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(exact_dedup, "build_index", lambda history, shards, f=exact_dedup.build_index: (seen.append(history.count()), f(history, shards))[1])
+    rows = [(i, f"text {i % 30}" if i % 2 else f"own {i}", "en", "s") for i in range(200)]
+    out = exact_dedup.dedup(frame(spark, rows)).collect()
+    assert seen == [len({t for i, t, *_ in rows[:100]})] and sum(r.kept for r in out) == len({t for _, t, *_ in rows})
+
+
+def test_fingerprints_against_exact_likeness(spark):
+    """The estimate against 2<a,b> / (<a,a> + <b,b>) of the multisets of word runs; long texts included."""
+    r = random.Random(12)
+    say = lambda k: " ".join(f"w{r.randrange(40 if k % 2 else 4000)}" for _ in range(k))
+    docs = [(i, "\n".join(say(r.randrange(5, 40)) for _ in range(r.randrange(1, 8)))) for i in range(80)] + [(80, say(30_001)), (81, say(30_000))]
+    got = {x.doc_id: x for x in fingerprints.compare(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+    def runs(text):
+        out = Counter()
+        for p in text.split("\n"):
+            w = re.findall(r"\S{1,24}", p)
+            out.update(tuple(w[i : i + 3]) for i in range(len(w)))
+        return out
+
+    errors = []
+    for k, (i, t) in enumerate(docs):
+        nxt = docs[(k + 1) % len(docs)][1]
+        q = len(t) // 4
+        for other, value in ((t[: len(t) - q] + nxt[:q], got[i].near_edited), (nxt, got[i].near_next)):
+            a, b = runs(t), runs(other)
+            exact = 2 * sum(a[x] * b[x] for x in a) / (sum(x * x for x in a.values()) + sum(x * x for x in b.values()))
+            errors.append(abs(min(1, exact) - value))
+    assert np.mean(errors) < 0.08 and max(errors) < 0.4
+
+
 def test_fingerprints(spark):
     docs = [(i * 3, t) for i, t in enumerate(texts(3, 150))]
     got = {r.doc_id: r for r in fingerprints.compare(spark.createDataFrame(docs, "doc_id long, text string").withColumn("bucket", F.lit(0))).collect()}
@@ -140,6 +182,52 @@ def test_url_filter(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_filter_is_the_same_for_any_split(spark, tmp_path):
+    rows = [(i % 50, f"http://h{i % 7}.example.net/en/{i}.html?utm_source=x" if i % 3 else f"http://a.org/fr/{i}") for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string").repartition(5).write.parquet(f"{tmp_path}/pages")
+    out, least = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (least, "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        judged = url_filter.judge(spark.read.parquet(f"{tmp_path}/pages"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k" if size == least else least)  # the result is read with another split
+        out.append(sorted(map(tuple, judged.collect()), key=str))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", least)
+    assert out[0] == out[1] and len(out[0]) == 400
+
+
+def test_toxicity_layers_against_naive_convolution():
+    """Embeddings, filters and pooling word by word; texts without words, of one word and next to others."""
+    raws = [b"", b"one", b"Some WORDS are here, and \xc3\x9cber 3 more", b"  ", b"x y"]
+    data, offsets = np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raws])])
+    model = toxicity.Model(3)
+    for w in toxicity.WIDTHS:
+        model.bias[w] = np.random.default_rng(w).normal(0, 1, toxicity.FILTERS).astype(np.float32)
+    got = model.logits(*toxicity.features(data, offsets))
+    for raw, z in zip(raws, got):
+        words, _ = toxicity.features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        e = [sum(model.table[k] for k in word) / len(word) for word in words]
+        pooled = []
+        for w in toxicity.WIDTHS:
+            for f in range(toxicity.FILTERS):
+                values = []
+                for i in range(len(e) + 1):  # the last place is the blank after the text
+                    value = float(model.bias[w][f])
+                    for k in range(w):
+                        if i + k < len(e):
+                            value += float(e[i + k] @ model.filters[w][k][:, f])
+                    values.append(value)
+                pooled.append(max(0.0, max(values)))
+        assert z == pytest.approx(float(np.dot(pooled, model.out) + model.base), abs=1e-4)
+
+
+def test_toxicity_with_clashing_columns(spark):
+    rows = [(i, "vile x" if i % 3 == 0 else f"good y{i}", "en", "s", i, True) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long, rejected boolean").withColumnRenamed("source", "pre.dicted")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    out = toxicity.scored(docs, labels, tuple(c for c in docs.columns if c != "doc_id")).where("NOT _llm_rejected")
+    assert {r.doc_id for r in out.collect()} == {i for i in range(300) if i % 3} and {"score", "pre.dicted", "rejected"} <= set(out.columns)
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(8)
     clean = [f"w{i}" for i in range(400)]

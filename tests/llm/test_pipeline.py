@@ -68,3 +68,21 @@ def test_dedups_keep_one_row_of_each_group(spark):
     alone = [(r.doc_id, r.text or "") for r in pipe.drop_near_copies(spark, docs, "").collect()]
     assert sorted((x for x in alone if x[1] and x[1] not in (say(10), say(10, 59))), key=str) == sorted((x for x in near if x[1]), key=str) and len(alone) == len(near) + 3
     assert pipe.drop_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_with_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    words = lambda k: " ".join(random.Random(k).choices([f"word{i}" for i in range(300)], k=40))
+    rows = [(i if i % 9 else None, ("vilest " if i % 4 == 0 else "") + words(i), "en", None if i % 7 == 0 else f"src{i % 3}", i, 0.5, True, "x", i, i) for i in range(240)] + [(5, words(5), "en", "s", 1, 0.5, False, "y", 1, 2)] * 2 + [(None, None, None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected boolean, tokens string, bucket int, digest long"
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    for name, table in (("full", rows), ("none", [])):
+        docs = spark.createDataFrame(table, schema)
+        for k, (_, stage) in enumerate(pipe.STAGES):
+            out = stage(spark, docs, d)
+            if k < len(pipe.STAGES) - 1:
+                assert out.columns == docs.columns
+            out.write.parquet(f"{d}/{name}-{k}")
+            before, docs = docs, spark.read.parquet(f"{d}/{name}-{k}")
+            assert docs.count() <= before.count() and (docs.count() > 50 or name == "none")
+    assert docs.count() == 0
