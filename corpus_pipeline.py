@@ -3,7 +3,8 @@
 toxicity -> exact dedup -> n-gram Jaccard join -> mixing to target weights -> BPE encoding and decoding.
 Stages take (spark, docs, sf_dir); all but the last return the columns of documents. The dedups keep one row of each
 group, told apart by a row key where ids are null or repeated: that of the smallest doc_id, a row without an id only if
-no other row of its group has one, and any one of several rows with that id.
+no other row of its group has one, and any one of several rows with that id. Other columns may have any name but those that
+begin with `_llm_` or are `_rk`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects at its language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, labels, rest).where("NOT rejected").select(*docs.columns)
+    return toxicity.scored(docs, labels, rest).where("NOT _llm_rejected").drop("_llm_score", "_llm_rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +64,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
+        before = common.tables()
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
-        docs = common.materialize(out)
+        docs, read = common.materialize(out), docs
+        common.discard_since(before - {getattr(read, "_work_path", None)}, docs)
 
 
 __all__ = ["STAGES", "ORACLE_SQL", "run"]
