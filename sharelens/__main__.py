@@ -1,4 +1,6 @@
-"""python -m sharelens --list | QUERY --path DIR [--out DIR] [--format F] [--limit N] [--cpus N]"""
+"""python -m sharelens --list | QUERY... --path DIR [--out DIR] [--format F] [--force] [--optional QUERY] [--limit N] [--cpus N]
+
+Several queries, or --force, run as stages with a manifest: what an earlier run has written is read back unless forced."""
 
 from __future__ import annotations
 
@@ -7,11 +9,14 @@ import argparse
 from .plans import catalogue
 from .session import session
 from .sources.sinks import write_tables
+from .sources.stages import Runner, Stage
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sharelens", description="Runs a query of the catalogue.")
-    p.add_argument("query", nargs="?")
+    p.add_argument("query", nargs="*")
+    p.add_argument("--force", action="store_true", help="run stages again that are in the manifest")
+    p.add_argument("--optional", action="append", default=[], metavar="QUERY", help="a stage that may fail")
     p.add_argument("--list", action="store_true", help="names of all queries")
     p.add_argument("--path", help="folder of the tables")
     p.add_argument("--out", help="folder for the result; without it rows are shown")
@@ -22,12 +27,19 @@ def main(argv: list[str] | None = None) -> int:
     if args.list or not args.query:
         print("\n".join(sorted(catalogue.queries())))
         return 0
-    if args.query not in catalogue.queries() or not args.path:
-        p.error("a known query and --path are needed")
+    known = catalogue.queries()
+    if not {*args.query, *args.optional} <= set(known) or not args.path:
+        p.error("known queries and --path are needed")
+    if (len(args.query) > 1 or args.force or args.optional) and not args.out:
+        p.error("stages need --out")
     spark = session(args.cpus)
-    df = catalogue.queries()[args.query](spark, args.path)
+    if len(args.query) > 1 or args.force or args.optional:
+        stages = [Stage(n, lambda frames, n=n: known[n](spark, args.path), optional=n in args.optional) for n in dict.fromkeys([*args.query, *args.optional])]
+        Runner(spark, args.out, stages).run(args.force).show(len(stages), truncate=False)
+        return 0
+    df = known[args.query[0]](spark, args.path)
     if args.out:
-        print(write_tables({args.query: df}, args.out, args.format)[args.query])
+        print(write_tables({args.query[0]: df}, args.out, args.format)[args.query[0]])
     else:
         df.show(args.limit, truncate=False)
     return 0

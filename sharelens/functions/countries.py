@@ -5,9 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: name (lower case) to code, in order; a parameter of the functions.
-NAMES = (("spain", "ES"), ("germany", "DE"), ("india", "IN"), ("france", "FR"), ("italy", "IT"), ("united kingdom", "GB"), ("uk", "GB"), ("usa", "US"))
-DOMAINS = ((".es", "ES"), (".de", "DE"), (".fr", "FR"), (".it", "IT"), (".ac.uk", "GB"), (".edu", "US"))
+# Names (lower case) and codes, in order; a parameter of the functions.
+NAMES = (
+    ("spain", "ES"), ("germany", "DE"), ("india", "IN"), ("france", "FR"), ("italy", "IT"), ("united kingdom", "GB"), ("uk", "GB"), ("usa", "US"),
+    ("united states of america", "US"), ("united states", "US"), ("england", "GB"), ("scotland", "GB"), ("wales", "GB"), ("northern ireland", "GB"), ("great britain", "GB"),
+    ("austria", "AT"), ("belgium", "BE"), ("bulgaria", "BG"), ("croatia", "HR"), ("cyprus", "CY"), ("czech republic", "CZ"), ("czechia", "CZ"), ("denmark", "DK"), ("estonia", "EE"),
+    ("finland", "FI"), ("greece", "GR"), ("hungary", "HU"), ("ireland", "IE"), ("latvia", "LV"), ("lithuania", "LT"), ("luxembourg", "LU"), ("malta", "MT"), ("the netherlands", "NL"),
+    ("netherlands", "NL"), ("poland", "PL"), ("portugal", "PT"), ("romania", "RO"), ("slovakia", "SK"), ("slovenia", "SI"), ("sweden", "SE"), ("norway", "NO"), ("switzerland", "CH"),
+    ("turkey", "TR"), ("russia", "RU"), ("ukraine", "UA"), ("serbia", "RS"), ("israel", "IL"), ("egypt", "EG"), ("south africa", "ZA"), ("canada", "CA"), ("mexico", "MX"),
+    ("brazil", "BR"), ("argentina", "AR"), ("chile", "CL"), ("colombia", "CO"), ("china", "CN"), ("hong kong", "HK"), ("taiwan", "TW"), ("japan", "JP"), ("south korea", "KR"),
+    ("singapore", "SG"), ("australia", "AU"), ("new zealand", "NZ"), ("iran", "IR"), ("saudi arabia", "SA"), ("united arab emirates", "AE"), ("pakistan", "PK"), ("vietnam", "VN"),
+)
+#: Suffixes of domains: those of the codes above, with the ones that differ from their code.
+DOMAINS = ((".ac.uk", "GB"), (".uk", "GB"), (".edu", "US"), (".gov", "US"), (".mil", "US"), *((f".{c.lower()}", c) for c in sorted({c for _, c in NAMES} - {"GB"})))
+#: Parts of institutions' names that tell the country; a parameter as well.
+HINTS = (("university of oxford", "GB"), ("imperial college", "GB"), ("max planck", "DE"), ("fraunhofer", "DE"), ("cnrs", "FR"), ("inria", "FR"), ("csic", "ES"), ("politecnico di", "IT"), ("eth zurich", "CH"), ("stanford", "US"), ("carnegie mellon", "US"), ("tsinghua", "CN"))
 
 
 def _lookup(x: Column, names) -> Column:
@@ -32,9 +44,14 @@ def infer(text: Column, names=NAMES, least: int = 4, strict: bool = False) -> Co
     return F.coalesce(_lookup(clean, names).cast("string") if strict else F.lit(None).cast("string"), F.when(_lookup(clean, names).isNotNull(), _lookup(clean, names)), part, code, sub)
 
 
-def mentioned(text: Column, names=NAMES) -> Column:
-    """All codes whose name stands in the text as a word."""
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(rf"(?i)\b{n}\b"), c) for n, c in names]))))
+def mentioned(text: Column, names=NAMES, hints=HINTS) -> Column:
+    """All codes whose name stands in the text as a word, or a hint of which is in it."""
+    by_code: dict[str, list[str]] = {}
+    for n, c in names:
+        by_code.setdefault(c, []).append(n)
+    found = [F.when(text.rlike(rf"(?i)\b(?:{'|'.join(ns)})\b"), c) for c, ns in by_code.items()]
+    found += [F.when(F.contains(F.lower(text), F.lit(h)), c) for h, c in hints]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
 
 def from_domain(domain: Column, domains=DOMAINS) -> Column:

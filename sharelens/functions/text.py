@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import unicodedata
 
 from pyspark.sql import Column
@@ -10,14 +11,15 @@ from pyspark.sql import functions as F
 
 
 def accent_table() -> tuple[str, str]:
-    """Lower-case letters U+00E0..U+017F whose decomposition starts with an ASCII letter, and those letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xE0, 0x180)]
+    """Lower-case Latin letters up to U+024F and in U+1E00..U+1EFF whose decomposition starts with an ASCII letter, and those letters."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))]
     pairs = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
     return "".join(a for a, _ in pairs), "".join(b.lower() for _, b in pairs)
 
 
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), *accent_table())
+    """Lower case without accents, whether letters are composed or followed by combining marks."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), *accent_table())
 
 
 def title_ascii(text: Column) -> Column:
@@ -72,16 +74,27 @@ def country_code(x: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.when(x.rlike("^[A-Z]{2}$"), x)
 
 
-def entities(x: Column, names: tuple[str, ...] = ("quot", "copy", "middot", "uuml", "ouml", "auml", "eacute", "egrave", "ntilde", "ccedil", "ndash", "mdash", "nbsp", "lt", "gt", "amp")) -> Column:
-    """Named HTML entities as their characters (nbsp as a space); amp last."""
-    for n in names:
-        x = F.replace(x, F.lit(f"&{n};"), F.lit(" " if n == "nbsp" else html.unescape(f"&{n};")))
-    return x
+def entities(x: Column, names: tuple[str, ...] = tuple(sorted(html.entities.name2codepoint))) -> Column:
+    """Named HTML entities as their characters (nbsp as a space), each once: what comes out is not read again."""
+    table = F.create_map(*[F.lit(v) for n in names for v in (n, " " if n == "nbsp" else html.unescape(f"&{n};"))])
 
+    def repaired(piece):
+        name = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);", 1)
+        return F.coalesce(F.concat(F.try_element_at(table, name), F.substring(piece, F.length(name) + 3, F.length(piece))), piece)
 
-def xml_safe(x: Column, names: tuple[str, ...] = ("uuml", "ouml", "auml", "Uuml", "Ouml", "Auml", "eacute", "egrave", "agrave", "ntilde", "ccedil", "szlig", "nbsp", "oacute", "iacute", "aacute", "uacute")) -> Column:
+    return F.array_join(F.transform(F.split(x, "(?=&[A-Za-z][A-Za-z0-9]*;)"), repaired), "")
+
+
+def xml_safe(x: Column) -> Column:
     """HTML entities repaired, the five of XML kept."""
-    return entities(x, names)
+    return entities(x, tuple(sorted(set(html.entities.name2codepoint) - {"quot", "amp", "lt", "gt", "apos"})))
+
+
+def pdf_links(page: Column, url: Column, hosts: tuple[str, ...], most: int = 20) -> Column:
+    """Distinct PDF links of a page, made absolute, on allowed hosts only; at most so many a page, in their order."""
+    found = F.array_distinct(F.transform(hrefs(page), lambda h: absolute(url, h)))
+    pdf = lambda u: F.lower(u).rlike(r"\.pdf(?:[?#].*)?$|/pdf/") & host_allowed(host(u), hosts)
+    return F.slice(F.filter(found, pdf), 1, most)
 
 
 def links(x: Column) -> Column:

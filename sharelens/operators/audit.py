@@ -34,6 +34,12 @@ def metrics(df: DataFrame, **values) -> DataFrame:
 
 
 def surrogate_keys(df: DataFrame, order: list[str], name: str = "key", width: int = 7, prefix: str = "P") -> DataFrame:
+    """Keys in order: a prefix and the row's number."""
+    out = numbered(df, order, "_k")
+    return out.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_k").cast("string"), width, "0"))).drop("_k")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """Numbers in order without one task seeing all rows: a range sort, counts per partition, and their running sums.
 
     The sorted rows are written once, so numbers stay the same if an executor is lost."""
@@ -42,8 +48,7 @@ def surrogate_keys(df: DataFrame, order: list[str], name: str = "key", width: in
     parts = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row per partition
-    out = parts.join(F.broadcast(before), "_part").withColumn("_k", F.col("_before") + F.col("_at") + 1)
-    return out.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_k").cast("string"), width, "0"))).drop("_part", "_at", "_before", "_k")
+    return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
 def text_report(df: DataFrame, template: str, *columns: str, order: tuple[str, ...]) -> str:

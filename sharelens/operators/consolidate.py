@@ -13,16 +13,17 @@ def union(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def _ordered(column: str):
-    """Distinct values in order of priority, source and method, blanks left out."""
-    rows = F.array_sort(F.collect_set(F.when(~F.lower(F.trim(F.col(column))).isin("", "nan", "none", "<na>"), F.struct("priority", "source", "method", F.col(column).alias("v")))))
-    return F.array_join(F.array_distinct(F.transform(rows, lambda r: r["v"])), "|")
+def _joined(field: str):
+    """Distinct values of a field in the order of the rows, blanks left out."""
+    values = F.filter(F.transform("_rows", lambda r: r[field]), lambda v: ~F.lower(F.trim(v)).isin("", "nan", "none", "<na>"))
+    return F.array_join(F.array_distinct(values), "|")
 
 
 def consolidate(evidence: DataFrame) -> DataFrame:
-    """The sets hold distinct (source, method) values of one paper and country, a bounded number."""
-    e = evidence.select("paper_id", "country", "source", "method", "priority").distinct()
-    return e.groupBy("paper_id", "country").agg(_ordered("source").alias("sources"), _ordered("method").alias("methods"), F.count_distinct("source").alias("n_sources"), F.min("priority").alias("best_priority"))
+    """One row per paper and country, from one set of its distinct (priority, source, method), a bounded number."""
+    rows = evidence.groupBy("paper_id", "country").agg(F.array_sort(F.collect_set(F.struct("priority", "source", "method"))).alias("_rows"))
+    sources = F.array_distinct(F.array_compact(F.transform("_rows", lambda r: r["source"])))
+    return rows.select("paper_id", "country", _joined("source").alias("sources"), _joined("method").alias("methods"), F.size(sources).cast("long").alias("n_sources"), F.array_min(F.array_compact(F.transform("_rows", lambda r: r["priority"]))).alias("best_priority"))
 
 
 def source_counts(consolidated: DataFrame) -> DataFrame:

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.ratios import ratio
 
 
-def paper_fact(papers: DataFrame, paper_country: DataFrame) -> DataFrame:
-    per = paper_country.groupBy("paper_id").agg(
-        F.count("*").alias("n_countries"),
-        F.count_if("is_bloc").alias("n_bloc"),
-        F.bool_or("is_focal").alias("has_focal"),
-        F.array_sort(F.collect_set("country")).alias("countries"),  # bounded by the number of countries
+def paper_fact(papers: DataFrame, countries: DataFrame) -> DataFrame:
+    """countries: paper_id, country, is_bloc, is_focal, repeats allowed: a paper's distinct ones (a bounded set) come from the same
+    aggregation that counts them, so they are shuffled once, by paper."""
+    per = countries.groupBy("paper_id").agg(F.collect_set(F.struct("country", "is_bloc", "is_focal")).alias("_set"))
+    per = per.select(
+        "paper_id",
+        F.size("_set").cast("long").alias("n_countries"),
+        F.size(F.filter("_set", lambda x: x["is_bloc"])).cast("long").alias("n_bloc"),
+        F.exists("_set", lambda x: x["is_focal"]).alias("has_focal"),
+        F.array_sort(F.transform("_set", lambda x: x["country"])).alias("countries"),
     )
     out = papers.join(per, "paper_id", "left")
     return out.withColumns({

@@ -86,6 +86,14 @@ def denominators(pc: DataFrame, groups: DataFrame, windows: DataFrame, focal: st
     return out.withColumn("share", ratio("focal", "papers"))
 
 
+def normalised(pc: DataFrame, attributes: DataFrame, measures: dict[str, int], *keys: str) -> DataFrame:
+    """Papers of each country over its measures (people, researchers, spending, ...), each per so many units; a country
+    without attributes keeps its row with nulls. attributes: country and the measures, one row a country."""
+    counts = pc.groupBy(*keys, "country").agg(F.count("*").alias("papers"))
+    out = counts.join(attributes, "country", "left")
+    return out.select(*keys, "country", "papers", *[F.try_divide(F.col("papers").cast("double") * per, F.col(m).cast("double")).alias(f"per_{m}") for m, per in measures.items()])
+
+
 def overlap_inflation(fact: DataFrame, *keys: str) -> DataFrame:
     f = fact.where("has_bloc")
     out = f.groupBy(*keys).agg(F.count("*").alias("articles"), F.sum("n_bloc").alias("sum_counts"), F.avg("n_bloc").alias("mean_multiplicity"), F.median("n_bloc").alias("median_multiplicity"), F.count_if(F.col("n_bloc") > 1).alias("intra"))
@@ -108,9 +116,11 @@ def partners(fact: DataFrame, focal: str, *keys: str) -> DataFrame:
 
 
 def institution_ranking(links: DataFrame) -> DataFrame:
-    """Papers per institution and its place; the place needs all institutions, one row each."""
+    """Papers per institution and its place: a range sort and the running sums of its parts, no task sees all institutions."""
+    from .audit import numbered
+
     counts = links.groupBy("institution").agg(F.count("*").alias("papers"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col("papers").desc(), "institution")))
+    return numbered(counts, [F.col("papers").desc(), F.col("institution")], "place")
 
 
 def concentration(links: DataFrame, *keys: str) -> DataFrame:

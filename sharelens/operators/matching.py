@@ -32,30 +32,40 @@ def fuzzy_match(papers: DataFrame, works: DataFrame, block: list[str], theta: fl
 
     Prefix filter: with tokens in one order, rarest first, two sets that reach theta share one of each other's first
     n - ceil(theta n) + 1 tokens, so only these are joined. Equal titles are joined once, and no candidate is dropped."""
-    key = [*block, "title"]
     sides = {}
     for name, df, ident in (("p", papers, "paper_id"), ("w", works, "work_id")):
-        rows = df.where("title <> ''").groupBy(*key).agg(F.min(ident).alias("first"))
-        sides[name] = rows.withColumn("toks", F.array_sort(F.array_distinct(tokens(F.col("title")))))
+        rows = df.where("title <> ''").groupBy(*block, "title").agg(F.min(ident).alias("id"))  # a title's least id stands for it
+        sides[name] = rows.withColumn("toks", F.array_distinct(tokens(F.col("title"))))
     df_of = sides["p"].select(*block, F.explode("toks").alias("t")).unionByName(sides["w"].select(*block, F.explode("toks").alias("t")))
     freq = df_of.groupBy(*block, "t").agg(F.count("*").alias("df"))
 
     def prefix(side: DataFrame) -> DataFrame:
-        rows = side.select(*key, "toks", F.explode("toks").alias("t")).join(freq, [*block, "t"])
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("df", "t"))
-        keep = F.size("toks") - F.ceil(F.round(theta * F.size("toks"), 9)) + 1
-        return rows.withColumn("_p", place).where(F.col("_p") <= keep).select(*block, "title", "toks", "t")
+        rows = side.select(*block, "id", F.size("toks").alias("n"), F.explode("toks").alias("t")).join(freq, [*block, "t"])
+        own = rows.groupBy(*block, "id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))  # a title's tokens
+        keep = F.col("n") - F.ceil(F.round(theta * F.col("n"), 9)) + 1
+        return own.select(*block, "id", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).select(*block, "id", "n", F.col("x.t").alias("t"))
 
     left = prefix(sides["p"])
-    right = prefix(sides["w"]).withColumnsRenamed({"title": "w_title", "toks": "w_toks"})
-    size = F.least(F.size("toks"), F.size("w_toks")) >= theta * F.greatest(F.size("toks"), F.size("w_toks"))
+    right = prefix(sides["w"]).withColumnsRenamed({"id": "w_id", "n": "w_n"})
+    size = F.least("n", "w_n") >= theta * F.greatest("n", "w_n")
+    # only ids and sizes are joined on tokens; tokens are fetched for the distinct pairs
+    pairs = left.join(right, [*block, "t"]).where(size).select(*block, "id", "w_id").distinct()
+    w = sides["w"].select(*block, F.col("id").alias("w_id"), F.col("title").alias("w_title"), F.col("toks").alias("w_toks"))
+    scored = pairs.join(sides["p"], [*block, "id"]).join(w, [*block, "w_id"])
     if other:
-        size = size & (F.col("title") != F.col("w_title"))
-    pairs = left.join(right, [*block, "t"]).where(size).select(*block, "title", "w_title", "toks", "w_toks").distinct()
-    scored = pairs.withColumn("score", set_similarity(F.col("toks"), F.col("w_toks"))).where(F.col("score") >= theta)
-    scored = scored.join(sides["w"].select(*block, F.col("title").alias("w_title"), F.col("first").alias("work_id")), [*block, "w_title"])
-    scored = best(scored.select(*key, "work_id", "score"), key, F.col("score").desc(), F.col("work_id"))
-    return papers.join(scored, key).select("paper_id", "work_id", "score")
+        scored = scored.where(F.col("title") != F.col("w_title"))
+    scored = scored.withColumn("score", set_similarity(F.col("toks"), F.col("w_toks"))).where(F.col("score") >= theta)
+    scored = best(scored.select(*block, "title", F.col("w_id").alias("work_id"), "score"), [*block, "title"], F.col("score").desc(), F.col("work_id"))
+    return papers.join(scored, [*block, "title"]).select("paper_id", "work_id", "score")
+
+
+def title_search(papers: DataFrame, hits: DataFrame, theta: float = 0.9, most: int = 5, tolerance: int = 1) -> DataFrame:
+    """papers: paper_id, title, year; hits: paper_id, place, work_id, title, year as a search returns them. Of the first `most`
+    hits within the years the most similar one that reaches theta, ties by place: paper_id, work_id, score."""
+    h = hits.where(F.col("place") <= most).select("paper_id", "place", "work_id", F.col("title").alias("_title"), F.col("year").alias("_year"))
+    rows = papers.select("paper_id", "title", "year").join(h, "paper_id").where(F.abs(F.col("year") - F.col("_year")) <= tolerance)
+    rows = rows.withColumn("score", set_similarity(tokens(F.col("title")), tokens(F.col("_title")))).where(F.col("score") >= theta)
+    return best(rows, ["paper_id"], F.col("score").desc(), F.col("place")).select("paper_id", "work_id", "score")
 
 
 def profile_lookup(papers: DataFrame, history: DataFrame) -> DataFrame:

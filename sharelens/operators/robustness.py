@@ -108,8 +108,9 @@ def bootstrap_observed(cl: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("share", ratio("focal", "bloc"))
 
 
-def bootstrap(cl: DataFrame, key: str, replicates: int = 500, seed: int = 12345) -> DataFrame:
-    """Cluster bootstrap of the ratio, seeded by group. A group is its clusters' sums, venues x years rows."""
+def bootstrap(cl: DataFrame, key: str, replicates: int = 500, seed: int = 12345, block: int = 50) -> DataFrame:
+    """Cluster bootstrap of the ratio, seeded by group and block. A group is its clusters' sums, venues x years rows; its
+    replicates are dealt over tasks in blocks."""
 
     def run(pdf):
         import zlib
@@ -118,25 +119,32 @@ def bootstrap(cl: DataFrame, key: str, replicates: int = 500, seed: int = 12345)
         import pandas as pd
 
         pdf = pdf.sort_values(["venue", "year"])
-        r = np.random.default_rng([seed, zlib.crc32(str(pdf[key].iloc[0]).encode())])
+        part = int(pdf["_block"].iloc[0])
+        r = np.random.default_rng([seed, zlib.crc32(str(pdf[key].iloc[0]).encode()), part])
         focal, bloc, n = pdf["focal"].to_numpy(float), pdf["bloc"].to_numpy(float), len(pdf)
-        times = r.multinomial(n, np.full(n, 1 / n), size=replicates)
+        times = r.multinomial(n, np.full(n, 1 / n), size=min(block, replicates - part * block))
         den = times @ bloc
-        values = (times @ focal)[den > 0] / den[den > 0]
-        q = np.quantile(values, [0.025, 0.975]) if len(values) else [np.nan, np.nan]
-        share = focal.sum() / bloc.sum() if bloc.sum() else np.nan
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "clusters": [n], "share": [share], "low": [q[0]], "high": [q[1]], "sd": [values.std(ddof=1) if len(values) > 1 else np.nan]})
+        return pd.DataFrame({key: pdf[key].iloc[0], "value": (times @ focal)[den > 0] / den[den > 0]})
 
-    return cl.groupBy(key).applyInPandas(run, f"{key} string, clusters long, share double, low double, high double, sd double")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("_block")
+    values = cl.select("*", blocks).groupBy(key, "_block").applyInPandas(run, f"{key} string, value double")
+    spread = values.groupBy(key).agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.stddev("value").alias("sd"))
+    return bootstrap_observed(cl, key).select(key, "clusters", "share").join(spread, key, "left")
 
 
-def logit(rows: DataFrame, formula: str, max_iter: int = 25) -> DataFrame:
-    """term, coefficient, standard error, p-value of a binomial model; one row without estimates if it can't be fitted."""
+def missingness_cells(fact: DataFrame, *factors: str) -> DataFrame:
+    """Rows of the fact by factors: how many, and the share that is resolved. A binomial model of them is the one of the rows."""
+    return fact.dropna(subset=list(factors)).groupBy(*factors).agg(F.count("*").cast("double").alias("n"), F.avg(F.col("resolved").cast("double")).alias("share"))
+
+
+def logit(rows: DataFrame, formula: str, max_iter: int = 25, weight: str | None = None) -> DataFrame:
+    """term, coefficient, standard error, p-value of a binomial model of rows, or of cells with their weights."""
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    data = RFormula(formula=formula).fit(rows).transform(rows)
-    model = GeneralizedLinearRegression(family="binomial", maxIter=max_iter).fit(data)
+    data = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc").fit(rows).transform(rows)  # the first category is the base
+    glm = GeneralizedLinearRegression(family="binomial", maxIter=max_iter)
+    model = (glm.setWeightCol(weight) if weight else glm).fit(data)
     names = [a["name"] for group in data.schema["features"].metadata["ml_attr"]["attrs"].values() for a in sorted(group, key=lambda a: a["idx"])]
     s = model.summary
     values = [*model.coefficients.toArray().tolist(), model.intercept]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class WindowSpec:
-    """Bins of years, both ends included. Years outside are null, or an error with `strict` (checked by the gate)."""
+    """Bins of years, both ends included. Years outside are null, or an error with `strict`."""
 
     bins: tuple[tuple[int, int], ...]
 
@@ -18,11 +18,11 @@ class WindowSpec:
     def labels(self) -> list[str]:
         return [f"{a}-{b}" for a, b in self.bins]
 
-    def of(self, year: Column) -> Column:
+    def of(self, year: Column, strict: bool = False) -> Column:
         out = None
         for (a, b), label in zip(self.bins, self.labels):
             out = F.when(year.between(a, b), label) if out is None else out.when(year.between(a, b), label)
-        return out
+        return out.otherwise(F.raise_error(F.concat(F.lit("no window has the year "), F.coalesce(year.cast("string"), F.lit("null"))))) if strict else out
 
     def order(self, column: str = "win") -> Column:
         return F.array_position(F.array(*map(F.lit, self.labels)), F.col(column))

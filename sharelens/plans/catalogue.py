@@ -32,11 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for n, s in SQL.items() if n in _ALL}
+    return {n: s for n, s in (SQL | source_queries.SQL).items() if n in _ALL}
 
 
 def fact(c: Corpus) -> DataFrame:
-    return facts.paper_fact(c.papers, c.paper_country)
+    return facts.paper_fact(c.papers, c.country_rows)
 
 
 def bloc(c: Corpus) -> DataFrame:
@@ -312,10 +312,14 @@ def multiplicity_distribution(c):
     return indicators.multiplicity(fact(c), "win")
 
 
+def with_doi(c: Corpus) -> DataFrame:
+    """Papers of a price of six digits or more stand for those with a DOI."""
+    return fact(c).withColumn("has_doi", F.length(F.round("price").cast("long").cast("string")) > 5)
+
+
 @query
 def missingness_by_cell(c):
-    rows = fact(c).withColumn("has_doi", F.length(F.round("price").cast("long").cast("string")) > 5)
-    return facts.coverage(rows, "win", "area", "level", "has_doi")
+    return facts.coverage(with_doi(c), "win", "area", "level", "has_doi")
 
 
 @query
@@ -325,8 +329,8 @@ def missingness_by_venue(c):
 
 @query
 def missingness_logit(c):
-    rows = c.table("labels").join(c.table("documents"), "doc_id").select(F.col("quality").cast("double").alias("quality"), "lang", F.col("n_chars").cast("double").alias("n_chars"))
-    return robustness.logit(rows.where("quality IS NOT NULL AND lang IS NOT NULL AND n_chars IS NOT NULL"), "quality ~ lang + n_chars")
+    cells = robustness.missingness_cells(with_doi(c).withColumn("has_doi", F.col("has_doi").cast("double")), "win", "area", "level", "has_doi")
+    return robustness.logit(cells, "share ~ win + area + level + has_doi", weight="n")
 
 
 @query
@@ -391,7 +395,7 @@ def ranking_counts_pivot(c):
 
 @query
 def historical_gap(c):
-    known = c.papers.where("year = 1995").select("venue")
+    known = c.papers.where("year = 1995 AND venue NOT LIKE '%4'").select("venue")
     return history.gap(history.venue_rollup(resolved_history(c)), known)
 
 
@@ -564,12 +568,6 @@ def surrogate_keys(c):
     return audit.surrogate_keys(c.table("orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "key")
 
 
-@query
-def works_json_countries(c):
-    k = F.get_json_object("props", "$.k").cast("long").alias("k")
-    return c.table("events").groupBy("event_type", k).agg(F.count("*").alias("rows"))
-
-
 @query
 def status_counts(c):
     return audit.value_audit(c.table("orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")), "status", "priority")
@@ -660,3 +658,6 @@ def country_flags(c):
 def preflight_summary(c):
     """Rows, distinct keys and coverage before any analysis."""
     return audit.metrics(fact(c), rows=F.count("*"), papers=F.count_distinct("paper_id"), without_window=F.count_if(F.col("win").isNull()), without_venue=F.count_if(F.col("venue").isNull()), unresolved=F.count_if(~F.col("resolved")))
+
+
+from . import source_queries  # noqa: E402 - registers the queries of readers and text functions

@@ -211,7 +211,7 @@ SQL |= {
         "SELECT venue, b AS level_before, a AS level_after, CASE WHEN b = '-' AND a = '-' THEN '-' WHEN b <> '-' AND a <> '-' AND (b = 'A*' OR a = 'A*') THEN 'A*' ELSE 'A' END AS level_inferred FROM (SELECT venue, bool_or(core_year = 1998) AS listed, CASE WHEN bool_or(core_year = 1996 AND level = 'A*') THEN 'A*' WHEN bool_or(core_year = 1996 AND level = 'A') THEN 'A' ELSE '-' END AS b, CASE WHEN bool_or(core_year = 2000 AND level = 'A*') THEN 'A*' WHEN bool_or(core_year = 2000 AND level = 'A') THEN 'A' ELSE '-' END AS a FROM raw GROUP BY venue) WHERE listed"
     ),
     "ranking_counts_pivot": q("SELECT CAST(core_year AS BIGINT) AS core_year, count(*) FILTER (level = 'A*') AS top, count(*) FILTER (level = 'A') AS a FROM hist GROUP BY core_year"),
-    "historical_gap": q("SELECT venue, CAST(first_year AS BIGINT) AS first_year, CAST(last_year AS BIGINT) AS last_year, years_present, years_list, levels_list, top_years, a_years FROM roll WHERE venue NOT IN (SELECT venue FROM pm WHERE year = 1995)", ROLL),
+    "historical_gap": q("SELECT venue, CAST(first_year AS BIGINT) AS first_year, CAST(last_year AS BIGINT) AS last_year, years_present, years_list, levels_list, top_years, a_years FROM roll WHERE venue NOT IN (SELECT venue FROM pm WHERE year = 1995 AND venue NOT LIKE '%4')", ROLL),
     "venue_priority": q("SELECT venue, area, years_present, top_years, required_years, relevance, priority_score, priority_level FROM pr", PRIO),
     "venue_tiers": q("SELECT venue, area, priority_score, priority_level, tier FROM tier", TIERS),
     "tier_summary": q("SELECT tier, count(*) AS venues, round(avg(priority_score), 6) AS mean_score, min(priority_score) AS min_score, max(priority_score) AS max_score FROM tier GROUP BY tier", TIERS),
@@ -249,7 +249,6 @@ UNION ALL SELECT 'orders_without_lines', count(*) FROM orders WHERE o_orderkey N
 UNION ALL SELECT 'year_range', count(*) FROM orders WHERE year(o_orderdate) NOT BETWEEN 1995 AND 2000 UNION ALL SELECT 'name_overlap', count(*) FROM (SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT 'region_mismatch', count(*) FROM nation WHERE n_regionkey <> n_nationkey % 5""",
     "surrogate_keys": "SELECT o_orderkey, 'P' || lpad((row_number() OVER (ORDER BY o_orderdate, o_orderkey))::VARCHAR, 7, '0') AS key FROM orders",
-    "works_json_countries": "SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS rows FROM events GROUP BY ALL",
     "status_counts": "SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS rows FROM orders GROUP BY ALL",
     "subarea_names": q("SELECT area, count(*) AS venues, string_agg(venue, ', ' ORDER BY venue) AS names FROM ven GROUP BY area"),
     "stable_intersection": q("SELECT DISTINCT venue FROM hist WHERE core_year = 1996 INTERSECT SELECT DISTINCT venue FROM hist WHERE core_year = 2000"),

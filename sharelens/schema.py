@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+# The columns of the ranking lists.
 RANKING_RAW = StructType([StructField("id", IntegerType())] + [StructField(n, StringType()) for n in ("title", "acronym", "source", "rank", "dblp_flag", "for1", "for2", "for3")])
 
 
@@ -54,12 +55,21 @@ def mismatches(left: DataFrame, right: DataFrame, on: list[str], columns: list[s
 
 
 def require_cardinality(df: DataFrame, column: str, want: dict) -> DataFrame:
-    got = {r[column]: r["count"] for r in df.groupBy(column).count().limit(1000).collect()}
-    if got != want:
-        raise ContractError(f"{column}: {got}, not {want}")
+    """Each value of the column must be there as often as `want` says, and no other; the first differences are named."""
+    expected = df.sparkSession.createDataFrame([(k, v) for k, v in want.items()], f"`{column}` {df.schema[column].dataType.simpleString()}, wanted long")
+    if wrong := cardinality_differences(df, column, expected).limit(10).collect():
+        raise ContractError(f"{column}: {[tuple(r) for r in wrong]} (value, rows, wanted)")
     return df
 
 
+def cardinality_differences(df: DataFrame, column: str, expected: DataFrame) -> DataFrame:
+    """Values whose rows differ from the expected (column, wanted): value, rows, wanted, absent ones as 0."""
+    e = expected.select(F.col(column).alias("_value"), "wanted")
+    both = df.groupBy(column).agg(F.count("*").alias("rows")).join(e, F.col(column).eqNullSafe(F.col("_value")), "full")
+    both = both.select(F.coalesce(column, "_value").alias(column), F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("wanted", F.lit(0)).alias("wanted"))
+    return both.where("rows <> wanted")
+
+
 def out_of_range(df: DataFrame, column: Column, low: int, high: int) -> DataFrame:
     """Rows whose value isn't an integer in low..high."""
     number = column.cast("string").try_cast("int")

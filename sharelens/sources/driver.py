@@ -53,10 +53,15 @@ class Corpus:
         li, s = self.table("lineitem"), self.table("supplier")
         return li.join(s, li.l_suppkey == s.s_suppkey).join(self.nations, s.s_nationkey == F.col("n_nationkey")).select(F.col("l_orderkey").alias("paper_id"), "country", "is_bloc", "is_focal", *columns)
 
+    @cached_property
+    def country_rows(self) -> DataFrame:
+        """paper_id, country with flags, as often as a line says so."""
+        return self.lines("l_returnflag").where("l_returnflag = 'R'").select("paper_id", "country", "is_bloc", "is_focal")
+
     @cached_property
     def paper_country(self) -> DataFrame:
         """Distinct paper_id, country with flags."""
-        return self.lines("l_returnflag").where("l_returnflag = 'R'").select("paper_id", "country", "is_bloc", "is_focal").distinct()
+        return self.country_rows.distinct()
 
     @cached_property
     def paper_country_full(self) -> DataFrame:

@@ -16,7 +16,8 @@ from ..schema import RANKING_RAW, ContractError
 def read_ranking(spark: SparkSession, path: str, rank: str | None = None) -> DataFrame:
     """A headerless list with fixed columns: bad lines dropped, strings trimmed, rows without acronym dropped; with `rank`
     every row must have it and acronyms must be unique."""
-    df = spark.read.schema(RANKING_RAW).option("mode", "DROPMALFORMED").csv(path)
+    # a line is bad by all of its cells, not only by those that a query needs
+    df = spark.read.schema(RANKING_RAW).options(mode="DROPMALFORMED", columnPruning="false").csv(path)
     df = df.withColumns({f.name: F.trim(f.name) for f in RANKING_RAW if f.name != "id"}).where("acronym <> ''")
     if rank is not None:
         r = df.agg(F.count_if(F.coalesce(F.col("rank") != rank, F.lit(True))), F.count("*"), F.count_distinct("acronym")).first()
@@ -40,22 +41,41 @@ def sniff(head: bytes) -> dict[str, str]:
     raise ContractError("not a CSV with three columns")
 
 
+def head(spark: SparkSession, path: str, length: int) -> bytes:
+    """The first bytes of a file, or of the first file of a folder, in any store that Spark knows; no more is read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getLen() and not s.getPath().getName().startswith(("_", ".")))
+        if not names:
+            raise ContractError(f"{path} has no files")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, names[0])
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(length))
+    finally:
+        stream.close()
+
+
 def read_csv_flex(spark: SparkSession, path: str, bytes_read: int = 4096) -> DataFrame:
-    """The head is read through Spark, so any store it knows will do."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, bytes_read).alias("h")).first()
-    return spark.read.options(**sniff(bytes(head["h"]))).csv(path)
+    """A CSV whose encoding, separator and header are told from its head."""
+    first = head(spark, path, bytes_read)
+    return spark.read.options(**sniff(first[: first.rfind(b"\n") + 1] or first)).csv(path)
 
 
 def looks_headerless(df: DataFrame) -> bool:
     """Numbers first, short acronyms third, ranking names fourth, each in more than 80 % of the rows."""
     c = [F.col(f"`{n}`") for n in df.columns[:4]]
     share = lambda x: F.avg(F.coalesce(x, F.lit(False)).cast("double"))
-    r = df.agg(share(c[0].try_cast("double").isNotNull()), share(F.length(c[2]) <= 12), share(F.upper(c[3]).rlike("CORE|ERA"))).first()
+    r = df.agg(share(c[0].try_cast("double").isNotNull()), share(F.length(c[2]).between(1, 40)), share(F.upper(c[3]).rlike("CORE|ERA"))).first()
     return all((x or 0) > 0.8 for x in r)
 
 
 def guess_venue_column(df: DataFrame) -> str:
-    """The column most like acronyms: upper-case words, few spaces, short."""
+    """A column that is called so, else the one most like acronyms: upper-case words, few spaces, short."""
+    for n in df.columns:
+        if n.strip().lower() in ("acronym", "venue", "congress", "sigla"):
+            return n
     aggs = []
     for n in df.columns:
         x = F.col(f"`{n}`").cast("string")
@@ -72,19 +92,22 @@ RECORD = "_key string, author array<string>, title string, year string, booktitl
 def read_dump(spark: SparkSession, path: str, charset: str = "ISO-8859-1", tags: tuple[str, ...] = ("inproceedings", "article")) -> DataFrame:
     """Records of a bibliographic XML dump: key, tag, authors, title, year, booktitle, links.
 
-    The file is cut into records at their end tags; entities of HTML are repaired before parsing, since the XML parser knows
-    only its own five; markup within titles is removed. A gzip file is one task: store it split or uncompressed."""
-    if charset.upper() not in ("UTF-8", "UTF8"):  # transcoded once; the text source reads UTF-8
-        raw = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", charset), f"(?<=</({'|'.join(tags)})>)")).alias("value"))
-    else:
-        raw = spark.read.option("lineSep", "\n").text(path, wholetext=True).select(F.explode(F.split("value", f"(?<=</({'|'.join(tags)})>)")).alias("value"))
-    return parse_records(raw, tags)
+    The text source streams the file (plain or compressed) in pieces that end where a record's key begins, so a record is one
+    piece and memory holds one at a time; plain files are split among tasks. Bytes are decoded from `charset` here.
+    Entities of HTML are repaired before parsing, since the XML parser knows only its own five; markup within titles is removed."""
+    raw = spark.read.option("lineSep", ' key="').text(path)
+    return parse_records(raw.select(F.decode(F.col("value").cast("binary"), charset).alias("value")), tags)
 
 
 def parse_records(raw: DataFrame, tags: tuple[str, ...] = ("inproceedings", "article")) -> DataFrame:
+    """raw: pieces that begin with a record's key and hold its body, up to its end tag at least."""
     names = "|".join(tags)
-    rows = raw.select(F.regexp_extract("value", rf"(?s)<({names})[ >].*", 1).alias("tag"), F.regexp_extract("value", rf"(?s)(<(?:{names})[ >].*</(?:{names})>)", 1).alias("xml"))
-    rows = rows.where("xml <> ''").withColumn("xml", T.xml_safe(F.regexp_replace("xml", r"</?(?:i|b|sub|sup|tt|ref)(?:\s[^>]*)?>", "")))
+    whole = rf'(?s)^([^"]*)"[^>]*>(.*?)</({names})>'
+    rows = raw.select(F.regexp_extract("value", whole, 1).alias("key"), F.regexp_extract("value", whole, 2).alias("body"), F.regexp_extract("value", whole, 3).alias("tag")).where("tag <> ''")
+    # a piece of another kind of record may hold no end tag of these kinds, or one only behind the beginning of the next record
+    rows = rows.where(~F.col("body").rlike(r"</(?:proceedings|book|incollection|phdthesis|mastersthesis|www|data)>"))
+    body = F.regexp_replace("body", r"</?(?:i|b|sub|sup|tt|ref)(?:\s[^>]*)?>", "")
+    rows = rows.select("tag", T.xml_safe(F.concat(F.lit('<r key="'), "key", F.lit('">'), body, F.lit("</r>"))).alias("xml"))
     r = F.from_xml("xml", F.lit(RECORD), {"rowTag": "r", "attributePrefix": "_"})
     rows = rows.withColumn("r", r)
     f = lambda n: F.col(f"r.{n}")
@@ -116,10 +139,12 @@ def crossref_affiliations(items: DataFrame, column: str = "value") -> DataFrame:
 
 
 def volume_titles(volumes: DataFrame, column: str = "xml") -> DataFrame:
-    """Titles, countries and number of affiliations of a volume's XML; front matter is left out."""
-    body = F.regexp_replace(column, r"(</?)[A-Za-z0-9]+:", "$1")
-    papers = volumes.select(F.explode(F.regexp_extract_all(body, F.lit(r"(?s)<paper>(.*?)</paper>"), F.lit(1))).alias("p"))
-    rows = papers.select(F.trim(F.regexp_extract("p", r"(?s)<title>(.*?)</title>", 1)).alias("title"), F.regexp_extract_all("p", F.lit(r"(?s)<affiliation>(.*?)</affiliation>"), F.lit(1)).alias("aff"))
+    """Titles, countries and number of affiliations of a volume's XML; front matter is left out. Name spaces don't count: their
+    prefixes go before the XML is parsed; attributes may stand anywhere."""
+    body = T.xml_safe(F.regexp_replace(F.regexp_replace(column, r"(</?)[A-Za-z0-9_.-]+:", "$1"), r"\sxmlns(?::\w+)?=\"[^\"]*\"", ""))
+    volume = F.from_xml(body, F.lit("paper array<struct<title: string, affiliation: array<string>>>"), {"rowTag": "v"})
+    papers = volumes.select(F.explode(volume.getField("paper")).alias("p"))
+    rows = papers.select(F.trim("p.title").alias("title"), F.coalesce("p.affiliation", F.array().cast("array<string>")).alias("aff"))
     front = T.has_any(F.col("title"), ("front matter", "preface", "table of contents", "frontmatter"))
     from ..functions import countries
 
@@ -159,6 +184,32 @@ def read_matching(spark: SparkSession, paths: list[str], required: set[str]) ->
     return out
 
 
+def read_notes(notes: DataFrame, column: str = "value", order: tuple[str, ...] = ()) -> DataFrame:
+    """Submission notes as JSON of either kind (content values plain or wrapped): note_id, venue, invitation, title, authors,
+    accepted. `order` lists kinds of invitations (their last segment): of a venue only the first kind that it has counts."""
+    from ..operators.matching import first_source
+
+    j, c = F.col(column), lambda k: T.content(F.get_json_object(column, "$.content"), k)
+    invitation = F.coalesce(F.get_json_object(j, "$.invitation"), F.get_json_object(j, "$.invitations[0]"))
+    authors = F.coalesce(F.from_json(c("authorids"), "array<string>"), F.array().cast("array<string>"))
+    rows = notes.select(
+        F.get_json_object(j, "$.id").alias("note_id"), F.get_json_object(j, "$.domain").alias("venue"), F.substring_index(invitation, "/", -1).alias("invitation"),
+        c("title").alias("title"), authors.alias("authors"), T.accepted(c("decision"), F.coalesce(c("venueid"), F.lit(""))).alias("accepted"),
+    ).where("note_id IS NOT NULL")
+    if not order:
+        return rows
+    return first_source(*[rows.where(F.col("invitation") == kind) for kind in order], key="venue").drop("priority")
+
+
+METRICS = "doi string, cited_by_count long, publication_year int, type string, is_retracted boolean"
+
+
+def citation_metrics(works: DataFrame, column: str = "value") -> DataFrame:
+    """doi, citations, year, type of works as JSON; retracted ones are left out."""
+    w = works.select(F.from_json(column, METRICS).alias("w")).where("w.doi IS NOT NULL AND NOT coalesce(w.is_retracted, false)")
+    return w.select(T.doi(F.col("w.doi")).alias("doi"), F.coalesce("w.cited_by_count", F.lit(0)).alias("citations"), F.col("w.publication_year").alias("year"), F.col("w.type").alias("type"))
+
+
 def upsert(cache: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
     """Cache rows with the latest per key; negative answers are rows too."""
     both = cache.unionByName(new, allowMissingColumns=True)
@@ -167,7 +218,6 @@ def upsert(cache: DataFrame, new: DataFrame, key: str, at: str) -> DataFrame:
 
 def optional(spark: SparkSession, path: str, default: DataFrame | None = None) -> DataFrame | None:
     """The Parquet table at path, else the default."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - Spark's analysis error for a missing path
-        return default
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.parquet(path) if there else default

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import time
@@ -14,12 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 def written(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the folder named by spark.checkpoint.dir; lineage is cut. Set only where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sharelens-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; only where it is unset and the master is local, a folder of our own."""
+    base, held = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and held.isDefined():
+        base = held.get()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="sharelens-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder; deleted when the process ends."""
+    if not _FOLDERS:
+        atexit.register(_clear)
+    _FOLDERS.append((spark, f"{shared_folder(spark)}/sharelens-{uuid.uuid4().hex}"))
+    return _FOLDERS[-1][1]
+
+
+def _clear() -> None:
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session has ended; the shared folder's owner clears it
+            return
+
+
 @dataclass
 class StageResult:
     name: str
@@ -81,8 +114,8 @@ class Runner:
         return summary
 
     def _finished(self) -> dict[str, bool]:
-        try:
-            text = self.spark.read.text(f"{self.out}/_manifest").first()
-        except Exception:  # noqa: BLE001 - no manifest yet
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.out}/_manifest")
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
             return {}
+        text = self.spark.read.text(f"{self.out}/_manifest").first()
         return dict.fromkeys(json.loads(text["value"]), True) if text else {}

@@ -40,7 +40,7 @@ import sys
 class Block:
     def find_spec(self, name, *a):
         if name.startswith('sharelens.llm') or name == 'corpus_pipeline':
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
 assert len(e.queries()) > 90 and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())

@@ -201,6 +201,74 @@ def test_dump(spark, tmp_path):
     assert (rows["j/1"].booktitle, rows["j/1"].year, rows["j/1"].authors) == ("J", None, "C & D")
 
 
+def test_compressed_dump(spark, tmp_path):
+    import gzip
+
+    more = '<book key="b/1"><author>X</author><title>B</title></book>\n<proceedings key="conf/a/2001"><title>P</title><year>2001</year></proceedings>\n'
+    body = DUMP.replace("B<", "é<").replace("<article", more + "<article").encode("iso-8859-1")
+    (tmp_path / "d.xml").write_bytes(body)
+    with gzip.open(tmp_path / "d.xml.gz", "wb") as f:
+        f.write(body)
+    plain, packed = (sorted(map(tuple, files.read_dump(spark, str(tmp_path / n)).drop("links").collect())) for n in ("d.xml", "d.xml.gz"))
+    assert plain == packed and [r[0] for r in plain] == ["conf/a/1", "j/1"] and plain[0][2] == "Müller; é"
+
+
+def test_sniffing_reads_the_head_only(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("id;name;code\n" + "".join(f"{i};n{i};c{i}\n" for i in range(50_000)))
+    assert len(files.head(spark, str(tmp_path / "big.csv"), 100)) == 100
+    assert files.read_csv_flex(spark, str(tmp_path / "big.csv")).count() == 50_000
+
+
+def test_paper_fact_shuffles_once_by_paper(spark):
+    papers = spark.range(100).selectExpr("id AS paper_id", "id % 3 AS venue")
+    rows = spark.range(400).selectExpr("id % 90 AS paper_id", "concat('C', id % 7) AS country", "id % 7 < 3 AS is_bloc", "id % 7 = 1 AS is_focal")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = facts.paper_fact(papers, rows)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # one of each side, both by paper
+
+
+def test_logit_of_cells_is_the_one_of_rows(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    g, h = r.integers(0, 3, 900), r.integers(0, 2, 900)
+    y = r.random(900) < 1 / (1 + np.exp(-(0.3 + 0.8 * (g == 1) - 0.5 * (g == 2) - 0.7 * h)))
+    df = spark.createDataFrame([("abc"[a], float(b), bool(c)) for a, b, c in zip(g, h, y)], "g string, h double, resolved boolean")
+    got = {x.term: (x.coefficient, x.std_error) for x in robustness.logit(robustness.missingness_cells(df, "g", "h"), "share ~ g + h", weight="n").collect()}
+    x = np.stack([g == 1, g == 2, h, np.ones(900)], axis=1).astype(float)
+    beta = np.zeros(4)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ beta))
+        info = x.T @ (x * (p * (1 - p))[:, None])
+        beta += np.linalg.solve(info, x.T @ (y - p))
+    error = np.sqrt(np.diag(np.linalg.inv(info)))
+    names = {k: next(t for t in got if t.endswith(k)) for k in ("b", "c", "h", "intercept")}
+    assert [got[names[k]] for k in names] == [pytest.approx(x, rel=1e-4) for x in zip(beta, error)]
+
+
+def test_bootstrap_blocks(spark):
+    cl = spark.createDataFrame([("w", f"v{i}", 2000, i % 5, 5 + i % 7, 10) for i in range(40)], "win string, venue string, year int, focal long, bloc long, articles long")
+    one = robustness.bootstrap(cl, "win", replicates=230).first()
+    assert one.clusters == 40 and one.low < one.share < one.high and one.sd > 0
+    assert robustness.bootstrap(cl.repartition(7), "win", replicates=230).first() == one
+
+
+def test_windows_can_be_strict(spark):
+    w = WindowSpec(((1, 2),))
+    assert col(spark, [1, 2, 3, None], w.of, "int") == ["1-2", "1-2", None, None]
+    with pytest.raises(Exception, match="no window has the year 3"):
+        col(spark, [1, 3], lambda y: w.of(y, strict=True), "int")
+
+
+def test_cardinality(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    assert require_cardinality(df, "k", {"a": 2, "b": 1, None: 1}) is df
+    with pytest.raises(ContractError, match="'b', 1, 0"):
+        require_cardinality(df, "k", {"a": 2, None: 1})
+
+
 def test_csv_sources(spark, tmp_path):
     (tmp_path / "r.csv").write_text('1,"Conf, A",AAA,CORE,A*,Yes,46,,\n2,Conf B, BBB ,CORE,A*,Yes,46,,\n3,No acronym,,CORE,A*,,,,\n')
     assert [r.acronym for r in files.read_ranking(spark, str(tmp_path / "r.csv"), "A*").collect()] == ["AAA", "BBB"]
