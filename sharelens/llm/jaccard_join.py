@@ -44,6 +44,8 @@ DENSE, BLOCK, PARTNERS = 48, 256, 128
 #: Prefix n-grams per fragment, n-grams that a task counts at once, bytes of text per part of the counting, n-grams per slice of a
 #: matrix product, and fragments of the final overlaps.
 FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 2_000_000, 2_000_000, 16_000_000, 4096, 4
+#: n-grams of a fragment that are paired at once, and pairs that wait to be summed.
+PIECE, MET = 250_000, 500_000
 SLICE = 1 << 20
 
 
@@ -126,8 +128,8 @@ def _describer(part_bits: int):
         for tokens, bounds, c1, c2, rk in _batches(batches, "_rk", classes=True):
             size, blobs = np.diff(bounds), pa.nulls(len(rk), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(size), pa.array(c1), pa.array(c2), pa.nulls(len(rk), pa.int32()), blobs, blobs], names)
-            held.append(tokens[np.repeat(_once(c1, c2), size)])
-            n += len(held[-1])
+            held.append(tokens)
+            n += len(tokens)
             if n >= FLUSH:
                 yield flush()
                 held, n = [], 0
@@ -209,8 +211,20 @@ def _prefixer(levels, fragments: int):
     return run
 
 
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows a, b, na, nb, place in a, place in b, shared: one per pair, with its last places and all it shares."""
+    pairs = np.concatenate(parts) if parts else np.zeros((0, 7), np.int64)
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+    at = np.flatnonzero(new)
+    return np.concatenate([pairs[at, :4], np.maximum.reduceat(pairs[:, 4:6], at, axis=0), np.add.reduceat(pairs[:, 6:], at, axis=0)], axis=1)
+
+
 def _counts(rows: np.ndarray, dense: int):
-    """rows: n-gram, class, key, size, place. Of one fragment: pairs of keys with their partial overlap, and rows of dense n-grams."""
+    """rows: n-gram, class, key, size, place. Pairs of keys with their partial overlap, and rows of dense n-grams."""
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
     keep = np.ones(len(rows), bool)
     keep[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
@@ -222,25 +236,19 @@ def _counts(rows: np.ndarray, dense: int):
     often = rows[mine > dense][:, [0, 2, 3]]
     rows = rows[(mine > 1) & (mine <= dense)]
     token, c, n, place = rows[:, 0], rows[:, 2], rows[:, 3], rows[:, 4]
-    left, right = [], []
+    pairs, waiting = [], 0
     for step in range(1, min(dense, len(rows))):
         at = np.flatnonzero(token[step:] == token[:-step])
         if not len(at):
             break
         at = at[4 * np.minimum(n[at], n[at + step]) >= 3 * np.maximum(n[at], n[at + step])]
         swap = c[at] > c[at + step]
-        left.append(np.where(swap, at + step, at))
-        right.append(np.where(swap, at, at + step))
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    pairs = np.stack([c[a], c[b], n[a], n[b], place[a], place[b]], axis=1)
-    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-    new = np.ones(len(pairs), bool)
-    new[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
-    at = np.flatnonzero(new)
-    if not len(at):
-        return np.zeros((0, 7), np.int64), often
-    last = np.maximum.reduceat(pairs[:, 4:], at, axis=0)
-    return np.concatenate([pairs[at, :4], last, np.diff(np.append(at, len(pairs)))[:, None]], axis=1), often
+        a, b = np.where(swap, at + step, at), np.where(swap, at, at + step)
+        pairs.append(np.stack([c[a], c[b], n[a], n[b], place[a], place[b], np.ones(len(a), np.int64)], axis=1))
+        waiting += len(a)
+        if waiting > MET:
+            pairs, waiting = [_summed(pairs)], 0
+    return _summed(pairs), often
 
 
 PAIRS = "dense boolean, a long, b long, na long, nb long, ia long, ib long, shared long"
@@ -253,7 +261,17 @@ def _pairer(dense: int):
         import pyarrow as pa
 
         names = [x.split()[0] for x in PAIRS.split(", ")]
-        pairs, often = _counts(np.concatenate(held), dense)
+        m = sum(len(x[0]) for x in held)
+        pieces, pairs, often = max(1, -(-m // PIECE)), [], []
+        for piece in range(pieces):  # n-grams of a part of the hash's range at a time
+            rows = []
+            for token, d, place, docs in held:
+                own = np.flatnonzero(mix(token.view(np.uint64)) % np.uint64(pieces) == piece)
+                rows.append(np.stack([token[own], docs[0][d[own]], docs[1][d[own]], docs[2][d[own]], place[own]], axis=1))
+            p, o = _counts(np.concatenate(rows), dense)
+            pairs.append(p)
+            often.append(o)
+        pairs, often = _summed(pairs), np.concatenate(often)
         if len(often):
             z = np.zeros(len(often), np.int64)
             often = np.stack([often[:, 0], often[:, 1], z, often[:, 2], z, z, z], axis=1)
@@ -270,11 +288,10 @@ def _pairer(dense: int):
                     yield from flush(held)
                     held = []
                 frag = f
-                docs = np.frombuffer(docs.as_buffer(), np.int64).reshape(3, -1)
                 raw = grams.as_buffer().to_pybytes()
                 m = len(raw) // 14
-                d, place = np.frombuffer(raw, np.uint16, m, 8 * m), np.frombuffer(raw, np.uint32, m, 10 * m)
-                held.append(np.stack([np.frombuffer(raw, np.int64, m), docs[0][d], docs[1][d], docs[2][d], place], axis=1))
+                docs = np.frombuffer(docs.as_buffer().to_pybytes(), np.int64).reshape(3, -1)
+                held.append((np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.uint16, m, 8 * m), np.frombuffer(raw, np.uint32, m, 10 * m), docs))
         if held:
             yield from flush(held)
 
