@@ -15,7 +15,7 @@ A cell has about CELL_ROWS documents up to MOST_CELLS cells a leaf, so a leaf wi
 Tokens are words [^\\x20\\x09-\\x0D]+ unless a column of counts is named.
 
 Defined cases: null or empty text has no tokens and is in a prefix as its place is reached; null lang or source is a
-leaf '' of its own; a null doc_id sorts as 'null'; repeated rows have equal hashes and are in or out by a
+leaf '' of its own; a row without doc_id is drawn by a digest of its text, so such rows spread over cells as well; repeated rows have equal hashes and are in or out by a
 further order of tokens, each counting; children without a weight have weight 1; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -116,7 +116,7 @@ def plan(docs: DataFrame, mix: Mix, counts: str | None = None) -> DataFrame:
     held = F.broadcast if few else (lambda df: df)
     dealt = keys.join(held(leaves), leaf)
     # the epoch after the whole ones is the one whose prefix is taken
-    h = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("_llm_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    h = F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("_llm_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))).cast("binary"))
     dealt = dealt.withColumn("_llm_hash", h).withColumn("_llm_cell", (F.conv(F.substring("_llm_hash", 1, 3), 16, 10).cast("int") * F.col("_llm_cells") / 4096).cast("int"))
     sums = dealt.groupBy(*leaf, "_llm_cell", "_llm_rest").agg(F.sum("_llm_tokens").alias("_llm_sum"))
     run = Window.partitionBy(*leaf).orderBy("_llm_cell")
@@ -162,7 +162,7 @@ def sql(mix: Mix, documents: str = "documents") -> str:
   // sum(CASE WHEN NOT is_full THEN weight END) OVER (PARTITION BY {parent}) END AS share FROM {name}_f)"""
 
     return f"""
-WITH k AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
+WITH k AS (SELECT doc_id, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS drawn_by, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens,
   list_extract([{names}], (CASE WHEN {digits} = '' THEN 0 ELSE {digits}::INT END) % {len(mix.domain_names)} + 1) AS domain FROM {documents}),
 leaf AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens)::HUGEINT * {mix.epochs} AS supply, {case("source", mix.sources)}::HUGEINT AS weight FROM k GROUP BY ALL),
 top AS (SELECT (sum(tokens) * {mix.percent}) // 100 AS total FROM leaf),
@@ -173,6 +173,6 @@ lan AS (SELECT leaf.domain, lang, sum(leaf.supply) AS supply, {case("lang", mix.
 lea AS (SELECT leaf.*, lan_s.share AS above FROM leaf JOIN lan_s USING (domain, lang)),
 {level("lea_s", "lea", "domain, lang", "source", "above")},
 b AS (SELECT domain, lang, source, share::BIGINT AS budget, (CASE WHEN tokens > 0 THEN share // tokens ELSE {mix.epochs} END)::INT AS whole, (share - (CASE WHEN tokens > 0 THEN share // tokens ELSE {mix.epochs} END) * tokens)::BIGINT AS rest FROM lea_s),
-h AS (SELECT k.*, budget, whole, rest, md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM k JOIN b USING (domain, lang, source)),
+h AS (SELECT k.*, budget, whole, rest, md5('{mix.seed}:' || whole || ':' || drawn_by) AS h FROM k JOIN b USING (domain, lang, source)),
 c AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM h)
 SELECT doc_id, domain, lang, source, n_tokens, budget AS leaf_budget, CASE WHEN whole >= {mix.epochs} THEN {mix.epochs} ELSE whole + CASE WHEN run <= rest THEN 1 ELSE 0 END END::INT AS copies FROM c"""

@@ -8,8 +8,8 @@ crc32(doc_id) mod 4 is not HELD_OUT alone. Scores depend on the text alone.
 
 Only the fit uses a sample: SAMPLE toxic and twice as many clean labelled rows at most, texts up to SAMPLE_CHARS, none of
 the fifth of the labels that is set aside. The thresholds come from all labelled rows outside the held-out part: one
-shift of the logit, so that score >= THRESHOLD is the best cut over all, and one threshold per language for
-`rejected`: the language's best cut and the common one, weighted by its rows of the rarer class and SHRINK. Their logits (whole texts) are counted on the cluster per language, class and BINS bins; rows the model was
+shift of the logit, so that score >= THRESHOLD is the best cut over all (weighted against the model's own by the number of rows),
+and one threshold per language for `rejected` (its best cut, weighted against the common one). Their logits (whole texts) are counted on the cluster per language, class and BINS bins; rows the model was
 fitted on are left to the others of their language and class, which get their weight, so that the share of toxic rows
 is the real one at every size (a language's class of which all rows are fitted counts with those). The model (about
 4 MB, fixed size) is broadcast.
@@ -32,7 +32,7 @@ SAMPLE, SAMPLE_CHARS = 1_500, 12_000
 BUCKETS, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 16, 16, 16, (1, 2, 3), (4, 5, 6)
 #: One label in ASIDE is never fitted; bins of the logit between -REACH and REACH that thresholds are told by.
 ASIDE, REACH, BINS = 5, 30, 3840
-#: Weight of the common cut against a language's own, in rows of the language's rarer class.
+#: Weight of a cut's fallback (the model's own for the common cut, the common one for a language's) in rows of the rarer class.
 SHRINK = 20
 EPOCHS, RATE, BLANKS = 4, 0.1, max(WIDTHS)
 
@@ -103,6 +103,7 @@ class Model:
 
     def train(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
+        self.share = float(labels.mean())
         self.base = np.float32(np.log((labels.mean() + 1e-3) / (1 - labels.mean() + 1e-3)))
         squares = {"table": np.full(BUCKETS, 0.1, np.float32), "out": np.full_like(self.out, 0.1), "base": 0.1}
         squares |= {w: np.full_like(self.filters[w], 0.1) for w in WIDTHS} | {-w: np.full_like(self.bias[w], 0.1) for w in WIDTHS}
@@ -156,6 +157,17 @@ def best_cut(bins: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
     return float((at[k] + below) / 2 * (2 * REACH / BINS) - REACH)
 
 
+def logit(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return float(np.log(p / (1 - p)))
+
+
+def _shrunk(bins, toxic, weights, rows, other: float) -> float:
+    """The best cut and another one, weighted by the rows of the rarer class and SHRINK."""
+    rarer = float(min(rows[toxic == 1].sum(), rows[toxic == 0].sum()))
+    return (rarer * best_cut(bins, toxic, weights) + SHRINK * other) / (rarer + SHRINK)
+
+
 def usable(labels: DataFrame) -> DataFrame:
     """doc_id and toxic of the labels outside the held-out part, each once."""
     own = F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != HELD_OUT)
@@ -242,17 +254,20 @@ def histogram(scored: DataFrame, labels: DataFrame, fitted: list) -> DataFrame:
 def calibrate(model: Model, scored: DataFrame, labels: DataFrame, fitted: list) -> None:
     """Sets the model's shift and its languages' thresholds from the logits of all labelled rows."""
     counts = materialize(histogram(scored, labels, fitted))
-    rows = counts.groupBy("bin", "toxic").agg(F.sum("weight").alias("weight")).collect()
+    rows = counts.groupBy("bin", "toxic").agg(F.sum("weight").alias("weight"), F.sum("rows").alias("rows")).collect()
     column = lambda name: np.array([r[name] for r in rows])
-    common = best_cut(column("bin"), column("toxic"), column("weight"))
-    model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - common)
+    bins, toxic, weights, n = (column(c) for c in ("bin", "toxic", "weight", "rows"))
+    # few rows: rather where the model itself says THRESHOLD, at the share of toxic rows among all instead of the sample's
+    share = weights[toxic == 1].sum() / weights.sum()
+    own_cut = logit(THRESHOLD) + logit(model.share) - logit(share)
+    common = _shrunk(bins, toxic, weights, n, own_cut)
+    model.shift = float(logit(THRESHOLD) - common)
 
     def own(table):
         import pyarrow as pa
 
         bins, toxic, n, weights = (table.column(c).to_numpy() for c in ("bin", "toxic", "rows", "weight"))
-        rarer = float(min(n[toxic == 1].sum(), n[toxic == 0].sum()))
-        cut = (rarer * best_cut(bins, toxic, weights) + SHRINK * common) / (rarer + SHRINK)
+        cut = _shrunk(bins, toxic, weights, n, common)
         return pa.table({"lang": table.column("lang")[:1], "cut": pa.array([cut], pa.float64())})
 
     for r in counts.where("lang IS NOT NULL").groupBy("lang").applyInArrow(own, "lang string, cut double").collect():
