@@ -1,14 +1,14 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds anchors in a text: at-signs, schemes (://), plus signs, digits and identifier cues
-(IBAN, account ...). At each anchor a deterministic parser expands to both sides and validates what it has found:
+(IBAN, account, token ...). At each anchor a deterministic parser expands to both sides and validates what it has found:
 e-mail (local part to the left, dotted domain to the right), address (four dotted parts of at most 255; URLs with
-a host), account (card numbers with Luhn's check, IBANs with mod 97, account numbers after their cue) and phone
-numbers. Each parser reads a character once, so long texts take linear time.
+a host), account (card numbers with Luhn's check, IBANs with mod 97, account numbers and secrets after their cue) and phone
+numbers. A secret is an assigned value of 16 characters or more with letters and digits. Each parser reads a character once, so long texts take linear time.
 
 The base kinds email, ip, card and phone are the leftmost non-overlapping matches of fixed patterns: a chain of
 digits is parsed from its first digit, and a match that fails validation is dropped without another try.
-Kinds added by the method are url, iban and account.
+Kinds added by the method are url, iban, account and secret.
 
 Defined cases: null and empty texts have no spans (base_sha256 is the hash of the empty string); null or repeated
 doc_ids and repeated rows come back as they are; an empty table gives no rows; other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import configure
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "iban", "account")
+KINDS = (*BASE, "url", "iban", "account", "secret")
 
 # The characters and forms of the base kinds.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,11 +42,15 @@ ACCOUNT = re.compile(r"(?:[\x20]?(?:no|nr|num|number))?[.:#\x20]{0,4}([0-9][0-9-
 CUES = ("IBAN", "iban", "Iban", "account", "Account", "ACCOUNT", "acct", "Acct", "ACCT", "konto", "Konto", "cuenta", "Cuenta", "compte", "Compte")
 
 
+SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_+/=.-]{16,})")
+SECRET_CUES = ("token", "Token", "TOKEN", "secret", "Secret", "SECRET", "api_key", "API_KEY", "apikey", "password", "Password", "PASSWORD", "passwd")
+
+
 def anchors():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for x in ("@", "://", "+", *"0123456789", *CUES):
+    for x in ("@", "://", "+", *"0123456789", *CUES, *SECRET_CUES):
         a.add_word(x, x)
     a.make_automaton()
     return a
@@ -122,6 +126,10 @@ def find(text: str, automaton) -> dict[str, list[tuple[int, int]]]:
             if at >= done["iban"] and (got := _iban(text, last + 1)):
                 out["iban"].append(got)
                 done["iban"] = got[1]
+        elif word in SECRET_CUES:
+            if at >= done["secret"] and (m := SECRET.match(text, last + 1)) and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
+                out["secret"].append(m.span(1))
+                done["secret"] = m.end(1)
         elif at >= done["account"] and (m := ACCOUNT.match(text, last + 1)):
             out["account"].append(m.span(1))
             done["account"] = m.end(1)
@@ -133,7 +141,7 @@ def joined(spans: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) -> s
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each document, and n_private: its spans but for URLs."""
     configure(docs.sparkSession)
 
     def run(batches):
@@ -141,18 +149,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
         automaton = anchors()
         for batch in batches:
-            counts, hashes, spans = {k: [] for k in BASE}, [], []
+            counts, hashes, spans, private = {k: [] for k in BASE}, [], [], []
             for text in batch.column("text").to_pylist():
                 got = find(text or "", automaton)
                 for k in BASE:
                     counts[k].append(len(got[k]))
                 hashes.append(hashlib.sha256(joined(got, BASE).encode()).hexdigest())
                 spans.append(joined(got, KINDS))
-            columns = [batch.column("doc_id"), *[pa.array(counts[k], pa.int64()) for k in BASE], pa.array(hashes, pa.string()), pa.array(spans, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
+                private.append(sum(len(v) for k, v in got.items() if k != "url"))
+            columns = [batch.column("doc_id"), *[pa.array(counts[k], pa.int64()) for k in BASE], pa.array(hashes, pa.string()), pa.array(spans, pa.string()), pa.array(private, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_private"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_private long")
 
 
 def redact(text: str, automaton, mark: str = "[{}]") -> str:

@@ -45,6 +45,8 @@ def test_added_kinds():
     assert cut["url"] == ["https://x.example.com/a?b=1"]
     assert cut["iban"] == ["GB82 WEST 1234 5698 7654 32"]
     assert cut["account"] == ["12345678"]
+    got = pii.find('token = "24be64439e3e49cf46b2", password: short1, secret=nodigitsatallinthisone', a)
+    assert got["secret"] == [(9, 29)]
     assert pii.redact("mail a@b.cc now", a) == "mail [EMAIL] now"
 
 
@@ -54,6 +56,6 @@ def test_query(spark):
     got = {tuple(r) for r in pii.scan(df).collect()}
     empty = hashlib.sha256(b"").hexdigest()
     base = "email:2:8,ip:9:17"
-    assert got == {(1, 1, 1, 0, 0, hashlib.sha256(base.encode()).hexdigest(), base), (2, 0, 0, 0, 0, empty, ""), (None, 0, 0, 0, 0, empty, ""), (3, 0, 0, 0, 0, empty, "")}
+    assert got == {(1, 1, 1, 0, 0, hashlib.sha256(base.encode()).hexdigest(), base, 2), (2, 0, 0, 0, 0, empty, "", 0), (None, 0, 0, 0, 0, empty, "", 0), (3, 0, 0, 0, 0, empty, "", 0)}
     assert pii.scan(df).count() == 5
     assert pii.scan(df.limit(0)).count() == 0
