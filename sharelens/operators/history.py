@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rules import classes, first_rule, weighted_terms
+
 
 def resolve_duplicates(raw: DataFrame) -> DataFrame:
     """One level per venue and year, A* before A; conflicts are flagged and their values kept."""
@@ -78,42 +80,15 @@ def required_years(history: DataFrame, first: int, last: int) -> DataFrame:
     return v.groupBy("venue").agg(F.sum(F.col("year_end") - F.col("year_start") + 1).alias("required_years"), F.min("year_start").alias("first_required"), F.max("year_end").alias("last_required"))
 
 
-def priority(rollup: DataFrame, required: DataFrame, relevance: DataFrame, recent: tuple[int, int, int] = (2000, 1998, 1996), early: int = 1994) -> DataFrame:
-    """Seven added terms: ever A*, versions, A* versions, recency, early start, required years, relevance; and classes."""
+def priority(rollup: DataFrame, required: DataFrame, relevance: DataFrame, terms: dict[str, str], cuts, lowest: str) -> DataFrame:
+    """Each venue's history with a score of added terms and its class; the tables are parameters."""
     df = rollup.join(required, "venue", "left").join(relevance, "venue", "left").fillna(0, ["required_years"]).fillna("MEDIUM", ["relevance"])
-    base = F.when(F.col("top_years") > 0, 5).otherwise(2)
-    recency = F.when(F.col("last_year") >= recent[0], 3).when(F.col("last_year") >= recent[1], 2).when(F.col("last_year") >= recent[2], 1).otherwise(0)
-    old = F.when(F.col("first_year") <= early, 2).otherwise(0)
-    rel = F.when(F.col("relevance") == "HIGH", 4).when(F.col("relevance") == "MEDIUM", 2).otherwise(-2)
-    whole = base + F.least(F.col("years_present"), F.lit(6)) + F.least(F.col("top_years"), F.lit(4)) + recency + old + rel
-    score = whole.cast("double") + F.least(F.col("required_years").cast("double") / 5, F.lit(4.0))
-    df = df.withColumn("priority_score", F.round(score, 2))
-    return df.withColumn("priority_level", F.when(F.col("priority_score") >= 15, "HIGH").when(F.col("priority_score") >= 10, "MEDIUM").otherwise("LOW"))
-
-
-def tiers(scored: DataFrame, seeds: DataFrame, central: tuple[str, ...], adjacent: tuple[str, ...]) -> DataFrame:
-    """Ordered rules: curated seeds first, then area with evidence, then priority."""
-    df = scored.join(seeds, "venue", "left")
-    star, req, score, prio = F.col("top_years") > 0, F.col("required_years"), F.col("priority_score"), F.col("priority_level")
-    in_central, in_adjacent = F.col("area").isin(*central), F.col("area").isin(*adjacent)
-    rules = [
-        (F.col("seed") == 3, "TIER3", "seed"),
-        ((F.col("seed") == 1) & (star | (F.col("years_present") >= 2) | (req >= 8)), "TIER1", "seed"),
-        (F.col("seed") == 2, "TIER2", "seed"),
-        (in_central & star & (req >= 5), "TIER1", "central, once A*, long required"),
-        (in_central & (prio == "HIGH") & (score >= 18) & (req >= 10), "TIER1", "central, high priority"),
-        (in_central & prio.isin("HIGH", "MEDIUM"), "TIER2", "central, little evidence"),
-        (in_adjacent & star & (F.col("top_years") >= 2) & (req >= 10) & (score >= 20), "TIER2", "adjacent, lasting A*"),
-        (in_adjacent & (prio == "HIGH"), "TIER2", "adjacent, high priority"),
-        (in_adjacent, "TIER3", "adjacent"),
-        (prio == "LOW", "TIER3", "low priority"),
-    ]
-    out = None
-    for cond, tier, reason in rules:
-        value = F.struct(F.lit(tier).alias("tier"), F.lit(reason).alias("reason"))
-        out = F.when(F.coalesce(cond, F.lit(False)), value) if out is None else out.when(F.coalesce(cond, F.lit(False)), value)
-    out = out.otherwise(F.struct(F.lit("TIER2").alias("tier"), F.lit("mixed evidence").alias("reason")))
-    return df.withColumn("_t", out).select("*", "_t.tier", "_t.reason").drop("_t")
+    return classes(weighted_terms(df, terms, "priority_score"), "priority_score", cuts, lowest, "priority_level")
+
+
+def tiers(scored: DataFrame, seeds: DataFrame, rules, otherwise: tuple[str, str]) -> DataFrame:
+    """tier and reason of each venue by ordered rules over its scores and its curated seed."""
+    return first_rule(scored.join(seeds, "venue", "left"), rules, otherwise, ("tier", "reason"))
 
 
 def override(df: DataFrame, overrides: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:

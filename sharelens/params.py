@@ -30,6 +30,7 @@ class WindowSpec:
 
 @dataclass(frozen=True)
 class Params:
+    # Windows and thresholds of the analyses.
     windows: WindowSpec = WindowSpec(((1995, 1996), (1997, 1998), (1999, 2000), (2001, 2002)))
     focal: str = "NATION_3"
     bloc_region: int = 3

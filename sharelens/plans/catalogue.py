@@ -399,11 +399,37 @@ def historical_gap(c):
     return history.gap(history.venue_rollup(resolved_history(c)), known)
 
 
+# The terms of a venue's priority, its classes, and the rules of its tier, in order.
+PRIORITY_TERMS = {
+    "ever at the top level": "if(top_years > 0, 5, 2)",
+    "versions": "least(years_present, 6)",
+    "versions at the top level": "least(top_years, 4)",
+    "recency": "CASE WHEN last_year >= 2000 THEN 3 WHEN last_year >= 1998 THEN 2 WHEN last_year >= 1996 THEN 1 END",
+    "early start": "if(first_year <= 1994, 2, 0)",
+    "required years": "least(required_years / 5D, 4D)",
+    "relevance": "CASE relevance WHEN 'HIGH' THEN 4 WHEN 'MEDIUM' THEN 2 ELSE -2 END",
+}
+PRIORITY_CUTS = ((15, "HIGH"), (10, "MEDIUM"))
+CENTRAL, ADJACENT = "area IN ('BUILDING', 'MACHINERY')", "area IN ('FURNITURE', 'HOUSEHOLD')"
+TIER_RULES = (
+    ("seed = 3", "TIER3", "seed"),
+    ("seed = 1 AND (top_years > 0 OR years_present >= 2 OR required_years >= 8)", "TIER1", "seed"),
+    ("seed = 2", "TIER2", "seed"),
+    (f"{CENTRAL} AND top_years > 0 AND required_years >= 5", "TIER1", "central, once at the top, long required"),
+    (f"{CENTRAL} AND priority_level = 'HIGH' AND priority_score >= 18 AND required_years >= 10", "TIER1", "central, high priority"),
+    (f"{CENTRAL} AND priority_level IN ('HIGH', 'MEDIUM')", "TIER2", "central, little evidence"),
+    (f"{ADJACENT} AND top_years >= 2 AND required_years >= 10 AND priority_score >= 20", "TIER2", "adjacent, lasting top level"),
+    (f"{ADJACENT} AND priority_level = 'HIGH'", "TIER2", "adjacent, high priority"),
+    (ADJACENT, "TIER3", "adjacent"),
+    ("priority_level = 'LOW'", "TIER3", "low priority"),
+)
+
+
 def scored(c: Corpus) -> DataFrame:
     h = resolved_history(c)
     rel = F.when(F.col("nk") % 5 == 0, "HIGH").when(F.col("nk") % 5 == 4, "LOW").otherwise("MEDIUM")
     relevance = c.venues.select("venue", "area", "nk", rel.alias("relevance"))
-    return history.priority(history.venue_rollup(h), history.required_years(h, FIRST, LAST), relevance)
+    return history.priority(history.venue_rollup(h), history.required_years(h, FIRST, LAST), relevance, PRIORITY_TERMS, PRIORITY_CUTS, "LOW")
 
 
 @query
@@ -413,7 +439,7 @@ def venue_priority(c):
 
 def tiered(c: Corpus) -> DataFrame:
     seed = F.when(F.col("nk") == 22, 3).when(F.col("nk") == 10, 1).when(F.col("nk") == 14, 2)
-    return history.tiers(scored(c), c.venues.select("venue", seed.alias("seed")), ("BUILDING", "MACHINERY"), ("FURNITURE", "HOUSEHOLD"))
+    return history.tiers(scored(c), c.venues.select("venue", seed.alias("seed")), TIER_RULES, ("TIER2", "mixed evidence"))
 
 
 @query

@@ -25,6 +25,39 @@ def test_command_line_lists_queries(capsys):
     assert "basic_metrics_window" in capsys.readouterr().out.split()
 
 
+def test_download_goes_on_where_it_stopped(tmp_path):
+    import http.server
+    import threading
+
+    from sharelens.sources.download import download
+
+    body, asked = bytes(range(256)) * 40, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            start = int((self.headers.get("Range") or "bytes=0-")[6:-1])
+            asked.append(start)
+            self.send_response(206 if start else 200)
+            self.send_header("Content-Length", str(len(body) - start))
+            self.end_headers()
+            self.wfile.write(body[start : 4000 if len(asked) == 1 else None])  # the first answer breaks off
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, path = f"http://127.0.0.1:{server.server_port}/dump", str(tmp_path / "dump")
+    try:
+        download(url, path)
+    except OSError:
+        pass
+    assert not os.path.exists(path) and 0 < os.path.getsize(path + ".part") <= 4000
+    assert download(url, path) == len(body) == download(url, path)
+    assert open(path, "rb").read() == body and not os.path.exists(path + ".part") and len(asked) == 2 and asked[1] > 0
+    server.shutdown()
+
+
 def test_first_source_and_zip(spark):
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     b = spark.createDataFrame([(1, "y"), (2, "z")], "k int, v string")
