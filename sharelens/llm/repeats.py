@@ -12,16 +12,18 @@ form a run (about one per `size` / 2 units); runs with a key that occurs once ca
    documents share is one row a slice.
 3. solve: runs of one key meet in one task, in pools bounded in bytes; the operator's own method finds the repeated windows
    in a pool, by content. Equal runs of a pool enter it twice, for all of them.
+4. split: a key of more than `hot` runs would not fit a pool: runs at the edge of a shared passage have one key and other bytes in
+   every document. Such keys are dealt window by window instead, grouped by a 128-bit digest of the window's bytes with
+   partial sums, so that no task holds a key.
 Spans of all steps are merged per document and applied to the input.
 
 The bitmap has 16 bits a repeated key within 2**20 and 2**BITMAP bits (16 MB). Beyond some 8 million repeated keys it fills, and
-runs that don't repeat pass as well, in the end all; results are the same, the shuffle is larger. A key is never cut:
-runs at the edge of a shared passage have one key and different bytes in every document, so a hot edge costs one run
-(of `size` to 2 * `size` units, mostly) per document in one task's memory.
+runs that don't repeat pass as well, in the end all; results are the same, the shuffle is larger.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -34,6 +36,8 @@ from .common import configure, discard, keyed, materialize, slices, table_of, te
 SLICE, POOL, LONGEST = 1 << 20, 1 << 20, 512
 #: Keys that a task counts at once, bytes of text per part of the counting, and bits of the largest bitmap (as a power).
 FLUSH, COUNTED, BITMAP = 2_000_000, 128_000_000, 27
+#: Runs of a key (some 200 to 350 bytes each) from which on it is split.
+HOT = 5_000
 
 RUNS = "key long, _rk long, at long, weight int, units long, body binary"
 
@@ -224,11 +228,30 @@ def _solver(solve: Callable, size: int):
     return run
 
 
-def find(docs: DataFrame, units: Callable, body: Callable, solve: Callable, gram: int, size: int) -> tuple[DataFrame, DataFrame]:
+def _splitter(windows_of: Callable):
+    """Runs -> their windows: digest, place and weight."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out: dict[str, list] = {n: [] for n in ("h1", "h2", "_rk", "at", "weight")}
+            for row, where, weight, body in zip(*(batch.column(n).to_pylist() for n in ("_rk", "at", "weight", "body"))):
+                raw = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in windows_of(body))
+                n = len(raw) // 16
+                digests = np.frombuffer(raw, np.int64).reshape(n, 2)
+                for name, values in zip(out, (digests[:, 0].tolist(), digests[:, 1].tolist(), [row] * n, range(where, where + n), [weight] * n)):
+                    out[name].extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "weight" else pa.int64()) for n, v in out.items()], [*out])
+
+    return run
+
+
+def find(docs: DataFrame, units: Callable, body: Callable, windows_of: Callable, solve: Callable, gram: int, size: int, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The keyed documents, and for each with repeats its `_rk` and `spans`: array of (at, units), in units.
 
     units(bytes, offsets) gives gram hashes, the documents' first units and where units lie; body(bytes, that, first unit, units)
-    the content of a run."""
+    the content of a run; windows_of(content) the contents of its windows."""
     spark = docs.sparkSession
     configure(spark)
     docs = keyed(docs)
@@ -242,10 +265,15 @@ def find(docs: DataFrame, units: Callable, body: Callable, solve: Callable, gram
     shared = spark.sparkContext.broadcast(table_of(known.select(place.alias("place"), F.lit(1).alias("value")).distinct(), bits, bool))
     discard(known)
     runs = materialize(texts.mapInArrow(_cutter(shared, units, gram, size, body), RUNS))
-    solved = runs.where("weight > 0").repartition("key").sortWithinPartitions("key", "_rk", "at").mapInArrow(_solver(solve, size), "_rk long, at long, units long")
-    spans = runs.where("weight = 0").select("_rk", "at", "units").union(solved)
+    found = runs.where("weight > 0")
+    often = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))  # not more than runs / hot
+    solved = found.join(often, "key", "left_anti").select(*found.columns).repartition("key").sortWithinPartitions("key", "_rk", "at").mapInArrow(_solver(solve, size), "_rk long, at long, units long")
+    split = found.join(often, "key", "left_semi").mapInArrow(_splitter(windows_of), "h1 long, h2 long, _rk long, at long, weight int")
+    twice = split.groupBy("h1", "h2").agg(F.sum("weight").alias("times")).where("times > 1")
+    split = split.where("weight = 1").join(twice, ["h1", "h2"], "left_semi").select("_rk", "at", F.lit(size).cast("long").alias("units"))
+    spans = runs.where("weight = 0").select("_rk", "at", "units").union(solved).union(split)
     spans = materialize(spans.groupBy("_rk").agg(F.collect_list(F.struct("at", "units")).alias("spans")))
-    discard(runs)
+    discard(runs, often)
     return docs, spans
 
 

@@ -84,9 +84,14 @@ def repeated(bodies: list[bytes], windows: list[int], copies: list[int]) -> list
     return [out[b : b + w] for b, w in zip(begin, windows)]
 
 
-def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
+def _windows(body: bytes):
+    words = body.split()
+    return (b" ".join(words[i : i + SIZE]) for i in range(len(words) - SIZE + 1))
+
+
+def dedup(docs: DataFrame, texts: bool = False, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with texts also `removed` (array of word spans) and `kept`."""
-    keyed, spans = repeats.find(docs, _units, _body, repeated, GRAM, SIZE)
+    keyed, spans = repeats.find(docs, _units, _body, _windows, repeated, GRAM, SIZE, hot)
 
     def apply(batches):
         import pyarrow as pa

@@ -188,9 +188,13 @@ def _body(raw: bytes, cuts, at: int, n: int) -> bytes:
     return raw[at : at + n]
 
 
-def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
+def _windows(body: bytes):
+    return (body[i : i + SIZE] for i in range(len(body) - SIZE + 1))
+
+
+def dedup(docs: DataFrame, texts: bool = False, hot: int = repeats.HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also `removed` (array of byte spans) and `kept` (binary)."""
-    keyed, spans = repeats.find(docs, _units, _body, repeated, GRAM, SIZE)
+    keyed, spans = repeats.find(docs, _units, _body, _windows, repeated, GRAM, SIZE, hot)
 
     def apply(batches):
         import pyarrow as pa

@@ -154,6 +154,17 @@ def test_mixing_against_sql(spark, monkeypatch, mix):
     assert taken <= min(total * mix.percent // 100, total * mix.epochs)
 
 
+def test_mixing_of_very_long_texts_and_rows_without_ids(spark):
+    mix = mixing.Mix(percent=50, epochs=1)
+    rows = [(1, "w " * 1_000_000, "en", "src0"), (2, "a b", "en", "src0")] + [(None, f"t{i} x", None, None) for i in range(40)]
+    got = mixing.assign(frame(spark, rows), mix).collect()
+    assert {r.doc_id: r.n_tokens for r in got if r.doc_id} == {1: 1_000_000, 2: 2}
+    con = duckdb.connect()
+    con.register("documents", frame(spark, rows).toPandas().astype({"doc_id": "Int64"}))
+    assert sorted(map(tuple, got), key=str) == sorted(con.sql(mixing.sql(mix)).fetchall(), key=str)
+    assert 0 < sum(r.copies for r in got if r.doc_id is None) <= 40
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 10, 1), ("web", "en", "b", 1000, 1), ("press", "en", "c", 1000, 1)], "domain string, lang string, source string, tokens long, docs long")
     mix = mixing.Mix(domains={"web": 1, "press": 1}, sources={"a": 9}, percent=50, epochs=1)

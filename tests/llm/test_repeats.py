@@ -79,15 +79,17 @@ def test_suffix_array_is_in_order():
             assert n == want
 
 
-def test_bytes_against_brute_force(table):
+@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+def test_bytes_against_brute_force(table, hot):
     texts, df = table
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(df).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(df, hot=hot).collect()}
     assert [got[i] for i in range(len(texts))] == brute_bytes(texts, suffix_dedup.SIZE)
 
 
-def test_words_against_brute_force(table):
+@pytest.mark.parametrize("hot", [repeats.HOT, 3])
+def test_words_against_brute_force(table, hot):
     texts, df = table
-    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup(df).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.dedup(df, hot=hot).collect()}
     assert [got[i] for i in range(len(texts))] == brute_words(texts, substring_dedup.SIZE)
 
 
