@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure
+from .common import configure, lean
 
 # Code points that became letters or numbers only in Unicode 17; the tokenizers have Unicode 16.
 NEW_LETTERS = (
@@ -49,9 +49,9 @@ HIGH = re.compile("[\u0558-\U0010FFFF]")
 CLASSES = [regex.compile(x, regex.V1) for x in (rf"{_L}+", rf"{_N}+", rf"(?:{_P})+", r"\s+")]
 
 #: Characters of a pre-token from which on it is streamed; entries of the table of pre-tokens; bytes between emissions.
-LONG, TABLE, STEP = 1 << 16, 600_000, 256
+LONG, TABLE, STEP = 1 << 16, 300_000, 256
 #: Kept answers about pairs of tokens; marks for the beginning of a pre-token and for a prefix without an encoding.
-PAIRS, START, NONE = 1_500_000, 1 << 19, -1
+PAIRS, START, NONE = 600_000, 1 << 19, -1
 
 
 def byte_letters() -> dict[str, int]:
@@ -351,4 +351,4 @@ def transcode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), ids: bool
     names = ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
     source = docs.select("doc_id", *keep, F.col("text").cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
-    return source.mapInArrow(run, f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""))
+    return source.mapInArrow(lean(run), f"{schema}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""))
