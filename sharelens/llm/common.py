@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 
 _MADE: dict[str, SparkSession] = {}
 
-#: Rows per Arrow batch: texts average some kB, so a batch stays at a few MB; long texts are cut by `slices`.
-ARROW_ROWS = 512
+#: Rows and bytes per Arrow batch: a batch stays at a few MB; a longer text is a batch alone.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +36,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def lean(run: Callable) -> Callable:
+    """run, and at its end what it has freed goes back to the system: Python workers are used again and would keep it."""
+
+    def wrapped(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def cleanup() -> None:
@@ -229,7 +248,7 @@ def table_of(places: DataFrame, size: int, kind=np.uint8) -> bytes:
     width = RANGE // 8 if kind is bool else RANGE
     out = bytearray(max(1, size // RANGE) * width)
     ranges = places.select(F.shiftright("place", 16).cast("int").alias("part"), (F.col("place") % RANGE).cast("int").alias("at"), F.col("value").cast("int").alias("value"))
-    for r in ranges.repartition("part").sortWithinPartitions("part").mapInArrow(_filled(kind), "part int, bytes binary").collect():
+    for r in ranges.repartition("part").sortWithinPartitions("part").mapInArrow(lean(_filled(kind)), "part int, bytes binary").collect():
         out[r["part"] * width : (r["part"] + 1) * width] = r["bytes"]
     return bytes(out)
 

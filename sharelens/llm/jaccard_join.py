@@ -36,16 +36,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, configure, discard, keyed, materialize, mix, sequence_hashes, slices, table_of, text_buffer, word_bounds
+from .common import byte_hashes, configure, discard, keyed, lean, materialize, mix, sequence_hashes, slices, table_of, text_buffer, word_bounds
 
 N, TOKEN_BITS, CELL_BITS, SLOT_BITS = 5, 55, 40, 23
 #: Documents up to which a shared n-gram makes pairs, documents a block, compared documents a task.
 DENSE, BLOCK, PARTNERS = 48, 256, 128
 #: Prefix n-grams per fragment, n-grams that a task counts at once, bytes of text per part of the counting, n-grams per slice of a
 #: matrix product, and fragments of the final overlaps.
-FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 2_000_000, 2_000_000, 16_000_000, 4096, 4
+FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 1_500_000, 1_000_000, 16_000_000, 4096, 4
 #: n-grams of a fragment that are paired at once, and pairs that wait to be summed.
-PIECE, MET = 250_000, 500_000
+PIECE, MET = 100_000, 200_000
 SLICE = 1 << 20
 
 
@@ -333,7 +333,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, parts: int = 1) -> DataFrame:
     cell = F.pmod(F.xxhash64("_rk"), F.lit(bits)).cast("int")
     bitmap = table_of(keys.select(cell.alias("place"), F.lit(1).alias("value")).distinct(), bits, bool)
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    found = texts.withColumn("cell", cell).mapInArrow(_sets(shared, parts), "_rk long, frag int, tokens binary")
+    found = texts.withColumn("cell", cell).mapInArrow(lean(_sets(shared, parts)), "_rk long, frag int, tokens binary")
     return wanted.join(found, "_rk")
 
 
@@ -371,7 +371,7 @@ def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = materialize(owners.select("a", "_rk", "part", "role").union(partners.select("a", F.col("b").alias("_rk"), "part", F.lit(1))))
     rows = sets_of(texts, wanted, VERTICAL).withColumn("_task", F.xxhash64("a", "part", "frag"))
     rows = rows.repartition("_task").sortWithinPartitions("_task", "a", "part", "frag", "role").select("a", "part", "frag", "_rk", "tokens")
-    counted = rows.mapInArrow(_partial, "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    counted = rows.mapInArrow(lean(_partial), "a long, b long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     linked = counted.join(partners, ["a", "b"]).where(7 * F.col("shared") >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
     out = materialize(linked)
     discard(partners, wanted)
@@ -506,9 +506,9 @@ def frequencies(texts: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
     """The documents' sets (_rk, n, c1, c2), and slot and level of the frequent n-grams. Both depend on the rows alone."""
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = max(8, int(chars // COUNTED).bit_length())
-    described = materialize(texts.mapInArrow(_describer(part_bits), "_rk long, n long, c1 long, c2 long, part int, ones binary, many binary"))
+    described = materialize(texts.mapInArrow(lean(_describer(part_bits)), "_rk long, n long, c1 long, c2 long, part int, ones binary, many binary"))
     counts = described.where("part IS NOT NULL").select("part", "ones", "many")
-    found = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_leveller(part_bits, dense), "slot int, level int")
+    found = counts.repartition("part").sortWithinPartitions("part").mapInArrow(lean(_leveller(part_bits, dense)), "slot int, level int")
     levels = materialize(found.groupBy(F.col("slot").alias("place")).agg(F.max("level").alias("value")))
     rows = materialize(described.where("part IS NULL").select("_rk", "n", "c1", "c2"))
     discard(described)
@@ -520,8 +520,8 @@ def candidates(texts: DataFrame, rows: DataFrame, levels: DataFrame, dense: int)
     total = rows.agg(F.sum("n")).first()[0] or 0
     shared = texts.sparkSession.sparkContext.broadcast(table_of(levels, 1 << SLOT_BITS))
     fragments = max(8, int(total) // (4 * FRAGMENT))
-    prefixes = texts.mapInArrow(_prefixer(shared, fragments), "frag long, docs binary, grams binary")
-    counted = materialize(prefixes.repartition("frag").sortWithinPartitions("frag").mapInArrow(_pairer(dense), PAIRS))
+    prefixes = texts.mapInArrow(lean(_prefixer(shared, fragments)), "frag long, docs binary, grams binary")
+    counted = materialize(prefixes.repartition(2 * fragments, "frag").sortWithinPartitions("frag").mapInArrow(lean(_pairer(dense)), PAIRS))
     # partial overlaps summed per pair: up to the last shared place all other n-grams of a set are misses, so the overlap is at
     # most the set's size without them (pairs that share a dense n-gram as well meet in its cluster)
     pairs = counted.where("not dense").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
@@ -564,7 +564,7 @@ def links(docs: DataFrame, dense: int = DENSE, block: int = BLOCK):
     largest = members.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     dealt = materialize(tasks(members.join(largest, "cluster").withColumn("main", F.col("main") == F.col("label")), block))
     if not dealt.isEmpty():
-        compared = sets_of(texts, dealt).repartition("task").sortWithinPartitions("task").select("task", "_rk", "side", "tokens").mapInArrow(_compare, "a long, b long")
+        compared = sets_of(texts, dealt).repartition("task").sortWithinPartitions("task").select("task", "_rk", "side", "tokens").mapInArrow(lean(_compare), "a long, b long")
         edges, before = materialize(edges.union(compared)), edges
         discard(before)
     out = materialize(edges.union(more))

@@ -22,7 +22,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure
+from .common import configure, lean
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "iban", "account", "secret")
@@ -161,7 +161,7 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_private"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_private long")
+    return source.mapInArrow(lean(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_private long")
 
 
 def redact(text: str, automaton, mark: str = "[{}]") -> str:

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import configure, discard, keyed, materialize, slices, table_of, text_buffer
+from .common import configure, discard, keyed, lean, materialize, slices, table_of, text_buffer
 
 #: Bytes of text scanned at once, bytes of runs solved at once, most windows in a run.
 SLICE, POOL, LONGEST = 1 << 20, 1 << 20, 512
@@ -258,17 +258,17 @@ def find(docs: DataFrame, units: Callable, body: Callable, windows_of: Callable,
     texts = docs.select("_rk", "text")
     chars = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     part_bits = max(6, int(chars // COUNTED).bit_length())
-    keys = texts.mapInArrow(_keys(units, gram, size, part_bits), "part int, keys binary")
-    known = materialize(keys.repartition("part").sortWithinPartitions("part").mapInArrow(_repeated, "key long"))
+    keys = texts.mapInArrow(lean(_keys(units, gram, size, part_bits)), "part int, keys binary")
+    known = materialize(keys.repartition("part").sortWithinPartitions("part").mapInArrow(lean(_repeated), "key long"))
     bits = 1 << min(BITMAP, max(20, (16 * max(1, known.count()) - 1).bit_length()))
     place = F.shiftright("key", 8).bitwiseAND(F.lit(bits - 1)).cast("int")
     shared = spark.sparkContext.broadcast(table_of(known.select(place.alias("place"), F.lit(1).alias("value")).distinct(), bits, bool))
     discard(known)
-    runs = materialize(texts.mapInArrow(_cutter(shared, units, gram, size, body), RUNS))
+    runs = materialize(texts.mapInArrow(lean(_cutter(shared, units, gram, size, body)), RUNS))
     found = runs.where("weight > 0")
     often = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))  # not more than runs / hot
-    solved = found.join(often, "key", "left_anti").select(*found.columns).repartition("key").sortWithinPartitions("key", "_rk", "at").mapInArrow(_solver(solve, size), "_rk long, at long, units long")
-    split = found.join(often, "key", "left_semi").mapInArrow(_splitter(windows_of), "h1 long, h2 long, _rk long, at long, weight int")
+    solved = found.join(often, "key", "left_anti").select(*found.columns).repartition("key").sortWithinPartitions("key", "_rk", "at").mapInArrow(lean(_solver(solve, size)), "_rk long, at long, units long")
+    split = found.join(often, "key", "left_semi").mapInArrow(lean(_splitter(windows_of)), "h1 long, h2 long, _rk long, at long, weight int")
     twice = split.groupBy("h1", "h2").agg(F.sum("weight").alias("times")).where("times > 1")
     split = split.where("weight = 1").join(twice, ["h1", "h2"], "left_semi").select("_rk", "at", F.lit(size).cast("long").alias("units"))
     spans = runs.where("weight = 0").select("_rk", "at", "units").union(solved).union(split)

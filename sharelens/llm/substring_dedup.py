@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import byte_hashes, sequence_hashes, word_bounds
+from .common import byte_hashes, lean, sequence_hashes, word_bounds
 
 #: Words of a window, of the grams whose least hash is its key, and of a reference block.
 SIZE, GRAM, BLOCK = 35, 8, 18
@@ -115,4 +115,4 @@ def dedup(docs: DataFrame, texts: bool = False, hot: int = repeats.HOT) -> DataF
 
     rows = keyed.join(spans, "_rk", "left").select(keyed["doc_id"].cast("long").alias("doc_id"), "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return rows.mapInArrow(apply, schema + (", removed array<array<long>>, kept string" if texts else ""))
+    return rows.mapInArrow(lean(apply), schema + (", removed array<array<long>>, kept string" if texts else ""))

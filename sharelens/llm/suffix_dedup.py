@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import mix, words_at
+from .common import lean, mix, words_at
 
 #: Bytes of a window, and of the grams whose least hash is its key.
 SIZE, GRAM = 200, 48
@@ -218,4 +218,4 @@ def dedup(docs: DataFrame, texts: bool = False, hot: int = repeats.HOT) -> DataF
 
     rows = keyed.join(spans, "_rk", "left").select(keyed["doc_id"].cast("long").alias("doc_id"), "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.mapInArrow(apply, schema + (", removed array<array<long>>, kept binary" if texts else ""))
+    return rows.mapInArrow(lean(apply), schema + (", removed array<array<long>>, kept binary" if texts else ""))

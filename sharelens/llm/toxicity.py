@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, configure, materialize, slices, text_buffer
+from .common import byte_hashes, configure, lean, materialize, slices, text_buffer
 
 HELD_OUT, THRESHOLD = 2, 0.3
 SAMPLE, SAMPLE_CHARS = 1_500, 12_000
@@ -231,7 +231,7 @@ def logits(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "_llm_lang", "_llm_z"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_llm_text")
-    return source.mapInArrow(run, f"{schema}, _llm_z double")
+    return source.mapInArrow(lean(run), f"{schema}, _llm_z double")
 
 
 def histogram(scored: DataFrame, labels: DataFrame, fitted: list) -> DataFrame:
