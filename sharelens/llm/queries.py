@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, code_compression, exact_dedup, fingerprints, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_code_compression(spark, sf_dir):
+    return code_compression.compress(_table(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
@@ -92,8 +96,9 @@ def queries():
         "op8_jaccard_join": op8_jaccard_join,
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
+        "op11_code_compression": op11_code_compression,
     }
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.sql(mixing.Mix()), "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op3_mixing": mixing.sql(mixing.Mix()), "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_code_compression": code_compression.sql()}
