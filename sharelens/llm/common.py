@@ -133,6 +133,29 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes of a text whose words are listed at once.
+PIECE = 1 << 20
+
+
+def word_pieces(data: memoryview, fold: bytes):
+    """The words of one text as lists, about PIECE bytes at a time. `fold` maps each byte to that of a word or to a space."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + PIECE, n)
+        piece = bytes(data[at:end]).translate(fold)
+        cut = piece.rfind(b" ")
+        while cut < 0 and end < n:  # one word longer than a piece
+            more = bytes(data[end : end + PIECE]).translate(fold)
+            end += len(more)
+            cut = len(piece) + more.rfind(b" ") if b" " in more else -1
+            piece += more
+        if end < n:
+            end = at + cut + 1
+            piece = piece[: cut + 1]
+        yield piece.split()
+        at = end
+
+
 def slices(offsets: np.ndarray, most: int):
     """(first, last + 1) ranges of rows with about `most` bytes each; a longer text is a range alone."""
     i, n = 0, len(offsets) - 1

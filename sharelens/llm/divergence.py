@@ -9,7 +9,7 @@ and lists merged per task before they are shuffled. All arithmetic is exact in i
 
 Defined cases: null text, lang and source are ''; an empty or null text has no terms and counts as a document of its group, which
 occurs in the result; a language without kept terms gives pairs of value 0 and no terms; a text of any length is
-counted in pieces of PIECE bytes cut between terms; doc_id and other columns are not read, so null and repeated ids and
+counted in pieces cut between terms; doc_id and other columns are not read, so null and repeated ids and
 repeated rows each count as documents; an empty table gives no rows.
 """
 
@@ -21,38 +21,18 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import configure, lean, materialize, text_buffer
+from .common import configure, lean, materialize, text_buffer, word_pieces
 
 MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 
-#: Bytes of a text counted at once, counters a task holds before it passes them on, terms and sources of a block, and
-#: languages up to which their totals are broadcast (some 100 bytes each).
-PIECE, HELD, TERMS, SOURCES, LANGS = 1 << 20, 300_000, 1024, 64, 20_000
+#: Counters a task holds before it passes them on, terms and sources of a block, and languages up to which their totals are
+#: broadcast (some 100 bytes each).
+HELD, TERMS, SOURCES, LANGS = 300_000, 1024, 64, 20_000
 
 #: A-Z to lower case, everything that is in no term to a space.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def _words(data: memoryview):
-    """The terms of one text, piece by piece."""
-    at, n = 0, len(data)
-    while at < n:
-        end = min(at + PIECE, n)
-        piece = bytes(data[at:end]).translate(FOLD)
-        if end < n:
-            cut = piece.rfind(b" ")
-            while cut < 0 and end < n:  # one term longer than a piece
-                more = bytes(data[end : end + PIECE]).translate(FOLD)
-                end = min(end + PIECE, n)
-                piece += more
-                cut = piece.rfind(b" ")
-            if end < n:
-                end = at + cut + 1
-                piece = piece[: cut + 1]
-        yield piece.split()
-        at = end
-
-
 def _count(batches):
     import pyarrow as pa
 
@@ -73,7 +53,7 @@ def _count(batches):
         for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
             terms, docs = held.setdefault(key, (Counter(), Counter()))
             seen = set()
-            for words in _words(data[offsets[i] : offsets[i + 1]]):
+            for words in word_pieces(data[offsets[i] : offsets[i + 1]], FOLD):
                 terms.update(words)
                 seen.update(words)
             docs.update(seen)

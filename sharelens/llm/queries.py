@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, code_compression, divergence, exact_dedup, fingerprints, jaccard_join, mixing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import bpe, code_compression, divergence, exact_dedup, fingerprints, jaccard_join, license_scan, mixing, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_code_compression(spark, sf_dir):
     return code_compression.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_license_scan(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark, sf_dir):
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -101,9 +105,10 @@ def queries():
         "op9_url_filter": op9_url_filter,
         "op10_toxicity": op10_toxicity,
         "op11_code_compression": op11_code_compression,
+        "op12_license_scan": op12_license_scan,
         "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.sql(mixing.Mix()), "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_code_compression": code_compression.sql(), "op13_divergence": divergence.sql()}
+    return {"op3_mixing": mixing.sql(mixing.Mix()), "op5_exact_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_code_compression": code_compression.sql(), "op12_license_scan": license_scan.sql(), "op13_divergence": divergence.sql()}

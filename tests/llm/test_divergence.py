@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sharelens.llm import divergence
+from sharelens.llm import common, divergence
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -90,10 +90,10 @@ def test_empty_table(spark):
 def test_pieces_are_cut_between_terms(monkeypatch):
     r = random.Random(1)
     for size in (1, 3, 8, 50):
-        monkeypatch.setattr(divergence, "PIECE", size)
+        monkeypatch.setattr(common, "PIECE", size)
         for _ in range(50):
             text = "".join(r.choice("abé .Z") for _ in range(r.randrange(80)))
-            got = [w.decode() for piece in divergence._words(memoryview(text.encode())) for w in piece]
+            got = [w.decode() for piece in common.word_pieces(memoryview(text.encode()), divergence.FOLD) for w in piece]
             assert got == terms_of(text)
 
 
