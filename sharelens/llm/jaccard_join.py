@@ -43,9 +43,9 @@ N, TOKEN_BITS, CELL_BITS, SLOT_BITS = 5, 55, 40, 23
 DENSE, BLOCK, PARTNERS = 48, 256, 128
 #: Prefix n-grams per fragment, n-grams that a task counts at once, bytes of text per part of the counting, n-grams per slice of a
 #: matrix product, and fragments of the final overlaps.
-FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 1_500_000, 1_000_000, 16_000_000, 4096, 4
-#: n-grams of a fragment that are paired at once, and pairs that wait to be summed.
-PIECE, MET = 100_000, 200_000
+FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 450_000, 1_000_000, 16_000_000, 4096, 4
+#: n-grams of a fragment that are paired at once, pairs that wait to be summed, and n-grams of a block of compared documents.
+PIECE, MET, HELD = 100_000, 200_000, 4_000_000
 SLICE = 1 << 20
 
 
@@ -176,14 +176,21 @@ def slots(cells: np.ndarray) -> np.ndarray:
     return (mix(cells + np.uint64(1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _prefixer(levels, fragments: int):
-    """Prefix n-grams by fragment: bytes of the documents (class, key, size) and of the n-grams with their document and place."""
+def fragment(token: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray:
+    """Fragment of each n-gram: rare ones have the first `fragments`, frequent ones the rest. Each part of the order is dealt by
+    a second hash: a prefix is the first quarter of a document's order, so cuts of equal width would hold most of them in few."""
+    return np.where(level == 0, mix(token) % np.uint64(fragments), np.uint64(fragments) + mix(token) % np.uint64(fragments)).astype(np.int64)
+
+
+def _prefixer(levels, heads, fragments: int):
+    """Prefix n-grams by fragment: bytes of the documents (class, key, size) and of the n-grams with their document and place.
+    Documents whose cell isn't in the bitmap of the classes' heads are left out."""
 
     def run(batches):
         import pyarrow as pa
 
         level = np.frombuffer(levels.value, np.uint8)
-        for tokens, bounds, c1, c2, rk in _batches(batches, "_rk", classes=True):
+        for tokens, bounds, c1, c2, rk in _batches(_within(batches, heads), "_rk", classes=True):
             n = np.diff(bounds)
             once = _once(c1, c2) & (n > 2)  # equal sets of this slice go on as one; sets of one or two link with equal ones only
             if not once.any():
@@ -195,8 +202,7 @@ def _prefixer(levels, fragments: int):
             place = np.arange(len(doc)) - np.repeat(bounds[:-1], n)
             by, place = by[place < np.repeat(length, n)], place[place < np.repeat(length, n)]
             token, d, order = tokens[by], doc[by], order[by]
-            rare = (token >> np.uint64(TOKEN_BITS - 32)) * np.uint64(fragments) >> np.uint64(32)
-            frag = np.where(order == 0, rare, np.uint64(fragments) + mix(token) % np.uint64(fragments)).astype(np.int64)
+            frag = fragment(token, order, fragments)
             by = np.argsort(frag, kind="stable")
             frag, token, d, place = frag[by], token[by], d[by], place[by].astype(np.uint32)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(frag)) + 1, [len(frag)]])
@@ -298,17 +304,33 @@ def _pairer(dense: int):
     return run
 
 
+def _within(batches, shared):
+    """The rows whose cell is in the bitmap."""
+    import pyarrow as pa
+
+    bitmap = np.frombuffer(shared.value, np.uint8)
+    for batch in batches:
+        cell = batch.column("cell").to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array((bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1))
+
+
+def marked(texts: DataFrame, keys: DataFrame):
+    """texts with `cell`, a hash of _rk, and the bitmap of the cells of `keys` (distinct _rk), broadcast: 16 bits a document within
+    2**20 and 2**27 bits (16 MB). It lets all of them through, and others where cells meet."""
+    bits = 1 << min(27, max(20, (16 * max(1, keys.count()) - 1).bit_length()))
+    cell = F.pmod(F.xxhash64("_rk"), F.lit(bits)).cast("int")
+    bitmap = table_of(keys.select(cell.alias("place"), F.lit(1).alias("value")).distinct(), bits, bool)
+    return texts.withColumn("cell", cell), texts.sparkSession.sparkContext.broadcast(bitmap)
+
+
 def _sets(shared, parts: int):
     """The sets of the documents whose cell is in the bitmap, all wanted ones and a few more, cut into `parts` fragments."""
 
     def run(batches):
         import pyarrow as pa
 
-        bitmap = np.frombuffer(shared.value, np.uint8)
         edges = np.array([(k << TOKEN_BITS) // parts for k in range(parts + 1)], np.uint64)
-        for batch in batches:
-            cell = batch.column("cell").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((bitmap[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1))
+        for batch in _within(batches, shared):
             for tokens, bounds, rk in _batches([batch], "_rk"):
                 keys, frag, out = [], [], []
                 for k, a, b in zip(rk.tolist(), bounds, bounds[1:]):
@@ -325,15 +347,10 @@ def _sets(shared, parts: int):
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, parts: int = 1) -> DataFrame:
-    """wanted (with _rk), frag and tokens, without a shuffle of texts: a bitmap of hashed _rk, 16 bits a document within
-    2**20 and 2**27 bits (16 MB), is broadcast; what it lets through too much falls out in the join on _rk. Beyond some 10
-    million wanted documents the bitmap fills, and in the end every document's set goes through the join."""
-    keys = wanted.select("_rk").distinct()
-    bits = 1 << min(27, max(20, (16 * max(1, keys.count()) - 1).bit_length()))
-    cell = F.pmod(F.xxhash64("_rk"), F.lit(bits)).cast("int")
-    bitmap = table_of(keys.select(cell.alias("place"), F.lit(1).alias("value")).distinct(), bits, bool)
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
-    found = texts.withColumn("cell", cell).mapInArrow(lean(_sets(shared, parts)), "_rk long, frag int, tokens binary")
+    """wanted (with _rk), frag and tokens, without a shuffle of texts: what the bitmap lets through too much falls out in the join
+    on _rk. Beyond some 10 million wanted documents the bitmap fills, and in the end every document's set goes through the join."""
+    texts, shared = marked(texts, wanted.select("_rk").distinct())
+    found = texts.mapInArrow(lean(_sets(shared, parts)), "_rk long, frag int, tokens binary")
     return wanted.join(found, "_rk")
 
 
@@ -451,7 +468,8 @@ def tasks(members: DataFrame, block: int) -> DataFrame:
     with itself."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     members = members.withColumn("band", band)
-    blocks = members.groupBy("cluster", "band").agg(*[F.ceil(F.count_if(cond) / block).cast("int").alias(name) for name, cond in (("rest", ~F.col("main")), ("mains", F.col("main")))])
+    size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(HELD / F.pow(F.lit(4 / 3), F.col("band") + 1))))  # bounded in documents and in n-grams
+    blocks = members.groupBy("cluster", "band").agg(*[F.ceil(F.count_if(cond) / size).cast("int").alias(name) for name, cond in (("rest", ~F.col("main")), ("mains", F.col("main")))])
     near = blocks.select("cluster", F.explode(F.array(*[F.struct((F.col("band") + d).alias("band"), F.lit(d).alias("d"), "rest", "mains") for d in (-1, 0, 1)])).alias("x")).select("cluster", "x.*")
     near = near.groupBy("cluster", "band").agg(*[F.coalesce(F.max(F.when(F.col("d") == -d, F.col(k))), F.lit(0)).alias(f"{k}{i}") for i, d in enumerate((-1, 0, 1)) for k in ("rest", "mains")])
     m = members.join(near, ["cluster", "band"])
@@ -520,7 +538,9 @@ def candidates(texts: DataFrame, rows: DataFrame, levels: DataFrame, dense: int)
     total = rows.agg(F.sum("n")).first()[0] or 0
     shared = texts.sparkSession.sparkContext.broadcast(table_of(levels, 1 << SLOT_BITS))
     fragments = max(8, int(total) // (4 * FRAGMENT))
-    prefixes = texts.mapInArrow(lean(_prefixer(shared, fragments)), "frag long, docs binary, grams binary")
+    # one document of each class goes on; the others join it at the end
+    texts, heads = marked(texts, rows.where("n > 2").groupBy("c1", "c2").agg(F.min("_rk").alias("_rk")).select("_rk"))
+    prefixes = texts.mapInArrow(lean(_prefixer(shared, heads, fragments)), "frag long, docs binary, grams binary")
     counted = materialize(prefixes.repartition(2 * fragments, "frag").sortWithinPartitions("frag").mapInArrow(lean(_pairer(dense)), PAIRS))
     # partial overlaps summed per pair: up to the last shared place all other n-grams of a set are misses, so the overlap is at
     # most the set's size without them (pairs that share a dense n-gram as well meet in its cluster)

@@ -73,6 +73,38 @@ def test_work_does_not_depend_on_partitions(spark):
     assert all(abs(x[k] - seen[0][k]) <= 0.2 * seen[0][k] for x in seen for k in (2, 3))
 
 
+@pytest.mark.parametrize("templated", [False, True])
+def test_fragments_are_even(templated):
+    """Prefixes are the low quarter of each document's order; their fragments hold equal shares all the same."""
+    import numpy as np
+
+    from sharelens.llm import common
+
+    r = random.Random(4)
+    frame = " ".join(f"frame{i}" for i in range(60)) if templated else ""
+    texts = [(" ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(20, 300))) + " " + frame).encode() for _ in range(300)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    tokens, bounds = jaccard_join.shingles(data, offsets)
+    found = np.concatenate([tokens[a : a + (b - a) // 4 + 1] for a, b in zip(bounds, bounds[1:])])
+    found = np.unique(found)
+    spread = np.bincount(jaccard_join.fragment(found, np.zeros(len(found), int), 8), minlength=8)
+    assert spread.max() < 1.2 * spread.mean() and len(spread) == 8
+    assert (jaccard_join.fragment(found, np.ones(len(found), int), 8) >= 8).all()
+    assert common.mix(found).dtype == np.uint64
+
+
+def test_one_document_of_each_class_makes_pairs(spark):
+    rows = list(enumerate(corpus(6, 40) * 6))
+    texts = spark.createDataFrame(rows, "_rk long, text string").na.fill("").repartition(5)
+    sets, levels = jaccard_join.frequencies(texts, 48)
+    heads = {r[0] for r in sets.where("n > 0").groupBy("c1", "c2").agg({"_rk": "min"}).select("min(_rk)").collect()}
+    pairs, _ = jaccard_join.candidates(texts, sets, levels, 48)
+    found = {x for r in pairs.collect() for x in (r.a, r.b)}
+    assert len(found & heads) > 0.9 * len(found)  # the bitmap lets a few others through
+    df = texts.withColumnRenamed("_rk", "doc_id")
+    assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute([(k, t or "") for k, t in rows])
+
+
 def thue_morse(k):
     a = "ab"
     for _ in range(k):

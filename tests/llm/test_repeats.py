@@ -125,13 +125,14 @@ def test_words_that_collide_modulo_powers_of_two(spark):
 
 def test_repeated_ids_rows_and_empty_tables(spark):
     t = "q" * 10 + "".join(chr(97 + i % 7) + str(i) for i in range(200))
-    words = " ".join(f"u{i}" for i in range(50))
-    rows = [(1, t), (1, t), (None, words), (None, words), (2, "short")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted((tuple(r) for r in suffix_dedup.dedup(df).collect()), key=str)
-    assert [(r[0], r[1] - r[2]) for r in got] == [(1, 0), (1, 0), (2, 5), (None, len(words) - len(words)), (None, 0)] or len(words) < 200
+    words = " ".join(f"u{i}" for i in range(50))  # 189 bytes, no window of 200
+    rows = [(1, t), (1, t), (None, words), (None, words), (None, "z" + t + "z"), (2, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_bytes", F.lit(-1)).withColumn("kept_sha256", F.lit("clash"))
+    for hot in (5000, 1):
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.dedup(df, hot=hot).collect()), key=str)
+        assert got == [(1, len(t), len(t)), (1, len(t), len(t)), (2, 5, 0), (None, 189, 0), (None, 189, 0), (None, len(t) + 2, len(t))]
     got = sorted((tuple(r) for r in substring_dedup.dedup(df).collect()), key=str)
-    assert [(r[0], r[1], r[2]) for r in got if r[0] is None] == [(None, 50, 50)] * 2
+    assert [(r[0], r[1], r[2]) for r in got if r[0] is None] == [(None, 1, 0), (None, 50, 50), (None, 50, 50)]
     empty = df.limit(0)
     assert suffix_dedup.dedup(empty).count() == 0
     assert substring_dedup.dedup(empty).count() == 0
