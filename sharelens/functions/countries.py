@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,47 +18,27 @@ NAMES = (
     ("brazil", "BR"), ("argentina", "AR"), ("chile", "CL"), ("colombia", "CO"), ("china", "CN"), ("hong kong", "HK"), ("taiwan", "TW"), ("japan", "JP"), ("south korea", "KR"),
     ("singapore", "SG"), ("australia", "AU"), ("new zealand", "NZ"), ("iran", "IR"), ("saudi arabia", "SA"), ("united arab emirates", "AE"), ("pakistan", "PK"), ("vietnam", "VN"),
 )
-#: Suffixes of domains: those of the codes above, with the ones that differ from their code.
-DOMAINS = ((".ac.uk", "GB"), (".uk", "GB"), (".edu", "US"), (".gov", "US"), (".mil", "US"), *((f".{c.lower()}", c) for c in sorted({c for _, c in NAMES} - {"GB"})))
+#: Other forms of names, and domain suffixes that differ from their country's code.
+ALIASES = (("u s a", "US"), ("u k", "GB"), ("p r china", "CN"), ("peoples republic of china", "CN"), ("republic of korea", "KR"), ("korea", "KR"), ("russian federation", "RU"), ("holland", "NL"), ("uae", "AE"), ("viet nam", "VN"))
+SUFFIXES = (("ac.uk", "GB"), ("uk", "GB"), ("edu", "US"), ("gov", "US"), ("mil", "US"))
 #: Parts of institutions' names that tell the country; a parameter as well.
 HINTS = (("university of oxford", "GB"), ("imperial college", "GB"), ("max planck", "DE"), ("fraunhofer", "DE"), ("cnrs", "FR"), ("inria", "FR"), ("csic", "ES"), ("politecnico di", "IT"), ("eth zurich", "CH"), ("stanford", "US"), ("carnegie mellon", "US"), ("tsinghua", "CN"))
 
 
 def _lookup(x: Column, names) -> Column:
-    out = None
-    for name, code in names:
-        out = F.when(x == name, code) if out is None else out.when(x == name, code)
-    return out
+    """The code of x by one map, whatever the number of names."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(dict(reversed(names)))), "map<string,string>"), x)
 
 
 def infer(text: Column, names=NAMES, least: int = 4, strict: bool = False) -> Column:
     """A literal code, else the last comma part that is a name, else the first name longer than `least` characters
-    found in it: anywhere, or with `strict` only between word boundaries."""
+    found in it: anywhere, or with `strict` only between word boundaries. For a few names and short texts, as within a
+    nested value; `operators.gazetteer` joins texts with a dictionary."""
     clean = F.lower(F.trim(text))
     code = F.when(clean.rlike("^[a-z]{2}$"), F.upper(clean))
     parts = F.transform(F.reverse(F.split(clean, ",")), lambda p: _lookup(F.trim(p), names))
     part = F.get(F.filter(parts, lambda p: p.isNotNull()), F.lit(0))
-    sub = None
-    for name, c in names:
-        if len(name) > least:
-            cond = clean.rlike(rf"\b{name}\b") if strict else F.contains(clean, F.lit(name))
-            sub = F.when(cond, c) if sub is None else sub.when(cond, c)
-    return F.coalesce(_lookup(clean, names).cast("string") if strict else F.lit(None).cast("string"), F.when(_lookup(clean, names).isNotNull(), _lookup(clean, names)), part, code, sub)
-
-
-def mentioned(text: Column, names=NAMES, hints=HINTS) -> Column:
-    """All codes whose name stands in the text as a word, or a hint of which is in it."""
-    by_code: dict[str, list[str]] = {}
-    for n, c in names:
-        by_code.setdefault(c, []).append(n)
-    found = [F.when(text.rlike(rf"(?i)\b(?:{'|'.join(ns)})\b"), c) for c, ns in by_code.items()]
-    found += [F.when(F.contains(F.lower(text), F.lit(h)), c) for h, c in hints]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
-
-
-def from_domain(domain: Column, domains=DOMAINS) -> Column:
-    out = None
-    for suffix, code in domains:
-        cond = F.lower(domain).endswith(suffix)
-        out = F.when(cond, code) if out is None else out.when(cond, code)
-    return out
+    longer = F.array(*[F.lit(n) for n, _ in names if len(n) > least])
+    inside = (lambda n: F.regexp_like(clean, F.concat(F.lit(r"\b"), n, F.lit(r"\b")))) if strict else (lambda n: F.contains(clean, n))
+    sub = _lookup(F.get(F.filter(longer, inside), F.lit(0)), names)
+    return F.coalesce(_lookup(clean, names), part, code, sub)

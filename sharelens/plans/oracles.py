@@ -101,14 +101,7 @@ CONS = f"""{EVID}, cons AS (SELECT paper_id, country, string_agg(source, '|' ORD
 TITLE = """ti0 AS (SELECT doc_id, lang, list_filter(string_split(trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS w FROM documents),
 titles AS (SELECT doc_id, lang, array_to_string(w[1:12], ' ') AS title FROM ti0),
 p AS (SELECT doc_id AS paper_id, lang, title FROM titles), w AS (SELECT doc_id AS work_id, lang, title FROM titles)"""
-COUNTRYCASE = "CASE s_nationkey % 5 WHEN 0 THEN 'Spain' WHEN 1 THEN 'Germany' WHEN 2 THEN 'India' WHEN 3 THEN 'France' ELSE 'Italy' END"
-AFF = f"""aff AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'Dept, Univ, ' || {COUNTRYCASE} WHEN 1 THEN 'es' WHEN 2 THEN 'Indiana University' WHEN 3 THEN {COUNTRYCASE} WHEN 4 THEN 'Lab of ' || {COUNTRYCASE} || ' North' ELSE 'Unknown' END AS text FROM supplier)"""
 DOIS = """dois AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'https://doi.org/10.1000/ABC' || p_partkey WHEN 1 THEN 'http://dx.doi.org/10.1000/Abc' || p_partkey || '.' WHEN 2 THEN 'doi: 10.1000/x' || p_partkey WHEN 3 THEN ' 10.1000/Y' || p_partkey || ' ' WHEN 4 THEN '' ELSE NULL END AS raw FROM part)"""
-NAMEMAP = "CASE x WHEN 'spain' THEN 'ES' WHEN 'germany' THEN 'DE' WHEN 'india' THEN 'IN' WHEN 'france' THEN 'FR' WHEN 'italy' THEN 'IT' WHEN 'united kingdom' THEN 'GB' WHEN 'uk' THEN 'GB' WHEN 'usa' THEN 'US' END"
-
-
-def names(x: str) -> str:
-    return NAMEMAP.replace("CASE x", f"CASE {x}")
 
 
 SQL: dict[str, str] = {
@@ -226,9 +219,6 @@ SQL |= {
     "title_fuzzy_match": f"""WITH {TITLE}, ps AS (SELECT DISTINCT lang, title, list_distinct(string_split(title, ' ')) AS t FROM p WHERE title <> ''), ws AS (SELECT lang, title AS wt, min(work_id) AS work_id, list_distinct(string_split(title, ' ')) AS u FROM w WHERE title <> '' GROUP BY lang, title),
 s AS (SELECT ps.lang, title, work_id, CAST(len(list_intersect(t, u)) AS DOUBLE) / greatest(len(t), len(u)) AS score FROM ps JOIN ws ON ps.lang = ws.lang AND title <> wt AND least(len(t), len(u)) >= 0.86 * greatest(len(t), len(u)))
 SELECT paper_id, work_id, score FROM p JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, title ORDER BY score DESC, work_id) AS k FROM s WHERE score >= 0.86) WHERE k = 1) USING (lang, title)""",
-    "country_inference_text": f"""WITH {AFF}, c AS (SELECT s_suppkey, lower(trim(text)) AS t, text FROM aff)
-SELECT s_suppkey, text, coalesce({names('t')}, list_filter(list_transform(list_reverse(string_split(t, ',')), lambda x: {names('trim(x)')}), lambda x: x IS NOT NULL)[1], CASE WHEN regexp_full_match(t, '[a-z][a-z]') THEN upper(t) END,
- CASE WHEN contains(t, 'spain') THEN 'ES' WHEN contains(t, 'germany') THEN 'DE' WHEN contains(t, 'india') THEN 'IN' WHEN contains(t, 'france') THEN 'FR' WHEN contains(t, 'italy') THEN 'IT' WHEN contains(t, 'united kingdom') THEN 'GB' END) AS country FROM c""",
     "secondary_text_flags": """SELECT doc_id, array_to_string(list_filter(['the', 'license', 'www'], lambda x: contains(lower(coalesce(text, '')), x)), ';') AS tokens, regexp_matches(lower(coalesce(text, '')), 'license|copyright') AS secondary, length(coalesce(text, '')) > 3 AS has_text FROM documents""",
     "profile_interval_lookup": q(
         """SELECT paper_id, author, country, CAST(kind AS BIGINT) AS kind FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, author ORDER BY kind, start DESC, country) AS k

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import countries, text
-from ..operators import consolidate, indicators, matching
+from ..functions import text
+from ..operators import consolidate, gazetteer, indicators, matching
 from ..schema import alias_columns, cardinality_differences, require_columns
 from ..sources import api, files, sinks
 from ..sources.driver import Corpus
@@ -319,19 +319,56 @@ def useful_title_tokens(c):
     return c.table("part").select("p_partkey", F.array_join(text.useful_tokens(norm), " ").alias("useful"))
 
 
-AFFILIATIONS = ("Dept of X, CSIC and Fraunhofer", "Lab, Spain; Univ, FRANCE", "Spainish studies", "United Kingdom and Germany", "nothing")
+def phrases(c: Corpus) -> DataFrame:
+    """A dictionary of word n-grams: one to four words from every place of the benchmark's texts, their item's nation as code."""
+    w = text.tokens(text.title_ascii(F.col("text")))
+    rows = c.table("benchmark").select("item_id", w.alias("w")).select("item_id", F.posexplode(F.transform("w", lambda _, i: F.slice("w", i + 1, i % 4 + 1))).alias("i", "p"))
+    return rows.where(F.size("p") == F.col("i") % 4 + 1).select(F.array_join("p", " ").alias("phrase"), cat("N", F.col("item_id") % 25).alias("code"), (F.col("i") % 3).alias("rank"))
 
 
-@sql("SELECT s_suppkey, ['DE,ES', 'ES,FR', '', 'DE,GB', ''][s_suppkey % 5 + 1] AS codes FROM supplier")
-def country_mentions(c):
-    """All countries of a text: names as words, institutions by hints."""
-    return c.table("supplier").select("s_suppkey", F.array_join(countries.mentioned(pick(supp(), *AFFILIATIONS)), ",").alias("codes"))
+WORDS_SQL = "list_filter(string_split(trim(regexp_replace(strip_accents(lower({})), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
+PHRASES_SQL = f"""b AS (SELECT item_id, {WORDS_SQL.format("text")} AS w FROM benchmark),
+bi AS (SELECT item_id, w, unnest(range(len(w))) AS i FROM b),
+dict AS MATERIALIZED (SELECT phrase, arg_min(code, (rank, code)) AS code, min(rank) AS rank, len(string_split(phrase, ' ')) AS n FROM (
+  SELECT array_to_string(w[i + 1 : i + i % 4 + 1], ' ') AS phrase, 'N' || item_id % 25 AS code, i % 3 AS rank FROM bi WHERE i + i % 4 + 1 <= len(w)) GROUP BY phrase)"""
+MENTIONS_SQL = f"""dw AS MATERIALIZED (SELECT doc_id, {WORDS_SQL.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+di AS (SELECT doc_id, w, unnest(range(len(w))) AS pos FROM dw),
+grams AS (SELECT doc_id, pos, n, array_to_string(w[pos + 1 : pos + n], ' ') AS phrase FROM di, range(1, 5) t(n) WHERE pos + n <= len(w)),
+hit AS MATERIALIZED (SELECT doc_id, pos, n, phrase, code, rank FROM grams JOIN dict USING (phrase, n)),
+men AS MATERIALIZED (SELECT * FROM (SELECT *, max(pos + n) OVER (PARTITION BY doc_id ORDER BY pos, n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM hit) WHERE before IS NULL OR before < pos + n)"""
 
 
-@sql("SELECT s_suppkey, ['DE', 'GB', 'US', NULL, 'ES'][s_suppkey % 5 + 1] AS country FROM supplier")
+@sql(f"WITH {PHRASES_SQL}, {MENTIONS_SQL} SELECT doc_id, code, count(*) AS mentions, count(DISTINCT phrase) AS phrases, min(pos) AS first, max(n) AS longest FROM men GROUP BY doc_id, code")
+def country_mentions(c):
+    """All countries of a text and how often their phrases stand in it: longest matches of a dictionary in whole documents."""
+    found = gazetteer.mentions(c.table("documents").select(F.col("doc_id").alias("id"), "text"), phrases(c))
+    return found.groupBy(F.col("id").alias("doc_id"), "code").agg(F.count("*").alias("mentions"), F.count_distinct("phrase").alias("phrases"), F.min("pos").alias("first"), F.max("n").alias("longest"))
+
+
+@sql(f"""WITH {PHRASES_SQL}, {MENTIONS_SQL},
+dp AS (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS place FROM (SELECT doc_id, string_split(text, ',') AS p FROM documents)),
+cand AS (SELECT doc_id, 0 AS kind, 0 AS rank, -place AS place, code FROM (SELECT doc_id, place, array_to_string({WORDS_SQL.format("part")}, ' ') AS phrase FROM dp) JOIN dict USING (phrase)
+  UNION ALL SELECT doc_id, 1, 0, 0, upper(trim(text)) FROM documents WHERE regexp_matches(upper(trim(text)), '^[A-Z]{{2}}$')
+  UNION ALL SELECT doc_id, 2, rank, pos, code FROM men WHERE length(phrase) > 4)
+SELECT doc_id, code, ['part', 'code', 'mention'][kind + 1] AS how FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, rank, place, code) AS k FROM cand) WHERE k = 1""")
+def country_inference_text(c):
+    """One country for each document, as of an affiliation: a part between commas, a literal code, or a phrase."""
+    return gazetteer.infer(c.table("documents").select(F.col("doc_id").alias("id"), "text"), phrases(c)).withColumnRenamed("id", "doc_id")
+
+
+@sql("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host FROM pages),
+own AS (SELECT host AS suffix, 'N' || length(host) % 25 AS code FROM h WHERE host <> '' AND length(host) % 3 = 0 UNION SELECT substr(host, length(host) - length(string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1]) + 1), string_split(host, '.')[-2] FROM h WHERE host LIKE '%.%.%'),
+s AS (SELECT suffix, min(code) AS code FROM own GROUP BY suffix),
+l AS (SELECT page_id, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM h WHERE host <> ''),
+m AS (SELECT page_id, suffix, code, row_number() OVER (PARTITION BY page_id ORDER BY length(suffix) DESC) AS k FROM (SELECT page_id, array_to_string(string_split(host, '.')[-i:], '.') AS suffix FROM l) JOIN s USING (suffix))
+SELECT page_id, code, suffix FROM m WHERE k = 1""")
 def domain_countries(c):
-    """Countries from the last labels of a domain."""
-    return c.table("supplier").select("s_suppkey", countries.from_domain(pick(supp(), "cs.uni.DE", "x.ac.uk", "y.edu", "z.zz", "upm.es")).alias("country"))
+    """Countries from the longest suffix of a page's host that a table of suffixes has: hosts of some lengths, and second-level domains."""
+    hosts = c.table("pages").select(F.col("page_id").alias("id"), text.host(F.col("url")).alias("host"))
+    h = hosts.where("host <> ''")
+    own = h.where(F.length("host") % 3 == 0).select(F.col("host").alias("suffix"), cat("N", F.length("host") % 25).alias("code"))
+    seconds = h.where("host LIKE '%.%.%'").select(F.substring_index("host", ".", -2).alias("suffix"), F.substring_index(F.substring_index("host", ".", -2), ".", 1).alias("code"))
+    return gazetteer.from_host(hosts, own.union(seconds)).withColumnRenamed("id", "page_id")
 
 
 @sql("SELECT p_partkey, [p_name || ' x', NULL, NULL, p_brand][p_partkey % 4 + 1] AS venue FROM part")
