@@ -63,12 +63,12 @@ def ranking_scan(c):
     return files.read_ranking(c.spark, written_text(lines, c)).select("id", "title", "acronym", "rank")
 
 
-@sql("SELECT CAST(s_suppkey AS BIGINT) AS id, 'Añejo ' || s_name AS name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@sql("SELECT CAST(s_suppkey AS BIGINT) AS id, CASE WHEN s_suppkey >= 8 THEN 'Añejo ' ELSE 'Anejo ' END || s_name || repeat(' x', 400) AS name, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def csv_sniffed(c):
-    """Encoding, separator and header told from the file."""
+    """Encoding, separator and header told from the file; its first accent comes late."""
     path = scratch(c.spark)
-    rows = c.table("supplier").join(c.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(supp().alias("id"), cat("Añejo ", F.col("s_name")).alias("name"), F.col("n_name").alias("nation"))
-    rows.write.options(header="true", sep=";", encoding="ISO-8859-1").csv(path)
+    rows = c.table("supplier").join(c.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(supp().alias("id"), cat(F.when(supp() >= 8, "Añejo ").otherwise("Anejo "), F.col("s_name"), F.repeat(F.lit(" x"), F.lit(400))).alias("name"), F.col("n_name").alias("nation"))
+    rows.sort("id").write.options(header="true", sep=";", encoding="ISO-8859-1").csv(path)
     return files.read_csv_flex(c.spark, path).select(F.col("id").cast("long").alias("id"), "name", "nation")
 
 
@@ -86,19 +86,24 @@ def acronym_column_guess(c):
     return c.spark.createDataFrame([("short", files.guess_venue_column(short)), ("named", files.guess_venue_column(short.withColumnRenamed("brand", "Venue")))], "name string, guess string")
 
 
-@sql("""SELECT 'k/' || o_orderkey AS dblp_key, CASE WHEN o_orderkey % 3 = 0 THEN 'article' ELSE 'inproceedings' END AS tag, 'Müller ' || o_custkey || '; B & C' AS authors, 'On order' || chr(95) || o_orderkey || ' & more' AS title,
-CAST(CASE WHEN o_orderkey % 5 <> 0 THEN year(o_orderdate) END AS BIGINT) AS year, CASE WHEN o_orderkey % 3 = 0 THEN 'J' ELSE 'Conf' END AS booktitle, '10.1/x' || o_orderkey AS doi,
-CASE WHEN o_orderkey % 2 = 0 THEN '2001.' || o_orderkey END AS arxiv_id, 1 + CAST(o_orderkey % 2 = 0 AS BIGINT) AS n_links FROM orders WHERE o_orderkey % 7 <> 0""")
+@sql("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, CASE WHEN o_orderkey % 3 = 0 THEN 'article' ELSE 'inproceedings' END AS tag, o_orderkey % 13 = 0 AS bad FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT 'k/' || k AS dblp_key, tag, 'Müller ' || c || '; B & C' AS authors, 'On order' || chr(95) || k || ' & more' AS title,
+CAST(CASE WHEN k % 5 <> 0 THEN year(d) END AS BIGINT) AS year, CASE WHEN k % 3 = 0 THEN 'J' ELSE 'Conf' END AS booktitle, '10.1/x' || k AS doi,
+CASE WHEN k % 2 = 0 THEN '2001.' || k END AS arxiv_id, 1 + CAST(k % 2 = 0 AS BIGINT) AS n_links, bad FROM o WHERE NOT bad
+UNION ALL SELECT NULL, tag, NULL, NULL, NULL, NULL, NULL, NULL, NULL, bad FROM o WHERE bad""")
 def dump_records(c):
-    """A compressed bibliographic dump with entities, markup in titles, records over several lines, bad years and other records."""
+    """A compressed bibliographic dump with entities, markup in titles, records over several lines, attributes in any order, quotes and
+    lines, bad years, other records, and records that are not well formed."""
     k = F.col("o_orderkey")
     tag = F.when(k % 7 == 0, "book").when(k % 3 == 0, "article").otherwise("inproceedings")
     arxiv = F.when(k % 2 == 0, cat("<ee>https://arxiv.org/abs/2001.", k, "v3</ee>")).otherwise("")
     place = F.when(k % 3 == 0, "<journal>J</journal>").otherwise("<booktitle>Conf</booktitle>")
     year = F.when(k % 5 == 0, "bad").otherwise(F.year("o_orderdate").cast("string"))
-    xml = cat("<", tag, ' mdate="2020-01-02" key="k/', k, '"><author>M&uuml;ller ', F.col("o_custkey"), "</author>\n<author></author><author>B &amp; C</author>\n<title>On <i>order</i>_", k, " &amp; more</title>\n<year>", year, "</year>", place, "<ee>https://doi.org/10.1/X", k, "</ee>", arxiv, "</", tag, ">")
+    attributes = pick(k, cat(' mdate="2020-01-02" key="k/', k, '"'), cat(" key='k/", k, "' mdate='>'"), cat('\nkey="k/', k, '"\n'), cat("\tmdate='x' key = \"k/", k, '" '))
+    broken = F.when(k % 13 == 0, "<year>").otherwise("")
+    xml = cat("<", tag, attributes, "><author>M&uuml;ller ", F.col("o_custkey"), "</author>\n<author></author><author>B &amp; C</author>\n<title>On <i>order</i>_", k, " &amp; more</title>\n", broken, "<year>", year, "</year>", place, "<ee>https://doi.org/10.1/X", k, "</ee>", arxiv, "</", tag, ">")
     out = files.read_dump(c.spark, written_text(c.table("orders").select(xml.alias("value")), c, compression="gzip"))
-    return out.select("dblp_key", "tag", "authors", "title", "year", "booktitle", "doi", "arxiv_id", F.size("links").alias("n_links"))
+    return out.select("dblp_key", "tag", "authors", "title", "year", "booktitle", "doi", "arxiv_id", F.size("links").alias("n_links"), "bad")
 
 
 def _answers(keys: list[str]) -> dict[str, str]:

@@ -6,11 +6,12 @@ import codecs
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schema import RANKING_RAW, ContractError
+from .stages import written
 
 
 def read_ranking(spark: SparkSession, path: str, rank: str | None = None) -> DataFrame:
@@ -58,9 +59,13 @@ def head(spark: SparkSession, path: str, length: int) -> bytes:
 
 
 def read_csv_flex(spark: SparkSession, path: str, bytes_read: int = 4096) -> DataFrame:
-    """A CSV whose encoding, separator and header are told from its head."""
+    """A CSV whose separator and header are told from its head, and its encoding from all of it: one pass counts lines that are
+    not UTF-8, and a file with such lines is read as the next encoding."""
     first = head(spark, path, bytes_read)
-    return spark.read.options(**sniff(first[: first.rfind(b"\n") + 1] or first)).csv(path)
+    found = sniff(first[: first.rfind(b"\n") + 1] or first)
+    if found["encoding"] == "utf-8" and spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count():
+        found["encoding"] = "iso-8859-1"
+    return spark.read.options(**found).csv(path)
 
 
 def looks_headerless(df: DataFrame) -> bool:
@@ -86,35 +91,133 @@ def guess_venue_column(df: DataFrame) -> str:
     return max(df.columns, key=lambda n: (r[n], -df.columns.index(n)))
 
 
-RECORD = "_key string, author array<string>, title string, year string, booktitle string, journal string, ee array<string>, url string"
+RECORD = "_key string, author array<string>, title string, year string, booktitle string, journal string, ee array<string>, url string, _bad string"
+
+#: Bytes up to which a record is held; a longer one, or one without an end, is a bad record.
+LONGEST = 16 << 20
+
+
+#: How an end of a part leaves a record: it goes on, ends, or is broken (another one begins, or it is too long).
+ON, ENDS, BROKEN = 0, 1, 2
+
+
+class _Part:
+    """One part of a file, piece by piece. Rows are file, block, kind, state and xml: kind is 'record' or 'bad' for an element that
+    begins here, 'tail' for one that does not end here, and 'head' for what stands before the first begin or end of one."""
+
+    def __init__(self, file: str, block: int, begin, end, longest: int):
+        self.file, self.block, self.begin, self.end, self.longest = file, block, begin, end, longest
+        self.held, self.size, self.tag, self.out = [], 0, None, []
+        self.head = block > 0
+
+    def emit(self, kind: str, state: int = ON) -> None:
+        if self.size > self.longest:
+            kind, state, self.held = ("bad" if kind == "record" else kind), BROKEN, self.held[:1]
+        self.out.append((self.file, self.block, kind, state, b"".join(self.held)))
+        self.held, self.size, self.tag, self.head = [], 0, None, False
+
+    def add(self, piece: bytes) -> None:
+        if self.size <= self.longest:
+            self.held.append(piece + b">")
+        self.size += len(piece) + 1
+
+    def take(self, piece: bytes) -> None:
+        at = piece.rfind(b"<")
+        m = self.begin.match(piece, at) if at >= 0 else None
+        if m:
+            if self.head:
+                self.emit("head", BROKEN)
+            elif self.tag:
+                self.emit("bad")
+            self.tag = m[1]
+            self.add(piece[at:])
+            if piece.endswith(b"/"):  # an empty element
+                self.emit("record")
+        elif self.tag or self.head:
+            self.add(piece)
+            m = self.end.match(piece, at) if at >= 0 else None
+            if m and (self.head or m[1] == self.tag):
+                self.emit("head" if self.head else "record", ENDS)
+
+    def close(self) -> None:
+        if self.head or self.tag:
+            self.emit("head" if self.head else "tail")
+
+
+def _records(tags: tuple[str, ...], charset: str, longest: int):
+    """Pieces between '>' in the order of a file's part -> the rows of its elements."""
+    import re
+
+    names = "|".join(map(re.escape, tags)).encode()
+    begin, end = re.compile(rb"<(" + names + rb")(?=[\s/]|$)"), re.compile(rb"</(" + names + rb")\s*$")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(parts):
+            found = list(zip(*(r for p in parts for r in p.out))) or [()] * 5
+            for p in parts:
+                p.out = []
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32())
+            return pa.RecordBatch.from_arrays([*map(pa.array, found[:4], kinds), pa.array([x.decode(charset, "replace") for x in found[4]], pa.string())], ["file", "block", "kind", "state", "xml"])
+
+        part = None
+        for batch in batches:
+            parts = [part] if part else []
+            for file, block, piece in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("piece").to_pylist()):
+                if part is None or (file, block) != (part.file, part.block):
+                    if part:
+                        part.close()
+                    part = _Part(file, block, begin, end, longest)
+                    parts.append(part)
+                part.take(piece)
+            yield rows(parts)
+        if part:
+            part.close()
+            yield rows([part])
+
+    return run
+
+
+def read_elements(spark: SparkSession, path: str, tags: tuple[str, ...], charset: str = "utf-8", longest: int = LONGEST) -> DataFrame:
+    """xml and bad: every element of the given names in files of any size, plain (split among tasks) or compressed.
+
+    The text source gives the pieces between '>' in order, so neither lines nor the form of attributes matter. A record that
+    two or more parts share is put together from its tail and the heads that follow, two rows a part. Elements without an end,
+    or longer than `longest` bytes, come back as bad rows."""
+    pieces = spark.read.option("lineSep", ">").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    pieces = pieces.select(F.col("value").cast("binary").alias("piece"), F.col("file_path").alias("file"), F.col("file_block_start").alias("block"))
+    rows = written(pieces.mapInArrow(_records(tags, charset, longest), "file string, block long, kind string, state int, xml string"))
+    cut = rows.where("kind IN ('head', 'tail')").withColumn("at", F.struct("block", F.col("kind") == "tail"))  # a part's head comes before its tail
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    cut = cut.withColumn("record", F.count_if(F.col("kind") == "tail").over(before)).where("record > 0")
+    own = Window.partitionBy("file", "record").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("over", F.coalesce(F.max("state").over(own) > ON, F.lit(False))).where("NOT over")
+    whole = cut.groupBy("file", "record").agg(F.max("state").alias("state"), F.sum(F.octet_length("xml")).alias("n"), F.array_sort(F.collect_list(F.struct("at", "xml"))).alias("p"))
+    bad = (F.col("state") != ENDS) | (F.col("n") > longest)
+    whole = whole.select(F.array_join(F.transform("p", lambda x: x["xml"]), "").alias("xml"), bad.alias("bad"))
+    return rows.where("kind IN ('record', 'bad')").select("xml", (F.col("kind") == "bad").alias("bad")).unionByName(whole)
 
 
 def read_dump(spark: SparkSession, path: str, charset: str = "ISO-8859-1", tags: tuple[str, ...] = ("inproceedings", "article")) -> DataFrame:
-    """Records of a bibliographic XML dump: key, tag, authors, title, year, booktitle, links.
+    """Records of a bibliographic XML dump: key, tag, authors, title, year, booktitle, links; and bad, records that could not be
+    parsed (their other columns are null).
 
-    The text source streams the file (plain or compressed) in pieces that end where a record's key begins, so a record is one
-    piece and memory holds one at a time; plain files are split among tasks. Bytes are decoded from `charset` here.
     Entities of HTML are repaired before parsing, since the XML parser knows only its own five; markup within titles is removed."""
-    raw = spark.read.option("lineSep", ' key="').text(path)
-    return parse_records(raw.select(F.decode(F.col("value").cast("binary"), charset).alias("value")), tags)
-
-
-def parse_records(raw: DataFrame, tags: tuple[str, ...] = ("inproceedings", "article")) -> DataFrame:
-    """raw: pieces that begin with a record's key and hold its body, up to its end tag at least."""
-    names = "|".join(tags)
-    whole = rf'(?s)^([^"]*)"[^>]*>(.*?)</({names})>'
-    rows = raw.select(F.regexp_extract("value", whole, 1).alias("key"), F.regexp_extract("value", whole, 2).alias("body"), F.regexp_extract("value", whole, 3).alias("tag")).where("tag <> ''")
-    # a piece of another kind of record may hold no end tag of these kinds, or one only behind the beginning of the next record
-    rows = rows.where(~F.col("body").rlike(r"</(?:proceedings|book|incollection|phdthesis|mastersthesis|www|data)>"))
-    body = F.regexp_replace("body", r"</?(?:i|b|sub|sup|tt|ref)(?:\s[^>]*)?>", "")
-    rows = rows.select("tag", T.xml_safe(F.concat(F.lit('<r key="'), "key", F.lit('">'), body, F.lit("</r>"))).alias("xml"))
-    r = F.from_xml("xml", F.lit(RECORD), {"rowTag": "r", "attributePrefix": "_"})
-    rows = rows.withColumn("r", r)
-    f = lambda n: F.col(f"r.{n}")
+    return parse_records(read_elements(spark, path, tags, charset))
+
+
+def parse_records(rows: DataFrame) -> DataFrame:
+    """rows: xml, one element each, and bad."""
+    clean = T.xml_safe(F.regexp_replace("xml", r"</?(?:i|b|sub|sup|tt|ref)(?:\s[^>]*)?>", ""))
+    r = F.from_xml(clean, F.lit(RECORD), {"rowTag": "r", "attributePrefix": "_", "columnNameOfCorruptRecord": "_bad"})
+    rows = rows.select("bad", F.regexp_extract("xml", r"^<([^\s/>]+)", 1).alias("tag"), r.alias("r"))
+    rows = rows.withColumn("bad", F.col("bad") | F.col("r._bad").isNotNull())
+    f = lambda n: F.when(~F.col("bad"), F.col(f"r.{n}"))
     authors = F.array_join(F.filter(f("author"), lambda x: x != ""), "; ")
     return rows.select(
         f("_key").alias("dblp_key"), "tag", authors.alias("authors"), F.trim(f("title")).alias("title"), f("year").try_cast("int").alias("year"),
-        F.coalesce(F.nullif(f("booktitle"), F.lit("")), f("journal")).alias("booktitle"), T.doi(T.first_doi(f("ee"))).alias("doi"), T.first_arxiv(f("ee")).alias("arxiv_id"), f("ee").alias("links"),
+        F.coalesce(F.nullif(f("booktitle"), F.lit("")), f("journal")).alias("booktitle"), T.doi(T.first_doi(f("ee"))).alias("doi"), T.first_arxiv(f("ee")).alias("arxiv_id"), f("ee").alias("links"), "bad",
     )
 
 

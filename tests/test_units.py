@@ -211,6 +211,55 @@ def test_compressed_dump(spark, tmp_path):
     assert plain == packed and [r[0] for r in plain] == ["conf/a/1", "j/1"] and plain[0][2] == "Müller; é"
 
 
+FORMS = """<?xml version="1.0"?>
+<!DOCTYPE dblp><dblp>
+<article key="k/1" mdate="2020-01-02"><title>One</title></article><article mdate='x' key='k/2'><title>Two</title></article>
+<article
+key="k/3"
+>
+<title>Thr&eacute;e <sub>3</sub></title></article>
+<articles key="no"><title>other</title></articles>
+<inproceedings key = 'a key="b"'><title>Four</title><url>x?key="z"</url></inproceedings><www key="w"><author>X</author></www>
+<article key='k/5' note=">"><title>Five</title></article><article/>
+<article key="k/6"><title>never ends</title>
+<article key="k/7"><title>Seven</year></article>
+<inproceedings key="k/8"><title>Eight</title></inproceedings>
+</dblp>
+"""
+
+
+def test_records_in_any_form_wherever_files_are_split(spark, tmp_path):
+    import gzip
+
+    body = FORMS.replace("One", "Öne").encode("iso-8859-1")
+    (tmp_path / "d.xml").write_bytes(body)
+    with gzip.open(tmp_path / "d.xml.gz", "wb") as f:
+        f.write(body)
+    want = [("a key=\"b\"", "Four", False), ("k/1", "Öne", False), ("k/2", "Two", False), ("k/3", "Thrée 3", False), ("k/5", "Five", False), ("k/8", "Eight", False), (None, None, False), (None, None, True), (None, None, True)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "400b", "97b", "31b", "7b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            for name in ("d.xml", "d.xml.gz"):
+                got = files.read_dump(spark, str(tmp_path / name)).select("dblp_key", "title", "bad").collect()
+                assert sorted(map(tuple, got), key=str) == sorted(want, key=str), (size, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97b")
+        rows = files.read_elements(spark, str(tmp_path / "d.xml"), ("article", "inproceedings"), "iso-8859-1", longest=60)
+        assert rows.where("bad").count() > 3 and "Öne" not in "".join(r.xml for r in rows.where("not bad").collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_late_accent_tells_the_encoding(spark, tmp_path):
+    lines = "".join(f"{i};{'Universität Zürich' if i == 900 else 'University'};x{i}\n" for i in range(1000))
+    for encoding in ("iso-8859-1", "utf-8"):
+        (tmp_path / f"{encoding}.csv").write_bytes(("id;name;code\n" + lines).encode(encoding))
+        df = files.read_csv_flex(spark, str(tmp_path / f"{encoding}.csv"))
+        assert df.count() == 1000 and df.where("id = 900").first().name == "Universität Zürich"
+
+
 def test_sniffing_reads_the_head_only(spark, tmp_path):
     (tmp_path / "big.csv").write_text("id;name;code\n" + "".join(f"{i};n{i};c{i}\n" for i in range(50_000)))
     assert len(files.head(spark, str(tmp_path / "big.csv"), 100)) == 100
