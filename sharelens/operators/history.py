@@ -39,15 +39,25 @@ def validity(history: DataFrame, first: int, last: int) -> DataFrame:
     return history.join(F.broadcast(years), "core_year").where("year_start <= year_end")
 
 
-def as_of(papers: DataFrame, history: DataFrame) -> DataFrame:
+def as_of(papers: DataFrame, history: DataFrame, parts: int = 1) -> DataFrame:
     """Adds hist_level, hist_year and fallback: the latest version up to the paper's year, else the first later one
-    (fallback), else null (fallback). Versions become intervals, so each paper meets one of them: an equi-join on the
-    venue with a range; the history is a dimension that the planner broadcasts by its size."""
-    w = Window.partitionBy("venue").orderBy("core_year")
-    spans = history.select("venue", F.col("level").alias("hist_level"), F.col("core_year").alias("hist_year"), F.lag("core_year").over(w).alias("_before"), F.lead("core_year").over(w).alias("_next"))
-    spans = spans.select(F.col("venue").alias("_v"), "hist_level", "hist_year", F.when(F.col("_before").isNull(), F.lit(-(1 << 31))).otherwise(F.col("hist_year")).alias("_from"), F.coalesce(F.col("_next") - 1, F.lit((1 << 31) - 1)).alias("_to"))
-    out = papers.join(spans, (F.col("venue") == F.col("_v")) & F.col("year").between(F.col("_from"), F.col("_to")), "left")
-    return out.withColumn("fallback", F.coalesce(F.col("hist_year") > F.col("year"), F.lit(True))).drop("_v", "_from", "_to")
+    (fallback), else null (fallback).
+
+    A sort merge: papers and versions are one list by venue and year, along which the last version is carried forward, so
+    there is one exchange, no join, and a row per paper however long a history is. `parts` deals each venue's papers over
+    so many tasks, each with the venue's versions, where one venue holds much of all papers."""
+    salt = F.pmod(F.xxhash64(*papers.columns), F.lit(parts)).cast("int")
+    version = F.struct(F.col("core_year").alias("hist_year"), F.col("level").alias("hist_level"))
+    rows = papers.select(F.struct("*").alias("_p"), F.col("venue").alias("_v"), F.col("year").alias("_y"), salt.alias("_part"), F.lit(1).alias("_side"))
+    versions = history.where("venue IS NOT NULL AND core_year IS NOT NULL").select(F.col("venue").alias("_v"), F.col("core_year").alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), F.lit(0).alias("_side"), version.alias("_h"))
+    both = rows.unionByName(versions, allowMissingColumns=True)
+    venue = Window.partitionBy("_v", "_part")
+    upto = venue.orderBy("_y", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col("_v").isNotNull() & F.col("_y").isNotNull()
+    both = both.withColumns({"_last": F.last("_h", ignorenulls=True).over(upto), "_first": F.min("_h").over(venue)}).where("_side = 1")
+    found = F.when(known, F.coalesce("_last", "_first"))  # a paper before all versions takes the first one
+    out = both.withColumn("_h", found).select("_p.*", "_h.hist_level", "_h.hist_year")
+    return out.withColumn("fallback", F.coalesce(F.col("hist_year") > F.col("year"), F.lit(True)))
 
 
 def scenario_tags(dated: DataFrame) -> DataFrame:

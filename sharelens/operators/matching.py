@@ -68,13 +68,54 @@ def title_search(papers: DataFrame, hits: DataFrame, theta: float = 0.9, most: i
     return best(rows, ["paper_id"], F.col("score").desc(), F.col("place")).select("paper_id", "work_id", "score")
 
 
-def profile_lookup(papers: DataFrame, history: DataFrame) -> DataFrame:
-    """Country of each author's position at the paper's year: an active one, else an earlier one, else any; latest start
-    first; the first that has a country."""
-    rows = papers.join(history.where("country IS NOT NULL"), "author")
-    active = F.col("year").between(F.col("start"), F.coalesce("end", F.lit(9999)))
-    kind = F.when(active, 0).when(F.col("start") <= F.col("year"), 1).otherwise(2)
-    return best(rows.withColumn("kind", kind), ["paper_id", "author"], F.col("kind"), F.col("start").desc(), F.col("country")).select("paper_id", "author", "country", "kind")
+def _positions(batches):
+    """Events of each author by time, positions before papers -> the papers with their position's country and kind."""
+    import heapq
+
+    import pyarrow as pa
+
+    author, part, active, last, latest = None, None, [], None, None
+    for batch in batches:
+        out = []
+        for a, p, year, side, paper, end, country, latest_start, latest_country in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            if (a, p) != (author, part):
+                author, part, active, last = a, p, [], None
+            if side == 0:
+                heapq.heappush(active, (-year, country, end))
+                last = min(last, (-year, country)) if last else (-year, country)
+                continue
+            while active and year is not None and active[0][2] < year:  # years ascend: what has ended does not come back
+                heapq.heappop(active)
+            if year is not None and active:
+                out.append((paper, a, active[0][1], 0))
+            elif year is not None and last:
+                out.append((paper, a, last[1], 1))
+            elif latest_start is not None:
+                out.append((paper, a, latest_country, 2))
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int32()))], ["paper_id", "author", "country", "kind"])
+
+
+def profile_lookup(papers: DataFrame, history: DataFrame, parts: int = 1) -> DataFrame:
+    """Country of each author's position at the paper's year: an active one (kind 0), else an earlier one (1), else any (2); latest
+    start first, then country; only positions with a country count.
+
+    A sort merge: positions and papers are one list by author and time; open positions wait in a heap by start and leave it
+    when they have ended. One exchange and a row per paper, not one per paper and position. `parts` as in
+    `history.as_of`."""
+    kind = history.schema["author"].dataType
+    h = history.where("country IS NOT NULL AND author IS NOT NULL AND start IS NOT NULL")
+    salt = F.pmod(F.xxhash64("paper_id"), F.lit(parts)).cast("int")
+    nulls = {"_end": F.lit(None).cast("long"), "_country": F.lit(None).cast("string")}
+    rows = papers.where("author IS NOT NULL").select(F.col("author").cast("string").alias("_a"), salt.alias("_part"), F.col("year").cast("long").alias("_t"), F.lit(1).alias("_side"), F.col("paper_id").cast("long").alias("_paper")).withColumns(nulls)
+    end = F.coalesce(F.col("end").cast("long"), F.lit((1 << 62)))
+    events = h.select(F.col("author").cast("string").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"), F.col("start").cast("long").alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_paper"), end.alias("_end"), F.col("country").alias("_country"))
+    both = rows.unionByName(events)
+    # of an author's positions the one of the latest start stands for all where none has begun
+    any_ = F.min(F.when(F.col("_side") == 0, F.struct((-F.col("_t")).alias("s"), F.col("_country").alias("c")))).over(Window.partitionBy("_a", "_part"))
+    both = both.withColumn("_any", any_).select("_a", "_part", "_t", "_side", "_paper", "_end", "_country", F.col("_any.s").alias("_s"), F.col("_any.c").alias("_c"))
+    found = both.sortWithinPartitions("_a", "_part", "_t", "_side").mapInArrow(_positions, "paper_id long, author string, country string, kind int")
+    return found.withColumns({"paper_id": F.col("paper_id").cast(papers.schema["paper_id"].dataType), "author": F.col("author").cast(kind)})
 
 
 def best_source(candidates: DataFrame, least: float = 0.35) -> DataFrame:

@@ -206,12 +206,12 @@ def resolved_history(c: Corpus) -> DataFrame:
 
 @query
 def asof_historical_level(c):
-    return history.as_of(c.papers, resolved_history(c)).select("paper_id", "year", "venue", "level", "hist_level", "hist_year", "fallback")
+    return history.as_of(c.papers, resolved_history(c), parts=8).select("paper_id", "year", "venue", "level", "hist_level", "hist_year", "fallback")
 
 
 @query
 def historical_scenarios(c):
-    return robustness.scenario_shares(fact(c), history.scenario_tags(history.as_of(c.papers, resolved_history(c))))
+    return robustness.scenario_shares(fact(c), history.scenario_tags(history.as_of(c.papers, resolved_history(c), parts=8)))
 
 
 def reclassified(c: Corpus) -> DataFrame:
@@ -509,7 +509,7 @@ def profile_interval_lookup(c):
     a, s = F.col("author"), F.col("start")
     h = h.withColumns({"end": F.when(s < 2000, s + a % 3), "country": F.when((a + s) % 7 != 0, F.concat(F.lit("C"), ((a + s) % 4).cast("string")))})
     papers = c.papers.select("paper_id", "year", F.element_at(F.split("venue", "-"), -1).cast("int").alias("author"))
-    return matching.profile_lookup(papers, h)
+    return matching.profile_lookup(papers, h, parts=8)
 
 
 @query
