@@ -43,7 +43,7 @@ N, TOKEN_BITS, CELL_BITS, SLOT_BITS = 5, 55, 40, 23
 DENSE, BLOCK, PARTNERS = 48, 256, 128
 #: Prefix n-grams per fragment, n-grams that a task counts at once, bytes of text per part of the counting, n-grams per slice of a
 #: matrix product, and fragments of the final overlaps.
-FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 450_000, 1_000_000, 16_000_000, 4096, 4
+FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 600_000, 1_000_000, 16_000_000, 4096, 4
 #: n-grams of a fragment that are paired at once, pairs that wait to be summed, and n-grams of a block of compared documents.
 PIECE, MET, HELD = 100_000, 200_000, 4_000_000
 SLICE = 1 << 20
