@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import col, ratio
 from ..params import WindowSpec
+from . import order_stats
 
 
 def rank_min(value: str, *keys: str) -> Column:
@@ -134,19 +135,19 @@ def concentration(links: DataFrame, *keys: str) -> DataFrame:
 
 def impact_scores(papers: DataFrame, value: str) -> DataFrame:
     """z-score of log1p(value) and average percentile rank within venue and year. Null z for lone or equal values."""
-    g = Window.partitionBy("venue", "year")
-    log = F.log1p(F.coalesce(col(value), F.lit(0.0)))
-    out = papers.withColumn("_log", log)
-    out = out.withColumns({"_mean": F.avg("_log").over(g), "_std": F.stddev_samp("_log").over(g)})
-    pct = (F.rank().over(g.orderBy(value)) + (F.count("*").over(Window.partitionBy("venue", "year", value)) - 1) / 2) / F.count(value).over(g)
-    return out.withColumns({"z": (F.col("_log") - F.col("_mean")) / F.nullif("_std", F.lit(0.0)), "percentile": F.when(col(value).isNotNull(), pct)}).drop("_log", "_mean", "_std")
+    group = ["venue", "year"]
+    out = order_stats.standardised(papers, group, F.log1p(F.coalesce(col(value), F.lit(0.0))))
+    return order_stats.percentiles(out, group, value)
 
 
 def impact(pc: DataFrame, scores: DataFrame, value: str) -> DataFrame:
     """By bloc country and window; a null percentile counts in the denominator of the top shares."""
     rows = pc.where("is_bloc").select("paper_id", "country").join(scores, "paper_id")
     top = lambda p: F.avg(F.coalesce(F.col("percentile") >= p, F.lit(False)).cast("double"))
-    return rows.groupBy("country", "win").agg(F.count("*").alias("papers"), F.round(F.avg(value), 4).alias("mean_value"), F.round(F.median(value), 4).alias("median_value"), F.round(F.avg("z"), 6).alias("mean_z"), F.round(top(0.9), 6).alias("top10"), F.round(top(0.99), 6).alias("top1"))
+    sums = rows.groupBy("country", "win").agg(F.count("*").alias("papers"), F.round(F.avg(value), 4).alias("mean_value"), F.round(F.avg("z"), 6).alias("mean_z"), F.round(top(0.9), 6).alias("top10"), F.round(top(0.99), 6).alias("top1"))
+    middle = order_stats.medians(rows.select("country", "win", value), ["country", "win"], value, "_median")
+    out = order_stats.joined(sums, middle, ["country", "win"], "left")
+    return out.select("country", "win", "papers", "mean_value", F.round("_median", 4).alias("median_value"), "mean_z", "top10", "top1")
 
 
 def leadership(authors: DataFrame, papers: DataFrame, *keys: str) -> DataFrame:
