@@ -18,6 +18,7 @@ def paper_fact(papers: DataFrame, countries: DataFrame) -> DataFrame:
         F.size(F.filter("_set", lambda x: x["is_bloc"])).cast("long").alias("n_bloc"),
         F.exists("_set", lambda x: x["is_focal"]).alias("has_focal"),
         F.array_sort(F.transform("_set", lambda x: x["country"])).alias("countries"),
+        F.array_sort(F.transform(F.filter("_set", lambda x: x["is_bloc"]), lambda x: x["country"])).alias("bloc_countries"),
     )
     out = papers.join(per, "paper_id", "left")
     return out.withColumns({

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ratios import ratio
@@ -11,19 +13,32 @@ from .indicators import rank_min
 
 def grid(windows: DataFrame, countries: DataFrame) -> DataFrame:
     """Every bloc country in every window present: a few rows each."""
-    return windows.crossJoin(F.broadcast(countries))  # bounded: countries of the bloc
-
-
-def threshold_sensitivity(fact: DataFrame, pc: DataFrame, thresholds: tuple[float, ...], countries: DataFrame) -> DataFrame:
-    """Bloc shares and ranks over venues whose coverage in a window reaches each threshold; one job for all."""
-    spark = fact.sparkSession
-    cells = fact.groupBy("venue", "win").agg(ratio(F.count_if("resolved"), F.count("*")).alias("_cov"))
-    frame = spark.range(1).select(F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    passed = cells.join(F.broadcast(frame), F.col("_cov") >= F.col("threshold")).select("venue", "win", "threshold")  # a handful of thresholds
-    den = fact.join(passed, ["venue", "win"]).groupBy("threshold", "win").agg(F.count_if("has_bloc").alias("bloc"))
-    num = pc.where("is_bloc").join(passed, ["venue", "win"]).groupBy("threshold", "win", "country").agg(F.count("*").alias("papers"))
-    dense = den.crossJoin(F.broadcast(countries))  # thresholds x windows x countries of the bloc
-    out = dense.join(num, ["threshold", "win", "country"], "left").fillna(0, ["papers"])
+    return windows.crossJoin(countries)  # bounded: countries of the bloc
+
+
+def threshold_sensitivity(fact: DataFrame, thresholds: tuple[float, ...], countries: DataFrame) -> DataFrame:
+    """Bloc shares and ranks over venues whose coverage in a window reaches each threshold.
+
+    One pass over the fact gives each (venue, window) its papers by country; its coverage says how many of the thresholds it
+    reaches. Sums by that number are a small table, and a threshold's share is a sum over its upper end, so a hundred thresholds
+    cost what five do."""
+    cuts = sorted(set(thresholds))
+    at = lambda n: F.element_at(F.array(*map(F.lit, cuts)), n)
+    # a paper once for each bloc country, and once, with a null country, for itself
+    each = F.explode(F.array_append(F.coalesce("bloc_countries", F.array().cast("array<string>")), F.lit(None).cast("string")))
+    rows = fact.where("venue IS NOT NULL AND win IS NOT NULL").select("venue", "win", "resolved", "has_bloc", each.alias("country"))
+    cells = rows.groupBy("venue", "win", "country").agg(F.count("*").alias("n"), F.count_if("resolved").alias("resolved"), F.count_if("has_bloc").alias("bloc"))
+    coverage = F.max(F.when(F.col("country").isNull(), ratio("resolved", "n"))).over(Window.partitionBy("venue", "win"))  # a cell's countries
+    reached = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda t: t <= coverage))
+    sums = cells.withColumn("_level", reached).groupBy("win", "country", "_level").agg(F.sum("n").alias("n"), F.sum("bloc").alias("bloc"))
+    # thresholds x windows x countries from here on
+    steps = sums.select("win", "country").distinct().withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(len(cuts)))))
+    on = steps["win"].eqNullSafe(sums["win"]) & steps["country"].eqNullSafe(sums["country"]) & (steps["_level"] == sums["_level"])
+    upper = Window.partitionBy("win", "country").orderBy(F.desc("_level"))
+    dense = steps.join(sums, on, "left").select(steps["win"], steps["country"], steps["_level"], F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bloc", F.lit(0)).alias("bloc"))
+    dense = dense.select("win", "country", at(F.col("_level")).alias("threshold"), F.sum("n").over(upper).alias("papers"), F.sum("bloc").over(upper).alias("bloc"))
+    den = dense.where("country IS NULL AND papers > 0").select("threshold", "win", "bloc")
+    out = grid(den, countries).join(dense.where("country IS NOT NULL").drop("bloc"), ["threshold", "win", "country"], "left").fillna(0, ["papers"])
     return out.withColumn("share", ratio("papers", "bloc")).withColumn("rank", rank_min("share", "threshold", "win"))
 
 
@@ -41,7 +56,7 @@ def maturity(fact: DataFrame, pc: DataFrame, scenarios: list[tuple[str, int, int
     within = F.col("year").between(F.col("lo"), F.col("hi"))
     den = fact.join(frame, within).groupBy("scenario").agg(F.count_if("has_bloc").alias("bloc"))
     num = pc.where("is_bloc").join(frame, within).groupBy("scenario", "country").agg(F.count("*").alias("papers"))
-    out = den.crossJoin(F.broadcast(countries)).join(num, ["scenario", "country"], "left").fillna(0, ["papers"])
+    out = grid(den, countries).join(num, ["scenario", "country"], "left").fillna(0, ["papers"])
     return out.withColumn("share", ratio("papers", "bloc")).withColumn("rank", rank_min("share", "scenario"))
 
 
@@ -49,7 +64,7 @@ def rank_bounds(fact: DataFrame, pc: DataFrame, focal: str, countries: DataFrame
     """Observed; all unresolved papers focal; all of the bloc but not focal."""
     den = fact.groupBy("win").agg(F.count_if("has_bloc").alias("bloc"), F.count_if(~F.col("resolved")).alias("unresolved"))
     num = pc.where("is_bloc").groupBy("win", "country").agg(F.count("*").alias("papers"))
-    rows = den.crossJoin(F.broadcast(countries)).join(num, ["win", "country"], "left").fillna(0, ["papers"])
+    rows = grid(den, countries).join(num, ["win", "country"], "left").fillna(0, ["papers"])
     rows = rows.withColumn("scenario", F.explode(F.array(*map(F.lit, ("observed", "optimistic", "pessimistic")))))
     extra = F.when((F.col("scenario") == "optimistic") & (F.col("country") == focal), F.col("unresolved")).otherwise(0)
     rows = rows.withColumns({"value": F.col("papers") + extra, "base": F.col("bloc") + F.when(F.col("scenario") == "observed", 0).otherwise(F.col("unresolved"))})
@@ -108,28 +123,38 @@ def bootstrap_observed(cl: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("share", ratio("focal", "bloc"))
 
 
-def bootstrap(cl: DataFrame, key: str, replicates: int = 500, seed: int = 12345, block: int = 50) -> DataFrame:
-    """Cluster bootstrap of the ratio, seeded by group and block. A group is its clusters' sums, venues x years rows; its
-    replicates are dealt over tasks in blocks."""
+def poisson_cuts(bits: int = 32) -> list[int]:
+    """2**bits times the chance of a Poisson(1) count of at most 0, 1, ...: a uniform integer's count is the number of cuts that
+    it reaches."""
+    out, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 16):
+        total += term
+        out.append(min(int(total * (1 << bits)), 1 << bits))
+        term /= k
+    return out
 
-    def run(pdf):
-        import zlib
 
-        import numpy as np
-        import pandas as pd
+def draw(*parts) -> Column:
+    """A Poisson(1) count that is a function of its arguments alone: the first 32 bits of their digest, inverted."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 8), 16, 10).cast("long")
+    out = F.lit(0)
+    for cut in poisson_cuts():
+        out = out + F.when(u >= cut, 1).otherwise(0)
+    return out
 
-        pdf = pdf.sort_values(["venue", "year"])
-        part = int(pdf["_block"].iloc[0])
-        r = np.random.default_rng([seed, zlib.crc32(str(pdf[key].iloc[0]).encode()), part])
-        focal, bloc, n = pdf["focal"].to_numpy(float), pdf["bloc"].to_numpy(float), len(pdf)
-        times = r.multinomial(n, np.full(n, 1 / n), size=min(block, replicates - part * block))
-        den = times @ bloc
-        return pd.DataFrame({key: pdf[key].iloc[0], "value": (times @ focal)[den > 0] / den[den > 0]})
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))).alias("_block")
-    values = cl.select("*", blocks).groupBy(key, "_block").applyInPandas(run, f"{key} string, value double")
-    spread = values.groupBy(key).agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.stddev("value").alias("sd"))
-    return bootstrap_observed(cl, key).select(key, "clusters", "share").join(spread, key, "left")
+def bootstrap(cl: DataFrame, key: str, replicates: int = 500, seed: int = 12345) -> DataFrame:
+    """Cluster bootstrap of the ratio: in each replicate a cluster counts as often as a Poisson(1) draw says.
+
+    The draw is a function of seed, group, cluster and replicate, so it is the same wherever and however often a task runs,
+    and one aggregation by group and replicate, combined before the shuffle, does it all. Replicate -1 is the observed one."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rows = cl.withColumn("_r", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    times = F.when(F.col("_r") < 0, 1).otherwise(draw(F.lit(str(seed)), name, F.col("venue").cast("string"), F.col("year").cast("string"), F.col("_r").cast("string")))
+    sums = rows.withColumn("_t", times).groupBy(key, "_r").agg(F.count("*").alias("clusters"), F.sum(F.col("focal") * F.col("_t")).alias("focal"), F.sum(F.col("bloc") * F.col("_t")).alias("bloc"))
+    sums = sums.withColumn("value", ratio("focal", "bloc"))
+    drawn = F.when(F.col("_r") >= 0, F.col("value"))
+    return sums.groupBy(key).agg(F.max("clusters").alias("clusters"), F.max(F.when(F.col("_r") < 0, F.col("value"))).alias("share"), F.percentile(drawn, 0.025).alias("low"), F.percentile(drawn, 0.975).alias("high"), F.stddev(drawn).alias("sd"))
 
 
 def missingness_cells(fact: DataFrame, *factors: str) -> DataFrame:
@@ -137,15 +162,32 @@ def missingness_cells(fact: DataFrame, *factors: str) -> DataFrame:
     return fact.dropna(subset=list(factors)).groupBy(*factors).agg(F.count("*").cast("double").alias("n"), F.avg(F.col("resolved").cast("double")).alias("share"))
 
 
-def logit(rows: DataFrame, formula: str, max_iter: int = 25, weight: str | None = None) -> DataFrame:
-    """term, coefficient, standard error, p-value of a binomial model of rows, or of cells with their weights."""
+def _fitted(rows: DataFrame, formula: str, max_iter: int, weight: str | None):
+    """The design of a formula and its binomial model."""
     from pyspark.ml.feature import RFormula
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     data = RFormula(formula=formula, stringIndexerOrderType="alphabetDesc").fit(rows).transform(rows)  # the first category is the base
-    glm = GeneralizedLinearRegression(family="binomial", maxIter=max_iter)
-    model = (glm.setWeightCol(weight) if weight else glm).fit(data)
+    glm = GeneralizedLinearRegression(family="binomial", maxIter=max_iter, tol=1e-10)
     names = [a["name"] for group in data.schema["features"].metadata["ml_attr"]["attrs"].values() for a in sorted(group, key=lambda a: a["idx"])]
+    return data, (glm.setWeightCol(weight) if weight else glm).fit(data), [*names, "intercept"]
+
+
+def logit(rows: DataFrame, formula: str, max_iter: int = 25, weight: str | None = None) -> DataFrame:
+    """term, coefficient, standard error, p-value of a binomial model of rows, or of cells with their weights."""
+    _, model, names = _fitted(rows, formula, max_iter, weight)
     s = model.summary
     values = [*model.coefficients.toArray().tolist(), model.intercept]
-    return rows.sparkSession.createDataFrame([(n, float(v), float(e), float(p)) for n, v, e, p in zip([*names, "intercept"], values, s.coefficientStandardErrors, s.pValues)], "term string, coefficient double, std_error double, p_value double")
+    return rows.sparkSession.createDataFrame([(n, float(v), float(e), float(p)) for n, v, e, p in zip(names, values, s.coefficientStandardErrors, s.pValues)], "term string, coefficient double, std_error double, p_value double")
+
+
+def logit_totals(rows: DataFrame, formula: str, max_iter: int = 25, weight: str | None = None) -> DataFrame:
+    """term, rows, observed and fitted totals of each term of a binomial model: where the likelihood is at its maximum, and only
+    there, the fitted total of every term is the observed one."""
+    from pyspark.ml.functions import vector_to_array
+
+    data, model, names = _fitted(rows, formula, max_iter, weight)
+    terms = F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("term"), F.array_append(vector_to_array("features"), F.lit(1.0)).alias("x")))
+    w = F.col(weight) if weight else F.lit(1.0)
+    each = model.transform(data).select(w.alias("w"), "label", "prediction", terms.alias("t")).select("w", "label", "prediction", "t.term", "t.x")
+    return each.groupBy("term").agg(F.sum(F.col("w") * F.col("x")).alias("rows"), F.sum(F.col("w") * F.col("x") * F.col("label")).alias("observed"), F.sum(F.col("w") * F.col("x") * F.col("prediction")).alias("fitted"))

@@ -197,7 +197,7 @@ def alternative_denominators(c):
 
 @query
 def coverage_threshold_sensitivity(c):
-    return robustness.threshold_sensitivity(fact(c), c.paper_country_full, c.params.thresholds, bloc(c))
+    return robustness.threshold_sensitivity(fact(c), c.params.thresholds, bloc(c))
 
 
 def resolved_history(c: Corpus) -> DataFrame:
@@ -330,7 +330,8 @@ def missingness_by_venue(c):
 @query
 def missingness_logit(c):
     cells = robustness.missingness_cells(with_doi(c).withColumn("has_doi", F.col("has_doi").cast("double")), "win", "area", "level", "has_doi")
-    return robustness.logit(cells, "share ~ win + area + level + has_doi", weight="n")
+    totals = robustness.logit_totals(cells, "share ~ win + area + level + has_doi", weight="n")
+    return totals.select("term", F.round("rows").cast("long").alias("papers"), F.round("observed", 3).alias("resolved"), F.round("fitted", 3).alias("fitted"))
 
 
 @query
@@ -340,7 +341,8 @@ def bootstrap_observed(c):
 
 @query
 def bootstrap_ci(c):
-    return robustness.bootstrap(robustness.clusters(fact(c), "win"), "win")
+    out = robustness.bootstrap(robustness.clusters(fact(c), "win"), "win")
+    return out.select("win", "clusters", *[F.round(n, 9).alias(n) for n in ("share", "low", "high", "sd")])
 
 
 @query

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.robustness import poisson_cuts
+
 WIN = "CASE WHEN y BETWEEN 1995 AND 1996 THEN '1995-1996' WHEN y BETWEEN 1997 AND 1998 THEN '1997-1998' WHEN y BETWEEN 1999 AND 2000 THEN '1999-2000' WHEN y BETWEEN 2001 AND 2002 THEN '2001-2002' END"
 BASE = f"""
 pm AS (SELECT o_orderkey AS paper_id, CAST(y AS BIGINT) AS year, {WIN} AS win, c_mktsegment || '-' || c_nationkey AS venue, c_mktsegment AS area,
@@ -182,6 +184,20 @@ LEFT JOIN (SELECT win, country, count(*) AS papers FROM pcm WHERE is_bloc GROUP
     "missingness_by_cell": q(f"SELECT *, total - resolved AS unresolved, {div('resolved', 'total')} AS coverage FROM (SELECT win, area, level, length(CAST(price AS BIGINT)::VARCHAR) > 5 AS has_doi, count(*) AS total, count(*) FILTER (resolved) AS resolved FROM fact GROUP BY ALL)"),
     "missingness_by_venue": cover("venue"),
     "bootstrap_observed": q(f"SELECT *, {div('focal', 'bloc')} AS share FROM (SELECT win, count(DISTINCT (venue, year)) AS clusters, count(*) AS articles, count(*) FILTER (has_focal) AS focal, count(*) FILTER (has_bloc) AS bloc FROM fact WHERE resolved GROUP BY win)"),
+    "bootstrap_ci": q(
+        f"""SELECT win, any_value(clusters) AS clusters, round(max(CASE WHEN r < 0 THEN v END), 9) AS share, round(quantile_cont(v, 0.025) FILTER (r >= 0), 9) AS low, round(quantile_cont(v, 0.975) FILTER (r >= 0), 9) AS high, round(stddev_samp(v) FILTER (r >= 0), 9) AS sd
+FROM (SELECT win, r, count(*) AS clusters, {div('sum(focal * t)', 'sum(bloc * t)')} AS v FROM rep GROUP BY win, r) GROUP BY win""",
+        f"""cl AS (SELECT win, venue, year, count(*) FILTER (has_focal) AS focal, count(*) FILTER (has_bloc) AS bloc FROM fact WHERE resolved GROUP BY ALL),
+cut(c) AS (VALUES {', '.join(f'({c})' for c in poisson_cuts())}),
+u AS MATERIALIZED (SELECT *, ('0x' || substr(md5('12345|' || coalesce(win, '') || '|' || venue || '|' || year || '|' || r), 1, 8))::BIGINT AS x FROM cl, range(-1, 500) t(r)),
+rep AS (SELECT *, CASE WHEN r < 0 THEN 1 ELSE (SELECT count(*) FROM cut WHERE x >= c) END AS t FROM u)""",
+    ),
+    "missingness_logit": q(
+        "SELECT term, sum(x)::BIGINT AS papers, round(sum(x * r), 3) AS resolved, round(sum(x * r), 3) AS fitted FROM t GROUP BY term",
+        """f AS (SELECT win, area, level, resolved::INT::DOUBLE AS r, (length(CAST(price AS BIGINT)::VARCHAR) > 5)::INT::DOUBLE AS has_doi FROM fact WHERE win IS NOT NULL AND area IS NOT NULL),
+t AS (SELECT 'intercept' AS term, 1.0::DOUBLE AS x, r FROM f UNION ALL SELECT 'has_doi', has_doi, r FROM f UNION ALL SELECT 'win_' || win, 1, r FROM f WHERE win > (SELECT min(win) FROM f)
+  UNION ALL SELECT 'area_' || area, 1, r FROM f WHERE area > (SELECT min(area) FROM f) UNION ALL SELECT 'level_' || level, 1, r FROM f WHERE level > (SELECT min(level) FROM f))""",
+    ),
     "corpus_expansion_detail": q("SELECT * FROM exs", EXP),
     "corpus_expansion_summary": q(f"SELECT status, count(*) AS venues, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("bloc0", "bloc1", "focal0", "focal1")) + f", {div('sum(focal0)', 'sum(bloc0)')} AS share0, {div('sum(focal1)', 'sum(bloc1)')} AS share1, (SELECT {div('sum(focal0)', 'sum(bloc0)')} FROM exs) AS overall0, (SELECT {div('sum(focal1)', 'sum(bloc1)')} FROM exs) AS overall1 FROM exs GROUP BY status", EXP),
 }

@@ -302,6 +302,41 @@ def test_bootstrap_blocks(spark):
     assert robustness.bootstrap(cl.repartition(7), "win", replicates=230).first() == one
 
 
+def test_draws_are_poisson_and_depend_on_their_key_alone(spark):
+    df = spark.range(40_000).select("id", robustness.draw(F.lit("seed"), F.col("id").cast("string")).alias("n"))
+    share = {r.n: r["count"] / 40_000 for r in df.groupBy("n").count().collect()}
+    want = {0: 0.3679, 1: 0.3679, 2: 0.1839, 3: 0.0613, 4: 0.0153}
+    assert all(abs(share[k] - p) < 0.01 for k, p in want.items()) and max(share) < 12
+    assert sorted(df.repartition(7).collect()) == sorted(df.collect())
+
+
+def test_fitted_totals_are_the_observed_ones(spark):
+    rows = [("abc"[i % 3], "xy"[i % 2], (i * 7 % 11) / 11, 1.0 + i % 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, h string, share double, n double")
+    out = {r.term: r for r in robustness.logit_totals(df, "share ~ g + h", weight="n").collect()}
+    assert set(out) == {"g_b", "g_c", "h_y", "intercept"}
+    assert all(r.fitted == pytest.approx(r.observed, abs=1e-6) for r in out.values())
+    assert out["g_b"].observed == pytest.approx(sum(n * s for g, _, s, n in rows if g == "b"))
+
+
+def test_a_hundred_thresholds_scan_once(spark):
+    rows = [(f"v{i % 7}", f"w{i % 3}", i % 5 != 0 or i % 7 == 1, i % 4 == 0, ["X"] * (i % 4 == 0) + ["Y"] * (i % 8 == 0)) for i in range(700)]
+    f = spark.createDataFrame([(v, w, r, b and r, c if r else None) for v, w, r, b, c in rows], "venue string, win string, resolved boolean, has_bloc boolean, bloc_countries array<string>")
+    countries = spark.createDataFrame([("X",), ("Y",), ("Z",)], "country string")
+    cuts = tuple(k / 100 for k in range(1, 101))
+    out = robustness.threshold_sensitivity(f, cuts, countries)
+    cells = {}
+    for v, w, r, b, c in rows:
+        cells.setdefault((v, w), []).append((r, b and r, c if r else []))
+    want = {}
+    for t in cuts:
+        for w in ("w0", "w1", "w2"):
+            own = [x for (v, u), xs in cells.items() if u == w and sum(r for r, _, _ in xs) / len(xs) >= t for x in xs]
+            if own:
+                want |= {(t, w, k): (sum(b for _, b, _ in own), sum(k in c for _, _, c in own)) for k in "XYZ"}
+    assert {(r.threshold, r.win, r.country): (r.bloc, r.papers) for r in out.collect()} == want
+
+
 def test_windows_can_be_strict(spark):
     w = WindowSpec(((1, 2),))
     assert col(spark, [1, 2, 3, None], w.of, "int") == ["1-2", "1-2", None, None]
