@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.ratios import percent3, ratio
-from ..operators import audit, consolidate, facts, history, indicators, matching, robustness
+from ..operators import audit, consolidate, facts, gates, history, indicators, matching, robustness
 from ..schema import duplicates, mismatches, missing_keys, out_of_range
 from ..sources.driver import Corpus
 from .oracles import SQL
@@ -680,4 +680,18 @@ def preflight_summary(c):
     return audit.metrics(fact(c), rows=F.count("*"), papers=F.count_distinct("paper_id"), without_window=F.count_if(F.col("win").isNull()), without_venue=F.count_if(F.col("venue").isNull()), unresolved=F.count_if(~F.col("resolved")))
 
 
+@query
+def preflight_gates(c):
+    """Errors and warnings before any analysis: keys, references, ranges and empty values of orders and their lines, each table read
+    once."""
+    year = F.year("o_orderdate")
+    orders = gates.Side(
+        "orders", c.table("orders"), ("o_orderkey",),
+        (gates.Gate("year out of range", ~year.between(1995, 2000)), gates.Gate("no customer", F.col("o_custkey").isNull()), gates.Gate("price above 250000", F.col("o_totalprice") > 250000, gates.WARNING)),
+        unique=gates.ERROR, known=gates.WARNING,
+    )
+    lines = gates.Side("lines", c.table("lineitem"), ("l_orderkey",), (gates.Gate("no quantity", F.col("l_quantity") <= 0), gates.Gate("returned", F.col("l_returnflag") == "R", gates.WARNING)), known=gates.ERROR)
+    return gates.check_both(orders, lines)
+
+
 from . import source_queries  # noqa: E402 - registers the queries of readers and text functions

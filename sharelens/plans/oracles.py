@@ -278,5 +278,15 @@ SELECT page_id, key, prefix FROM x WHERE prefix IN (SELECT prefix FROM x JOIN pa
     "country_flags": """WITH r AS (SELECT n_name AS country, n_regionkey = 3 AS is_bloc, n_name = 'NATION_3' AS is_focal, upper(trim(translate(' ' || lower(substr(n_name, 8, 1)) || 's ', '0123456789', 'aeudnkgbfi'))) AS c FROM nation),
 f AS (SELECT *, CASE WHEN c = 'UK' THEN 'GB' WHEN c = 'EL' THEN 'GR' ELSE c END AS d FROM r)
 SELECT country, CASE WHEN regexp_full_match(d, '[A-Z][A-Z]') THEN d END AS code, CASE WHEN regexp_full_match(d, '[A-Z][A-Z]') THEN d IN ('ES', 'DS') END AS in_set, is_bloc, is_focal FROM f""",
+    "preflight_gates": """WITH v AS (
+SELECT 1 AS i, 'orders: year out of range' AS "check", 'error' AS severity, (SELECT count(*) FROM orders WHERE year(o_orderdate) NOT BETWEEN 1995 AND 2000) AS violations
+UNION ALL SELECT 2, 'orders: no customer', 'error', (SELECT count(*) FROM orders WHERE o_custkey IS NULL)
+UNION ALL SELECT 3, 'orders: price above 250000', 'warning', (SELECT count(*) FROM orders WHERE o_totalprice > 250000)
+UNION ALL SELECT 4, 'orders: repeated keys', 'error', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 5, 'orders: unknown keys', 'warning', (SELECT count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem))
+UNION ALL SELECT 6, 'lines: no quantity', 'error', (SELECT count(*) FROM lineitem WHERE l_quantity <= 0)
+UNION ALL SELECT 7, 'lines: returned', 'warning', (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL SELECT 8, 'lines: unknown keys', 'error', (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)))
+SELECT "check", severity, violations, CASE WHEN violations = 0 THEN 'ok' ELSE severity END AS status FROM v""",
     "preflight_summary": q("SELECT * FROM (VALUES ('rows', (SELECT count(*) FROM fact)), ('papers', (SELECT count(DISTINCT paper_id) FROM fact)), ('without_window', (SELECT count(*) FROM fact WHERE win IS NULL)), ('without_venue', (SELECT count(*) FROM fact WHERE venue IS NULL)), ('unresolved', (SELECT count(*) FROM fact WHERE NOT resolved))) t(metric, value)"),
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import consolidate, gazetteer, indicators, matching
 from ..schema import alias_columns, cardinality_differences, require_columns
-from ..sources import api, files, sinks
+from ..sources import api, cache, files, sinks
 from ..sources.driver import Corpus
 from ..sources.stages import Runner, Skip, Stage, scratch
 from .catalogue import fact, query
@@ -234,12 +234,15 @@ def title_search_hits(c):
 @sql("""WITH n AS (SELECT p_partkey AS k, p_partkey % 70 AS citations, 2 AS seen FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 9 <> 0), o AS (SELECT p_partkey AS k, p_partkey % 50 AS citations, 1 AS seen FROM part WHERE p_partkey % 2 = 0)
 SELECT '10.1/m' || k AS doi, citations, CAST(seen AS BIGINT) AS seen FROM n UNION ALL SELECT '10.1/m' || k, citations, seen FROM o WHERE k NOT IN (SELECT k FROM n)""")
 def metrics_cache(c):
-    """Citation metrics of works as JSON put into a cache: the latest answer of each DOI counts."""
+    """Citation metrics of works as JSON put into a bucketed cache: the latest answer of each DOI counts."""
     p = c.table("part")
     old = p.where(key() % 2 == 0).select(cat("10.1/m", key()).alias("doi"), (key() % 50).cast("long").alias("citations"), F.lit(1).alias("seen"))
     body = cat('{"doi": "https://doi.org/10.1/M', key(), '", "cited_by_count": ', key() % 70, ', "publication_year": 2001, "type": "article", "is_retracted": ', (key() % 9 == 0), "}")
     new = files.citation_metrics(p.where(key() % 3 == 0).select(body.alias("value"))).select("doi", "citations", F.lit(2).alias("seen"))
-    return files.upsert(old, new, "doi", "seen")
+    path = f"{scratch(c.spark)}/cache"
+    for rows in (old, new):
+        cache.update_cache(rows, path, "doi", "seen", buckets=16)
+    return cache.read_cache(c.spark, path)
 
 
 @sql("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v, NULL::BIGINT AS extra FROM nation UNION ALL SELECT r_regionkey, r_name, 7 FROM region")
