@@ -27,6 +27,13 @@ def title_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
 
 
+def first_words(text: Column, n: int) -> Column:
+    """A prefix that holds at least n words of `title_ascii`, or the whole text where it has fewer: so many pieces between white space
+    with an ASCII letter or digit each. Only it needs to be normalised if n words are all that is asked for."""
+    head = F.regexp_extract(text, r"(?s)^(?:[^A-Za-z0-9]*+[A-Za-z0-9]\S*+\s){%d}" % n, 0)
+    return F.when(head != "", head).otherwise(text)
+
+
 def title_unicode(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fold(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import col, ratio
 from ..params import WindowSpec
+from ..sources.stages import table
 from . import order_stats
 
 
@@ -142,7 +143,8 @@ def impact_scores(papers: DataFrame, value: str) -> DataFrame:
 
 def impact(pc: DataFrame, scores: DataFrame, value: str) -> DataFrame:
     """By bloc country and window; a null percentile counts in the denominator of the top shares."""
-    rows = pc.where("is_bloc").select("paper_id", "country").join(scores, "paper_id")
+    rows = pc.where("is_bloc").select("paper_id", "country").join(scores.select("paper_id", "win", value, "z", "percentile"), "paper_id").drop("paper_id")
+    rows = table(rows)  # read for the sums and for the medians
     top = lambda p: F.avg(F.coalesce(F.col("percentile") >= p, F.lit(False)).cast("double"))
     sums = rows.groupBy("country", "win").agg(F.count("*").alias("papers"), F.round(F.avg(value), 4).alias("mean_value"), F.round(F.avg("z"), 6).alias("mean_z"), F.round(top(0.9), 6).alias("top10"), F.round(top(0.99), 6).alias("top1"))
     middle = order_stats.medians(rows.select("country", "win", value), ["country", "win"], value, "_median")

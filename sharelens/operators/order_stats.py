@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stages import written
+from ..sources.stages import table
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -24,7 +24,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, value, n (rows with it), before (rows of the group with smaller values), total (rows of the group with a value)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     # written once: the ranges stay what they are if an executor is lost
-    ranged = written(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+    ranged = table(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy(*keys, "_range").agg(F.sum("n").alias("_n"))
     group = Window.partitionBy(*keys)
     sums = sums.withColumns({"total": F.sum("_n").over(group), "_offset": F.sum("_n").over(group.orderBy("_range")) - F.col("_n")}).drop("_n")

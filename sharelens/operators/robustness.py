@@ -149,7 +149,9 @@ def bootstrap(cl: DataFrame, key: str, replicates: int = 500, seed: int = 12345)
     The draw is a function of seed, group, cluster and replicate, so it is the same wherever and however often a task runs,
     and one aggregation by group and replicate, combined before the shuffle, does it all. Replicate -1 is the observed one."""
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    rows = cl.withColumn("_r", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    # clusters are few and each makes many draws: they are spread over all cores first
+    spread = cl.select(key, "venue", "year", "focal", "bloc").repartition(cl.sparkSession.sparkContext.defaultParallelism, "venue", "year", key)
+    rows = spread.withColumn("_r", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     times = F.when(F.col("_r") < 0, 1).otherwise(draw(F.lit(str(seed)), name, F.col("venue").cast("string"), F.col("year").cast("string"), F.col("_r").cast("string")))
     sums = rows.withColumn("_t", times).groupBy(key, "_r").agg(F.count("*").alias("clusters"), F.sum(F.col("focal") * F.col("_t")).alias("focal"), F.sum(F.col("bloc") * F.col("_t")).alias("bloc"))
     sums = sums.withColumn("value", ratio("focal", "bloc"))

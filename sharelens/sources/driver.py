@@ -101,8 +101,9 @@ class Corpus:
 
     @cached_property
     def titles(self) -> DataFrame:
-        """doc_id, lang, title: the first twelve normalised tokens of each document."""
+        """doc_id, lang, title: the first twelve normalised tokens of each document, written once."""
         from ..functions import text
+        from .stages import table
 
-        words = text.tokens(text.title_ascii(F.coalesce("text", F.lit(""))))
-        return self.table("documents").select("doc_id", "lang", F.array_join(F.slice(words, 1, 12), " ").alias("title"))
+        words = text.tokens(text.title_ascii(text.first_words(F.coalesce("text", F.lit("")), 12)))
+        return table(self.table("documents").select("doc_id", "lang", F.array_join(F.slice(words, 1, 12), " ").alias("title")))
