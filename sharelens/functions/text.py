@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import html.entities
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 
 
 def accent_table() -> tuple[str, str]:
-    """Lower-case Latin letters up to U+024F and in U+1E00..U+1EFF whose decomposition starts with an ASCII letter, and those letters."""
-    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))]
-    pairs = [(a, b) for a, b in pairs if b.isascii() and b.isalpha()]
-    return "".join(a for a, _ in pairs), "".join(b.lower() for _, b in pairs)
+    """Lower-case letters of all scripts whose decomposition is a letter and combining marks, and those letters: é to e, й to и, ΐ to ι.
+    Hangul syllables decompose into letters and are left to `same_title`."""
+    letters = (chr(c) for c in (*range(0xC0, 0x3100), *range(0xA640, 0xAC00), *range(0xF900, 0x10000)))
+    parts = ((c, unicodedata.normalize("NFD", c)) for c in letters if c.isalpha() and c == c.lower())
+    pairs = [(c, d[0].lower()) for c, d in parts if d[0] != c and d[0].isalpha() and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(text: Column) -> Column:
@@ -22,6 +25,12 @@ def fold(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), *accent_table())
 
 
+def same_title(text: Column) -> Column:
+    """The Unicode title with a collation that takes canonically equal strings (composed and decomposed Hangul) for equal: a key of
+    joins and groups."""
+    return F.collate(title_unicode(text), "UNICODE")
+
+
 def title_ascii(text: Column) -> Column:
     """Lower case without accents, everything but a-z and 0-9 one space."""
     return F.trim(F.regexp_replace(fold(text), "[^a-z0-9]+", " "))
@@ -81,27 +90,34 @@ def country_code(x: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.when(x.rlike("^[A-Z]{2}$"), x)
 
 
-def entities(x: Column, names: tuple[str, ...] = tuple(sorted(html.entities.name2codepoint))) -> Column:
-    """Named HTML entities as their characters (nbsp as a space), each once: what comes out is not read again."""
-    table = F.create_map(*[F.lit(v) for n in names for v in (n, " " if n == "nbsp" else html.unescape(f"&{n};"))])
+def html_names() -> tuple[str, ...]:
+    """All named entities of HTML 5 that end with a semicolon."""
+    return tuple(sorted(n[:-1] for n in html.entities.html5 if n.endswith(";")))
+
+
+def entities(x: Column, names: tuple[str, ...] | None = None) -> Column:
+    """Named HTML entities as their characters (nbsp as a space), each once: what comes out is not read again. The table is one
+    constant map, looked up where a text has an entity."""
+    table = {n: " " if n == "nbsp" else html.unescape(f"&{n};") for n in names or html_names()}
+    held = F.from_json(F.lit(json.dumps(table)), "map<string,string>")
 
     def repaired(piece):
         name = F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);", 1)
-        return F.coalesce(F.concat(F.try_element_at(table, name), F.substring(piece, F.length(name) + 3, F.length(piece))), piece)
+        return F.when(name == "", piece).otherwise(F.coalesce(F.concat(F.try_element_at(held, name), F.substring(piece, F.length(name) + 3, F.length(piece))), piece))
 
-    return F.array_join(F.transform(F.split(x, "(?=&[A-Za-z][A-Za-z0-9]*;)"), repaired), "")
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "(?=&[A-Za-z][A-Za-z0-9]*;)"), repaired), "")).otherwise(x)
 
 
 def xml_safe(x: Column) -> Column:
     """HTML entities repaired, the five of XML kept."""
-    return entities(x, tuple(sorted(set(html.entities.name2codepoint) - {"quot", "amp", "lt", "gt", "apos"})))
+    return entities(x, tuple(n for n in html_names() if n not in ("quot", "amp", "lt", "gt", "apos", "QUOT", "AMP", "LT", "GT")))
 
 
-def pdf_links(page: Column, url: Column, hosts: tuple[str, ...], most: int = 20) -> Column:
-    """Distinct PDF links of a page, made absolute, on allowed hosts only; at most so many a page, in their order."""
+def pdf_links(page: Column, url: Column, hosts: tuple[str, ...]) -> Column:
+    """Distinct PDF links of a page, made absolute, on allowed hosts only, in their order."""
     found = F.array_distinct(F.transform(hrefs(page), lambda h: absolute(url, h)))
     pdf = lambda u: F.lower(u).rlike(r"\.pdf(?:[?#].*)?$|/pdf/") & host_allowed(host(u), hosts)
-    return F.slice(F.filter(found, pdf), 1, most)
+    return F.filter(found, pdf)
 
 
 def links(x: Column) -> Column:
@@ -110,7 +126,9 @@ def links(x: Column) -> Column:
 
 
 def hrefs(page: Column) -> Column:
-    return F.regexp_extract_all(page, F.lit("href=\"([^\"]*)\""), F.lit(1))
+    """Values of href attributes in either kind of quotes."""
+    found = F.regexp_extract_all(page, F.lit(r"(?i)\bhref\s*=\s*(\"[^\"]*\"|'[^']*')"), F.lit(1))
+    return F.transform(found, lambda h: F.substring(h, F.lit(2), F.length(h) - 2))
 
 
 def host(url: Column) -> Column:
@@ -151,9 +169,14 @@ def has_any(x: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def content(doc: Column, key: str) -> Column:
-    """content.key, or content.key.value where that is an object."""
-    return F.coalesce(F.get_json_object(doc, f"$.{key}.value"), F.get_json_object(doc, f"$.{key}"))
+def parsed(doc: Column) -> Column:
+    """A JSON document read once, of any shape; null where it is none."""
+    return F.try_parse_json(doc)
+
+
+def content(doc: Column, key: str, root: str = "$", kind: str = "string") -> Column:
+    """root.key of a parsed document, or root.key.value where that is an object."""
+    return F.coalesce(F.try_variant_get(doc, f"{root}.{key}.value", kind), F.try_variant_get(doc, f"{root}.{key}", kind))
 
 
 def first_doi(found: Column) -> Column:

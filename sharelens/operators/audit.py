@@ -51,7 +51,9 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return parts.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
 
 
-def text_report(df: DataFrame, template: str, *columns: str, order: tuple[str, ...]) -> str:
-    """Formatted lines of a small summary frame, collected at the edge."""
-    rows = df.orderBy(*order).select(F.format_string(template, *columns).alias("line")).limit(1000).collect()
+def text_report(df: DataFrame, template: str, *columns: str, order: tuple[str, ...], most: int = 1000) -> str:
+    """Formatted lines of a small summary frame, collected at the edge; an error beyond `most` lines."""
+    rows = df.orderBy(*order).select(F.format_string(template, *columns).alias("line")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} lines: write it as a table")
     return "\n".join(r["line"] for r in rows)

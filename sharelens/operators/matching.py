@@ -145,6 +145,14 @@ def first_source(*frames: DataFrame, key: str) -> DataFrame:
     return out.withColumn("_least", least).where("priority = _least").drop("_least")
 
 
+def best_priority(rows: DataFrame, key: str, priority: str, *columns: str) -> DataFrame:
+    """key, columns (distinct) and priority of the rows with the least priority of their key. One pass and one shuffle, in which a key's
+    distinct values, a bounded set, combine first."""
+    values = rows.groupBy(key).agg(F.collect_set(F.struct(priority, *columns)).alias("_s"))
+    least = F.array_min(F.transform("_s", lambda x: x[priority]))
+    return values.select(key, F.explode(F.filter("_s", lambda x: x[priority] == least)).alias("_x")).select(key, "_x.*")
+
+
 def main_track(records: DataFrame, accepted: DataFrame, partial: DataFrame, rejected: tuple[str, ...]) -> DataFrame:
     """Records whose booktitle is accepted for their venue without regard to case, or holds one of the venue's configured
     parts, and holds no rejected word. accepted and partial: venue, pattern; dimensions joined by venue."""

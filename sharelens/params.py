@@ -37,3 +37,11 @@ class Params:
     comparators: tuple[str, ...] = ("NATION_3", "NATION_8", "NATION_13", "NATION_18", "NATION_23")
     thresholds: tuple[float, ...] = (0.30, 0.50, 0.70, 0.80, 0.90)
     sources: dict[str, int] = field(default_factory=lambda: {"A": 1, "N": 2, "R": 3})
+    #: Options of single analyses: draws and seed of the bootstrap, the policy for a list without levels, an area left out unless
+    #: included, and how many papers (the first by key) a trial run takes.
+    replicates: int = 500
+    seed: int = 12345
+    policy: str = "infer"
+    excluded_area: str = "FURNITURE"
+    include_excluded: bool = False
+    limit: int | None = None

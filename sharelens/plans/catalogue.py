@@ -11,6 +11,7 @@ from ..functions import text
 from ..functions.ratios import percent3, ratio
 from ..operators import audit, consolidate, facts, gates, history, indicators, matching, robustness
 from ..schema import duplicates, mismatches, missing_keys, out_of_range
+from ..params import Params
 from ..sources.driver import Corpus
 from .oracles import SQL
 
@@ -27,6 +28,11 @@ def wide(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint", "tinyint") else F.col(f"`{n}`") for n, t in df.dtypes])
 
 
+def run(name: str, spark: SparkSession, path: str, params: Params) -> DataFrame:
+    """One query with other parameters than the default ones."""
+    return wide(_ALL[name](Corpus(spark, path, params)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: (lambda spark, path, f=f: wide(f(Corpus(spark, path)))) for n, f in _ALL.items()}
 
@@ -74,7 +80,8 @@ def basic_metrics_grouping_sets(c):
 
 @query
 def basic_metrics_excluded_area(c):
-    return facts.basic_metrics(fact(c).where("area <> 'FURNITURE'"), "win")
+    rows = fact(c) if c.params.include_excluded else fact(c).where(F.col("area") != c.params.excluded_area)
+    return facts.basic_metrics(rows, "win")
 
 
 @query
@@ -341,7 +348,7 @@ def bootstrap_observed(c):
 
 @query
 def bootstrap_ci(c):
-    out = robustness.bootstrap(robustness.clusters(fact(c), "win"), "win")
+    out = robustness.bootstrap(robustness.clusters(fact(c), "win"), "win", c.params.replicates, c.params.seed)
     return out.select("win", "clusters", *[F.round(n, 9).alias(n) for n in ("share", "low", "high", "sd")])
 
 
@@ -386,7 +393,7 @@ def ranking_duplicates_resolved(c):
 
 @query
 def undifferentiated_year_inference(c):
-    return history.infer_undifferentiated(c.ranking_raw, 1998, 1996, 2000)
+    return history.infer_undifferentiated(c.ranking_raw, 1998, 1996, 2000, c.params.policy)
 
 
 @query
@@ -642,11 +649,21 @@ def near_year_title_match(c):
     return matching.exact_match(papers, works, ["lang", "match_year"]).where("paper_id <> work_id").groupBy("paper_id").agg(F.min("work_id").alias("work_id"))
 
 
+@query
+def unicode_title_groups(c):
+    """Documents by the first words of their text, equal without case and accents in any script."""
+    t = c.table("documents").select("lang", text.first_words(F.coalesce("text", F.lit("")), 3).alias("t"))
+    words = F.slice(text.tokens(text.title_unicode(F.col("t"))), 1, 2)
+    rows = t.select("lang", F.collate(F.array_join(words, " "), "UNICODE").alias("title"))
+    out = rows.groupBy("lang", "title").agg(F.count("*").alias("documents"))
+    return out.select("lang", F.collate("title", "UTF8_BINARY").alias("title"), "documents")
+
+
 @query
 def source_fallback(c):
     """Countries of a paper from its best source alone."""
-    by = lambda s: c.evidence.where(F.col("source") == s).select("paper_id", "country").distinct()
-    return matching.first_source(by("A"), by("N"), by("R"), key="paper_id")
+    rows = c.evidence.select("paper_id", "country", (F.col("priority") - 1).alias("priority"))
+    return matching.best_priority(rows, "paper_id", "priority", "country")
 
 
 @query

@@ -278,6 +278,7 @@ SELECT page_id, key, prefix FROM x WHERE prefix IN (SELECT prefix FROM x JOIN pa
     "country_flags": """WITH r AS (SELECT n_name AS country, n_regionkey = 3 AS is_bloc, n_name = 'NATION_3' AS is_focal, upper(trim(translate(' ' || lower(substr(n_name, 8, 1)) || 's ', '0123456789', 'aeudnkgbfi'))) AS c FROM nation),
 f AS (SELECT *, CASE WHEN c = 'UK' THEN 'GB' WHEN c = 'EL' THEN 'GR' ELSE c END AS d FROM r)
 SELECT country, CASE WHEN regexp_full_match(d, '[A-Z][A-Z]') THEN d END AS code, CASE WHEN regexp_full_match(d, '[A-Z][A-Z]') THEN d IN ('ES', 'DS') END AS in_set, is_bloc, is_focal FROM f""",
+    "unicode_title_groups": r"""SELECT lang, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')[1:2], ' ') AS title, count(*) AS documents FROM documents GROUP BY ALL""",
     "preflight_gates": """WITH v AS (
 SELECT 1 AS i, 'orders: year out of range' AS "check", 'error' AS severity, (SELECT count(*) FROM orders WHERE year(o_orderdate) NOT BETWEEN 1995 AND 2000) AS violations
 UNION ALL SELECT 2, 'orders: no customer', 'error', (SELECT count(*) FROM orders WHERE o_custkey IS NULL)

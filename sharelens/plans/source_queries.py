@@ -405,7 +405,7 @@ def truth_values(c):
 def content_values(c):
     """Fields of a JSON object, plain or wrapped."""
     doc = F.when(key() % 2 == 0, cat('{"a": {"value": "', F.col("p_name"), '"}, "b": "', F.col("p_brand"), '"}')).otherwise(cat('{"a": "', F.col("p_name"), '"}'))
-    rows = c.table("part").select("p_partkey", doc.alias("doc"))
+    rows = c.table("part").select("p_partkey", text.parsed(doc).alias("doc"))
     return rows.select("p_partkey", text.content(F.col("doc"), "a").alias("a"), text.content(F.col("doc"), "b").alias("b"))
 
 

@@ -1,4 +1,4 @@
-"""A batched key-value source as a Python data source: keys are dealt in batches, each batch one partition.
+"""A batched key-value source: keys are dealt in batches, each batch one call.
 
 The fetch function is a parameter: offline it reads fixtures, online it calls a service. Calls keep to a rate per task, retries
 back off exponentially, and keys without an answer come back with a null body (negative caching). Batches run in as many tasks
@@ -50,8 +50,13 @@ def fetch(keys: DataFrame, column: str, call: Callable[[list[str]], dict[str, st
     return distinct.mapInArrow(run, "key string, body string, status string")
 
 
+class TooManyPages(Exception):
+    """A source that goes on after the pages asked for."""
+
+
 def paged(source: Callable[[str, int, str | None], tuple[list[str], str | None]], pages: int = 20):
-    """A call over (source, year) keys "id|year" that follows cursors up to `pages` pages and joins them as one JSON array."""
+    """A call over (source, year) keys "id|year" that follows cursors and joins the pages as one JSON array. A source with more than
+    `pages` pages is an error that is not tried again: nothing is left out in silence."""
 
     def call(keys: list[str]) -> dict[str, str]:
         out = {}
@@ -63,6 +68,8 @@ def paged(source: Callable[[str, int, str | None], tuple[list[str], str | None]]
                 rows += got
                 if not cursor:
                     break
+            else:
+                raise TooManyPages(f"{k} has more than {pages} pages")
             if rows:
                 out[k] = "[" + ",".join(rows) + "]"
         return out

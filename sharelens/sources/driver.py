@@ -33,6 +33,8 @@ class Corpus:
         """paper_id, year, win, venue, area, level, price: one row per paper."""
         o, c = self.table("orders"), self.table("customer")
         year = F.year("o_orderdate").cast("int")
+        if self.params.limit:  # a trial run
+            o = o.orderBy("o_orderkey").limit(self.params.limit)
         return o.join(c, o.o_custkey == c.c_custkey).select(
             F.col("o_orderkey").alias("paper_id"),
             year.alias("year"),

@@ -292,11 +292,14 @@ def read_notes(notes: DataFrame, column: str = "value", order: tuple[str, ...] =
     accepted. `order` lists kinds of invitations (their last segment): of a venue only the first kind that it has counts."""
     from ..operators.matching import first_source
 
-    j, c = F.col(column), lambda k: T.content(F.get_json_object(column, "$.content"), k)
-    invitation = F.coalesce(F.get_json_object(j, "$.invitation"), F.get_json_object(j, "$.invitations[0]"))
-    authors = F.coalesce(F.from_json(c("authorids"), "array<string>"), F.array().cast("array<string>"))
-    rows = notes.select(
-        F.get_json_object(j, "$.id").alias("note_id"), F.get_json_object(j, "$.domain").alias("venue"), F.substring_index(invitation, "/", -1).alias("invitation"),
+    # a generator: the filter below is not pushed through it, so each note is parsed once
+    docs = notes.select(F.explode(F.array(T.parsed(F.col(column)))).alias("v"))
+    v, c = F.col("v"), lambda k, kind="string": T.content(F.col("v"), k, "$.content", kind)
+    get = lambda path: F.try_variant_get(v, path, "string")
+    invitation = F.coalesce(get("$.invitation"), get("$.invitations[0]"))
+    authors = F.coalesce(c("authorids", "array<string>"), F.array().cast("array<string>"))
+    rows = docs.select(
+        get("$.id").alias("note_id"), get("$.domain").alias("venue"), F.substring_index(invitation, "/", -1).alias("invitation"),
         c("title").alias("title"), authors.alias("authors"), T.accepted(c("decision"), F.coalesce(c("venueid"), F.lit(""))).alias("accepted"),
     ).where("note_id IS NOT NULL")
     if not order:

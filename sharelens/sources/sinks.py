@@ -18,7 +18,10 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, kind: str = "parq
 
 
 def figure(df: DataFrame, x: str, y: str, path: str, kind: str = "line", most: int = 200) -> bool:
-    """A line or bar figure of a small table, collected at the edge; False without matplotlib."""
+    """A line or bar figure of a small table, collected at the edge; False without matplotlib, an error beyond `most` points."""
+    rows = df.select(x, y).orderBy(x).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a figure of more than {most} points")
     try:
         import matplotlib
 
@@ -26,7 +29,6 @@ def figure(df: DataFrame, x: str, y: str, path: str, kind: str = "line", most: i
         from matplotlib import pyplot
     except ImportError:
         return False
-    rows = df.select(x, y).orderBy(x).limit(most).collect()
     fig, ax = pyplot.subplots()
     (ax.barh if kind == "barh" else ax.plot)([str(r[0]) for r in rows], [r[1] for r in rows])
     ax.set(xlabel=x if kind == "line" else y, ylabel=y if kind == "line" else x)

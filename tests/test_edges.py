@@ -25,6 +25,22 @@ def test_command_line_lists_queries(capsys):
     assert "basic_metrics_window" in capsys.readouterr().out.split()
 
 
+def test_options_of_analyses(spark, tmp_path, capsys):
+    """A trial run on few papers, other windows, and an area that is kept."""
+    out = str(tmp_path / "o")
+    path = "/root/testdata/sf0.001"
+    assert main(["paper_counts_by_year", "--path", path, "--out", out, "--papers", "50"]) == 0
+    assert spark.read.parquet(f"{out}/paper_counts_by_year").agg({"papers": "sum"}).first()[0] == 50
+    assert main(["basic_metrics_excluded_area", "--path", path, "--out", out, "--windows", "1995-1998,1999-2002", "--include-excluded"]) == 0
+    rows = spark.read.parquet(f"{out}/basic_metrics_excluded_area").collect()
+    assert {r.win for r in rows} == {"1995-1998", "1999-2002"} and sum(r.total for r in rows) == spark.read.parquet(f"{path}/orders.parquet").count()
+    assert main(["bootstrap_ci", "--path", path, "--out", out, "--draws", "40", "--seed", "1"]) == 0
+    a = {r.win: r.sd for r in spark.read.parquet(f"{out}/bootstrap_ci").collect()}
+    assert main(["bootstrap_ci", "--path", path, "--out", out, "--draws", "40", "--seed", "2"]) == 0
+    assert a != {r.win: r.sd for r in spark.read.parquet(f"{out}/bootstrap_ci").collect()}
+    capsys.readouterr()
+
+
 def test_download_goes_on_where_it_stopped(tmp_path):
     import http.server
     import threading

@@ -47,7 +47,7 @@ def test_text_functions(spark):
     assert [r[0] for r in pairs.select(text.absolute(F.col("a"), F.col("b"))).collect()] == ["http://h.org/a/c", "http://h.org/c", "http://h.org/c", "http://z"]
     assert col(spark, ["Sí", "1", "no", None], text.truth) == [True, True, False, False]
     assert col(spark, ["Big Workshop Companion"], lambda x: text.hits(x, ("companion", "workshop", "z"))) == ["companion;workshop"]
-    assert col(spark, ['{"k": {"value": "v"}, "j": "w"}'], lambda x: F.array(text.content(x, "k"), text.content(x, "j"))) == [["v", "w"]]
+    assert col(spark, ['{"k": {"value": "v"}, "j": "w"}'], lambda x: F.array(text.content(text.parsed(x), "k"), text.content(text.parsed(x), "j"))) == [["v", "w"]]
     assert col(spark, [["http://x", "https://arxiv.org/abs/1234.5678v2", "https://doi.org/10.1/a"]], lambda x: F.array(text.first_doi(x), text.first_arxiv(x)), "array<string>") == [["https://doi.org/10.1/a", "1234.5678"]]
     both = spark.createDataFrame([("accept (oral)", ""), ("Rejected, was accept", "V"), (None, "V"), (None, None)], "d string, v string")
     assert [r[0] for r in both.select(text.accepted(F.col("d"), F.col("v"))).collect()] == [True, False, True, False]
@@ -302,6 +302,56 @@ def test_bootstrap_blocks(spark):
     assert robustness.bootstrap(cl.repartition(7), "win", replicates=230).first() == one
 
 
+def test_titles_of_any_script(spark):
+    import unicodedata
+
+    same = [("Зимний", "зимнии"), ("ΐδιος", "ιδιος"), ("한국어", unicodedata.normalize("NFD", "한국어")), ("Ngữ pháp", "ngu phap"), ("Café", "cafe\u0301"), ("ÅNGSTRÖM", "angstrom")]
+    df = spark.createDataFrame(same + [("a", "b"), ("и", "ы")], "a string, b string")
+    assert [r[0] for r in df.select(text.same_title(F.col("a")) == text.same_title(F.col("b"))).collect()] == [True] * len(same) + [False, False]
+    left, right = df.select(text.same_title(F.col("a")).alias("t"), "a"), df.select(text.same_title(F.col("b")).alias("t"), "b")
+    assert left.join(right, "t").count() == len(same) and left.select("t").union(right.select("t")).distinct().count() == len(same) + 4
+
+
+def test_first_words_hold_what_is_asked_for(spark):
+    import random
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("abé1 .,\n\u0301ß漢-") for _ in range(r.randrange(200))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cut = lambda c: F.slice(text.tokens(text.title_ascii(c)), 1, 5)
+    rows = df.select(cut(F.col("t")).alias("a"), cut(text.first_words(F.col("t"), 5)).alias("b"), (F.length(text.first_words(F.col("t"), 5)) < F.length("t")).alias("c")).collect()
+    assert all(x.a == x.b for x in rows) and sum(x.c for x in rows) > 50
+
+
+def test_whole_entity_table(spark):
+    assert col(spark, ["&NotEqualTilde;&lang;&nope; R&D &amp;lt;", "no entity", None], text.entities) == ["≂̸⟨&nope; R&D &lt;", "no entity", None]
+    assert len(text.html_names()) > 2000
+
+
+def test_nothing_is_left_out_in_silence(spark, tmp_path):
+    endless = api.paged(lambda i, y, c: (["1"], "next"), pages=3)
+    with pytest.raises(api.TooManyPages):
+        endless(["s|2001"])
+    with pytest.raises(ValueError, match="more than 5 lines"):
+        audit.text_report(spark.range(6).withColumnRenamed("id", "k"), "%d", "k", order=("k",), most=5)
+    page = "".join(f"<a href='/pdf/{i}'>x</a>" for i in range(30))
+    rows = spark.createDataFrame([(page, "http://a.org/x")], "p string, u string")
+    assert rows.select(F.size(text.pdf_links(F.col("p"), F.col("u"), ("a.org",)))).first()[0] == 30
+
+
+def test_least_priority(spark):
+    rows = [(1, "x", 2), (1, "y", 1), (1, "z", 1), (1, "z", 1), (2, "x", 3), (3, None, 1)]
+    got = matching.best_priority(spark.createDataFrame(rows, "k int, v string, p int"), "k", "p", "v").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 1, "y"), (1, 1, "z"), (2, 3, "x"), (3, 1, None)]
+
+
+def test_a_note_is_parsed_once(spark):
+    notes = spark.createDataFrame([('{"id": "n", "content": {"title": {"value": "T"}, "authorids": ["~a", "~b"]}}',), ("not json",)], "value string")
+    df = files.read_notes(notes)
+    assert [(r.note_id, r.title, r.authors) for r in df.collect()] == [("n", "T", ["~a", "~b"])]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 def test_draws_are_poisson_and_depend_on_their_key_alone(spark):
     df = spark.range(40_000).select("id", robustness.draw(F.lit("seed"), F.col("id").cast("string")).alias("n"))
     share = {r.n: r["count"] / 40_000 for r in df.groupBy("n").count().collect()}
