@@ -245,15 +245,17 @@ def metrics_cache(c):
     return cache.read_cache(c.spark, path)
 
 
-@sql("SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v, NULL::BIGINT AS extra FROM nation UNION ALL SELECT r_regionkey, r_name, 7 FROM region")
+@sql("SELECT p_partkey AS k, p_name AS v, CASE WHEN p_brand LIKE '%1' THEN 7 END::BIGINT AS extra FROM part WHERE p_brand NOT LIKE '%2'")
 def matching_files(c):
-    """Of several files those that have the needed columns."""
-    base, n, r = scratch(c.spark), c.table("nation"), c.table("region")
-    paths = [f"{base}-{i}" for i in range(3)]
-    n.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")).write.parquet(paths[0])
-    n.select("n_nationkey").write.parquet(paths[1])
-    r.select(F.col("r_regionkey").cast("long").alias("k"), F.col("r_name").alias("v"), F.lit(7).cast("long").alias("extra")).write.parquet(paths[2])
-    return files.read_matching(c.spark, paths, {"k", "v"})
+    """Of a file for every brand those that have the needed columns: footers are read by tasks, files of one schema in one scan."""
+    base, p = scratch(c.spark), c.table("part")
+    kind = F.when(F.col("p_brand").endswith("1"), "a").when(F.col("p_brand").endswith("2"), "b").otherwise("c")
+    rows = p.select(F.col("p_partkey").cast("long").alias("k"), F.col("p_name").alias("v"), kind.alias("kind"), F.col("p_brand").alias("brand"))
+    rows.where("kind = 'a'").select("k", "v", "brand", F.lit(7).cast("long").alias("extra")).write.partitionBy("brand").parquet(f"{base}/a")
+    rows.where("kind = 'b'").select("k", "brand").write.partitionBy("brand").parquet(f"{base}/b")
+    rows.where("kind = 'c'").select("k", "v", "brand").write.partitionBy("brand").parquet(f"{base}/c")
+    found = files.parquet_files(c.spark, base)
+    return files.read_matching(c.spark, found, {"k", "v"}).select("k", "v", "extra")
 
 
 @sql("SELECT * FROM (VALUES ('tables', 'OK'), ('optional_source', 'SKIPPED'), ('after', 'SKIPPED'), ('broken', 'OPTIONAL_FAILED'), ('last', 'OK'), ('tables again', 'CACHED')) t(name, status)")
@@ -384,9 +386,12 @@ def venue_clean(c):
     return c.table("part").select("p_partkey", text.squeeze(pick(key(), cat("  ", F.col("p_name"), " \t x "), "nan", "", F.col("p_brand"))).alias("venue"))
 
 
-@sql("SELECT p_partkey, ['A*', 'A*', 'A', NULL, 'A*+A', 'A*'][p_partkey % 6 + 1] AS level FROM part")
+@sql("SELECT doc_id, len(list_filter(w, lambda x: upper(trim(x)) = 'A')) AS a, len(list_filter(w, lambda x: upper(trim(x)) IN ('A*', 'A-STAR', 'ASTAR', 'A+'))) AS top FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents)")
 def level_normalise(c):
-    return c.table("part").select("p_partkey", text.level(pick(key(), " a* ", "A-star", "a", "B", "A*+A", "A STAR")).alias("level"))
+    """How many words of each document name a level."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    count = lambda value: F.size(F.filter(words, lambda x: text.level(x).eqNullSafe(value)))
+    return c.table("documents").select("doc_id", count("A").alias("a"), count("A*").alias("top"))
 
 
 @sql("SELECT p_partkey, 'https://b/' || p_partkey AS link, 1::BIGINT AS place FROM part UNION ALL SELECT p_partkey, 'http://a', 0 FROM part")
@@ -396,9 +401,10 @@ def link_split(c):
     return rows.withColumn("place", F.col("place").cast("int"))
 
 
-@sql("SELECT p_partkey, p_partkey % 6 < 4 AS truth FROM part")
+@sql("SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: lower(trim(x)) IN ('true', '1', 'yes', 'y', 'si', 'sí'))) AS yes FROM documents")
 def truth_values(c):
-    return c.table("part").select("p_partkey", text.truth(pick(key(), "true", " 1 ", "YES", "sí", "no", "")).alias("truth"))
+    """How many words of each document say yes."""
+    return c.table("documents").select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), text.truth)).alias("yes"))
 
 
 @sql("SELECT p_partkey, p_name AS a, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS b FROM part")
@@ -433,16 +439,17 @@ def normalised_indicators(c):
     return out.select("country", "papers", *[F.round(f"per_{m}", 6).alias(f"per_{m}") for m in ("people", "researchers", "spending")])
 
 
-@sql("SELECT CAST(page_id AS BIGINT) AS page_id, 'é & ñ ' || page_id || ' &nope; \"' AS repaired FROM pages")
+@sql("SELECT page_id, md5(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')) AS repaired, length(html) - length(replace(html, '&', '')) AS marks FROM pages")
 def html_entities(c):
-    """Named entities of the HTML table; unknown ones stay, and what comes out of one is not read again."""
-    return c.table("pages").select("page_id", text.entities(cat("&eacute;&nbsp;&amp; &ntilde; ", F.col("page_id"), " &nope; &quot;")).alias("repaired"))
+    """Named entities of whole pages by the HTML 5 table; unknown ones stay, and what comes out of one is not read again."""
+    html = F.col("html")
+    return c.table("pages").select("page_id", F.md5(text.entities(html).cast("binary")).alias("repaired"), (F.length(html) - F.length(F.replace(html, F.lit("&"), F.lit("")))).alias("marks"))
 
 
-@sql("SELECT p_partkey, 'uber naive ' || p_partkey || ' viet nam' AS title FROM part")
+@sql("SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'))) AS folded FROM documents")
 def accents_folded(c):
-    """Titles without accents: composed letters, combining marks and letters of other Latin blocks."""
-    return c.table("part").select("p_partkey", text.title_ascii(cat("Über ", "Naïve ", key(), " Việt Năm")).alias("title"))
+    """Whole documents without accents: composed letters, combining marks and letters of other Latin blocks."""
+    return c.table("documents").select("doc_id", F.md5(text.title_ascii(F.col("text")).cast("binary")).alias("folded"))
 
 
 @sql("SELECT win, max(total) AS most, count(*) AS venues FROM (SELECT " + YEARS + " AS win, c_mktsegment || '-' || c_nationkey AS venue, count(*) AS total FROM (SELECT *, year(o_orderdate) AS y FROM orders) JOIN customer ON o_custkey = c_custkey WHERE y BETWEEN 1995 AND 2002 GROUP BY ALL) GROUP BY win")

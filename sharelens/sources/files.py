@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -256,8 +257,8 @@ def volume_titles(volumes: DataFrame, column: str = "xml") -> DataFrame:
 
 def volume_links(pages: DataFrame, column: str = "html") -> DataFrame:
     """Links of an index page to volumes, with the year in their label."""
-    rows = pages.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?s)(<a [^>]*href=\"[^\"]*\"[^>]*>.*?</a>)"), F.lit(1))).alias("a"))
-    rows = rows.select(F.regexp_extract("a", "href=\"([^\"]*)\"", 1).alias("href"), F.regexp_replace("a", "<[^>]*>", "").alias("label"))
+    rows = pages.select(F.explode(F.regexp_extract_all(column, F.lit(r"(?si)(<a\s[^>]*href\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a>)"), F.lit(1))).alias("a"))
+    rows = rows.select(F.get(T.hrefs(F.col("a")), F.lit(0)).alias("href"), F.regexp_replace("a", "<[^>]*>", "").alias("label"))
     return rows.withColumn("year", F.regexp_extract("label", "((?:19|20)[0-9]{2})", 1).try_cast("int")).where("href <> '' AND year IS NOT NULL")
 
 
@@ -278,9 +279,50 @@ def read_pdf_text(spark: SparkSession, path: str, pages: int = 2, least: int = 1
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
 
 
+def parquet_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the Parquet files below a folder, listed by Spark's binary source without reading them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    return sorted(r["path"] for r in found.select("path").collect())
+
+
+def _footers(batches):
+    """Paths -> schema of each file as JSON; null where the file can't be read here."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            try:
+                fs, at = pafs.FileSystem.from_uri(path) if ":" in path else (pafs.LocalFileSystem(), path)
+                meta = pq.read_metadata(at, filesystem=fs).metadata or {}
+                schema = meta.get(b"org.apache.spark.sql.parquet.row.metadata")
+                out.append(schema.decode() if schema else json.dumps(None))
+            except (OSError, pa.ArrowException):
+                out.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], ["path", "schema"])
+
+
 def read_matching(spark: SparkSession, paths: list[str], required: set[str]) -> DataFrame | None:
-    """The union of the Parquet files that have the required columns; None if none has."""
-    frames = [df for p in paths if required <= set((df := spark.read.parquet(p)).columns)]
+    """The union of the Parquet files that have the required columns; None if none has.
+
+    Tasks read the footers, and files of one schema are one scan, so many small files cost neither a driver's look at each nor a
+    plan's branch. Files whose footer names no schema of Spark, or lie where tasks can't open them, are looked at here."""
+    from pyspark.sql.types import StructType
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths) // 50, 1000)))
+    by: dict[str | None, list[str]] = {}
+    for r in rows.mapInArrow(_footers, "path string, schema string").collect():  # a row per path, which came from here
+        by.setdefault(r["schema"], []).append(r["path"])
+    frames = []
+    for schema, own in sorted(by.items(), key=lambda x: str(x[0])):
+        if schema in (None, "null"):
+            frames += [df for p in sorted(own) if required <= set((df := spark.read.parquet(p)).columns)]
+            continue
+        kind = StructType.fromJson(json.loads(schema))
+        if required <= set(kind.names):
+            frames.append(spark.read.schema(kind).parquet(*sorted(own)))
     out = None
     for f in frames:
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)

@@ -352,6 +352,23 @@ def test_a_note_is_parsed_once(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
 
 
+def test_many_files_by_their_footers(spark, tmp_path):
+    base = str(tmp_path / "m")
+    spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).repartition(120).write.parquet(f"{base}/a")
+    spark.range(50).select(F.col("id").alias("k")).repartition(30).write.parquet(f"{base}/b")
+    spark.range(60).select(F.lit("x").alias("w"), F.col("id").alias("v"), F.col("id").alias("k")).repartition(20).write.parquet(f"{base}/c")
+    paths = files.parquet_files(spark, base)
+    df = files.read_matching(spark, paths, {"k", "v"})
+    assert len(paths) > 150 and df.count() == 360 and df.where("w = 'x'").count() == 60
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+
+
+def test_links_in_either_quotes(spark):
+    page = "<a class='v' href='/a'>2001 x</a> <A HREF = \"/b\">vol 1999</A> <a href='/c'>no year</a>"
+    got = files.volume_links(spark.createDataFrame([(page,)], "html string")).collect()
+    assert [(r.href, r.year) for r in got] == [("/a", 2001), ("/b", 1999)]
+
+
 def test_draws_are_poisson_and_depend_on_their_key_alone(spark):
     df = spark.range(40_000).select("id", robustness.draw(F.lit("seed"), F.col("id").cast("string")).alias("n"))
     share = {r.n: r["count"] / 40_000 for r in df.groupBy("n").count().collect()}
