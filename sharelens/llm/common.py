@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -43,18 +44,21 @@ def lean(run: Callable) -> Callable:
     """run, and at its end what it has freed goes back to the system: Python workers are used again and would keep it."""
 
     def wrapped(batches):
-        import ctypes
-
         import pyarrow as pa
 
         yield from run(batches)
         pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def cleanup() -> None:
     """Deletes the work tables of this process; runs at exit."""
     while _MADE:
@@ -93,6 +97,7 @@ def discard_since(before: set[str], *keep: DataFrame) -> None:
     """Deletes the work tables made since, but for `keep`."""
     for path in set(_MADE) - before - {t._work_path for t in keep}:
         _delete(_MADE.pop(path), path)
+    give_back()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -496,14 +496,16 @@ def tasks(members: DataFrame, block: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), by alternating large and small stars: every node's larger
     neighbours go to its smallest neighbour, then all its smaller ones do. Each round is written to the shared folder and the
-    one before it deleted."""
+    one before it deleted; two jobs a round, so that the driver holds little of their plans."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
-        if edges.isEmpty():
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state or not now[0]:
             out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             out._work_path = edges._work_path
             return out
+        state = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -512,12 +514,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select("u", "m").union(small.where("v <> m").select(F.col("v").alias("u"), "m")).select("u", F.col("m").alias("v")).where("u <> v").distinct()
         before, edges = edges, materialize(small)
         discard(before)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out._work_path = edges._work_path
-            return out
-        state = tuple(now)
 
 
 def frequencies(texts: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
@@ -542,6 +538,8 @@ def candidates(texts: DataFrame, rows: DataFrame, levels: DataFrame, dense: int)
     texts, heads = marked(texts, rows.where("n > 2").groupBy("c1", "c2").agg(F.min("_rk").alias("_rk")).select("_rk"))
     prefixes = texts.mapInArrow(lean(_prefixer(shared, heads, fragments)), "frag long, docs binary, grams binary")
     counted = materialize(prefixes.repartition(2 * fragments, "frag").sortWithinPartitions("frag").mapInArrow(lean(_pairer(dense)), PAIRS))
+    shared.destroy()
+    heads.destroy()
     # partial overlaps summed per pair: up to the last shared place all other n-grams of a set are misses, so the overlap is at
     # most the set's size without them (pairs that share a dense n-gram as well meet in its cluster)
     pairs = counted.where("not dense").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
