@@ -1,8 +1,9 @@
 """Divergence audit of sources: how far each source's words are from its siblings' and its language's.
 
 Terms are runs of letters and of characters beyond ASCII, A-Z lower-cased. One pass over the texts counts terms per language and
-source, and the documents that hold them; partial counts of a task are summed before the shuffle. A language keeps the
-terms of at least MIN_DOCS of its documents. Kept terms are dealt over blocks of about TERMS terms, sources over blocks of SOURCES: a
+source, and the documents that hold them; partial counts of a task are summed before the shuffle and dealt over parts by language
+and term, a row per part and group, so that each part of some COUNTED bytes of text knows its terms' documents and keeps those of
+at least MIN_DOCS. Kept terms are dealt over blocks of about TERMS terms, sources over blocks of SOURCES: a
 tile is a dense numpy int64 matrix of the groups of two source blocks by the terms of one term block. Each tile broadcasts all
 pairs of its rows, group by group, and gives a partial pair matrix and each group's TOP best terms; partial matrices are summed
 and lists merged per task before they are shuffled. All arithmetic is exact in integers (int64; totals up to 9 * 10^15 words).
@@ -15,6 +16,7 @@ repeated rows each count as documents; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,44 +31,112 @@ MIN_DOCS, TOP, SCALE = 3, 200, 1_000_000_000
 #: broadcast (some 100 bytes each).
 HELD, TERMS, SOURCES, LANGS = 300_000, 1024, 64, 20_000
 
+#: Bytes of text per part of the counting.
+COUNTED = 16_000_000
+
 #: A-Z to lower case, everything that is in no term to a space.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def _count(batches):
-    import pyarrow as pa
-
-    held: dict[tuple, tuple[Counter, Counter]] = {}
-
-    def out():
-        for (lang, source), (terms, docs) in held.items():
-            keys = [None, *terms]  # null: the group itself
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.string()), pa.array(keys, pa.binary()).cast(pa.string()),
-                pa.array([0, *terms.values()], pa.int64()), pa.array([0, *(docs[t] for t in terms)], pa.int64()),
-            ], ["lang", "source", "term", "n", "docs"])
-        held.clear()
-
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        data = memoryview(data)
-        for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
-            terms, docs = held.setdefault(key, (Counter(), Counter()))
-            seen = set()
-            for words in word_pieces(data[offsets[i] : offsets[i + 1]], FOLD):
-                terms.update(words)
-                seen.update(words)
-            docs.update(seen)
-        if sum(len(t) for t, _ in held.values()) > HELD:
-            yield from out()
-    yield from out()
-
-
-def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that hold it); one row with null term for every group."""
+def _counter(parts: int):
+    """Texts -> per part of the terms and group: terms, occurrences and documents that hold them, end to end. Part 0 names every group."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[tuple, tuple[Counter, Counter]] = {}
+
+        def out():
+            rows = []
+            for (lang, source), (terms, docs) in held.items():
+                salt = zlib.crc32(lang.encode())
+                dealt: dict[int, list[bytes]] = {0: []}
+                for t in terms:
+                    dealt.setdefault(zlib.crc32(t, salt) % parts, []).append(t)
+                for p, own in dealt.items():
+                    numbers = np.array([[terms[t] for t in own], [docs[t] for t in own]], np.int64)
+                    rows.append((p, lang, source, b" ".join(own), numbers.tobytes()))
+            held.clear()
+            for i in range(0, len(rows), 5_000):
+                columns = zip(*rows[i : i + 5_000])
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "lang", "source", "terms", "numbers"])
+
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            data = memoryview(data)
+            for i, key in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())):
+                terms, docs = held.setdefault(key, (Counter(), Counter()))
+                seen = set()
+                for words in word_pieces(data[offsets[i] : offsets[i + 1]], FOLD):
+                    terms.update(words)
+                    seen.update(words)
+                docs.update(seen)
+            if sum(len(t) for t, _ in held.values()) > HELD:
+                yield from out()
+        yield from out()
+
+    return run
+
+
+def _adder(least: int):
+    """Rows sorted by part -> the kept terms of each part: lang, source, term, n, lang_n and whether this is the term's first row; and a
+    row with null term for every group."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["lang", "source", "term", "n", "lang_n", "first"]
+        held: dict[str, dict[str, dict[bytes, list[int]]]] = {}
+
+        def flush(part):
+            for lang, sources in held.items():
+                docs, total = Counter(), Counter()
+                for own in sources.values():
+                    for t, (n, d) in own.items():
+                        docs[t] += d
+                        total[t] += n
+                new = {t for t, d in docs.items() if d >= least}
+                for source, own in sources.items():
+                    kept = [t for t in own if docs[t] >= least]
+                    firsts = [t in new and not new.discard(t) for t in kept]
+                    group = [None] if part == 0 else []
+                    columns = [[lang] * (len(kept) + len(group)), [source] * (len(kept) + len(group)), group + kept, [0] * len(group) + [own[t][0] for t in kept], [0] * len(group) + [total[t] for t in kept], [False] * len(group) + firsts]
+                    kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+                    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                    arrays[2] = arrays[2].cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+            held.clear()
+
+        part = None
+        for batch in batches:
+            for p, lang, source, terms, numbers in zip(batch.column("part").to_pylist(), batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("terms").to_pylist(), batch.column("numbers").to_pylist()):
+                if p != part and held:
+                    yield from flush(part)
+                part = p
+                own = held.setdefault(lang, {}).setdefault(source, {})
+                ns, ds = np.frombuffer(numbers, np.int64).reshape(2, -1).tolist()
+                for t, n, d in zip(terms.split(), ns, ds):
+                    if (x := own.get(t)) is None:
+                        own[t] = [n, d]
+                    else:
+                        x[0] += n
+                        x[1] += d
+        if held:
+            yield from flush(part)
+
+    return run
+
+
+def kept_counts(docs: DataFrame) -> DataFrame:
+    """lang, source, term, n (occurrences there), lang_n (in the language), first (once per term) of the kept terms, and a row with
+    null term for every group."""
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    parts = docs.select(*columns).mapInArrow(lean(_count), "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    texts = docs.select(*columns)
+    parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // COUNTED))
+    rows = texts.mapInArrow(lean(_counter(parts)), "part int, lang string, source string, terms binary, numbers binary")
+    rows = rows.repartition(parts, "part").sortWithinPartitions("part")
+    return rows.mapInArrow(lean(_adder(MIN_DOCS)), "lang string, source string, term string, n long, lang_n long, first boolean")
 
 
 def probability(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -123,16 +193,13 @@ def _tile(rows, groups):
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank."""
     configure(docs.sparkSession)
-    counts = materialize(term_counts(docs))
-    found = counts.where("term is not null")
-    kept = materialize(found.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS).drop("docs"))
-    used = found.drop("docs").join(kept, ["lang", "term"])
-    own = used.groupBy("lang", "source").agg(F.sum("n").alias("n"))
+    counts = materialize(kept_counts(docs))
+    used = counts.where("term is not null")
+    own = used.groupBy("lang", "source").agg(F.sum("n").alias("n"), F.count_if("first").alias("v"))
     groups = counts.where("term is null").select("lang", "source").join(own, ["lang", "source"], "left")
-    groups = materialize(groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n")))
-    langs = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.sum("n").alias("lang_total"))
-    terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    langs = langs.join(terms, "lang").select("lang", "v", F.ceil(F.col("sources") / SOURCES).cast("int").alias("gs"), F.ceil(F.col("v") / TERMS).cast("int").alias("ts"), (F.col("lang_total") + F.col("v")).alias("lang_total"))
+    groups = materialize(groups.select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v")))
+    langs = groups.groupBy("lang").agg(F.count("*").alias("sources"), F.sum("n").alias("lang_total"), F.sum("v").alias("v")).where("v > 0")
+    langs = langs.select("lang", "v", F.ceil(F.col("sources") / SOURCES).cast("int").alias("gs"), F.ceil(F.col("v") / TERMS).cast("int").alias("ts"), (F.col("lang_total") + F.col("v")).alias("lang_total"))
     langs = materialize(langs)
     if langs.count() <= LANGS:
         langs = F.broadcast(langs)
@@ -146,9 +213,10 @@ def audit(docs: DataFrame) -> DataFrame:
         return df.withColumn("to", F.explode(F.filter(both, lambda t: (t.side == 0) | (t.gi != t.gj)))).withColumns({c: F.col(f"to.{c}") for c in ("gi", "gj", "side")})
 
     keys = ["lang", "gi", "gj", "t"]
+    groups = groups.drop("v")
     rows = tiles(used.join(langs, "lang").withColumn("t", block("term", "ts"))).select(*keys, "source", "term", "n", "lang_n")
     sides = tiles(groups.join(langs, "lang")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("ts") - 1)))
-    sizes = kept.join(langs, "lang").groupBy("lang", block("term", "ts").alias("t")).agg(F.count("*").alias("size"))
+    sizes = used.where("first").join(langs, "lang").groupBy("lang", block("term", "ts").alias("t")).agg(F.count("*").alias("size"))
     sides = sides.join(sizes, ["lang", "t"]).select(*keys, "size", "source", "side", (F.col("n") + F.col("v")).alias("total"), "lang_total")
     parts = rows.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(_tile, "lang string, source string, part string, item string, value long")
     # a term is in one tile, a pair in one a term block

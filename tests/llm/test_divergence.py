@@ -71,6 +71,7 @@ def test_audit(spark, monkeypatch):
     monkeypatch.setattr(divergence, "TERMS", 7)  # many tiles
     monkeypatch.setattr(divergence, "SOURCES", 2)
     monkeypatch.setattr(divergence, "LANGS", 0)
+    monkeypatch.setattr(divergence, "COUNTED", 500)
     assert result(divergence.audit(df)) == want
 
 
@@ -97,15 +98,14 @@ def test_pieces_are_cut_between_terms(monkeypatch):
             assert got == terms_of(text)
 
 
-def test_counters_are_passed_on_when_full(monkeypatch):
+def test_counters_are_passed_on_when_full_and_meet_by_part(monkeypatch):
     batch = pa.record_batch({"lang": ["en", "en", "de"], "source": ["a", "a", "b"], "text": ["x y x", "x", "x"]})
     monkeypatch.setattr(divergence, "HELD", 0)
-    total = Counter()
-    for out in divergence._count([batch, batch]):
-        for r in out.to_pylist():
-            total[r["lang"], r["source"], r["term"], "n"] += r["n"]
-            total[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
-    assert total["en", "a", "x", "n"] == 6 and total["en", "a", "x", "docs"] == 4 and total["de", "b", "x", "n"] == 2
+    rows = pa.Table.from_batches(list(divergence._counter(3)([batch, batch]))).sort_by("part")
+    assert set(rows.column("part").to_pylist()) <= {0, 1, 2}
+    out = [r for b in divergence._adder(3)(rows.to_batches(max_chunksize=2)) for r in b.to_pylist()]
+    got = {(r["lang"], r["source"], r["term"]): (r["n"], r["lang_n"], r["first"]) for r in out}
+    assert got == {("en", "a", None): (0, 0, False), ("de", "b", None): (0, 0, False), ("en", "a", "x"): (6, 6, True)} and len(out) == 3
 
 
 def test_probabilities_are_exact():
