@@ -13,8 +13,9 @@ form a run (about one per `size` / 2 units); runs with a key that occurs once ca
 3. solve: runs of one key meet in one task, in pools bounded in bytes; the operator's own method finds the repeated windows
    in a pool, by content. Equal runs of a pool enter it twice, for all of them.
 4. split: a key of more than `hot` runs would not fit a pool: runs at the edge of a shared passage have one key and other bytes in
-   every document. Such keys are dealt window by window instead, grouped by a 128-bit digest of the window's bytes with
-   partial sums, so that no task holds a key.
+   every document. Such keys are dealt window by window instead: equal windows are counted by their bytes, with partial sums,
+   and each distinct one goes into a pool, once or twice, where the operator's own method decides as for any other run. No
+   task holds a key.
 Spans of all steps are merged per document and applied to the input.
 
 The bitmap has 16 bits a repeated key within 2**20 and 2**BITMAP bits (16 MB). Beyond some 8 million repeated keys it fills, and
@@ -23,7 +24,6 @@ runs that don't repeat pass as well, in the end all; results are the same, the s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -178,8 +178,8 @@ def _cutter(shared, units: Callable, gram: int, size: int, body: Callable):
     return run
 
 
-def _solver(solve: Callable, size: int):
-    """Runs sorted by key -> spans. solve(bodies, windows, copies) gives per body a bool array: windows that also start
+def _solver(solve: Callable, size: int, bodies: bool = False):
+    """Runs sorted by key -> spans, or with `bodies` the contents that hold a repeat. solve(bodies, windows, copies) gives per body a bool array: windows that also start
     elsewhere in the pool; copies says how often (1 or 2) a body is in it."""
 
     def flush(rows):
@@ -195,6 +195,8 @@ def _solver(solve: Callable, size: int):
             else:
                 copies[i] = 2
         found = solve([*place], windows, copies)
+        if bodies:
+            return pa.RecordBatch.from_arrays([pa.array([b for b, i in place.items() if found[i].any()], pa.binary())], ["body"])
         spans = []
         for hit in found:
             edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -229,20 +231,17 @@ def _solver(solve: Callable, size: int):
 
 
 def _splitter(windows_of: Callable):
-    """Runs -> their windows: digest, place and weight."""
+    """Runs -> their windows: content, place and weight."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in ("h1", "h2", "_rk", "at", "weight")}
             for row, where, weight, body in zip(*(batch.column(n).to_pylist() for n in ("_rk", "at", "weight", "body"))):
-                raw = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in windows_of(body))
-                n = len(raw) // 16
-                digests = np.frombuffer(raw, np.int64).reshape(n, 2)
-                for name, values in zip(out, (digests[:, 0].tolist(), digests[:, 1].tolist(), [row] * n, range(where, where + n), [weight] * n)):
-                    out[name].extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "weight" else pa.int64()) for n, v in out.items()], [*out])
+                own = list(windows_of(body))
+                n = len(own)
+                columns = [pa.array(own, pa.binary()), pa.array([row] * n, pa.int64()), pa.array(range(where, where + n), pa.int64()), pa.array([weight] * n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["body", "_rk", "at", "weight"])
 
     return run
 
@@ -268,12 +267,14 @@ def find(docs: DataFrame, units: Callable, body: Callable, windows_of: Callable,
     found = runs.where("weight > 0")
     often = materialize(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))  # not more than runs / hot
     solved = found.join(often, "key", "left_anti").select(*found.columns).repartition("key").sortWithinPartitions("key", "_rk", "at").mapInArrow(lean(_solver(solve, size)), "_rk long, at long, units long")
-    split = found.join(often, "key", "left_semi").mapInArrow(lean(_splitter(windows_of)), "h1 long, h2 long, _rk long, at long, weight int")
-    twice = split.groupBy("h1", "h2").agg(F.sum("weight").alias("times")).where("times > 1")
-    split = split.where("weight = 1").join(twice, ["h1", "h2"], "left_semi").select("_rk", "at", F.lit(size).cast("long").alias("units"))
-    spans = runs.where("weight = 0").select("_rk", "at", "units").union(solved).union(split)
+    split = materialize(found.join(often, "key", "left_semi").mapInArrow(lean(_splitter(windows_of)), "body binary, _rk long, at long, weight int"))
+    alone = split.groupBy("body").agg(F.least(F.lit(2), F.sum("weight")).cast("int").alias("weight"))
+    alone = alone.select(F.xxhash64("body").alias("key"), F.lit(0).cast("long").alias("_rk"), F.lit(0).cast("long").alias("at"), "weight", F.lit(size).cast("long").alias("units"), "body")
+    twice = alone.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_solver(solve, size, bodies=True)), "body binary")
+    split_spans = split.where("weight = 1").join(twice, "body", "left_semi").select("_rk", "at", F.lit(size).cast("long").alias("units"))
+    spans = runs.where("weight = 0").select("_rk", "at", "units").union(solved).union(split_spans)
     spans = materialize(spans.groupBy("_rk").agg(F.collect_list(F.struct("at", "units")).alias("spans")))
-    discard(runs, often)
+    discard(runs, often, split)
     return docs, spans
 
 

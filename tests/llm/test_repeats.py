@@ -144,3 +144,16 @@ def test_texts(spark):
     df = spark.createDataFrame([(1, words + " a b"), (2, "c " + words)], "doc_id long, text string")
     got = {r.doc_id: (r.kept, r.removed) for r in substring_dedup.dedup(df, texts=True).collect()}
     assert got == {1: ("a b", [[0, 40]]), 2: ("c", [[1, 41]])}
+
+
+@pytest.mark.parametrize("module", [suffix_dedup, substring_dedup])
+def test_the_method_decides_on_split_keys_too(spark, module):
+    """Above the limit as below it, what the operator's method calls a repeat is one: nothing else decides."""
+    text = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, f"{i} {text} {i}x") for i in range(6)], "doc_id long, text string").repartition(6, "doc_id")
+    never = lambda bodies, windows, copies: [np.zeros(w, bool) for w in windows]
+    for hot in (repeats.HOT, 2):
+        for solve, n in ((module.repeated, 6), (never, 0)):
+            _, spans = repeats.find(docs, module._units, module._body, module._windows, solve, module.GRAM, module.SIZE, hot)
+            parts = docs.select(F.spark_partition_id().alias("p")).distinct().count()
+            assert spans.count() == n or parts < 6  # copies within one slice are told by their bytes
