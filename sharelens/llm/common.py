@@ -53,8 +53,19 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def give_back() -> None:
-    """What this process has freed goes back to the system."""
+def give_back(spark: SparkSession | None = None) -> None:
+    """What this process has freed goes back to the system; with `spark` its JVM collects its garbage first, so that shuffle files,
+    broadcasts and plans of tables that are no longer used go as well, and gives back too."""
+    if spark is not None:
+        jvm = spark.sparkContext._jvm
+        jvm.System.gc()
+        with contextlib.suppress(Exception):  # only some JVMs have the command
+            types = spark.sparkContext._gateway.new_array(jvm.Class, 4)
+            for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+                types[i] = jvm.Class.forName(name)
+            own = spark.sparkContext._gateway.new_array(jvm.Object, 4)
+            own[0], own[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+            jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), own)
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -97,7 +108,7 @@ def discard_since(before: set[str], *keep: DataFrame) -> None:
     """Deletes the work tables made since, but for `keep`."""
     for path in set(_MADE) - before - {t._work_path for t in keep}:
         _delete(_MADE.pop(path), path)
-    give_back()
+    give_back(keep[0].sparkSession if keep else None)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -4,7 +4,7 @@ A document is the set of its five-word shingles. The n-grams have one global ord
 frequent ones after them by their number of documents. The order is cut into fragments, and every document's prefix (the
 first n - ceil(t n) + 1 n-grams, of which linked documents share at least one) is dealt over the fragments it falls
 into. Each fragment counts the partial overlaps of its pairs on its own; sums per pair over all fragments bound the
-overlap, and pairs that can't reach the threshold go. Of those that are left, whole sets are dealt over fragments of
+overlap (a task takes several fragments and sums over them first), and pairs that can't reach the threshold go. Of those that are left, whole sets are dealt over fragments of
 the n-grams again, each fragment counts its part of every pair's overlap, and the sum per pair decides.
 
 Two rounds keep the work near the number of documents, not of pairs. In the first each document is compared with one
@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_hashes, configure, discard, keyed, lean, materialize, mix, sequence_hashes, slices, table_of, text_buffer, word_bounds
+from .common import byte_hashes, configure, discard, give_back, keyed, lean, materialize, mix, sequence_hashes, slices, table_of, text_buffer, word_bounds
 
 N, TOKEN_BITS, CELL_BITS, SLOT_BITS = 5, 55, 40, 23
 #: Documents up to which a shared n-gram makes pairs, documents a block, compared documents a task.
@@ -46,6 +46,8 @@ DENSE, BLOCK, PARTNERS = 48, 256, 128
 FRAGMENT, FLUSH, COUNTED, PRODUCT, VERTICAL = 600_000, 1_000_000, 16_000_000, 4096, 4
 #: n-grams of a fragment that are paired at once, pairs that wait to be summed, and n-grams of a block of compared documents.
 PIECE, MET, HELD = 100_000, 200_000, 4_000_000
+#: Fragments that a task takes one after the other, tasks at least, and pairs whose sums over a task's fragments wait (56 bytes each).
+TOGETHER, TASKS, WAITING = 8, 16, 500_000
 SLICE = 1 << 20
 
 
@@ -261,12 +263,10 @@ PAIRS = "dense boolean, a long, b long, na long, nb long, ia long, ib long, shar
 
 
 def _pairer(dense: int):
-    """Rows sorted by fragment -> partial counts per pair, and rows of dense n-grams (a: n-gram, b: key, nb: size)."""
+    """Rows sorted by fragment -> partial counts per pair, summed over the task's fragments, and rows of dense n-grams (a: n-gram,
+    b: key, nb: size)."""
 
-    def flush(held):
-        import pyarrow as pa
-
-        names = [x.split()[0] for x in PAIRS.split(", ")]
+    def counts(held):
         m = sum(len(x[0]) for x in held)
         pieces, pairs, often = max(1, -(-m // PIECE)), [], []
         for piece in range(pieces):  # n-grams of a part of the hash's range at a time
@@ -277,21 +277,33 @@ def _pairer(dense: int):
             p, o = _counts(np.concatenate(rows), dense)
             pairs.append(p)
             often.append(o)
-        pairs, often = _summed(pairs), np.concatenate(often)
-        if len(often):
-            z = np.zeros(len(often), np.int64)
-            often = np.stack([often[:, 0], often[:, 1], z, often[:, 2], z, z, z], axis=1)
-        for is_dense, x in ((False, pairs), (True, often)):
-            for i in range(0, len(x), 50_000):
-                p = x[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), is_dense)), *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(7)]], names)
+        return _summed(pairs), np.concatenate(often)
+
+    def rows_of(x, is_dense):
+        import pyarrow as pa
+
+        names = [c.split()[0] for c in PAIRS.split(", ")]
+        for i in range(0, len(x), 50_000):
+            p = x[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), is_dense)), *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(7)]], names)
 
     def run(batches):
-        held, frag = [], None
+        held, frag, met = [], None, []
+
+        def flush():
+            pairs, often = counts(held)
+            z = np.zeros(len(often), np.int64)
+            yield from rows_of(np.stack([often[:, 0], often[:, 1], z, often[:, 2], z, z, z], axis=1), True)
+            met.append(pairs)
+            if sum(map(len, met)) > WAITING:
+                met[:] = [_summed(met)]
+                if len(met[0]) > WAITING // 2:  # sums of many pairs go on as they are
+                    yield from rows_of(met.pop(), False)
+
         for batch in batches:
             for f, docs, grams in zip(batch.column("frag").to_pylist(), batch.column("docs"), batch.column("grams")):
                 if f != frag and held:
-                    yield from flush(held)
+                    yield from flush()
                     held = []
                 frag = f
                 raw = grams.as_buffer().to_pybytes()
@@ -299,7 +311,8 @@ def _pairer(dense: int):
                 docs = np.frombuffer(docs.as_buffer().to_pybytes(), np.int64).reshape(3, -1)
                 held.append((np.frombuffer(raw, np.int64, m), np.frombuffer(raw, np.uint16, m, 8 * m), np.frombuffer(raw, np.uint32, m, 10 * m), docs))
         if held:
-            yield from flush(held)
+            yield from flush()
+        yield from rows_of(_summed(met), False)
 
     return run
 
@@ -537,7 +550,8 @@ def candidates(texts: DataFrame, rows: DataFrame, levels: DataFrame, dense: int)
     # one document of each class goes on; the others join it at the end
     texts, heads = marked(texts, rows.where("n > 2").groupBy("c1", "c2").agg(F.min("_rk").alias("_rk")).select("_rk"))
     prefixes = texts.mapInArrow(lean(_prefixer(shared, heads, fragments)), "frag long, docs binary, grams binary")
-    counted = materialize(prefixes.repartition(2 * fragments, "frag").sortWithinPartitions("frag").mapInArrow(lean(_pairer(dense)), PAIRS))
+    dealt = prefixes.repartition(max(TASKS, 2 * fragments // TOGETHER), "frag")
+    counted = materialize(dealt.sortWithinPartitions("frag").mapInArrow(lean(_pairer(dense)), PAIRS))
     shared.destroy()
     heads.destroy()
     # partial overlaps summed per pair: up to the last shared place all other n-grams of a set are misses, so the overlap is at
@@ -561,6 +575,7 @@ def links(docs: DataFrame, dense: int = DENSE, block: int = BLOCK):
     rows, levels = frequencies(texts, dense)
     pairs, stars = candidates(texts, rows, levels, dense)
     discard(levels)
+    give_back(docs.sparkSession)
     # round one: everyone with its least candidate; of a dense n-gram and size band that is the least member
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
     hubs = stars.groupBy("gram", band.alias("band")).agg(F.min(F.struct("_rk", "n")).alias("hub"))
@@ -571,7 +586,9 @@ def links(docs: DataFrame, dense: int = DENSE, block: int = BLOCK):
     roots = components(edges)
     label = lambda df, side: df.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")), side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
     apart = materialize(label(label(pairs, "a"), "b").where("_a <> _b").select("a", "b", "na", "nb").join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    give_back(docs.sparkSession)
     more = verify(texts, apart)
+    give_back(docs.sparkSession)
     # what dense n-grams tie together, without the pairs inside its largest component
     ties = stars.join(stars.groupBy("gram").agg(F.min("_rk").alias("a")), "gram").select("a", F.col("_rk").alias("b"))
     tied = components(ties)
@@ -587,6 +604,7 @@ def links(docs: DataFrame, dense: int = DENSE, block: int = BLOCK):
         discard(before)
     out = materialize(edges.union(more))
     discard(pairs, stars, first, edges, roots, apart, more, tied, members, dealt)
+    give_back(docs.sparkSession)
     return docs, rows, out
 
 
@@ -598,6 +616,7 @@ def join(docs: DataFrame, dense: int = DENSE, block: int = BLOCK) -> DataFrame:
     head_of = rows.join(edges.select(F.col("a").alias("_rk")).union(edges.select("b")).distinct(), "_rk").join(heads, ["c1", "c2"]).select("_rk", "head")
     ends = edges.join(head_of.withColumnsRenamed({"_rk": "a", "head": "_a"}), "a").join(head_of.withColumnsRenamed({"_rk": "b", "head": "_b"}), "b")
     roots = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    give_back(docs.sparkSession)
     rows = rows.join(docs.select("_rk", F.col("doc_id").cast("long").alias("doc_id")), "_rk")
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min("_rk").alias("head"))
     classes = classes.join(roots.withColumnRenamed("node", "head"), "head", "left").withColumn("root", F.coalesce("root", "head"))

@@ -137,3 +137,30 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute(rows)
     assert jaccard_join.join(df.limit(0)).count() == 0
+
+
+def test_a_task_sums_pairs_over_its_fragments():
+    """A pair that shares n-grams in many fragments of a task is one row, not one a fragment."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs = np.array([[11, 12, 13], [1, 2, 3], [40, 41, 42]], np.int64).tobytes()  # class, key, size
+
+    def rows():
+        for f in range(30):
+            token = np.array([f, f, 1000 + f, 1000 + f, 1000 + f], np.int64)
+            grams = token.tobytes() + np.array([0, 1, 0, 1, 2], np.uint16).tobytes() + np.array([f, f + 1, f, f, f], np.uint32).tobytes()
+            yield pa.RecordBatch.from_pydict({"frag": [f], "docs": [docs], "grams": [grams]})
+
+    found = pa.Table.from_batches(list(jaccard_join._pairer(48)(rows()))).to_pylist()
+    got = sorted((r["a"], r["b"], r["na"], r["nb"], r["ia"], r["ib"], r["shared"]) for r in found if not r["dense"])
+    assert got == [(1, 2, 40, 41, 29, 30, 60), (1, 3, 40, 42, 29, 29, 30), (2, 3, 41, 42, 29, 29, 30)]
+    stars = pa.Table.from_batches(list(jaccard_join._pairer(2)(rows()))).to_pylist()
+    assert sum(r["dense"] for r in stars) == 90 and [r["shared"] for r in stars if not r["dense"]] == [30]
+
+
+def test_sums_that_wait_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "WAITING", 5)
+    rows = list(enumerate(corpus(1, 120)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute(rows)

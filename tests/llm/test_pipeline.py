@@ -86,3 +86,14 @@ def test_stages_with_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
             before, docs = docs, spark.read.parquet(f"{d}/{name}-{k}")
             assert docs.count() <= before.count() and (docs.count() > 50 or name == "none")
     assert docs.count() == 0
+
+
+def test_the_drivers_jvm_gives_back_between_stages(spark):
+    """What the JVM of the driver no longer uses is collected where work tables are deleted."""
+    from sharelens.llm import common
+
+    kept = common.materialize(spark.range(3))
+    ref = spark.sparkContext._jvm.java.lang.ref.WeakReference(bytearray(b"unused"))
+    common.discard_since(common.tables(), kept)
+    assert ref.refersTo(None)
+    common.discard(kept)
