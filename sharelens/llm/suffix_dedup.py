@@ -1,7 +1,7 @@
 """Suffix-array dedup: removes each byte covered by a string of SIZE bytes that also starts anywhere else.
 
 Candidates come from `repeats`: runs of windows that may be equal meet in one task. A suffix array of the pool decides which
-do repeat, sorted in two stages: only suffixes smaller than their successors are sorted directly (by ranks of 32-byte blocks, round by round while ties
+do repeat, sorted in two stages: only suffixes smaller than their successors are sorted directly (by ranks of 128-byte blocks, round by round while ties
 remain), all others are induced by one scan over the first-byte buckets; common prefixes of adjacent suffixes
 then tell which windows start twice. Both stages are vectorised; a pool has about a MB.
 
@@ -24,18 +24,25 @@ from .common import lean, mix, words_at
 #: Bytes of a window, and of the grams whose least hash is its key.
 SIZE, GRAM = 200, 48
 ROUNDS = 8
+#: Bytes whose ranks decide at once in a pool, and grams that are hashed at once.
+BLOCK, PART = 128, 1 << 15
 
 
 def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    v = words_at(data)
+    n = max(0, len(data) - gram + 1)
+    out, room = np.zeros(n, np.uint64), np.empty(PART, np.uint64)
     with np.errstate(over="ignore"):
-        v = words_at(data)
-        n = max(0, len(data) - gram + 1)
-        h = np.zeros(n, np.uint64)
-        for k in range(gram // 8):
-            h += v[8 * k : 8 * k + n]
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return mix(h)
+        for i in range(0, n, PART):  # parts stay in the processor's cache
+            h = out[i : i + PART]
+            t = room[: len(h)]
+            for k in range(gram // 8):
+                h += v[8 * k + i : 8 * k + i + len(h)]
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                np.right_shift(h, np.uint64(29), out=t)
+                h ^= t
+            h[:] = mix(h)
+    return out
 
 
 def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,26 +51,32 @@ def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if bits + width > 63:
         order = np.argsort(key, kind="stable")
         return key[order], order
-    both = np.sort((key << width) | np.arange(len(key)))
-    return both >> width, both & ((1 << width) - 1)
+    both = key << width
+    both |= np.arange(len(key))
+    both.sort()
+    order = both & ((1 << width) - 1)
+    both >>= width
+    return both, order
 
 
 def _ranks(key: np.ndarray, bits: int) -> np.ndarray:
     """The rank of each key from 0, ties sharing one."""
     s, order = _sorted(key, bits)
-    out = np.empty(len(s), np.int64)
-    out[order] = np.cumsum(np.append(0, s[1:] != s[:-1])) if len(s) else s
+    rank = np.zeros(len(s), np.int64)
+    np.cumsum(s[1:] != s[:-1], out=rank[1:])
+    out = s  # its place is free now
+    out[order] = rank
     return out
 
 
-def block_ranks(data: np.ndarray) -> np.ndarray:
-    """The rank of the 32 bytes from each position on, by doubling from four."""
-    rank = _ranks((words_at(data, True) >> np.uint64(32)).astype(np.int64), 32)
+def block_ranks(data: np.ndarray, block: int = 32) -> np.ndarray:
+    """The rank of the `block` bytes from each position on, by doubling from four."""
+    rank = _ranks((words_at(data, True) >> np.uint64(32)).view(np.int64), 32)
     width = int(len(data) + 1).bit_length()
-    for step in (4, 8, 16):
-        after = np.zeros(len(rank), np.int64)
-        after[: max(0, len(rank) - step)] = rank[step:] + 1
-        rank = _ranks((rank << width) | after, 2 * width)
+    for step in (4 << k for k in range((block // 4).bit_length() - 1)):
+        key = rank << width
+        key[: max(0, len(rank) - step)] |= rank[step:] + 1
+        rank = _ranks(key, 2 * width)
     return rank
 
 
@@ -77,32 +90,44 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
     return np.append(sign, np.int8(-1))[at] > 0
 
 
-def suffix_array(data: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
-    """All suffixes in order of their first 32 * ROUNDS bytes at least."""
+def suffix_array(data: np.ndarray, rank: np.ndarray | None = None, block: int = 32) -> np.ndarray:
+    """All suffixes in order of their first 32 * ROUNDS bytes at least; rank: that of the `block` bytes from each position on."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    rank = block_ranks(data) if rank is None else rank
+    rank = block_ranks(data, block) if rank is None else rank
     direct = smaller_than_next(data)
     # stage one: sort the suffixes smaller than their successors; ties go on to the next block
     at = np.flatnonzero(direct)
     at = at[_sorted(rank[at], int(n).bit_length())[1]]
     group = _starts(rank[at])
-    for k in range(1, ROUNDS):
-        tied = np.zeros(len(at), bool)
-        tied[1:] |= group[1:] == group[:-1]
-        tied[:-1] |= group[1:] == group[:-1]
-        where = np.flatnonzero(tied)
+    where = np.arange(len(at))
+    for k in range(1, -(-32 * ROUNDS // block)):
+        own = group[where]
+        tied = np.zeros(len(where), bool)
+        same = own[1:] == own[:-1]
+        tied[1:] |= same
+        tied[:-1] |= same
+        where, own = where[tied], own[tied]
         if not len(where):
             break
-        nxt = at[where] + 32 * k
-        key = (group[where] << 32) | np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
+        nxt = at[where] + block * k
+        nxt = np.where(nxt < n, rank[np.minimum(nxt, n - 1)] + 1, 0)
+        # only groups whose next blocks differ are sorted
+        differ = np.flatnonzero((nxt[1:] != nxt[:-1]) & (own[1:] == own[:-1]))
+        mixed = np.zeros(len(at), bool)
+        mixed[own[differ]] = True
+        some = np.flatnonzero(mixed[own])
+        if not len(some):
+            continue
+        key = (own[some] << 32) | nxt[some]
         order = np.argsort(key, kind="stable")
-        at[where] = at[where][order]
+        place = where[some]
+        at[place] = at[place][order]
         key = key[order]
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
-        group[where] = where[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+        group[place] = place[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
     # stage two: scan the buckets of first bytes upward; each suffix found puts its predecessor into its bucket
     bounds = np.searchsorted(data[at], np.arange(257))
     front: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -159,6 +184,17 @@ def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, rank: np.nda
     return length
 
 
+def agree(a: np.ndarray, b: np.ndarray, rank: np.ndarray, size: int, block: int) -> np.ndarray:
+    """Whether each two suffixes, of `size` bytes at least, have their first `size` (`block` or more) bytes in common, by the ranks of
+    blocks, of which the last two may overlap."""
+    live = np.arange(len(a))
+    for at in [*range(0, size - block + 1, block), *([size - block] if size % block else [])]:
+        live = live[rank[a[live] + at] == rank[b[live] + at]]
+    out = np.zeros(len(a), bool)
+    out[live] = True
+    return out
+
+
 def repeated(bodies: list[bytes], windows: list[int], copies: list[int]) -> list[np.ndarray]:
     """Per body, which windows of SIZE bytes also start elsewhere in the pool, in which each body is once or twice."""
     if not bodies:
@@ -170,10 +206,10 @@ def repeated(bodies: list[bytes], windows: list[int], copies: list[int]) -> list
     at = np.arange(counts.sum()) + np.repeat(every - (np.cumsum(counts) - counts), counts)
     eligible = np.zeros(len(data), bool)
     eligible[at] = True
-    rank = block_ranks(data)
-    order = suffix_array(data, rank)
+    rank = block_ranks(data, BLOCK)
+    order = suffix_array(data, rank, BLOCK)
     order = order[eligible[order]]
-    twice = common_prefixes(data, order[:-1], order[1:], rank, SIZE) >= SIZE
+    twice = agree(order[:-1], order[1:], rank, SIZE, BLOCK)
     hit = np.zeros(len(data), bool)
     hit[order[1:][twice]] = True
     hit[order[:-1][twice]] = True

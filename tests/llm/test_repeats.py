@@ -157,3 +157,21 @@ def test_the_method_decides_on_split_keys_too(spark, module):
             _, spans = repeats.find(docs, module._units, module._body, module._windows, solve, module.GRAM, module.SIZE, hot)
             parts = docs.select(F.spark_partition_id().alias("p")).distinct().count()
             assert spans.count() == n or parts < 6  # copies within one slice are told by their bytes
+
+
+def test_windows_are_decided_by_overlapping_blocks():
+    """Ranks of blocks tell of every two suffixes whether their first bytes agree, as a comparison of all bytes does."""
+    r = random.Random(7)
+    base = bytes(r.choice(b"ab\x00") for _ in range(260))
+    data = b"".join(base[: r.randrange(150, 260)] + bytes([r.randrange(3)]) for _ in range(40))
+    array = np.frombuffer(data, np.uint8)
+    for block in (32, 64, 128):
+        rank = suffix_dedup.block_ranks(array, block)
+        order = suffix_dedup.suffix_array(array, rank, block)
+        assert sorted(order.tolist()) == list(range(len(data)))
+        cut = [data[i : i + 32 * suffix_dedup.ROUNDS] for i in order]
+        assert all(a <= b for a, b in zip(cut, cut[1:]))
+        order = order[order <= len(data) - 200]
+        a, b = order[:-1], order[1:]
+        want = [data[x : x + 200] == data[y : y + 200] for x, y in zip(a, b)]
+        assert suffix_dedup.agree(a, b, rank, 200, block).tolist() == want and 0 < sum(want) < len(want)
