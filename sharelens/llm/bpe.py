@@ -11,7 +11,10 @@ special tokens may still change, at most a few characters, and streams a pre-tok
 `Decoder.feed` turns ids into bytes and runs a UTF-8 state machine of at most three pending bytes; bytes that
 form no character become U+FFFD as late as they are known to.
 
-Pre-tokens repeat, so their ids are kept in a table of bounded size.
+A short pre-token runs in one step, from its beginning: the longest token that goes with the one before is taken, and where no token
+follows, the next shorter one. As a prefix has one encoding, an end that leads nowhere is never tried again.
+
+Pre-tokens repeat, so their ids are kept in a table of bounded size, in two halves of which the older one goes when the younger is full.
 
 Defined cases: null text is the empty text, which has no tokens (hashes of the empty string); null or repeated
 doc_ids and repeated rows come back as they are; an empty table gives no rows; other columns are ignored.
@@ -24,7 +27,7 @@ import hashlib
 import json
 import re
 
-import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +46,19 @@ NEW_NUMBERS = r"\U00011DE0-\U00011DE9\U0001246F\U00012475-\U0001247F\U00012550-\
 _L, _N = rf"[\p{{L}}--[{NEW_LETTERS}]]", rf"[\p{{N}}--[{NEW_NUMBERS}]]"
 _P = rf"[^\s\p{{L}}\p{{N}}{NEW_LETTERS}{NEW_NUMBERS}]|[{NEW_LETTERS}{NEW_NUMBERS}]"
 FAST = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+# the same for texts without characters beyond U+00FF
+_S1, _L1, _N1 = r"\t-\r \x85\xa0", r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L1}]+| ?[{_N1}]+| ?[^{_S1}{_L1}{_N1}]+|[{_S1}]+(?![^{_S1}])|[{_S1}]+")
+WIDE = re.compile("[^\x00-\xff]")
 EXACT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{_L}+| ?{_N}+| ?(?:{_P})+|\s+(?!\S)|\s+", regex.V1)
 NEW = regex.compile(f"[{NEW_LETTERS}{NEW_NUMBERS}]")
 HIGH = re.compile("[\u0558-\U0010FFFF]")
 CLASSES = [regex.compile(x, regex.V1) for x in (rf"{_L}+", rf"{_N}+", rf"(?:{_P})+", r"\s+")]
 
 #: Characters of a pre-token from which on it is streamed; entries of the table of pre-tokens; bytes between emissions.
-LONG, TABLE, STEP = 1 << 16, 300_000, 256
+LONG, TABLE, STEP = 1 << 16, 450_000, 256
+#: Bytes at a token's beginning that tell how long it gets at most.
+HEAD = 4
 #: Kept answers about pairs of tokens; marks for the beginning of a pre-token and for a prefix without an encoding.
 PAIRS, START, NONE = 600_000, 1 << 19, -1
 
@@ -97,12 +106,17 @@ class Vocabulary:
         self.tails = {t[i:] for t in self.ids for i in range(len(t))}
         self.sizes = {i: len(t) for i, t in self.bytes.items()}
         self.pairs: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for t, i in self.ids.items():
-            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
-        self.automaton.make_automaton()
+        # the longest token that is a proper prefix of each token, and how long tokens with these first HEAD bytes get
+        self.shorter = {i: next((self.ids[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in self.ids), None) for t, i in self.ids.items()}
+        self.reach: dict[bytes, int] = {}
+        for t in self.ids:
+            if len(t) > HEAD:
+                self.reach[t[:HEAD]] = max(self.reach.get(t[:HEAD], 0), len(t))
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.texts = {str(i): t for i, t in self.bytes.items()}
+        tokens = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self.flat, self.length = np.frombuffer(b"".join(tokens), np.uint8), np.array([*map(len, tokens)], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
 
     def merged(self, data: bytes) -> list[bytes]:
         """The merges, lowest rank first, leftmost first; for a token or a pair of tokens only."""
@@ -151,15 +165,26 @@ class Vocabulary:
         token = self.ids.get(data)
         if token is not None and (self.pairs.get(START << 20 | token) or self.goes(START, token)):
             return [token]
-        last = [START] + [NONE] * len(data)
-        pairs = self.pairs.get
-        for end, (token, size) in self.automaton.iter(data.decode("latin-1")):  # all tokens in it, by end, longest first
-            end += 1
-            if last[end] == NONE and (before := last[end - size]) != NONE:
+        get, pairs, reach, sizes, shorter = self.ids.get, self.pairs.get, self.reach.get, self.sizes, self.shorter
+        path, before, at, n, dead, fresh = [], START, 0, len(data), set(), True
+        while at < n:
+            if fresh:  # the longest token from here
+                end = min(n, at + reach(data[at : at + HEAD], HEAD))
+                while (token := get(data[at:end])) is None and end > at:
+                    end -= 1
+            while token is not None:
                 ok = pairs(before << 20 | token)
-                if ok or ok is None and self.goes(before, token):
-                    last[end] = token
-        return self.path(last, len(data))
+                if (ok or ok is None and self.goes(before, token)) and not (dead and at + sizes[token] in dead):
+                    break
+                token = shorter[token]
+            if fresh := token is not None:
+                path.append(token)
+                before, at = token, at + sizes[token]
+            else:
+                dead.add(at)
+                token = path.pop()
+                before, at, token = path[-1] if path else START, at - sizes[token], shorter[token]
+        return path
 
     def path(self, last: list[int], at: int) -> list[int]:
         """The ids up to `at`, from the tree of last tokens."""
@@ -193,22 +218,27 @@ class Piece:
 
 
 class _Table(dict):
-    """Pre-token to its ids as text; entries come from the transducer and go all at once when there are too many."""
+    """Pre-token to its ids as text; entries come from the transducer. Half of TABLE are the younger ones; when there are more, they become the
+    older half, from which those that are asked for again come back."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v = vocabulary
+        self.v, self.old = vocabulary, {}
 
     def __missing__(self, piece: str) -> str:
-        raw = piece.encode()
-        if len(raw) <= STEP:
-            ids = self.v.encode(raw)
-        else:
-            p = Piece(self.v)
-            ids = [*p.feed(raw), *p.end()]
-        if len(self) >= TABLE:
+        got = self.old.get(piece)
+        if got is None:
+            raw = piece.encode()
+            if len(raw) <= STEP:
+                ids = self.v.encode(raw)
+            else:
+                p = Piece(self.v)
+                ids = [*p.feed(raw), *p.end()]
+            got = ",".join(map(str, ids))
+        if len(self) >= TABLE // 2:
+            self.old = dict(self)
             self.clear()
-        self[piece] = got = ",".join(map(str, ids))
+        self[piece] = got
         return got
 
 
@@ -244,7 +274,10 @@ class Encoder:
             text = self._continue(text, last, out)
             if self.open or not text:
                 return text
-        pattern = FAST if text.isascii() or not HIGH.search(text) or not NEW.search(text) else EXACT
+        if text.isascii() or not WIDE.search(text):
+            pattern = LATIN
+        else:
+            pattern = FAST if not HIGH.search(text) or not NEW.search(text) else EXACT
         pieces = pattern.findall(text)
         if not last:  # a pre-token may change while three characters or less follow its end
             tail = 0
@@ -285,10 +318,16 @@ class Decoder:
     """Ids to text as they come."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.texts, self.machine = vocabulary.texts, codecs.getincrementaldecoder("utf-8")("replace")
+        self.v, self.machine = vocabulary, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[str], last: bool = False) -> str:
-        return self.machine.decode(b"".join(map(self.texts.__getitem__, ids)), last)
+        return self.machine.decode(b"".join(map(self.v.texts.__getitem__, ids)), last)
+
+    def feed_array(self, ids: np.ndarray) -> str:
+        """The same for an array of ids."""
+        n = self.v.length[ids]
+        end = np.cumsum(n)
+        return self.machine.decode(self.v.flat[np.arange(end[-1]) + np.repeat(self.v.begin[ids] - end + n, n)].tobytes()) if len(ids) else ""
 
 
 _HELD: dict[str, tuple[Vocabulary, _Table]] = {}
@@ -334,11 +373,11 @@ def transcode(docs: DataFrame, path: str, keep: tuple[str, ...] = (), ids: bool
                 n, a, b, d, own = 0, hashlib.sha256(), hashlib.sha256(), Decoder(vocabulary), []
                 for part in encode(text or "", vocabulary, table):
                     a.update((f",{part}" if n else part).encode())
-                    tokens = part.split(",")
+                    tokens = np.fromstring(part, np.int32, sep=",")
                     n += len(tokens)
-                    b.update(d.feed(tokens).encode())
+                    b.update(d.feed_array(tokens).encode())
                     if ids:
-                        own += map(int, tokens)
+                        own += tokens.tolist()
                 b.update(d.feed([], True).encode())
                 counts.append(n)
                 hashes.append(a.hexdigest())

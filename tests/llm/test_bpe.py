@@ -125,3 +125,42 @@ def test_merges_out_of_order_are_refused():
     assert bpe.sufficient_lookahead([(b"a", b"b"), (b"c", b"ab"), (b"d", b"cab")]) == 3
     with pytest.raises(ValueError):
         bpe.sufficient_lookahead([(b"ab", b"c"), (b"a", b"b")])
+
+
+def test_a_full_table_keeps_what_is_asked_for_again(vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE", 8)
+    made = []
+    monkeypatch.setattr(vocabulary, "encode", lambda raw, f=vocabulary.encode: made.append(raw) or f(raw))
+    table = bpe._Table(vocabulary)
+    for i in range(100):
+        assert table["often"] == table["often"]
+        assert table[f"w{i}"] == ",".join(map(str, bpe.Vocabulary.encode(vocabulary, f"w{i}".encode())))
+        assert len(table) + len(table.old) <= 8
+    assert made.count(b"often") == 1 and len(made) == 101
+
+
+def test_short_pieces_in_one_step_are_those_of_the_tree(vocabulary):
+    r = random.Random(8)
+    tokens = [*vocabulary.ids]
+    for _ in range(3000):
+        data = b"".join(r.choice(tokens) for _ in range(r.randrange(1, 5))) if r.random() < 0.5 else bytes(r.choice(b"etaoinsrh \xc3\xa9\xff") for _ in range(r.randrange(1, 40)))
+        p = bpe.Piece(vocabulary)
+        assert vocabulary.encode(data[: bpe.STEP]) == [*p.feed(data[: bpe.STEP]), *p.end()]
+
+
+def test_latin_pieces_are_those_of_the_general_pattern():
+    r = random.Random(9)
+    for c in range(256):
+        for text in (chr(c), f"a{chr(c)}b", f" {chr(c)} {chr(c)}1", f"'{chr(c)}", f"{chr(c)}{chr(c)}  "):
+            assert bpe.LATIN.findall(text) == bpe.EXACT.findall(text)
+    for _ in range(2000):
+        text = "".join(r.choice(["'s", "'ll", " ", "\n", "\xa0", "\x85", "\x1c", "é", "ß", "²", "7", "x", "!", "ª", chr(r.randrange(256))]) for _ in range(30))
+        assert bpe.LATIN.findall(text) == bpe.EXACT.findall(text)
+
+
+def test_arrays_of_ids_decode_as_ids_do(vocabulary):
+    r = random.Random(10)
+    one, other = bpe.Decoder(vocabulary), bpe.Decoder(vocabulary)
+    for _ in range(200):
+        ids = [r.choice([*range(0, 256), 50256, r.randrange(50000)]) for _ in range(r.randrange(12))]
+        assert one.feed_array(bpe.np.array(ids, int)) == other.feed([str(i) for i in ids])
