@@ -224,10 +224,10 @@ def rounds(blocks: DataFrame, books: np.ndarray, largest: int, n: int = ROUNDS)
     """books: (part, entry, component), after n rounds over the blocks."""
     for _ in range(n):
         parts = blocks.mapInArrow(lean(_lloyd(books, largest)), "part int, entry int, n long, sums array<long>")
-        # one row per part and entry comes to the driver: PARTS * ENTRIES of them at most
+        # one row per part and entry comes to the driver, PARTS * ENTRIES of them at most, in one job (an iterator takes one for each partition)
         total = parts.select("part", "entry", "n", F.posexplode("sums").alias("at", "x")).groupBy("part", "entry", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
         books = books.copy()
-        for r in total.groupBy("part", "entry").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "x"))).alias("sums")).toLocalIterator():
+        for r in total.groupBy("part", "entry").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "x"))).alias("sums")).collect():
             books[r["part"], r["entry"]] = [c["x"] // r["n"] for c in r["sums"]]
     return books
 

@@ -89,3 +89,21 @@ def test_subtrees_are_assigned_whole():
     nodes = np.concatenate([n for n, _ in whole])
     assert (tree.end[nodes] - tree.start[nodes]).sum() > 3500 and len(nodes) < 200
     assert (tree.sums[nodes] == np.array([tree.points[tree.start[n] : tree.end[n]].sum(axis=0) for n in nodes])).all()
+
+
+def test_a_round_takes_few_jobs_however_many_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(0, 1, 8)], 1) for i in range(300)], SCHEMA)
+    books = rng.integers(-1024, 1024, (cc.PARTS, 16, 2))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    blocks = cc.materialize(cc.trees(cc.usable(rows), 8))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("rounds", "rounds")
+        cc.rounds(blocks, books, 1 << 14, 2)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")) <= 2 * 4
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
