@@ -509,19 +509,20 @@ def tasks(members: DataFrame, block: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component), by alternating large and small stars: every node's larger
     neighbours go to its smallest neighbour, then all its smaller ones do. Each round is written to the shared folder and the
-    one before it deleted; two jobs a round, so that the driver holds little of their plans."""
+    one before it deleted; two jobs a round, so that the driver holds little of their plans. It ends when the edges are stars: every
+    node that has a smaller one has one such edge, and none of these leads to a node that has a smaller one itself."""
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
     while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.agg(F.count_if(F.expr("up > 1 OR up = 1 AND down = 1"))).first()[0]:
             out = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             out._work_path = edges._work_path
             return out
-        state = now
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # not more rows than edges; the distinct below settles those that come twice
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", "m").union(small.where("v <> m").select(F.col("v").alias("u"), "m")).select("u", F.col("m").alias("v")).where("u <> v").distinct()

@@ -164,3 +164,17 @@ def test_sums_that_wait_are_bounded(spark, monkeypatch):
     rows = list(enumerate(corpus(1, 120)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert sorted(map(tuple, jaccard_join.join(df).collect()), key=str) == brute(rows)
+
+
+def test_components_end_once_edges_are_stars(spark, monkeypatch):
+    from sharelens.llm import jaccard_join
+
+    written, write = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df: written.append(1) or write(df))
+    stars = [(1, 5), (5, 1), (1, 7), (2, 9), (3, 3)]
+    out = jaccard_join.components(spark.createDataFrame(stars, "a long, b long"))
+    assert sorted(map(tuple, out.collect())) == [(5, 1), (7, 1), (9, 2)] and len(written) == 1
+    # a path, a ring, a bridge between stars
+    edges = [(i, i + 1) for i in range(10, 20)] + [(30 + i, 30 + (i + 1) % 6) for i in range(6)] + [(40, 41), (40, 42), (43, 44), (43, 45), (45, 42)]
+    got = {tuple(r) for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(i, 10) for i in range(11, 21)} | {(i, 30) for i in range(31, 36)} | {(i, 40) for i in range(41, 46)}
