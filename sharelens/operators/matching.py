@@ -61,9 +61,12 @@ def fuzzy_match(papers: DataFrame, works: DataFrame, block: list[str], theta: fl
 
 def title_search(papers: DataFrame, hits: DataFrame, theta: float = 0.9, most: int = 5, tolerance: int = 1) -> DataFrame:
     """papers: paper_id, title, year; hits: paper_id, place, work_id, title, year as a search returns them. Of the first `most`
-    hits within the years the most similar one that reaches theta, ties by place: paper_id, work_id, score."""
+    hits within the years the most similar one that reaches theta, ties by place: paper_id, work_id, score.
+
+    Both sides grow with the papers, and the planner's estimate of computed titles can be far below their size: a sort merge, which
+    neither it nor adaptive execution turns into a broadcast."""
     h = hits.where(F.col("place") <= most).select("paper_id", "place", "work_id", F.col("title").alias("_title"), F.col("year").alias("_year"))
-    rows = papers.select("paper_id", "title", "year").join(h, "paper_id").where(F.abs(F.col("year") - F.col("_year")) <= tolerance)
+    rows = papers.select("paper_id", "title", "year").join(h.hint("merge"), "paper_id").where(F.abs(F.col("year") - F.col("_year")) <= tolerance)
     rows = rows.withColumn("score", set_similarity(tokens(F.col("title")), tokens(F.col("_title")))).where(F.col("score") >= theta)
     return best(rows, ["paper_id"], F.col("score").desc(), F.col("place")).select("paper_id", "work_id", "score")
 

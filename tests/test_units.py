@@ -174,6 +174,24 @@ def test_matching(spark):
     assert matching.prefix_filter(rec, "key", spark.createDataFrame([("conf/a",)], "prefix string")).count() == 1
 
 
+def test_title_search_is_not_broadcast(spark, tmp_path):
+    """Titles computed from a small file are many times its size: the estimate is below the threshold, what a broadcast would hold is above it."""
+    spark.range(4000).write.parquet(f"{tmp_path}/t")
+    papers = spark.read.parquet(f"{tmp_path}/t").selectExpr("id AS paper_id", "repeat(concat('t', id, ' '), 50) AS title", "2000 AS year")
+    hits = papers.selectExpr("paper_id", "stack(4, 1, 10 * paper_id, 'none of it', year, 2, 10 * paper_id + 1, title, year + 1, 3, 10 * paper_id + 2, title, year, 6, 10 * paper_id + 3, title, year) AS (place, work_id, title, year)")
+    estimate, real = int(papers._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), papers.selectExpr("sum(length(title))").first()[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(2 * estimate))
+        found = matching.title_search(papers, hits)
+        rows = found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert real > 2 * estimate and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, rows)) == [(i, 10 * i + 1, 1.0) for i in range(4000)]
+
+
 def test_consolidation(spark):
     rows = [(1, "ES", "B", "m2", 2), (1, "ES", "A", "m1", 1), (1, "ES", "A", "m1", 1), (1, "ES", "C", "nan", 3)]
     r = consolidate.consolidate(spark.createDataFrame(rows, "paper_id int, country string, source string, method string, priority int")).first()
